@@ -1,0 +1,8 @@
+"""Streaming.
+
+Reconciliation is a batch job over a closed cycle: every pass needs the whole
+remaining population of the cycle, and carrying open items forward between
+cycles is outside the scope of the matcher.  There is therefore no
+streaming operator; a cycle arriving as a stream is landed to a table and the
+batch run is started on it.
+"""
