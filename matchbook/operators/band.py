@@ -46,27 +46,32 @@ def tolerance_units(attr: Attribute, scale: int) -> int | None:
     return int((attr.tolerance_amount or 0.0) * 10 ** scale + 1e-9)
 
 
-def pick_band(p: MatchPass, left_types: list[T.DataType]) -> tuple[int, int] | None:
-    """(attribute index, tolerance units) of the WITHIN attribute to bin on.
+def pick_bands(p: MatchPass, left_types: list[T.DataType],
+               max_dims: int = 2) -> list[tuple[int, int]]:
+    """(attribute index, tolerance units) of the WITHIN attributes to bin on.
 
     ``p.band_join`` forces the choice; by default bins are used when the hard
     keys are coarse (at most one key besides the implicit BANK_ACCOUNT), which
-    is where one bucket can hold a large share of the rows.
+    is where one bucket can hold a large share of the rows.  Up to two
+    attributes are binned (a left row explodes into at most 3 x 3 cells), so a
+    hot bucket is split by date and by amount.
     """
     if p.band_join is False:
-        return None
+        return []
     if p.band_join is None and len(p.hard_keys()) > 2:
-        return None
+        return []
+    out = []
     for i, a in enumerate(p.attributes):
-        if a.operator != "WITHIN":
+        if a.operator != "WITHIN" or len(out) >= max_dims:
             continue
         u = value_units(F.lit(None), left_types[i])
-        if u is None:
+        is_date = isinstance(left_types[i], (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if u is None or is_date != a.is_date_band:
             continue
         t = tolerance_units(a, u[1])
         if t is not None:
-            return i, t
-    return None
+            out.append((i, t))
+    return out
 
 
 def left_bins(units: Column, t: int) -> Column:
@@ -79,8 +84,8 @@ def right_bin(units: Column, t: int) -> Column:
 
 
 def add_bins(left: DataFrame, right: DataFrame, lcol: str, rcol: str, dtype: T.DataType,
-             t: int) -> tuple[DataFrame, DataFrame]:
+             t: int, name: str) -> tuple[DataFrame, DataFrame]:
     lu, _ = value_units(F.col(lcol), dtype)
     ru, _ = value_units(F.col(rcol), dtype)
-    return (left.withColumn("l_bin", left_bins(lu, t)),
-            right.withColumn("r_bin", right_bin(ru, t)))
+    return (left.withColumn(f"l_{name}", left_bins(lu, t)),
+            right.withColumn(f"r_{name}", right_bin(ru, t)))

@@ -47,11 +47,10 @@ def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     R = project_side(right, p, "r")
     n_keys = len(p.hard_keys())
     cond = [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(n_keys)]
-    chosen = band.pick_band(p, [L.schema[f"l_a{i}"].dataType for i in range(len(p.attributes))])
-    if chosen is not None:
-        i, t = chosen
-        L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", L.schema[f"l_a{i}"].dataType, t)
-        cond.append(F.col("l_bin") == F.col("r_bin"))
+    types = [L.schema[f"l_a{i}"].dataType for i in range(len(p.attributes))]
+    for i, t in band.pick_bands(p, types):
+        L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}")
+        cond.append(F.col(f"l_bin{i}") == F.col(f"r_bin{i}"))
     cand = L.join(R, cond, "inner").where(F.col("l_id") != F.col("r_id"))
     for i, a in enumerate(p.attributes):
         lc, rc = F.col(f"l_a{i}"), F.col(f"r_a{i}")
