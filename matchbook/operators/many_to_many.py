@@ -19,8 +19,6 @@ larger left mask and the larger right mask.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +26,6 @@ from pyspark.sql import types as T
 from matchbook.functions.predicates import attr_expr
 from matchbook.functions.scores import subset_quality
 from matchbook.operators.band import floor_div
-from matchbook.operators.numbering import matching_id
 from matchbook.session import materialize
 from matchbook.spec import M2M_MAX_BUCKET_SIDE, MatchPass
 
@@ -148,17 +145,17 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass,
                        F.col("l_min_id").alias("_o2")), b
 
 
-def expand(numbered: DataFrame, bucket_lists: DataFrame, p: MatchPass,
-           set_id: str, cycle_date: date) -> DataFrame:
-    """Long form: members of both chosen subsets."""
+def members(best: DataFrame, bucket_lists: DataFrame, p: MatchPass) -> DataFrame:
+    """Member rows of both chosen subsets; the first chosen left row leads."""
     kn = _key_names(p)
-    j = numbered.join(bucket_lists.select(*kn, "l_m", "r_m"), kn, "inner")
+    j = best.join(bucket_lists.select(*kn, "l_m", "r_m"), kn, "inner")
 
     def chosen(side: str):
         return F.expr(f"filter(transform({side}_m, (x, i) -> "
                       f"IF(({side}_mask >> i) & 1 = 1, x.id, NULL)), v -> v IS NOT NULL)")
 
-    ids = F.concat(chosen("l"), chosen("r"))
-    return j.select(F.explode(ids).alias("row_id"),
-                    matching_id(F.col("_seq"), set_id, cycle_date).alias("MATCHING_ID"),
-                    F.lit(p.id).alias("MATCHED_BY_PASS"), F.col("q").alias("MATCH_QUALITY"))
+    j = j.select(chosen("l").alias("_l"), chosen("r").alias("_r"), "q", "_o1", "_o2")
+    ids = F.concat(F.col("_l"), F.col("_r"))
+    return j.select(F.explode(ids).alias("row_id"), F.col("_l")[0].alias("_first"),
+                    "q", "_o1", "_o2") \
+        .select("row_id", (F.col("row_id") == F.col("_first")).alias("_lead"), "q", "_o1", "_o2")

@@ -14,14 +14,11 @@ buckets on the keys.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.predicates import attr_expr, numeric_tolerance
 from matchbook.functions.scores import aggregate_quality
-from matchbook.operators.numbering import matching_id
 from matchbook.spec import MatchPass
 
 
@@ -90,17 +87,14 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
                        (-F.col("q")).alias("_o1"), F.col("one_id").alias("_o2"))
 
 
-def expand(numbered: DataFrame, left: DataFrame, right: DataFrame, p: MatchPass,
-           set_id: str, cycle_date: date) -> DataFrame:
-    """Long form: the one-side row plus every many-side row of its bucket."""
+def members(best: DataFrame, left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """Member rows: the one-side row (it leads) plus every many-side row of
+    its bucket, found by re-joining the many side on the bucket keys."""
     one_is_left, _, many_side = _sides(p)
     many = right if one_is_left else left
-    mid = matching_id(F.col("_seq"), set_id, cycle_date).alias("MATCHING_ID")
-    one_rows = numbered.select(F.col("one_id").alias("row_id"), mid,
-                               F.lit(p.id).alias("MATCHED_BY_PASS"),
-                               F.col("q").alias("MATCH_QUALITY"))
+    one_rows = best.select(F.col("one_id").alias("row_id"), F.lit(True).alias("_lead"),
+                           "q", "_o1", "_o2")
     many_rows = (many.select(F.col("row_id"), *_keys(p, many_side))
-                 .join(numbered.select(*_key_names(p), "_seq", "q"), _key_names(p), "inner")
-                 .select("row_id", mid, F.lit(p.id).alias("MATCHED_BY_PASS"),
-                         F.col("q").alias("MATCH_QUALITY")))
+                 .join(best.select(*_key_names(p), "q", "_o1", "_o2"), _key_names(p), "inner")
+                 .select("row_id", F.lit(False).alias("_lead"), "q", "_o1", "_o2"))
     return one_rows.unionByName(many_rows)

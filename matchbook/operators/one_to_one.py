@@ -15,15 +15,12 @@ candidate per key crosses the network.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.predicates import attr_expr, contains_predicate, within_predicate
 from matchbook.functions.scores import pass_score
 from matchbook.operators import band
-from matchbook.operators.numbering import matching_id
 from matchbook.spec import MatchPass
 
 
@@ -79,10 +76,9 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
                         F.col("r_id").alias("_o2"))
 
 
-def expand(numbered: DataFrame, p: MatchPass, set_id: str, cycle_date: date) -> DataFrame:
-    """Long form: one row per matched ledger row."""
-    return numbered.select(
-        F.explode(F.array("l_id", "r_id")).alias("row_id"),
-        matching_id(F.col("_seq"), set_id, cycle_date).alias("MATCHING_ID"),
-        F.lit(p.id).alias("MATCHED_BY_PASS"),
-        F.col("q").alias("MATCH_QUALITY"))
+def members(pairs: DataFrame) -> DataFrame:
+    """Member rows of each pair: (row_id, q, _o1, _o2, _lead); the right row
+    leads (it carries the id order key)."""
+    m = F.explode(F.array(F.struct(F.col("l_id").alias("row_id"), F.lit(False).alias("_lead")),
+                          F.struct(F.col("r_id").alias("row_id"), F.lit(True).alias("_lead"))))
+    return pairs.select(m.alias("m"), "q", "_o1", "_o2").select("m.*", "q", "_o1", "_o2")

@@ -1,10 +1,11 @@
 """Run the ordered match passes and assemble the reconciliation result.
 
-Per pass: remaining rows -> populations -> matcher plan -> numbered groups ->
-long form, written once to the shared checkpoint folder; the next pass sees
-the remaining rows (an anti-join on ``row_id``, no driver-side id set).
-Control crosses to the driver once per pass and brings back one integer: the
-group count, which is the id offset of the next pass.
+Per pass: remaining rows -> populations -> matcher plan -> member rows,
+written once to the shared checkpoint folder; the next pass sees the
+remaining rows (an anti-join on ``row_id``, no driver-side id set).  After
+the last pass all groups are numbered in one distributed step, ordered by
+(pass, quality desc, tie id), so ids are dense and sequential across passes
+without any per-pass round trip to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchbook.operators import many_to_many, one_to_many, one_to_one
-from matchbook.operators.numbering import number_rows
+from matchbook.operators.numbering import matching_id, number_rows
 from matchbook.operators.populations import pass_populations
 from matchbook.session import materialize
 from matchbook.spec import OUTPUT_COLUMNS, MatchPass, RunSpec
@@ -35,7 +36,7 @@ MATCH_SCHEMA = T.StructType([
 class PassRun:
     spec: MatchPass
     matches: DataFrame          # long form of this pass (materialised)
-    groups: int
+    groups: int | None
     duration_sec: float
 
 
@@ -52,58 +53,81 @@ class RunResult:
     extra: dict = field(default_factory=dict)
 
 
-def pass_groups(left: DataFrame, right: DataFrame, p: MatchPass):
-    """(groups frame with _o1/_o2 id order, context for ``pass_long``)."""
+def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
+    """One pass over ``remaining`` (lazy): member rows
+    (row_id, q, _o1, _o2, _lead) where (_o1, _o2) is the group's id order
+    inside the pass and exactly one member per group leads."""
+    left, right = pass_populations(remaining, p)
     if p.match_type == "ONE_TO_ONE":
-        return one_to_one.groups(left, right, p), None
+        return one_to_one.members(one_to_one.groups(left, right, p))
     if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
-        return one_to_many.groups(left, right, p), None
-    g, buckets = many_to_many.groups(left, right, p)
-    return g, buckets
+        return one_to_many.members(one_to_many.groups(left, right, p), left, right, p)
+    best, buckets = many_to_many.groups(left, right, p)
+    return many_to_many.members(best, buckets, p)
 
 
-def pass_long(numbered: DataFrame, ctx, left: DataFrame, right: DataFrame, p: MatchPass,
-              set_id: str, cycle_date: date) -> DataFrame:
-    if p.match_type == "ONE_TO_ONE":
-        return one_to_one.expand(numbered, p, set_id, cycle_date)
-    if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
-        return one_to_many.expand(numbered, left, right, p, set_id, cycle_date)
-    return many_to_many.expand(numbered, ctx, p, set_id, cycle_date)
+def assign_ids(raw: DataFrame, set_id: str, cycle_date: date,
+               offset: int = 0) -> tuple[DataFrame, int]:
+    """Number all groups of a run at once, ordered by (pass, _o1, _o2), and
+    give every member row its MATCHING_ID.  Returns (long form, groups)."""
+    heads = raw.where("_lead").select("_pass", "_o1", "_o2")
+    numbered, n = number_rows(heads, ["_pass", "_o1", "_o2"], offset, tag="groups")
+    ids = numbered.select("_pass", "_o2", matching_id(F.col("_seq"), set_id, cycle_date)
+                          .alias("MATCHING_ID"))
+    long = raw.join(ids, ["_pass", "_o2"], "inner").select(
+        "row_id", "MATCHING_ID", "MATCHED_BY_PASS", F.col("q").alias("MATCH_QUALITY"))
+    return long, n
 
 
 def run_pass(remaining: DataFrame, p: MatchPass, set_id: str, cycle_date: date,
              offset: int = 0) -> tuple[DataFrame, int]:
-    """One pass over ``remaining``: (materialised long form, number of groups)."""
-    left, right = pass_populations(remaining, p)
-    g, ctx = pass_groups(left, right, p)
-    numbered, n = number_rows(g, ["_o1", "_o2"], offset, tag=f"groups-{p.id}")
-    long = pass_long(numbered, ctx, left, right, p, set_id, cycle_date)
+    """A single pass with its own ids: (materialised long form, number of groups)."""
+    raw = pass_members(remaining, p).withColumn("_pass", F.lit(0)) \
+        .withColumn("MATCHED_BY_PASS", F.lit(p.id))
+    long, n = assign_ids(raw, set_id, cycle_date, offset)
     return materialize(long, f"pass-{p.id}"), n
 
 
 def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
                run_id: str = "") -> RunResult:
-    """Run every ACTIVE pass in ruleOrder; ids are sequential across passes."""
+    """Run every ACTIVE pass in ruleOrder; ids are sequential across passes.
+
+    Each pass writes its member rows once (the next pass's remaining rows
+    are the anti-join against them); group ids for the whole run are then
+    assigned in one distributed numbering step.  ``matches`` is a plan over
+    the written member tables and the numbered groups; ``reconcile`` it and
+    write the result once."""
     t0 = time.time()
     started = datetime.now(timezone.utc).isoformat()
     cdate = spec.effective_cycle_date(cycle_date)
     spark = ledger.sparkSession
-    remaining = ledger
-    offset = 0
     runs: list[PassRun] = []
-    active = spec.active_passes()
-    for k, p in enumerate(active):
+    raws: list[DataFrame] = []
+    matched_ids = None
+    for k, p in enumerate(spec.active_passes()):
+        t1 = time.time()
+        # Remaining rows: the ledger minus every row matched so far.  Both
+        # sides of the anti-join are plain scans of written tables, so the
+        # lineage stays short and nothing is recomputed from earlier passes.
+        remaining = ledger if matched_ids is None else \
+            ledger.join(matched_ids, "row_id", "left_anti")
+        raw = pass_members(remaining, p).select(
+            "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
+            F.lit(p.id).alias("MATCHED_BY_PASS"))
+        raw = materialize(raw, f"members-{p.id}")
+        raws.append(raw)
+        ids = raw.select("row_id")
+        matched_ids = ids if matched_ids is None else matched_ids.unionByName(ids)
+        runs.append(PassRun(p, raw, None, round(time.time() - t1, 3)))
+    if raws:
+        all_raw = raws[0]
+        for r in raws[1:]:
+            all_raw = all_raw.unionByName(r)
         t1 = time.time()
-        long, n = run_pass(remaining, p, spec.set_id, cdate, offset)
-        offset += n
-        runs.append(PassRun(p, long, n, round(time.time() - t1, 3)))
-        if k + 1 < len(active) and n > 0:
-            remaining = materialize(remaining.join(long.select("row_id"), "row_id", "left_anti"),
-                                    f"remaining-{p.id}")
-    if runs:
-        matches = runs[0].matches
-        for r in runs[1:]:
-            matches = matches.unionByName(r.matches)
+        matches, _ = assign_ids(all_raw, spec.set_id, cdate)
+        for r in runs:
+            r.matches = matches.where(F.col("MATCHED_BY_PASS") == F.lit(r.spec.id))
+        runs[-1].duration_sec += round(time.time() - t1, 3)
     else:
         matches = spark.createDataFrame([], MATCH_SCHEMA)
     matches = matches.withColumn("MATCH_DATE", F.lit(cdate))

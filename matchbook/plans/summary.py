@@ -39,13 +39,15 @@ def match_rate(result: DataFrame) -> DataFrame:
 def pass_breakdown(matches: DataFrame, spec: RunSpec) -> DataFrame:
     """One row per ACTIVE pass in ruleOrder; passes that matched nothing show 0.
 
-    Average quality is over matched *rows* (large groups weigh more), rounded
-    to 2 decimals."""
+    ``matches`` is the long form or the whole result (unmatched rows have no
+    pass and drop out of the join).  Average quality is over matched *rows*
+    (large groups weigh more), rounded to 2 decimals."""
     spark = matches.sparkSession
     plist = spark.createDataFrame(
         [(p.id, p.display_name, p.match_type, p.rule_order) for p in spec.active_passes()],
         PASS_LIST_SCHEMA)
-    stats = matches.groupBy(F.col("MATCHED_BY_PASS").alias("pass_id")).agg(
+    stats = matches.where(F.col("MATCHED_BY_PASS").isNotNull()) \
+        .groupBy(F.col("MATCHED_BY_PASS").alias("pass_id")).agg(
         F.countDistinct("MATCHING_ID").alias("matched_groups"),
         F.count(F.lit(1)).alias("matched_rows"),
         F.round(F.avg("MATCH_QUALITY"), 2).alias("avg_quality"))

@@ -24,10 +24,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     """Session used by tests and the benchmark (the library never requires it)."""
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # Local runs: keep about one shuffle partition per core even for
+         # small data, and let small files split across cores.
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+         .config("spark.sql.files.openCostInBytes", "262144")
+         .config("spark.sql.files.maxPartitionBytes", str(16 * 1024 * 1024))
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "16g"))
     for k, v in (extra or {}).items():

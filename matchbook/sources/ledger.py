@@ -109,6 +109,13 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
         F.col("o_orderdate").cast("date").alias("d"))
+    # A source of fewer files than cores (one row group each, here) is read
+    # by a few tasks; spread it so the derived rows, and every table written
+    # from them, are not produced by one task.  Large inputs arrive in many
+    # files and are left alone.
+    cores = spark.sparkContext.defaultParallelism
+    if len(o.inputFiles()) < cores:
+        o = o.repartition(cores)
     o = o.withColumn("kind", F.col("k") % 100).withColumn("parts", F.lit(2) + F.col("k") % 3)
     side = F.explode(F.array(
         F.struct(F.lit("GL").alias("ls"), F.lit("CR").alias("dc"), F.lit(0).alias("base")),
