@@ -21,7 +21,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from matchbook.session import build_session, materialize
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("BENCH_CONF", "").split(",") if kv)
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), extra=extra)
 
     from matchbook.plans import browse, summary
     from matchbook.plans.configs import standard_spec

@@ -308,6 +308,29 @@ def q_run_history(spark, sf_dir):
     return browse.run_history(spark, path).drop("duration_sec")
 
 
+RUN_META = ("run-b", "cfg-standard", "2024-01-15", "2024-01-15T09:00:00+00:00")
+
+
+def q_run_detail(spark, sf_dir):
+    """The standard run's manifest merged with its request metadata (manifest wins)."""
+    path = scratch_path(spark, "runs")
+    r = standard_run(spark, sf_dir)
+    run_id, cfg, requested, started = RUN_META
+    m = summary.run_manifest(standard_result(spark, sf_dir), r.matches, standard_spec(), run_id,
+                             started, r.duration_sec, r.cycle_date)
+    record_run(m, path, cfg)
+    meta = spark.createDataFrame([(run_id, "ignored-config", requested, "ignored")],
+                                 "run_id string, config_id string, requested_cycle_date string, "
+                                 "started_at string")
+    d = browse.run_detail(spark, path, run_id, meta)
+    return d.select("run_id", "set_id", "config_id", "cycle_date", "requested_cycle_date",
+                    "started_at", "totals.input_rows", "totals.matched_rows",
+                    "totals.unmatched_rows", "totals.match_groups",
+                    F.size("pass_breakdown").alias("n_passes"),
+                    F.col("unmatched_breakdown.by_side")["GL"].alias("unmatched_gl"),
+                    F.col("unmatched_breakdown.by_side")["STMT"].alias("unmatched_stmt"))
+
+
 def q_csv_roundtrip(spark, sf_dir):
     """Result written as CSV part files and loaded back as a typed ledger."""
     path = scratch_path(spark, "csv")

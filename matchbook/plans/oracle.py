@@ -369,5 +369,13 @@ def oracle_sql() -> dict[str, str]:
         "breaks_page": page_sql("UNMATCHED", C.BREAKS_FILTERS, 100, 0),
         "run_history": history_sql(),
         "csv_roundtrip": res(f"SELECT {LEDGER_COLS} FROM result"),
+        "run_detail": res(
+            f"SELECT '{C.RUN_META[0]}' AS run_id, '{SET_ID}' AS set_id, '{C.RUN_META[1]}' AS config_id, "
+            f"DATE '{CYCLE_DATE}' AS cycle_date, '{C.RUN_META[2]}' AS requested_cycle_date, "
+            f"'{C.RUN_META[3]}' AS started_at, COUNT(*) AS input_rows, COUNT(MATCHING_ID) AS matched_rows, "
+            f"COUNT(*) - COUNT(MATCHING_ID) AS unmatched_rows, COUNT(DISTINCT MATCHING_ID) AS match_groups, "
+            f"CAST({len(spec.active_passes())} AS INTEGER) AS n_passes, "
+            f"COUNT(*) FILTER (WHERE MATCHING_ID IS NULL AND LS_TYPE = 'GL') AS unmatched_gl, "
+            f"COUNT(*) FILTER (WHERE MATCHING_ID IS NULL AND LS_TYPE = 'STMT') AS unmatched_stmt FROM result"),
     }
     return out

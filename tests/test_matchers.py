@@ -132,3 +132,41 @@ def test_spec_rejects_invalid():
         MatchPass(id="X", match_type="ONE_TO_ONE", attributes=())
     with pytest.raises(SpecError):
         o2o_pass(match_type="SIDEWAYS")
+
+
+def test_csv_load_failfast_and_types(spark, tmp_path):
+    from matchbook.sources.ledger import load_ledger
+    good = tmp_path / "good.csv"
+    good.write_text("LS_TYPE,DR_CR_IND,STATUS,AMOUNT,CURRENCY,VALUE_DATE,BANK_ACCOUNT,REFERENCE,NOTE\n"
+                    "GL,CR,OPEN,1.23456,USD,2024-01-15,A,R,x\n")
+    df = load_ledger(spark, str(good))
+    r = df.first()
+    assert str(r.AMOUNT) == "1.2346" and r.VALUE_DATE.isoformat() == "2024-01-15"
+    assert dict(df.dtypes)["NOTE"] == "string" and "row_id" in df.columns
+    bad = tmp_path / "bad.csv"
+    bad.write_text("LS_TYPE,DR_CR_IND,STATUS,AMOUNT,CURRENCY,VALUE_DATE,BANK_ACCOUNT,REFERENCE\n"
+                   "GL,CR,OPEN,notanumber,USD,2024-01-15,A,R\n")
+    with pytest.raises(Exception):
+        load_ledger(spark, str(bad)).collect()
+    missing = tmp_path / "missing.csv"
+    missing.write_text("LS_TYPE,AMOUNT\nGL,1\n")
+    with pytest.raises(SpecError):
+        load_ledger(spark, str(missing))
+
+
+def test_like_and_in_filters(spark):
+    from matchbook.operators.populations import select_population
+    from matchbook.spec import Filter
+    rows = [row(1, "L", 1, ref="A_1"), row(2, "L", 1, ref="AB1"), row(3, "L", 1, ref="a\\b"),
+            row(4, "R", 1, ref="A_1", d="2023-12-31")]
+    df = ledger_df(spark, rows)
+    ids = lambda fs: sorted(r.row_id for r in select_population(df, fs).collect())  # noqa
+    assert ids([Filter("REFERENCE", "LIKE", "A_1")]) == [1, 2, 4]
+    assert ids([Filter("REFERENCE", "LIKE", "a\\b")]) == [3]
+    assert ids([Filter("LS_TYPE", "IN", ["STMT"])]) == [4]
+    assert ids([Filter("VALUE_DATE", "<", "2024-01-01")]) == [4]
+    assert ids([]) == [1, 2, 3, 4]
+    with pytest.raises(SpecError):
+        Filter("REFERENCE", "IN", "notalist")
+    with pytest.raises(SpecError):
+        Attribute("SUBSTRING(REFERENCE, 0, 3)", "REFERENCE", "EQUALS")
