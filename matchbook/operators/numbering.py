@@ -20,10 +20,13 @@ from matchbook.session import materialize
 
 
 def number_rows(df: DataFrame, order_cols: list[str], offset: int = 0,
-                seq_col: str = "_seq", tag: str = "numbered") -> tuple[DataFrame, int]:
+                seq_col: str = "_seq", tag: str = "numbered",
+                with_count: bool = True) -> tuple[DataFrame, int | None]:
     """Add ``seq_col`` = offset + 1, 2, ... in ascending ``order_cols`` order.
 
-    Returns the materialised numbered frame and the number of rows.
+    Returns the numbered frame (over the materialised, range-partitioned
+    rows) and the number of rows (one small job; skipped with
+    ``with_count=False``).
     """
     ranged = (df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id())
@@ -34,12 +37,12 @@ def number_rows(df: DataFrame, order_cols: list[str], offset: int = 0,
     # One row per partition: an unpartitioned window over it is trivially small.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] if with_count else None
     numbered = (ranged.join(F.broadcast(sizes.select("_pid", "_start", "_base")), "_pid")
                 .withColumn(seq_col, F.lit(offset) + F.col("_start")
                             + (F.col("_mono") - F.col("_base")) + F.lit(1))
                 .drop("_pid", "_mono", "_start", "_base"))
-    return numbered, int(total)
+    return numbered, (int(total) if total is not None else None)
 
 
 def mgid_prefix(set_id: str, cycle_date: date) -> str:

@@ -1,8 +1,9 @@
 """Run the ordered match passes and assemble the reconciliation result.
 
 Per pass: remaining rows -> populations -> matcher plan -> member rows,
-written once to the shared checkpoint folder; the next pass sees the
-remaining rows (an anti-join on ``row_id``, no driver-side id set).  After
+written once to the shared checkpoint folder; the rows still open (an
+anti-join on ``row_id``, no driver-side id set) are written too, so each
+later pass reads only them.  After
 the last pass all groups are numbered in one distributed step, ordered by
 (pass, quality desc, tie id), so ids are dense and sequential across passes
 without any per-pass round trip to the driver.
@@ -67,11 +68,12 @@ def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
 
 
 def assign_ids(raw: DataFrame, set_id: str, cycle_date: date,
-               offset: int = 0) -> tuple[DataFrame, int]:
+               offset: int = 0, with_count: bool = True) -> tuple[DataFrame, int | None]:
     """Number all groups of a run at once, ordered by (pass, _o1, _o2), and
     give every member row its MATCHING_ID.  Returns (long form, groups)."""
     heads = raw.where("_lead").select("_pass", "_o1", "_o2")
-    numbered, n = number_rows(heads, ["_pass", "_o1", "_o2"], offset, tag="groups")
+    numbered, n = number_rows(heads, ["_pass", "_o1", "_o2"], offset, tag="groups",
+                              with_count=with_count)
     ids = numbered.select("_pass", "_o2", matching_id(F.col("_seq"), set_id, cycle_date)
                           .alias("MATCHING_ID"))
     long = raw.join(ids, ["_pass", "_o2"], "inner").select(
@@ -103,28 +105,29 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     spark = ledger.sparkSession
     runs: list[PassRun] = []
     raws: list[DataFrame] = []
-    matched_ids = None
-    for k, p in enumerate(spec.active_passes()):
+    remaining = ledger
+    active = spec.active_passes()
+    for k, p in enumerate(active):
         t1 = time.time()
-        # Remaining rows: the ledger minus every row matched so far.  Both
-        # sides of the anti-join are plain scans of written tables, so the
-        # lineage stays short and nothing is recomputed from earlier passes.
-        remaining = ledger if matched_ids is None else \
-            ledger.join(matched_ids, "row_id", "left_anti")
         raw = pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS"))
         raw = materialize(raw, f"members-{p.id}")
         raws.append(raw)
-        ids = raw.select("row_id")
-        matched_ids = ids if matched_ids is None else matched_ids.unionByName(ids)
+        if k + 1 < len(active):
+            # Rows still open after this pass, written once: later passes read
+            # only these (usually a small share of the ledger) instead of
+            # anti-joining the whole ledger against every matched id again.
+            remaining = materialize(
+                remaining.join(raw.select("row_id"), "row_id", "left_anti"),
+                f"remaining-{p.id}")
         runs.append(PassRun(p, raw, None, round(time.time() - t1, 3)))
     if raws:
         all_raw = raws[0]
         for r in raws[1:]:
             all_raw = all_raw.unionByName(r)
         t1 = time.time()
-        matches, _ = assign_ids(all_raw, spec.set_id, cdate)
+        matches, _ = assign_ids(all_raw, spec.set_id, cdate, with_count=False)
         for r in runs:
             r.matches = matches.where(F.col("MATCHED_BY_PASS") == F.lit(r.spec.id))
         runs[-1].duration_sec += round(time.time() - t1, 3)
