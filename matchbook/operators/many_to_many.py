@@ -57,29 +57,39 @@ def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
     return out.where(F.col("day").isNotNull()) if date_attr is not None else out
 
 
+def _both_sides(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """Member rows of both populations in one frame, tagged by side."""
+    scale = _scale(left, p.amount_attribute().left)
+    return _members(left, p, "l", scale).withColumn("side", F.lit("l")).unionByName(
+        _members(right, p, "r", scale).withColumn("side", F.lit("r")))
+
+
 def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
                  cap: int = M2M_MAX_BUCKET_SIDE) -> DataFrame:
-    """Per bucket present on both sides: row counts and whether it is eligible."""
-    scale = _scale(left, p.amount_attribute().left)
+    """Per bucket present on both sides: row counts and whether it is eligible.
+
+    One partially-aggregated count over both sides: a hot bucket is a single
+    row before the shuffle."""
     kn = _key_names(p)
-    ln = _members(left, p, "l", scale).groupBy(kn).agg(F.count(F.lit(1)).alias("n_left"))
-    rn = _members(right, p, "r", scale).groupBy(kn).agg(F.count(F.lit(1)).alias("n_right"))
-    both = ln.join(rn, kn, "inner")
+    both = _both_sides(left, right, p).groupBy(kn).agg(
+        F.count_if(F.col("side") == "l").alias("n_left"),
+        F.count_if(F.col("side") == "r").alias("n_right"))
+    both = both.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
     ok = lambda c: (F.col(c) >= 2) & (F.col(c) <= cap)
     return both.withColumn("eligible", ok("n_left") & ok("n_right"))
 
 
 def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, cap: int) -> DataFrame:
-    """One row per eligible bucket with both member arrays (<= cap each)."""
-    scale = _scale(left, p.amount_attribute().left)
+    """One row per eligible bucket with both member arrays (<= cap each).
+
+    Lists are only built after the counts proved the bucket small."""
     kn = _key_names(p)
     eligible = bucket_stats(left, right, p, cap).where("eligible").select(kn)
-    packed = {}
-    for side, df in (("l", left), ("r", right)):
-        m = _members(df, p, side, scale).join(eligible, kn, "left_semi")
-        packed[side] = m.groupBy(kn).agg(
-            F.sort_array(F.collect_list(F.struct("id", "u", "day"))).alias(f"{side}_m"))
-    return packed["l"].join(packed["r"], kn, "inner")
+    m = _both_sides(left, right, p).join(eligible, kn, "left_semi")
+    member = F.struct("id", "u", "day")
+    return m.groupBy(kn).agg(
+        F.sort_array(F.collect_list(F.when(F.col("side") == "l", member))).alias("l_m"),
+        F.sort_array(F.collect_list(F.when(F.col("side") == "r", member))).alias("r_m"))
 
 
 def _subsets(buckets: DataFrame, side: str, kn: list[str]) -> DataFrame:

@@ -42,8 +42,8 @@ def buckets(many: DataFrame, p: MatchPass) -> DataFrame:
     agg = p.sum_attribute()
     value = attr_expr(agg.left if many_side == "l" else agg.right)
     date_attr = p.date_attribute()
-    cols = _keys(p, many_side) + [value.alias("v")]
-    aggs = [F.coalesce(F.sum("v"), F.lit(0)).alias("m_sum")]
+    cols = _keys(p, many_side) + [value.alias("v"), F.col("row_id")]
+    aggs = [F.coalesce(F.sum("v"), F.lit(0)).alias("m_sum"), F.min("row_id").alias("m_first")]
     if date_attr is not None:
         d = attr_expr(date_attr.left if many_side == "l" else date_attr.right)
         cols.append(d.alias("d"))
@@ -83,18 +83,22 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     cand = candidates(one, many, p)
     w = Window.partitionBy(*_key_names(p)).orderBy(F.desc("q"), F.asc("one_id"))
     best = cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return best.select(*_key_names(p), "one_id", "q", "m_n",
+    return best.select(*_key_names(p), "one_id", "q", "m_n", "m_first",
                        (-F.col("q")).alias("_o1"), F.col("one_id").alias("_o2"))
 
 
 def members(best: DataFrame, left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
-    """Member rows: the one-side row (it leads) plus every many-side row of
-    its bucket, found by re-joining the many side on the bucket keys."""
+    """Member rows: every many-side row of a winning bucket (re-joined on the
+    bucket keys) plus the one-side row, which the bucket's first many row
+    emits, so the winners are read by one join only.  The one-side row leads."""
     one_is_left, _, many_side = _sides(p)
     many = right if one_is_left else left
-    one_rows = best.select(F.col("one_id").alias("row_id"), F.lit(True).alias("_lead"),
-                           "q", "_o1", "_o2")
-    many_rows = (many.select(F.col("row_id"), *_keys(p, many_side))
-                 .join(best.select(*_key_names(p), "q", "_o1", "_o2"), _key_names(p), "inner")
-                 .select("row_id", F.lit(False).alias("_lead"), "q", "_o1", "_o2"))
-    return one_rows.unionByName(many_rows)
+    j = (many.select(F.col("row_id"), *_keys(p, many_side))
+         .join(best.select(*_key_names(p), "one_id", "m_first", "q", "_o1", "_o2"),
+               _key_names(p), "inner"))
+    out = F.explode(F.array(
+        F.struct(F.col("row_id").alias("row_id"), F.lit(False).alias("_lead")),
+        F.when(F.col("row_id") == F.col("m_first"),
+               F.struct(F.col("one_id").alias("row_id"), F.lit(True).alias("_lead")))))
+    return (j.select(out.alias("m"), "q", "_o1", "_o2").where(F.col("m").isNotNull())
+            .select("m.row_id", "m._lead", "q", "_o1", "_o2"))
