@@ -55,7 +55,9 @@ def main() -> None:
     total = time.time() - t0
     for p in run.passes:
         timings[f"pass_{p.spec.id}"] = p.duration_sec
-    timings["result_and_summary"] = total - sum(p.duration_sec for p in run.passes)
+    timings["numbering"] = run.extra["numbering_sec"]
+    timings["result_and_summary"] = total - sum(p.duration_sec for p in run.passes) \
+        - run.extra["numbering_sec"]
     t = time.time()
     n, rows = browse.matches_page(result, {"currency": "EUR"}, 100, 1000)
     rows.collect()
