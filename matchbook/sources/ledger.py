@@ -44,6 +44,10 @@ def extra_type(e: ExtraColumn) -> T.DataType:
     return T.BooleanType()
 
 
+def _parsed_after_scan(e: ExtraColumn) -> bool:
+    return e.format is not None and e.type in ("date", "datetime")
+
+
 def ledger_schema(header: list[str], extras=()) -> T.StructType:
     """Read schema in header order; undeclared columns stay strings."""
     missing = sorted(set(CANONICAL_COLUMNS) - set(header))
@@ -54,10 +58,10 @@ def ledger_schema(header: list[str], extras=()) -> T.StructType:
     for c in header:
         if c in CANONICAL_TYPES:
             t = CANONICAL_TYPES[c]
-        elif c in declared and declared[c].format is None:
+        elif c in declared and not _parsed_after_scan(declared[c]):
             t = extra_type(declared[c])
         else:
-            t = T.StringType()   # formatted dates are parsed after the scan
+            t = T.StringType()   # undeclared, or a formatted date parsed after the scan
         fields.append(T.StructField(c, t, True))
     return T.StructType(fields)
 
@@ -81,13 +85,16 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "csv", extras=(),
         missing = sorted(set(CANONICAL_COLUMNS) - set(df.columns))
         if missing:
             raise SpecError(f"input is missing required canonical columns: {missing}")
-        df = df.select([F.col(c).cast(CANONICAL_TYPES[c]) if c in CANONICAL_TYPES else F.col(c)
+        declared = {e.name: e for e in extras if not _parsed_after_scan(e)}
+        df = df.select([F.col(c).cast(CANONICAL_TYPES[c]) if c in CANONICAL_TYPES else
+                        F.col(c).cast(extra_type(declared[c])) if c in declared else F.col(c)
                         for c in df.columns])
     for e in extras:
-        if e.format is not None and e.name in df.columns:
-            parse = F.to_date if e.type == "date" else F.to_timestamp_ntz
-            df = df.withColumn(e.name, parse(F.col(e.name), F.lit(e.format))
-                               if e.type == "datetime" else parse(F.col(e.name), e.format))
+        if _parsed_after_scan(e) and e.name in df.columns:
+            raw = F.col(e.name).cast("string")
+            parsed = F.to_date(raw, e.format) if e.type == "date" else \
+                F.to_timestamp_ntz(raw, F.lit(e.format))
+            df = df.withColumn(e.name, parsed)
     df = df.drop(*[c for c in OUTPUT_COLUMNS if c != "STATUS" and c in df.columns])
     if row_id not in df.columns:
         df = materialize(df.select(F.monotonically_increasing_id().alias(row_id), "*"), "ledger")

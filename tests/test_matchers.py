@@ -170,3 +170,22 @@ def test_like_and_in_filters(spark):
         Filter("REFERENCE", "IN", "notalist")
     with pytest.raises(SpecError):
         Attribute("SUBSTRING(REFERENCE, 0, 3)", "REFERENCE", "EQUALS")
+
+
+def test_csv_extra_columns(spark, tmp_path):
+    from matchbook.sources.ledger import load_ledger
+    from matchbook.spec import ExtraColumn
+    f = tmp_path / "extras.csv"
+    f.write_text("LS_TYPE,DR_CR_IND,STATUS,AMOUNT,CURRENCY,VALUE_DATE,BANK_ACCOUNT,REFERENCE,"
+                 "TRADE_DATE,QTY,FEE,FLAG,MATCHING_ID\n"
+                 "GL,CR,OPEN,1,USD,2024-01-15,A,R,15/01/2024,7,2.5,true,OLD-ID\n")
+    extras = (ExtraColumn("TRADE_DATE", "date", format="dd/MM/yyyy"),
+              ExtraColumn("QTY", "integer"), ExtraColumn("FEE", "decimal", precision=10, scale=0),
+              ExtraColumn("FLAG", "boolean"))
+    df = load_ledger(spark, str(f), extras=extras)
+    types = dict(df.dtypes)
+    assert types["TRADE_DATE"] == "date" and types["QTY"] == "bigint"
+    assert types["FEE"] == "decimal(10,0)" and types["FLAG"] == "boolean"
+    assert "MATCHING_ID" not in df.columns          # stale output column dropped
+    r = df.first()
+    assert r.TRADE_DATE.isoformat() == "2024-01-15" and r.QTY == 7 and r.FLAG is True
