@@ -4,10 +4,11 @@ exact residual test.
 The value is mapped to integer units (days for dates; the unscaled integer
 for decimals and integers), the bin width is ``w = max(1, t)`` in units, a
 right row goes into bin ``floor(u / w)`` and a left row is exploded into the
-bins ``floor((u - t) / w) .. floor((u + t) / w)`` (at most three).  Every
-pair within the tolerance meets in exactly one bin, so no de-duplication is
-needed, and a hot hard-key bucket is split by value instead of being joined
-all-to-all.  Integer arithmetic throughout, so bins are exact.
+bins ``floor((u - t) / w) .. floor((u + t) / w)`` (at most three); the test
+is symmetric, so the roles may be swapped per attribute.  Every pair within
+the tolerance meets in exactly one bin, so no de-duplication is needed, and a
+hot hard-key bucket is split by value instead of being joined all-to-all.
+Integer arithmetic throughout, so bins are exact.
 """
 
 from __future__ import annotations
@@ -53,8 +54,7 @@ def pick_bands(p: MatchPass, left_types: list[T.DataType],
     ``p.band_join`` forces the choice; by default bins are used when the hard
     keys are coarse (at most one key besides the implicit BANK_ACCOUNT), which
     is where one bucket can hold a large share of the rows.  Up to two
-    attributes are binned (a left row explodes into at most 3 x 3 cells), so a
-    hot bucket is split by date and by amount.
+    attributes are binned, so a hot bucket is split by date and by amount.
     """
     if p.band_join is False:
         return []
@@ -84,8 +84,15 @@ def right_bin(units: Column, t: int) -> Column:
 
 
 def add_bins(left: DataFrame, right: DataFrame, lcol: str, rcol: str, dtype: T.DataType,
-             t: int, name: str) -> tuple[DataFrame, DataFrame]:
+             t: int, name: str, explode_left: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Bin both sides on one attribute.  One side is exploded into the bins its
+    tolerance window covers, the other keeps its own bin.  The test is
+    symmetric, so either side may explode; with two binned attributes the
+    sides take turns (each row explodes at most 3x, not 3x3 on one side)."""
     lu, _ = value_units(F.col(lcol), dtype)
     ru, _ = value_units(F.col(rcol), dtype)
-    return (left.withColumn(f"l_{name}", left_bins(lu, t)),
-            right.withColumn(f"r_{name}", right_bin(ru, t)))
+    if explode_left:
+        return (left.withColumn(f"l_{name}", left_bins(lu, t)),
+                right.withColumn(f"r_{name}", right_bin(ru, t)))
+    return (left.withColumn(f"l_{name}", right_bin(lu, t)),
+            right.withColumn(f"r_{name}", left_bins(ru, t)))

@@ -45,8 +45,9 @@ def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     n_keys = len(p.hard_keys())
     cond = [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(n_keys)]
     types = [L.schema[f"l_a{i}"].dataType for i in range(len(p.attributes))]
-    for i, t in band.pick_bands(p, types):
-        L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}")
+    for k, (i, t) in enumerate(band.pick_bands(p, types)):
+        L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}",
+                             explode_left=(k % 2 == 0))
         cond.append(F.col(f"l_bin{i}") == F.col(f"r_bin{i}"))
     cand = L.join(R, cond, "inner").where(F.col("l_id") != F.col("r_id"))
     for i, a in enumerate(p.attributes):
