@@ -69,17 +69,44 @@ def run_manifest(result: DataFrame, matches: DataFrame, spec: RunSpec, run_id: s
                  started_at: str, duration_sec: float, cycle_date) -> DataFrame:
     """One-row summary with nested pass breakdown and open-item maps.
 
-    The nested parts are bounded by configuration (passes) and by the number
-    of distinct sides and currencies, not by the data volume."""
-    totals = run_totals(result).select(F.struct("*").alias("totals"), F.lit(1).alias("_j"))
-    passes = pass_breakdown(matches, spec).agg(F.sort_array(F.collect_list(F.struct(
-        "rule_order", "pass_id", "pass_name", "match_type", "matched_groups", "matched_rows",
-        "avg_quality"))).alias("pass_breakdown")).withColumn("_j", F.lit(1))
-    by_side = unmatched_by(result, "LS_TYPE").agg(F.map_from_entries(F.collect_list(
-        F.struct("LS_TYPE", "unmatched_rows"))).alias("by_side")).withColumn("_j", F.lit(1))
-    by_ccy = unmatched_by(result, "CURRENCY").agg(F.map_from_entries(F.collect_list(
-        F.struct("CURRENCY", "unmatched_rows"))).alias("by_currency")).withColumn("_j", F.lit(1))
-    one = totals.join(passes, "_j").join(by_side, "_j").join(by_ccy, "_j")
+    The small aggregates (totals, one row per pass, per side, per currency)
+    are stacked with a kind tag and folded by one global aggregation, so no
+    join is needed.  The nested parts are bounded by configuration (passes)
+    and by the number of distinct sides and currencies, not by data volume."""
+    totals_t = T.StructType([T.StructField(c, T.LongType()) for c in
+                             ("input_rows", "matched_rows", "unmatched_rows", "match_groups")])
+    pass_t = T.StructType([
+        T.StructField("rule_order", T.LongType()), T.StructField("pass_id", T.StringType()),
+        T.StructField("pass_name", T.StringType()), T.StructField("match_type", T.StringType()),
+        T.StructField("matched_groups", T.LongType()), T.StructField("matched_rows", T.LongType()),
+        T.StructField("avg_quality", T.DoubleType())])
+    entry_t = T.StructType([T.StructField("key", T.StringType()),
+                            T.StructField("value", T.LongType())])
+
+    def tagged(df: DataFrame, kind: str, totals=None, pss=None, entry=None) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"),
+                         (totals if totals is not None else F.lit(None)).cast(totals_t).alias("t"),
+                         (pss if pss is not None else F.lit(None)).cast(pass_t).alias("p"),
+                         (entry if entry is not None else F.lit(None)).cast(entry_t).alias("e"))
+
+    stacked = (
+        tagged(run_totals(result), "totals", totals=F.struct(
+            "input_rows", "matched_rows", "unmatched_rows", "match_groups"))
+        .unionByName(tagged(pass_breakdown(matches, spec), "pass", pss=F.struct(
+            "rule_order", "pass_id", "pass_name", "match_type", "matched_groups",
+            "matched_rows", "avg_quality")))
+        .unionByName(tagged(unmatched_by(result, "LS_TYPE"), "side", entry=F.struct(
+            F.col("LS_TYPE").alias("key"), F.col("unmatched_rows").alias("value"))))
+        .unionByName(tagged(unmatched_by(result, "CURRENCY"), "ccy", entry=F.struct(
+            F.col("CURRENCY").alias("key"), F.col("unmatched_rows").alias("value")))))
+    empty_map = F.create_map().cast("map<string,bigint>")
+    one = stacked.agg(
+        F.first("t", ignorenulls=True).alias("totals"),
+        F.sort_array(F.collect_list("p")).alias("pass_breakdown"),
+        F.coalesce(F.map_from_entries(F.collect_list(
+            F.when(F.col("kind") == "side", F.col("e")))), empty_map).alias("by_side"),
+        F.coalesce(F.map_from_entries(F.collect_list(
+            F.when(F.col("kind") == "ccy", F.col("e")))), empty_map).alias("by_currency"))
     return one.select(F.lit(run_id).alias("run_id"), F.lit(spec.set_id).alias("set_id"),
                       F.lit(cycle_date).cast("date").alias("cycle_date"),
                       F.lit(started_at).alias("started_at"),
