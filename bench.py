@@ -31,12 +31,13 @@ def main() -> None:
 
     timings: dict[str, float] = {}
     def pipeline(ledger):
+        """Passes, the written result, and the run summary (totals, pass
+        breakdown, open items by side and by currency) in one job."""
         run = run_passes(ledger, standard_spec())
         result = materialize(reconcile(ledger, run.matches), "result")
-        totals = summary.run_totals(result).first()
-        summary.pass_breakdown(result, standard_spec()).collect()
-        summary.unmatched_by(result, "CURRENCY").collect()
-        return run, result, totals
+        manifest = summary.run_manifest(result, result, standard_spec(), "bench",
+                                        run.started_at, run.duration_sec, run.cycle_date).first()
+        return run, result, manifest.totals
 
     # Warm-up: JVM start, class loading, codegen and JIT (the hot loops only
     # get compiled after tens of thousands of rows) on smaller inputs.
