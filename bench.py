@@ -26,7 +26,7 @@ def main() -> None:
 
     from matchbook.plans import browse, summary
     from matchbook.plans.configs import standard_spec
-    from matchbook.plans.run import reconcile, run_passes
+    from matchbook.plans.run import run_passes
     from matchbook.sources.ledger import derived_ledger
 
     timings: dict[str, float] = {}
@@ -34,7 +34,7 @@ def main() -> None:
         """Passes, the written result, and the run summary (totals, pass
         breakdown, open items by side and by currency) in one job."""
         run = run_passes(ledger, standard_spec())
-        result = materialize(reconcile(ledger, run.matches), "result")
+        result = materialize(run.result, "result")
         manifest = summary.run_manifest(result, result, standard_spec(), "bench",
                                         run.started_at, run.duration_sec, run.cycle_date).first()
         return run, result, manifest.totals

@@ -60,8 +60,7 @@ def standard_run(spark: SparkSession, sf_dir: str) -> RunResult:
 def standard_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "result")
     if k not in _cache:
-        r = standard_run(spark, sf_dir)
-        _cache[k] = materialize(reconcile(r.ledger, r.matches), "result")
+        _cache[k] = materialize(standard_run(spark, sf_dir).result, "result")
     return _cache[k]
 
 

@@ -52,6 +52,7 @@ class RunResult:
     duration_sec: float
     run_id: str = ""
     extra: dict = field(default_factory=dict)
+    result: DataFrame | None = None   # every input row with its match columns (a plan)
 
 
 def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
@@ -67,15 +68,21 @@ def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
     return many_to_many.members(best, buckets, p)
 
 
-def assign_ids(raw: DataFrame, set_id: str, cycle_date: date,
-               offset: int = 0, with_count: bool = True) -> tuple[DataFrame, int | None]:
-    """Number all groups of a run at once, ordered by (pass, _o1, _o2), and
-    give every member row its MATCHING_ID.  Returns (long form, groups)."""
+def group_ids(raw: DataFrame, set_id: str, cycle_date: date, offset: int = 0,
+              with_count: bool = True) -> tuple[DataFrame, int | None]:
+    """Number all groups of a run at once, ordered by (pass, _o1, _o2):
+    (frame of _pass, _o2, MATCHING_ID; number of groups)."""
     heads = raw.where("_lead").select("_pass", "_o1", "_o2")
     numbered, n = number_rows(heads, ["_pass", "_o1", "_o2"], offset, tag="groups",
                               with_count=with_count)
-    ids = numbered.select("_pass", "_o2", matching_id(F.col("_seq"), set_id, cycle_date)
-                          .alias("MATCHING_ID"))
+    return numbered.select("_pass", "_o2", matching_id(F.col("_seq"), set_id, cycle_date)
+                           .alias("MATCHING_ID")), n
+
+
+def assign_ids(raw: DataFrame, set_id: str, cycle_date: date,
+               offset: int = 0, with_count: bool = True) -> tuple[DataFrame, int | None]:
+    """Give every member row its MATCHING_ID.  Returns (long form, groups)."""
+    ids, n = group_ids(raw, set_id, cycle_date, offset, with_count)
     long = raw.join(ids, ["_pass", "_o2"], "inner").select(
         "row_id", "MATCHING_ID", "MATCHED_BY_PASS", F.col("q").alias("MATCH_QUALITY"))
     return long, n
@@ -90,53 +97,81 @@ def run_pass(remaining: DataFrame, p: MatchPass, set_id: str, cycle_date: date,
     return materialize(long, f"pass-{p.id}"), n
 
 
+_MEMBER_COLS = ("q", "_o1", "_o2", "_lead", "_pass", "MATCHED_BY_PASS")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
                run_id: str = "") -> RunResult:
     """Run every ACTIVE pass in ruleOrder; ids are sequential across passes.
 
-    Each pass writes its member rows once (the next pass's remaining rows
-    are the anti-join against them); group ids for the whole run are then
-    assigned in one distributed numbering step.  ``matches`` is a plan over
-    the written member tables and the numbered groups; ``reconcile`` it and
-    write the result once."""
+    Each pass writes one state table: its input rows left-joined with its
+    member rows on ``row_id``.  The rows still open are a filter on it, so
+    each later pass reads only those.  Group ids for the whole run are then
+    assigned in one distributed numbering step.  ``result`` (every input row
+    with its match columns) is assembled from the states, the numbered groups
+    and the last pass's open rows, with no join against the whole ledger;
+    ``matches`` is the long form."""
     t0 = time.time()
     started = datetime.now(timezone.utc).isoformat()
     cdate = spec.effective_cycle_date(cycle_date)
     spark = ledger.sparkSession
+    stale = [c for c in OUTPUT_COLUMNS if c != "STATUS" and c in ledger.columns]
+    base = ledger.drop(*stale)
+    cols = base.columns
     runs: list[PassRun] = []
-    raws: list[DataFrame] = []
-    remaining = ledger
-    active = spec.active_passes()
-    for k, p in enumerate(active):
+    matched_parts: list[DataFrame] = []
+    remaining = base
+    for k, p in enumerate(spec.active_passes()):
         t1 = time.time()
-        raw = pass_members(remaining, p).select(
+        members = pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS"))
-        raw = materialize(raw, f"members-{p.id}")
-        raws.append(raw)
-        if k + 1 < len(active):
-            # Rows still open after this pass, written once: later passes read
-            # only these (usually a small share of the ledger) instead of
-            # anti-joining the whole ledger against every matched id again.
-            remaining = materialize(
-                remaining.join(raw.select("row_id"), "row_id", "left_anti"),
-                f"remaining-{p.id}")
-        runs.append(PassRun(p, raw, None, round(time.time() - t1, 3)))
-    if raws:
-        all_raw = raws[0]
-        for r in raws[1:]:
-            all_raw = all_raw.unionByName(r)
+        state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}")
+        matched = state.where(F.col("_pass").isNotNull())
+        matched_parts.append(matched)
+        remaining = state.where(F.col("_pass").isNull()).select(cols)
+        runs.append(PassRun(p, matched.select("row_id", *_MEMBER_COLS), None,
+                            round(time.time() - t1, 3)))
+    status = lambda v: F.lit(v).alias("STATUS")
+    out_cols = [c for c in cols if c != "STATUS"]
+    if matched_parts:
         t1 = time.time()
-        matches, _ = assign_ids(all_raw, spec.set_id, cdate, with_count=False)
+        matched = _union(matched_parts)
+        ids, _ = group_ids(matched, spec.set_id, cdate, with_count=False)
+        numbering_sec = round(time.time() - t1, 3)
+        done = matched.join(ids, ["_pass", "_o2"], "inner")
+        matches = done.select("row_id", "MATCHING_ID", "MATCHED_BY_PASS",
+                              F.col("q").alias("MATCH_QUALITY"))
         for r in runs:
             r.matches = matches.where(F.col("MATCHED_BY_PASS") == F.lit(r.spec.id))
-        numbering_sec = round(time.time() - t1, 3)
+        result = done.select(*[status("MATCHED") if c == "STATUS" else F.col(c) for c in cols],
+                             F.lit(cdate).alias("MATCH_DATE"), "MATCHING_ID",
+                             "MATCHED_BY_PASS", F.col("q").alias("MATCH_QUALITY"))
     else:
         matches = spark.createDataFrame([], MATCH_SCHEMA)
         numbering_sec = 0.0
+        result = None
+    open_rows = remaining.select(
+        *[status("UNMATCHED") if c == "STATUS" else F.col(c) for c in cols],
+        F.lit(None).cast("date").alias("MATCH_DATE"),
+        F.lit(None).cast("string").alias("MATCHING_ID"),
+        F.lit(None).cast("string").alias("MATCHED_BY_PASS"),
+        F.lit(None).cast("bigint").alias("MATCH_QUALITY"))
+    result = open_rows if result is None else result.unionByName(open_rows)
+    if "STATUS" not in cols:
+        result = result.select(*out_cols, "STATUS", "MATCH_DATE", "MATCHING_ID",
+                               "MATCHED_BY_PASS", "MATCH_QUALITY")
     matches = matches.withColumn("MATCH_DATE", F.lit(cdate))
     return RunResult(ledger, matches, runs, spec, cdate, started,
-                     round(time.time() - t0, 3), run_id, {"numbering_sec": numbering_sec})
+                     round(time.time() - t0, 3), run_id, {"numbering_sec": numbering_sec},
+                     result)
 
 
 def reconcile(ledger: DataFrame, matches: DataFrame) -> DataFrame:

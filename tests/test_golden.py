@@ -77,3 +77,9 @@ def test_golden_pages(spark):
     total, rows = browse.breaks_page(res, {"nonsense": "x"})
     assert sorted(r.REFERENCE for r in rows.collect()) == ["ORPHAN1", "ORPHAN2"]
     assert browse.clamp_page(-3, -1) == (0, 0) and browse.clamp_page(10 ** 6, 5) == (10000, 5)
+
+
+def test_run_result_equals_reconcile(spark):
+    led, run, res = _golden(spark)
+    assert run.result.columns == res.columns
+    assert run.result.orderBy("row_id").collect() == res.orderBy("row_id").collect()
