@@ -17,7 +17,7 @@ from matchbook.operators.populations import pass_populations, select_population
 from matchbook.plans import browse, summary
 from matchbook.plans.configs import (CYCLE_DATE, GL_CR, SET_ID, STMT_DR, m2m_pass, m2o_pass,
                                      o2m_pass, o2o_pass, standard_spec)
-from matchbook.plans.run import RunResult, reconcile, run_pass, run_passes
+from matchbook.plans.run import RunResult, run_pass, run_passes
 from matchbook.session import materialize, scratch_path
 from matchbook.sources.ledger import derived_ledger, load_ledger
 from matchbook.sources.sinks import record_run, write_result
@@ -300,7 +300,7 @@ def q_run_history(spark, sf_dir):
             result = standard_result(spark, sf_dir)
         else:
             r = run_passes(led, specs[cfg], run_id=run_id)
-            result = reconcile(led, r.matches)
+            result = r.result
         m = summary.run_manifest(result, r.matches, specs[cfg], run_id, started,
                                  r.duration_sec, r.cycle_date)
         record_run(m, path, cfg)
