@@ -241,6 +241,14 @@ def q_passes_matches(spark, sf_dir):
     return standard_run(spark, sf_dir).matches
 
 
+def q_hot_passes_matches(spark, sf_dir):
+    """The standard four-pass run on the skewed ledger (one hot account)."""
+    k = _key(spark, sf_dir, "hot-run")
+    if k not in _cache:
+        _cache[k] = run_passes(hot_ledger(spark, sf_dir), standard_spec(), run_id="run-hot")
+    return _cache[k].matches
+
+
 def q_passes_remaining(spark, sf_dir):
     r = standard_run(spark, sf_dir)
     return r.ledger.join(r.matches.select("row_id"), "row_id", "left_anti")

@@ -238,10 +238,11 @@ def with_ctes(ctes: list[str], body: str) -> str:
 BASE = [f"ledger AS ({LEDGER_SQL})"]
 
 
-def run_ctes(spec, prefix: str = "", with_base: bool = True) -> tuple[list[str], str]:
-    """Chained passes; returns CTEs and the name of the all-passes long form."""
+def run_ctes(spec, prefix: str = "", with_base: bool = True,
+             src: str = "ledger") -> tuple[list[str], str]:
+    """Chained passes over relation ``src``; returns CTEs and the name of the
+    all-passes long form."""
     ctes = list(BASE) if with_base else []
-    src = "ledger"
     longs, nums = [], []
     for k, p in enumerate(spec.active_passes()):
         offset = " + ".join(f"(SELECT COUNT(*) FROM {x})" for x in nums) or "0"
@@ -350,6 +351,9 @@ def oracle_sql() -> dict[str, str]:
                                  "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, l_mask, r_mask, q FROM p_groups"),
         "m2m_groups": _single(m2m, "long"),
         "passes_matches": with_ctes(run_ctes(spec)[0], f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM matches"),
+        "hot_passes_matches": with_ctes(
+            BASE + [f"hot AS ({HOT_SQL})"] + run_ctes(spec, "h_", with_base=False, src="hot")[0],
+            f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM h_matches"),
         "passes_remaining": with_ctes(run_ctes(spec)[0], "SELECT * FROM ledger WHERE row_id NOT IN (SELECT row_id FROM matches)"),
         "recon_result": res("SELECT * FROM result"),
         "run_totals": totals_sql(),
