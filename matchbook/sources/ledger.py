@@ -101,6 +101,14 @@ def load_ledger(spark: SparkSession, path: str, fmt: str = "csv", extras=(),
     return df
 
 
+def _calendar_date(col, dtype: T.DataType):
+    """The stored wall-clock date of a timestamp, independent of the session
+    time zone (a zone-aware TIMESTAMP is taken at UTC, as it is stored)."""
+    if isinstance(dtype, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(col) / F.lit(86400000000)).cast("int"))
+    return col.cast("date")
+
+
 def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reconciliation mix derived from ``orders``.
 
@@ -112,10 +120,11 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     side-specific step (7 for GL, 11 for STMT) times the part number, the last
     part takes the remainder.
     """
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = orders.select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
-        F.col("o_orderdate").cast("date").alias("d"))
+        _calendar_date(F.col("o_orderdate"), orders.schema["o_orderdate"].dataType).alias("d"))
     # A source of fewer files than cores (one row group each, here) is read
     # by a few tasks; spread it so the derived rows, and every table written
     # from them, are not produced by one task.  Large inputs arrive in many
