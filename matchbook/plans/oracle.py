@@ -337,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "o2o_date_band": _pairs(C.DATE_BAND_PASS),
         "o2o_amount_band": _pairs(C.AMOUNT_BAND_PASS),
         "o2o_hot_account": _pairs(C.HOT_PASS, src="hot", extra=[f"hot AS ({HOT_SQL})"]),
-        "o2m_buckets": with_ctes(BASE, f"SELECT {kn}, COALESCE(SUM(AMOUNT), 0) AS m_sum, MIN(VALUE_DATE) AS m_dmin, "
+        "o2m_buckets": with_ctes(BASE, f"SELECT {kn}, CAST(COALESCE(SUM(AMOUNT), 0) AS DECIMAL(28,4)) AS m_sum, MIN(VALUE_DATE) AS m_dmin, "
                                        f"MAX(VALUE_DATE) AS m_dmax, COUNT(*) AS m_n FROM ledger m WHERE {right_pop('m', o2m)} "
                                        f"GROUP BY {kn} HAVING COUNT(*) >= 2"),
         "o2m_groups": _single(o2m, "long"),
