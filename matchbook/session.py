@@ -85,3 +85,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder name under the shared checkpoint root (not created)."""
     _counter[0] += 1
     return f"{checkpoint_root(spark)}/matchbook/{_RUN_TAG}/{_counter[0]:05d}-{tag}-{os.getpid()}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this process's intermediates under the checkpoint folder.
+
+    Call it once the result has been written and no frame returned by the
+    library is used any more (they read those files).  Goes through the
+    Hadoop FileSystem API, so it works for any shared file system."""
+    root = f"{checkpoint_root(spark)}/matchbook/{_RUN_TAG}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False
