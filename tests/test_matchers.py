@@ -189,3 +189,21 @@ def test_csv_extra_columns(spark, tmp_path):
     assert "MATCHING_ID" not in df.columns          # stale output column dropped
     r = df.first()
     assert r.TRADE_DATE.isoformat() == "2024-01-15" and r.QTY == 7 and r.FLAG is True
+
+
+def test_nothing_matches_and_no_active_pass(spark):
+    from matchbook.plans.configs import standard_spec
+    from matchbook.plans.run import run_passes
+    from matchbook.spec import RunSpec
+    rows = [row(1, "L", 10), row(2, "L", 20), row(3, "R", 999, acct="OTHER")]
+    led = ledger_df(spark, rows)
+    for spec in (standard_spec(),
+                 RunSpec(set_id="T", cycle_date="2024-01-15",
+                         passes=(o2o_pass(status="INACTIVE"),))):
+        run = run_passes(led, spec)
+        assert run.matches.count() == 0
+        res = run.result.orderBy("row_id").collect()
+        assert [r.STATUS for r in res] == ["UNMATCHED"] * 3
+        assert all(r.MATCHING_ID is None and r.MATCH_QUALITY is None for r in res)
+        assert run.result.columns[-4:] == ["MATCH_DATE", "MATCHING_ID", "MATCHED_BY_PASS",
+                                           "MATCH_QUALITY"]
