@@ -133,7 +133,8 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
         members = pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS"))
-        state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}")
+        state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}",
+                            bucket_by="row_id")
         matched = state.where(F.col("_pass").isNotNull())
         matched_parts.append(matched)
         remaining = state.where(F.col("_pass").isNull()).select(cols)

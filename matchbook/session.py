@@ -10,6 +10,7 @@ in local mode, where the driver's disk *is* the shared disk.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _RUN_TAG = uuid.uuid4().hex[:12]
 _counter = [0]
+_tables: list[str] = []      # bucketed state tables registered by this process
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -67,18 +69,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     One job computes the data once (unlike ``RDD.checkpoint``, which recomputes
     it for the write), the files survive executor loss, and the returned plan
     starts from a plain Parquet scan so later stages get pushdown and pruning.
+
+    With ``bucket_by`` the files are written as a table bucketed on that
+    column (one bucket per shuffle partition), so a later join on the column
+    reads this side already partitioned and shuffles only the other side.
+    The bucket spec lives in the session catalog, so the files are registered
+    as an external table named ``mb_<process tag>_...`` in the current
+    database; ``drop_scratch`` removes both.
     """
     spark = df.sparkSession
     _counter[0] += 1
     path = f"{checkpoint_root(spark)}/matchbook/{_RUN_TAG}/{_counter[0]:05d}-{tag}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "mb_" + re.sub(r"[^0-9A-Za-z_]", "_", f"{_RUN_TAG}_{_counter[0]:05d}_{tag}")
+    (df.write.mode("overwrite").format("parquet").bucketBy(n, bucket_by)
+     .option("path", path).saveAsTable(name))
+    _tables.append(name)
+    return spark.table(name)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -88,11 +104,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> bool:
-    """Delete this process's intermediates under the checkpoint folder.
+    """Delete this process's intermediates under the checkpoint folder and
+    the bucketed state tables it registered.
 
     Call it once the result has been written and no frame returned by the
     library is used any more (they read those files).  Goes through the
     Hadoop FileSystem API, so it works for any shared file system."""
+    for name in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _tables.clear()
     root = f"{checkpoint_root(spark)}/matchbook/{_RUN_TAG}"
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
