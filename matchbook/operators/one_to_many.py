@@ -8,8 +8,8 @@ when the pass has a VALUE_DATE WITHIN, the bucket's earliest and latest dates
 must both lie within the tolerance of the one-side date.  Each one-side row
 gets at most one bucket (it only has one), and each bucket is given to one
 one-side row: the best quality, then the lowest row id.  Bucket members are
-not collected into lists: after numbering, the many rows re-join the winning
-buckets on the keys.
+not collected into lists: the many rows re-join the winning buckets on the
+keys.
 """
 
 from __future__ import annotations

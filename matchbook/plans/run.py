@@ -1,12 +1,13 @@
 """Run the ordered match passes and assemble the reconciliation result.
 
-Per pass: remaining rows -> populations -> matcher plan -> member rows,
-written once to the shared checkpoint folder; the rows still open (an
-anti-join on ``row_id``, no driver-side id set) are written too, so each
-later pass reads only them.  After
-the last pass all groups are numbered in one distributed step, ordered by
-(pass, quality desc, tie id), so ids are dense and sequential across passes
-without any per-pass round trip to the driver.
+Per pass: open rows -> populations -> matcher plan -> member rows; the open
+rows left-joined with the member rows on ``row_id`` are written once, as a
+state table bucketed on ``row_id``, to the shared checkpoint folder.  The
+next pass's open rows are a filter on it (no driver-side id set), and its
+state join reads them already partitioned.  After the last pass all groups
+are numbered in one distributed step, ordered by (pass, quality desc, tie
+id), so ids are dense and sequential across passes without any per-pass
+round trip to the driver.
 """
 
 from __future__ import annotations
