@@ -100,6 +100,9 @@ def run_pass(remaining: DataFrame, p: MatchPass, set_id: str, cycle_date: date,
 
 _MEMBER_COLS = ("q", "_o1", "_o2", "_lead", "_pass", "MATCHED_BY_PASS")
 
+# Write each pass's state bucketed on row_id (see ``materialize``).
+BUCKET_STATES = True
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
@@ -129,13 +132,16 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     runs: list[PassRun] = []
     matched_parts: list[DataFrame] = []
     remaining = base
-    for k, p in enumerate(spec.active_passes()):
+    active = spec.active_passes()
+    for k, p in enumerate(active):
         t1 = time.time()
         members = pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS"))
+        # The last state's open rows are never state-joined again: write it plain.
+        bucket = "row_id" if BUCKET_STATES and k + 1 < len(active) else None
         state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}",
-                            bucket_by="row_id")
+                            bucket_by=bucket)
         matched = state.where(F.col("_pass").isNotNull())
         matched_parts.append(matched)
         remaining = state.where(F.col("_pass").isNull()).select(cols)

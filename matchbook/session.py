@@ -77,8 +77,9 @@ def materialize(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFr
     starts from a plain Parquet scan so later stages get pushdown and pruning.
 
     With ``bucket_by`` the files are written as a table bucketed on that
-    column (one bucket per shuffle partition), so a later join on the column
-    reads this side already partitioned and shuffles only the other side.
+    column (one bucket per shuffle partition, sorted on it), so a later
+    sort-merge join on the column reads this side already partitioned and
+    sorted, and shuffles only the other side.
     The bucket spec lives in the session catalog, so the files are registered
     as an external table named ``mb_<process tag>_...`` in the current
     database; ``drop_scratch`` removes both.
@@ -91,7 +92,7 @@ def materialize(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFr
         return spark.read.parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "mb_" + re.sub(r"[^0-9A-Za-z_]", "_", f"{_RUN_TAG}_{_counter[0]:05d}_{tag}")
-    (df.write.mode("overwrite").format("parquet").bucketBy(n, bucket_by)
+    (df.write.mode("overwrite").format("parquet").bucketBy(n, bucket_by).sortBy(bucket_by)
      .option("path", path).saveAsTable(name))
     _tables.append(name)
     return spark.table(name)
