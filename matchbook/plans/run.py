@@ -116,12 +116,13 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     """Run every ACTIVE pass in ruleOrder; ids are sequential across passes.
 
     Each pass writes one state table: its input rows left-joined with its
-    member rows on ``row_id``.  The rows still open are a filter on it, so
-    each later pass reads only those.  Group ids for the whole run are then
-    assigned in one distributed numbering step.  ``result`` (every input row
-    with its match columns) is assembled from the states, the numbered groups
-    and the last pass's open rows, with no join against the whole ledger;
-    ``matches`` is the long form."""
+    member rows on ``row_id``, bucketed on ``row_id``.  The rows still open
+    are a filter on it, so each later pass reads only those.  Group ids for
+    the whole run are then assigned in one distributed numbering step on
+    narrow columns and written as the long form ``matches``.  ``result``
+    (every input row with its match columns) joins each state's matched rows
+    to their ids by ``row_id`` (only the narrow side shuffles) and adds the
+    last pass's open rows; there is no join against the whole ledger."""
     t0 = time.time()
     started = datetime.now(timezone.utc).isoformat()
     cdate = spec.effective_cycle_date(cycle_date)
@@ -130,38 +131,45 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     base = ledger.drop(*stale)
     cols = base.columns
     runs: list[PassRun] = []
-    matched_parts: list[DataFrame] = []
+    states: list[DataFrame] = []
     remaining = base
-    active = spec.active_passes()
-    for k, p in enumerate(active):
+    for k, p in enumerate(spec.active_passes()):
         t1 = time.time()
         members = pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS"))
-        # The last state's open rows are never state-joined again: write it plain.
-        bucket = "row_id" if BUCKET_STATES and k + 1 < len(active) else None
         state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}",
-                            bucket_by=bucket)
-        matched = state.where(F.col("_pass").isNotNull())
-        matched_parts.append(matched)
+                            bucket_by="row_id" if BUCKET_STATES else None)
+        states.append(state)
         remaining = state.where(F.col("_pass").isNull()).select(cols)
-        runs.append(PassRun(p, matched.select("row_id", *_MEMBER_COLS), None,
-                            round(time.time() - t1, 3)))
+        runs.append(PassRun(p, state.where(F.col("_pass").isNotNull())
+                            .select("row_id", *_MEMBER_COLS), None, round(time.time() - t1, 3)))
     status = lambda v: F.lit(v).alias("STATUS")
     out_cols = [c for c in cols if c != "STATUS"]
-    if matched_parts:
+    if states:
         t1 = time.time()
-        matched = _union(matched_parts)
-        ids, _ = group_ids(matched, spec.set_id, cdate, with_count=False)
+        # Ids are attached on narrow columns only: number the group heads,
+        # give each member row its id, and write that long form once.
+        narrow = _union([r.matches for r in runs])
+        ids, _ = group_ids(narrow, spec.set_id, cdate, with_count=False)
+        long = materialize(narrow.join(ids, ["_pass", "_o2"], "inner").select(
+            "row_id", "_pass", "MATCHING_ID", "MATCHED_BY_PASS",
+            F.col("q").alias("MATCH_QUALITY")), "matches")
         numbering_sec = round(time.time() - t1, 3)
-        done = matched.join(ids, ["_pass", "_o2"], "inner")
-        matches = done.select("row_id", "MATCHING_ID", "MATCHED_BY_PASS",
-                              F.col("q").alias("MATCH_QUALITY"))
+        matches = long.drop("_pass")
         for r in runs:
             r.matches = matches.where(F.col("MATCHED_BY_PASS") == F.lit(r.spec.id))
-        result = done.select(*[status("MATCHED") if c == "STATUS" else F.col(c) for c in cols],
-                             F.lit(cdate).alias("MATCH_DATE"), "MATCHING_ID",
-                             "MATCHED_BY_PASS", F.col("q").alias("MATCH_QUALITY"))
+        # Each state's matched rows pick up their ids by row_id: the state is
+        # bucketed on row_id, so only the narrow id rows are shuffled.
+        parts = []
+        for k, state in enumerate(states):
+            ids_k = long.where(F.col("_pass") == F.lit(k)).select("row_id", "MATCHING_ID")
+            done = state.where(F.col("_pass").isNotNull()).join(ids_k, "row_id", "inner")
+            parts.append(done.select(
+                *[status("MATCHED") if c == "STATUS" else F.col(c) for c in cols],
+                F.lit(cdate).alias("MATCH_DATE"), "MATCHING_ID", "MATCHED_BY_PASS",
+                F.col("q").alias("MATCH_QUALITY")))
+        result = _union(parts)
     else:
         matches = spark.createDataFrame([], MATCH_SCHEMA)
         numbering_sec = 0.0
