@@ -1,6 +1,5 @@
 """Every registered query against its DuckDB oracle on sf0.001."""
 
-import pytest
 
 from conftest import SF_SMALL
 import oracle_check
