@@ -207,3 +207,22 @@ def test_nothing_matches_and_no_active_pass(spark):
         assert all(r.MATCHING_ID is None and r.MATCH_QUALITY is None for r in res)
         assert run.result.columns[-4:] == ["MATCH_DATE", "MATCHING_ID", "MATCHED_BY_PASS",
                                            "MATCH_QUALITY"]
+
+
+def test_within_on_extra_date_column(spark):
+    """WITHIN on a declared extra date column compares day differences (not
+    equality), with and without binning."""
+    from pyspark.sql import functions as F
+    rows = [row(1, "L", 10, ref="A"), row(2, "R", 10, ref="A"),
+            row(3, "L", 20, ref="B"), row(4, "R", 20, ref="B")]
+    led = ledger_df(spark, rows).withColumn(
+        "TRADE_DATE", F.when(F.col("row_id") == 2, F.lit("2024-01-12").cast("date"))
+        .when(F.col("row_id") == 4, F.lit("2024-01-20").cast("date"))
+        .otherwise(F.lit("2024-01-10").cast("date")))
+    for band in (True, False):
+        p = o2o_pass(quality=0, band_join=band, attributes=(
+            Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+            Attribute("TRADE_DATE", "TRADE_DATE", "WITHIN", mandatory=True, tolerance_days=2)))
+        long, n = run_pass(led, p, "T", CD)
+        ids = sorted(r.row_id for r in long.collect())
+        assert ids == [1, 2] and n == 1, (band, ids)
