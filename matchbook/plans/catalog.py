@@ -109,6 +109,11 @@ O2M_WITHIN_PASS = o2m_pass(id="MP_O2M_W", quality=0, attributes=(
     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
     Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=2)))
 
+M2M_PERCENT_PASS = m2m_pass(id="MP_M2M_PCT", attributes=(
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.002),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=3)))
+
 POP_IN_LIKE = (Filter("CURRENCY", "IN", ["USD", "GBP"]),
                Filter("BANK_ACCOUNT", "LIKE", "NOSTRO-00%"),
                Filter("REFERENCE", "LIKE", "TRX-_%"))
@@ -233,6 +238,11 @@ def q_m2m_subsets(spark, sf_dir):
                        "l_mask", "r_mask", "q")
 
 
+def q_m2m_percent_groups(spark, sf_dir):
+    """N:M with a percentage tolerance (sum bins sized per bucket)."""
+    return _numbered_pass(spark, sf_dir, M2M_PERCENT_PASS)
+
+
 def q_m2m_groups(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, m2m_pass())
 

@@ -350,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "m2m_subsets": with_ctes(BASE + pass_ctes(m2m, "ledger", "p", "0")[0],
                                  "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, l_mask, r_mask, q FROM p_groups"),
         "m2m_groups": _single(m2m, "long"),
+        "m2m_percent_groups": _single(C.M2M_PERCENT_PASS, "long"),
         "passes_matches": with_ctes(run_ctes(spec)[0], f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM matches"),
         "hot_passes_matches": with_ctes(
             BASE + [f"hot AS ({HOT_SQL})"] + run_ctes(spec, "h_", with_base=False, src="hot")[0],

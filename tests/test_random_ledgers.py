@@ -66,10 +66,22 @@ def random_rows():
     return rows
 
 
-def test_random_ledgers_match_sql(spark):
+import pytest  # noqa: E402
+
+from matchbook.plans.configs import m2m_pass  # noqa: E402
+from matchbook.spec import Attribute  # noqa: E402
+
+PERCENT_SPEC = standard_spec(passes=standard_spec().passes[:3] + (m2m_pass(attributes=(
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.002),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=3))),))
+
+
+@pytest.mark.parametrize("spec", [standard_spec(), PERCENT_SPEC], ids=["standard", "m2m-percent"])
+def test_random_ledgers_match_sql(spark, spec):
     rows = random_rows()
     led = spark.createDataFrame(rows, LEDGER_SCHEMA)
-    run = run_passes(led, standard_spec())
+    run = run_passes(led, spec)
     got = sorted(tuple(r) for r in run.matches.select(
         "row_id", "MATCHING_ID", "MATCHED_BY_PASS", "MATCH_QUALITY").collect())
 
@@ -79,7 +91,7 @@ def test_random_ledgers_match_sql(spark):
     con.execute("CREATE TABLE ledger AS SELECT row_id::BIGINT AS row_id, LS_TYPE, DR_CR_IND, STATUS, "
                 "CAST(AMOUNT AS DECIMAL(18,4)) AS AMOUNT, CURRENCY, CAST(VALUE_DATE AS DATE) AS VALUE_DATE, "
                 "BANK_ACCOUNT, REFERENCE FROM ledger_pdf")
-    ctes, m = oracle.run_ctes(standard_spec(), with_base=False)
+    ctes, m = oracle.run_ctes(spec, with_base=False)
     want = sorted(tuple(r) for r in con.execute(
         oracle.with_ctes(ctes, f"SELECT row_id, MATCHING_ID, MATCHED_BY_PASS, MATCH_QUALITY FROM {m}"))
         .fetchall())
