@@ -21,10 +21,10 @@ def _typed_literal(value, dtype):
     return F.lit(value).cast(dtype)
 
 
-def filter_predicate(df: DataFrame, f: Filter) -> Column:
+def filter_predicate(df: DataFrame, f: Filter, schema=None) -> Column:
     """One population filter as a Column.  Nulls never pass (SQL 3VL)."""
     col = F.col(f.attribute)
-    dtype = df.schema[f.attribute].dataType
+    dtype = (schema or df.schema)[f.attribute].dataType
     op = f.operator
     if op == "IN":
         return col.isin([_typed_literal(v, dtype) for v in f.value])
@@ -39,7 +39,9 @@ def filter_predicate(df: DataFrame, f: Filter) -> Column:
 
 def population_predicate(df: DataFrame, filters) -> Column:
     """AND of all filters; an empty list selects every row."""
-    return reduce(lambda a, b: a & b, [filter_predicate(df, f) for f in filters], F.lit(True))
+    schema = df.schema if filters else None          # one analysis, not one per filter
+    return reduce(lambda a, b: a & b, [filter_predicate(df, f, schema) for f in filters],
+                  F.lit(True))
 
 
 def attr_expr(expr: str) -> Column:

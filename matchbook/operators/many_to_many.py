@@ -57,21 +57,22 @@ def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
     return out.where(F.col("day").isNotNull()) if date_attr is not None else out
 
 
-def _both_sides(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+def _both_sides(left: DataFrame, right: DataFrame, p: MatchPass,
+                scale: int | None = None) -> DataFrame:
     """Member rows of both populations in one frame, tagged by side."""
-    scale = _scale(left, p.amount_attribute().left)
+    scale = _scale(left, p.amount_attribute().left) if scale is None else scale
     return _members(left, p, "l", scale).withColumn("side", F.lit("l")).unionByName(
         _members(right, p, "r", scale).withColumn("side", F.lit("r")))
 
 
 def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
-                 cap: int = M2M_MAX_BUCKET_SIDE) -> DataFrame:
+                 cap: int = M2M_MAX_BUCKET_SIDE, both: DataFrame | None = None) -> DataFrame:
     """Per bucket present on both sides: row counts and whether it is eligible.
 
     One partially-aggregated count over both sides: a hot bucket is a single
     row before the shuffle."""
     kn = _key_names(p)
-    both = _both_sides(left, right, p).groupBy(kn).agg(
+    both = (both if both is not None else _both_sides(left, right, p)).groupBy(kn).agg(
         F.count_if(F.col("side") == "l").alias("n_left"),
         F.count_if(F.col("side") == "r").alias("n_right"))
     both = both.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
@@ -79,13 +80,15 @@ def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
     return both.withColumn("eligible", ok("n_left") & ok("n_right"))
 
 
-def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, cap: int) -> DataFrame:
+def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, cap: int,
+                  scale: int) -> DataFrame:
     """One row per eligible bucket with both member arrays (<= cap each).
 
     Lists are only built after the counts proved the bucket small."""
     kn = _key_names(p)
-    eligible = bucket_stats(left, right, p, cap).where("eligible").select(kn)
-    m = _both_sides(left, right, p).join(eligible, kn, "left_semi")
+    both = _both_sides(left, right, p, scale)
+    eligible = bucket_stats(left, right, p, cap, both).where("eligible").select(kn)
+    m = both.join(eligible, kn, "left_semi")
     member = F.struct("id", "u", "day")
     return m.groupBy(kn).agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", member))).alias("l_m"),
@@ -119,7 +122,7 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass,
     kn = _key_names(p)
     tol_abs = float(amt.tolerance_amount or 0.0)
     tol_pct = float(amt.tolerance_percent or 0.0)
-    b = _bucket_lists(left, right, p, cap)
+    b = _bucket_lists(left, right, p, cap, scale)
     # Widest tolerance any left subset can have, in units (sum of |members| bounds |sumL|).
     abs_total = F.aggregate(F.col("l_m"), F.lit(0).cast("bigint"),
                             lambda a, x: a + F.abs(x["u"]))

@@ -65,15 +65,15 @@ def candidates(one: DataFrame, many: DataFrame, p: MatchPass) -> DataFrame:
     cand = one.select(cols).join(buckets(many, p), _key_names(p), "inner")
     one_v, m_sum = F.col("one_v").cast("double"), F.col("m_sum").cast("double")
     if agg.operator == "EQUALS":
-        cand = cand.where(one_v == m_sum)
+        ok = one_v == m_sum
     else:
-        cand = cand.where(F.abs(one_v - m_sum) <= numeric_tolerance(agg, F.col("one_v")))
+        ok = F.abs(one_v - m_sum) <= numeric_tolerance(agg, F.col("one_v"))
     if date_attr is not None:
         td = F.lit(date_attr.tolerance_days)
-        cand = cand.where((F.abs(F.datediff(F.col("one_d"), F.col("m_dmin"))) <= td)
-                          & (F.abs(F.datediff(F.col("one_d"), F.col("m_dmax"))) <= td))
+        ok = ok & (F.abs(F.datediff(F.col("one_d"), F.col("m_dmin"))) <= td) \
+            & (F.abs(F.datediff(F.col("one_d"), F.col("m_dmax"))) <= td)
     q = aggregate_quality(agg, F.col("one_v"), F.col("m_sum"))
-    return cand.withColumn("q", q).where(F.col("q") >= F.lit(p.quality))
+    return cand.where(ok).withColumn("q", q).where(F.col("q") >= F.lit(p.quality))
 
 
 def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:

@@ -15,6 +15,8 @@ candidate per key crosses the network.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +51,14 @@ def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
         L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}",
                              explode_left=(k % 2 == 0))
         cond.append(F.col(f"l_bin{i}") == F.col(f"r_bin{i}"))
-    cand = L.join(R, cond, "inner").where(F.col("l_id") != F.col("r_id"))
+    residual = [F.col("l_id") != F.col("r_id")]
     for i, a in enumerate(p.attributes):
         lc, rc = F.col(f"l_a{i}"), F.col(f"r_a{i}")
         if a.operator == "WITHIN":
-            cand = cand.where(within_predicate(a, lc, rc))
+            residual.append(within_predicate(a, lc, rc))
         elif a.operator == "CONTAINS":
-            cand = cand.where(contains_predicate(lc, rc))
+            residual.append(contains_predicate(lc, rc))
+    cand = L.join(R, cond, "inner").where(reduce(lambda x, y: x & y, residual))
     q = pass_score(p, [F.col(f"l_a{i}") for i in range(len(p.attributes))],
                    [F.col(f"r_a{i}") for i in range(len(p.attributes))])
     return cand.select("l_id", "r_id", q.alias("q")).where(F.col("q") >= F.lit(p.quality))
