@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchbook.spec import Attribute, Filter
 
@@ -18,6 +19,8 @@ from matchbook.spec import Attribute, Filter
 def _typed_literal(value, dtype):
     """Cast a config literal to the column's type (a date column compared
     with the JSON string '2024-01-15' compares as a DATE, not as text)."""
+    if isinstance(value, str) and isinstance(dtype, T.StringType):
+        return F.lit(value)                       # already the column's type
     return F.lit(value).cast(dtype)
 
 
