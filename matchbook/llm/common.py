@@ -152,18 +152,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     return out
 
 
-def char_shingle_set(line: bytes, width: int = 5) -> np.ndarray:
-    """Distinct hashes of the ``width``-byte shingles of one line (whole line if shorter)."""
-    x = np.frombuffer(line, np.uint8)
-    if len(x) == 0:
-        return np.empty(0, U64)
-    n = max(1, len(x) - width + 1)
-    s = np.zeros(n, U64)
-    for k in range(min(width, len(x))):
-        s += _BYTE[x[k:k + n]] * _ROLL[k]
-    return np.unique(mix64(s))
-
-
 # -------------------------------------------------------------- Spark helpers
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -175,46 +163,72 @@ def rows_of(names: list[str], *columns) -> pa.RecordBatch:
                                        for c in columns], names=names)
 
 
+def packed(columns, dtypes: list[str], buckets: int, base: int = 0,
+           by: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows (bucket, blob) of arrays, dealt to buckets from ``base`` on by ``by`` (the first
+    array by default)."""
+    columns = [c.astype(d, copy=False) for c, d in zip(columns, dtypes, strict=True)]
+    by = columns[0] if by is None else by
+    bucket = (mix64(by) % U64(buckets)).astype(np.int32) + np.int32(base)
+    order = np.argsort(bucket, kind="stable")
+    columns, bucket = [c[order] for c in columns], bucket[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    return rows_of(["bucket", "blob"], bucket[cut[:-1]],
+                   pa.array([pack(*(c[a:b] for c in columns)) for a, b in
+                             zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()))
+
+
+def _held(batches, emit: Callable, dtypes: list[str]) -> Iterator[list[np.ndarray]]:
+    """The emitted arrays, concatenated up to a bounded size."""
+    width = sum(np.dtype(d).itemsize for d in dtypes)
+    held, size = [], 0
+    for columns in emit(batches):
+        if len(columns[0]):
+            held.append(columns)
+            size += len(columns[0]) * width
+        if size >= 6 * BLOB_BYTES:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def scatter(df: DataFrame, emit: Callable, dtypes: list[str], buckets: int) -> DataFrame:
     """Map side of a blob exchange.  ``emit(batches)`` yields tuples of equally long arrays,
     the first of them the uint64 key; a task sends each bucket of keys rows (bucket, blob)
     of packed arrays, a few at a time, so its memory is bounded."""
-    width = sum(np.dtype(d).itemsize for d in dtypes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _held(batches, emit, dtypes):
+            yield packed(columns, dtypes, buckets)
+    return df.mapInArrow(run, "bucket int, blob binary")
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate(c).astype(d, copy=False)
-                   for c, d in zip(zip(*held, strict=True), dtypes, strict=True)]
-        bucket = (columns[0] % U64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        columns, bucket = [c[order] for c in columns], bucket[order]
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        return rows_of(["bucket", "blob"], bucket[cut[:-1]],
-                       pa.array([pack(*(c[a:b] for c in columns)) for a, b in
-                                 zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()))
 
+def scatter_tagged(df: DataFrame, emit: Callable, split: Callable, dtypes: list[str],
+                   buckets: int) -> DataFrame:
+    """As ``scatter`` for columns (key, check, rank, row, position), pre-aggregated:
+    ``split`` gives the rows decided already, which go to the buckets from ``buckets`` on,
+    dealt out by row, and the representatives, which go to their key's bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for columns in emit(batches):
-            if len(columns[0]):
-                held.append(columns)
-                size += len(columns[0]) * width
-            if size >= 6 * BLOB_BYTES:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
+        for columns in _held(batches, emit, dtypes):
+            decided, send = split(*columns)
+            yield packed([c[send] for c in columns], dtypes, buckets)
+            if len(decided):
+                yield packed([c[decided] for c in columns], dtypes, buckets, buckets,
+                             columns[3][decided].view(U64))
     return df.mapInArrow(run, "bucket int, blob binary")
 
 
-def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str) -> DataFrame:
-    """Reduce side: ``reduce`` gets the concatenated arrays of one bucket at a time and
-    yields record batches."""
+def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str,
+           with_bucket: bool = False) -> DataFrame:
+    """Reduce side: ``reduce`` gets the concatenated arrays of one bucket at a time (after
+    the bucket's number if asked for) and yields record batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done():
             if held:
-                yield from reduce(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield from reduce(*([now] if with_bucket else []),
+                                  *(np.concatenate(c) for c in zip(*held, strict=True)))
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"),
                                     strict=True):

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm import chat, decontam, exact, langid, mixing, setjoin, simple8b
-from matchbook.session import checkpoint_root
+from matchbook.llm import (chat, decontam, exact, langid, linededup, mixing, secrets, setjoin,
+                           simple8b, suffix)
+from matchbook.session import checkpoint_root, materialize
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +49,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         decontam.contaminated().alias("contaminated"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.fuzzy_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def token_output(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
@@ -59,6 +65,13 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
     return plan.taken().select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -73,6 +86,25 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
 
 
+def labelled_findings(found: DataFrame) -> DataFrame:
+    """Labels of candidates of known kind; the tables hold no reviewed findings, so a rule
+    stands in for the reviewer: 40 hexadecimal digits, as an access token has, are a secret,
+    and so is nothing else that was planted; a word without digits is none."""
+    hexadecimal = F.col("finding").rlike("^[0-9a-fA-F]{40}$")
+    plain = ~F.col("finding").rlike("[0-9]")
+    return (found.where(hexadecimal | plain).withColumn("label", hexadecimal.cast("int")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    statistics = secrets.corpus_statistics(docs.select("text"))
+    found = materialize(secrets.candidates(docs, statistics, path_col="source"), "findings")
+    forest = secrets.train(labelled_findings(found.where(~langid.held_out("id"))))
+    return (secrets.classify(found, forest)
+            .select(F.col("id").alias("doc_id"), "at", "finding", "probability", "is_secret"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_language_id, op3_benchmark_decontamination, op5_token_output,
-    op7_source_mixing, op8_jaccard_join, op9_exact_dedup)}
+    op1_chat_formatting, op2_language_id, op3_benchmark_decontamination, op4_line_dedup,
+    op5_token_output,
+    op6_suffix_dedup, op7_source_mixing, op8_jaccard_join, op9_exact_dedup, op10_secret_scan)}

@@ -41,8 +41,8 @@ PART = 1 << 14                    # sketch counts in one row of its exchange
 SET_COLUMNS = "row bigint, id bigint, n_shingles bigint, set_hash bigint, z binary"
 
 
-def _set(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
+def _set(z: bytes) -> np.ndarray:
+    data = np.frombuffer(unsqueeze(z), np.uint8)
     return shingle_sets(data, np.array([0, len(data)]), WIDTH)[0]
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import (U64, bucket_count, connected_components, gather, mix64, rows_of,
-                                  scatter, shuffle_parts, signed, unsqueeze)
+                                  scatter, shuffle_parts, signed)
 from matchbook.session import materialize
 
 FANOUT = 256                      # members that one task compares with a pivot
@@ -110,7 +110,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarra
            num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the Jaccard threshold num / den exactly.
 
-    ``texts``: (node, z), z the compressed text; a node may come several times.  Each pivot
+    ``texts``: (node, z), ``sets`` makes the set of a z; a node may come several times.  Each pivot
     ``a`` meets its partners in groups of about ``FANOUT``, so a pivot with very many
     partners is many tasks' work; a task holds one pivot's set and one partner's."""
     n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -130,7 +130,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarra
                 if (a, b) == last:
                     continue
                 last = (a, b)
-                other = sets(unsqueeze(z))
+                other = sets(z)
                 if a == b:
                     now, mine = a, other
                     continue
