@@ -7,6 +7,7 @@ Parquet scan as pushed predicates where Spark can push them.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,16 +18,30 @@ from matchbook.spec import Attribute, Filter
 
 
 def _typed_literal(value, dtype):
-    """Cast a config literal to the column's type (a date column compared
-    with the JSON string '2024-01-15' compares as a DATE, not as text)."""
-    if isinstance(value, str) and isinstance(dtype, T.StringType):
-        return F.lit(value)                       # already the column's type
-    return F.lit(value).cast(dtype)
+    """A config value as a literal that compares exactly with a column of ``dtype``.
+
+    Texts become dates, timestamps or numbers.  A number that the column's type holds
+    exactly takes that type, so that the filter is pushed to the scan; any other (2.5
+    against a BIGINT, five places against four) stays an exact decimal and Spark widens
+    the comparison."""
+    if isinstance(dtype, T.StringType) or isinstance(value, bool):
+        return F.lit(value).cast(dtype)
+    exact = isinstance(dtype, (T.DecimalType, T.IntegralType))
+    if not exact:
+        return F.lit(value).cast(dtype)
+    number = Decimal(str(value).strip())
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+    digits = dtype.precision - scale if isinstance(dtype, T.DecimalType) else 9
+    fits = number == number.quantize(Decimal(1).scaleb(-scale)) and abs(number) < 10 ** digits
+    if fits:
+        return F.lit(number).cast(dtype)
+    return F.lit(int(number)) if number == int(number) and abs(number) < 2 ** 63 \
+        else F.expr(f"CAST('{number:f}' AS DECIMAL(38, {max(0, -number.as_tuple().exponent)}))")
 
 
 def filter_predicate(df: DataFrame, f: Filter, schema=None) -> Column:
     """One population filter as a Column.  Nulls never pass (SQL 3VL)."""
-    col = F.col(f.attribute)
+    col = column(f.attribute)
     dtype = (schema or df.schema)[f.attribute].dataType
     op = f.operator
     if op == "IN":
@@ -47,9 +62,15 @@ def population_predicate(df: DataFrame, filters) -> Column:
                   F.lit(True))
 
 
-def attr_expr(expr: str) -> Column:
-    """A bare column or a Spark SQL expression such as SUBSTRING(REFERENCE, 1, 6)."""
-    return F.col(expr) if expr.replace("_", "").isalnum() else F.expr(expr)
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def attr_expr(expr: str, columns) -> Column:
+    """One of ``columns`` by name, or else a Spark SQL expression over them such as
+    SUBSTRING(REFERENCE, 1, 6)."""
+    return column(expr) if expr in columns else F.expr(expr)
 
 
 def numeric_tolerance(attr: Attribute, base: Column) -> Column:

@@ -31,6 +31,8 @@ def value_units(value: Column, dtype: T.DataType) -> tuple[Column, int] | None:
     """(integer units, scale exponent) for a numeric or date value, else None."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_date(value.cast("date")).cast("bigint"), 0
+    if isinstance(dtype, T.DecimalType) and dtype.precision > 18:
+        return None                              # units may not fit a BIGINT: not binned
     if isinstance(dtype, T.DecimalType):
         return (value * F.lit(10 ** dtype.scale)).cast("bigint"), dtype.scale
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):

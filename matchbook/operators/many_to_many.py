@@ -1,20 +1,22 @@
-"""N:M matching: best subset pair inside small hard-key buckets.
-
-Buckets with 2..10 rows on both sides are eligible (larger buckets are
-skipped and reported by ``bucket_stats``).  Bucket sizes are counted first
-(partial aggregation), so member lists are only built for buckets that are
-known to be small; a hot account with millions of rows never becomes a list.
-
-For every eligible bucket each side's subsets of size >= 2 are enumerated
-with higher-order functions (mask m over the members sorted by row id, bit i
-= the i-th member): sum, earliest and latest date.  Left and right subsets
-are then paired by a band join on the hard keys plus a sum bin whose width
-is the largest tolerance any left subset of that bucket can have, so only
-pairs whose sums can be within tolerance are formed.  A pair must satisfy
-|sumL - sumR| <= max(toleranceAmount, |sumL| * tolerancePercent) and, with a
-VALUE_DATE WITHIN, the spread of all dates of both subsets must be within the
-tolerance.  Per bucket the best pair wins: quality desc, fewer rows, then the
-larger left mask and the larger right mask.
+"""N:M matching: best subset pair inside small cells of hard-key buckets.
+
+A cell is a bucket with 2..``max_bucket_side`` rows on both sides.  A larger bucket is cut
+by date first where the pass compares VALUE_DATE within t days: every group lies in the
+window [d, d + t] of its earliest day d, so the windows that start on the days of the
+bucket are its cells.  What is still larger has too many subsets to try; such cells are
+left out, counted by ``skipped`` and reported with the run.  Sizes are counted first
+(partial aggregation), so member lists are only built for cells that are known to be
+small; a hot account with millions of rows never becomes a list.
+
+For every cell each side's subsets of size >= 2 are enumerated with higher-order
+functions (mask m over the members sorted by row id, bit i = the i-th member): sum,
+earliest and latest date.  Left and right subsets are then paired by a band join on the
+cell plus a sum bin whose width is the largest tolerance any left subset of that cell can
+have, so only pairs whose sums can be within tolerance are formed.  A pair must satisfy
+|sumL - sumR| <= max(toleranceAmount, |sumL| * tolerancePercent) and, with a VALUE_DATE
+WITHIN, the spread of all dates of both subsets must be within the tolerance.  Per bucket
+the best pair wins: quality desc, fewer rows, then the earlier window, the larger left
+mask and the larger right mask.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from matchbook.functions.predicates import attr_expr
 from matchbook.functions.scores import subset_quality
 from matchbook.operators.band import floor_div
 from matchbook.session import materialize
-from matchbook.spec import M2M_MAX_BUCKET_SIDE, MatchPass
+from matchbook.spec import MatchPass
+
+WHOLE = -2**31                   # window number of a bucket that is not cut
 
 
 def _key_names(p: MatchPass) -> list[str]:
@@ -35,7 +39,7 @@ def _key_names(p: MatchPass) -> list[str]:
 
 
 def _scale(df: DataFrame, expr: str) -> int:
-    t = df.select(attr_expr(expr).alias("x")).schema["x"].dataType
+    t = df.select(attr_expr(expr, df.columns).alias("x")).schema["x"].dataType
     return t.scale if isinstance(t, T.DecimalType) else 0
 
 
@@ -43,13 +47,13 @@ def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
     """(keys, id, units, day) per row; rows with a null amount or date are left out."""
     amt = p.amount_attribute()
     date_attr = p.date_attribute()
-    keys = [attr_expr(lk if side == "l" else rk).alias(f"k{i}")
+    keys = [attr_expr(lk if side == "l" else rk, df.columns).alias(f"k{i}")
             for i, (lk, rk) in enumerate(p.hard_keys())]
-    value = attr_expr(amt.left if side == "l" else amt.right)
+    value = attr_expr(amt.left if side == "l" else amt.right, df.columns)
     cols = keys + [F.col("row_id").alias("id"),
                    (value * F.lit(10 ** scale)).cast("bigint").alias("u")]
     if date_attr is not None:
-        d = attr_expr(date_attr.left if side == "l" else date_attr.right)
+        d = attr_expr(date_attr.left if side == "l" else date_attr.right, df.columns)
         cols.append(F.unix_date(d.cast("date")).alias("day"))
     else:
         cols.append(F.lit(0).alias("day"))
@@ -65,32 +69,92 @@ def _both_sides(left: DataFrame, right: DataFrame, p: MatchPass,
         _members(right, p, "r", scale).withColumn("side", F.lit("r")))
 
 
+def _counts(both: DataFrame, by: list[str]) -> DataFrame:
+    return both.groupBy(by).agg(F.count_if(F.col("side") == "l").alias("n_left"),
+                                F.count_if(F.col("side") == "r").alias("n_right"))
+
+
+def _fits(p: MatchPass):
+    ok = lambda c: (F.col(c) >= 2) & (F.col(c) <= p.max_bucket_side)
+    return ok("n_left") & ok("n_right")
+
+
 def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
-                 cap: int = M2M_MAX_BUCKET_SIDE, both: DataFrame | None = None) -> DataFrame:
-    """Per bucket present on both sides: row counts and whether it is eligible.
+                 both: DataFrame | None = None) -> DataFrame:
+    """Per bucket present on both sides: row counts and whether it is a cell as it is.
 
     One partially-aggregated count over both sides: a hot bucket is a single
     row before the shuffle."""
-    kn = _key_names(p)
-    both = (both if both is not None else _both_sides(left, right, p)).groupBy(kn).agg(
-        F.count_if(F.col("side") == "l").alias("n_left"),
-        F.count_if(F.col("side") == "r").alias("n_right"))
-    both = both.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
-    ok = lambda c: (F.col(c) >= 2) & (F.col(c) <= cap)
-    return both.withColumn("eligible", ok("n_left") & ok("n_right"))
-
+    both = both if both is not None else _both_sides(left, right, p)
+    return (_counts(both, _key_names(p)).where((F.col("n_left") > 0) & (F.col("n_right") > 0))
+            .withColumn("eligible", _fits(p)))
 
-def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, cap: int,
-                  scale: int) -> DataFrame:
-    """One row per eligible bucket with both member arrays (<= cap each).
 
-    Lists are only built after the counts proved the bucket small."""
+def _windows(both: DataFrame, stats: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame] | None:
+    """(members with window, cells with counts) of buckets too large to be cells, or None if
+    the pass does not compare dates.  A row is in at most t + 1 windows."""
+    if p.date_attribute() is None:
+        return None
+    kn = _key_names(p)
+    large = stats.where((F.col("n_left") >= 2) & (F.col("n_right") >= 2) & ~F.col("eligible"))
+    spread = (both.join(large.select(kn), kn, "left_semi")
+              .withColumn("win", F.explode(F.sequence(
+                  F.col("day") - p.date_attribute().tolerance_days, F.col("day")))))
+    cells = (spread.groupBy(kn + ["win"])
+             .agg(F.count_if(F.col("side") == "l").alias("n_left"),
+                  F.count_if(F.col("side") == "r").alias("n_right"),
+                  F.max(F.col("day") == F.col("win")).alias("starts"))
+             .where(F.col("starts") & (F.col("n_left") >= 2) & (F.col("n_right") >= 2))
+             .drop("starts").withColumn("eligible", _fits(p)))
+    return spread, cells
+
+
+def _cell_members(both: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame]:
+    """(members of all cells, members of the cells that are too large)."""
     kn = _key_names(p)
-    both = _both_sides(left, right, p, scale)
-    eligible = bucket_stats(left, right, p, cap, both).where("eligible").select(kn)
-    m = both.join(eligible, kn, "left_semi")
+    stats = bucket_stats(None, None, p, both)
+    part = lambda rows, cells, by: rows.join(cells.select(by), by, "left_semi")
+    whole = both.withColumn("win", F.lit(WHOLE))
+    small = part(whole, stats.where("eligible"), kn)
+    cut = _windows(both, stats, p)
+    if cut is None:
+        large = stats.where((F.col("n_left") >= 2) & (F.col("n_right") >= 2) & ~F.col("eligible"))
+        return small, part(whole, large, kn)
+    spread, cells = cut
+    spread = spread.select(whole.columns)
+    by = kn + ["win"]
+    return (small.unionByName(part(spread, cells.where("eligible"), by)),
+            part(spread, cells.where("NOT eligible"), by))
+
+
+def skipped(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """One row per cell that is too large: keys, window (its first day; null if the bucket
+    is not cut), n_left, n_right."""
+    _, large = _cell_members(_both_sides(left, right, p), p)
+    first = F.when(F.col("win") != WHOLE, F.date_from_unix_date("win"))
+    return (_counts(large, _key_names(p) + ["win"])
+            .withColumn("window", first).drop("win"))
+
+
+def skipped_totals(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """One row: skipped_cells and skipped_rows (rows that are in a cell too large and in no
+    cell that was tried)."""
+    tried, large = _cell_members(_both_sides(left, right, p), p)
+    cells = large.select(*_key_names(p), "win").distinct()
+    rows = large.select("id").distinct().join(tried.select("id").distinct(), "id", "left_anti")
+    both = cells.select(F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(
+        rows.select(F.lit(0).alias("c"), F.lit(1).alias("r")))
+    return both.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("skipped_cells"),
+                    F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("skipped_rows"))
+
+
+def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, scale: int) -> DataFrame:
+    """One row per cell with both member arrays.
+
+    Lists are only built after the counts proved the cell small."""
+    m, _ = _cell_members(_both_sides(left, right, p, scale), p)
     member = F.struct("id", "u", "day")
-    return m.groupBy(kn).agg(
+    return m.groupBy(_key_names(p) + ["win"]).agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", member))).alias("l_m"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "r", member))).alias("r_m"))
 
@@ -112,17 +176,16 @@ def _subsets(buckets: DataFrame, side: str, kn: list[str]) -> DataFrame:
         F.bit_count(mask).alias(f"{side}_cnt"))
 
 
-def groups(left: DataFrame, right: DataFrame, p: MatchPass,
-           cap: int = M2M_MAX_BUCKET_SIDE) -> tuple[DataFrame, DataFrame]:
-    """(winning pair per bucket, bucket lists).  Id order: (quality desc,
-    smallest left row id of the bucket)."""
+def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame]:
+    """(winning pair per bucket, cell lists).  Id order: (quality desc,
+    smallest left row id of the cell)."""
     amt = p.amount_attribute()
     date_attr = p.date_attribute()
     scale = _scale(left, amt.left)
-    kn = _key_names(p)
+    bucket, kn = _key_names(p), _key_names(p) + ["win"]
     tol_abs = float(amt.tolerance_amount or 0.0)
     tol_pct = float(amt.tolerance_percent or 0.0)
-    b = _bucket_lists(left, right, p, cap, scale)
+    b = _bucket_lists(left, right, p, scale)
     # Widest tolerance any left subset can have, in units (sum of |members| bounds |sumL|).
     abs_total = F.aggregate(F.col("l_m"), F.lit(0).cast("bigint"),
                             lambda a, x: a + F.abs(x["u"]))
@@ -151,8 +214,9 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass,
         pairs = pairs.where(spread <= F.lit(date_attr.tolerance_days))
     pairs = pairs.withColumn("q", subset_quality(delta, tol_eff)) \
         .where(F.col("q") >= F.lit(p.quality))
-    w = Window.partitionBy(*kn).orderBy(F.desc("q"), F.asc(F.col("l_cnt") + F.col("r_cnt")),
-                                        F.desc("l_mask"), F.desc("r_mask"))
+    w = Window.partitionBy(*bucket).orderBy(
+        F.desc("q"), F.asc(F.col("l_cnt") + F.col("r_cnt")), "win",
+        F.desc("l_mask"), F.desc("r_mask"))
     best = pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return best.select(*kn, "l_mask", "r_mask", "q", (-F.col("q")).alias("_o1"),
                        F.col("l_min_id").alias("_o2")), b
@@ -160,7 +224,7 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass,
 
 def members(best: DataFrame, bucket_lists: DataFrame, p: MatchPass) -> DataFrame:
     """Member rows of both chosen subsets; the first chosen left row leads."""
-    kn = _key_names(p)
+    kn = _key_names(p) + ["win"]
     j = best.join(bucket_lists.select(*kn, "l_m", "r_m"), kn, "inner")
 
     def chosen(side: str):

@@ -27,8 +27,8 @@ def _sides(p: MatchPass):
     return one_is_left, ("l" if one_is_left else "r"), ("r" if one_is_left else "l")
 
 
-def _keys(p: MatchPass, side: str) -> list:
-    return [attr_expr(lk if side == "l" else rk).alias(f"k{i}")
+def _keys(p: MatchPass, side: str, df: DataFrame) -> list:
+    return [attr_expr(lk if side == "l" else rk, df.columns).alias(f"k{i}")
             for i, (lk, rk) in enumerate(p.hard_keys())]
 
 
@@ -40,12 +40,12 @@ def buckets(many: DataFrame, p: MatchPass) -> DataFrame:
     """Many-side buckets: keys, m_sum, (m_dmin, m_dmax), m_n >= 2."""
     _, _, many_side = _sides(p)
     agg = p.sum_attribute()
-    value = attr_expr(agg.left if many_side == "l" else agg.right)
+    value = attr_expr(agg.left if many_side == "l" else agg.right, many.columns)
     date_attr = p.date_attribute()
-    cols = _keys(p, many_side) + [value.alias("v"), F.col("row_id")]
+    cols = _keys(p, many_side, many) + [value.alias("v"), F.col("row_id")]
     aggs = [F.coalesce(F.sum("v"), F.lit(0)).alias("m_sum"), F.min("row_id").alias("m_first")]
     if date_attr is not None:
-        d = attr_expr(date_attr.left if many_side == "l" else date_attr.right)
+        d = attr_expr(date_attr.left if many_side == "l" else date_attr.right, many.columns)
         cols.append(d.alias("d"))
         aggs += [F.min("d").alias("m_dmin"), F.max("d").alias("m_dmax")]
     aggs.append(F.count(F.lit(1)).alias("m_n"))
@@ -57,11 +57,11 @@ def candidates(one: DataFrame, many: DataFrame, p: MatchPass) -> DataFrame:
     _, one_side, _ = _sides(p)
     agg = p.sum_attribute()
     date_attr = p.date_attribute()
-    cols = [F.col("row_id").alias("one_id")] + _keys(p, one_side) + \
-        [attr_expr(agg.left if one_side == "l" else agg.right).alias("one_v")]
+    cols = [F.col("row_id").alias("one_id")] + _keys(p, one_side, one) + \
+        [attr_expr(agg.left if one_side == "l" else agg.right, one.columns).alias("one_v")]
     if date_attr is not None:
-        cols.append(attr_expr(date_attr.left if one_side == "l" else date_attr.right)
-                    .alias("one_d"))
+        cols.append(attr_expr(date_attr.left if one_side == "l" else date_attr.right,
+                              one.columns).alias("one_d"))
     cand = one.select(cols).join(buckets(many, p), _key_names(p), "inner")
     one_v, m_sum = F.col("one_v").cast("double"), F.col("m_sum").cast("double")
     if agg.operator == "EQUALS":
@@ -93,7 +93,7 @@ def members(best: DataFrame, left: DataFrame, right: DataFrame, p: MatchPass) ->
     emits, so the winners are read by one join only.  The one-side row leads."""
     one_is_left, _, many_side = _sides(p)
     many = right if one_is_left else left
-    j = (many.select(F.col("row_id"), *_keys(p, many_side))
+    j = (many.select(F.col("row_id"), *_keys(p, many_side, many))
          .join(best.select(*_key_names(p), "one_id", "m_first", "q", "_o1", "_o2"),
                _key_names(p), "inner"))
     out = F.explode(F.array(

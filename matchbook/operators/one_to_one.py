@@ -8,6 +8,15 @@ those survivors.  The greedy step is one-shot: a left row whose best right
 went to another left is not retried in the same pass (it stays available to
 later passes).  Ties are broken by the lowest row id.
 
+Scores depend on key and attribute values only and ties go to the lowest id, so
+of rows that agree in all of them only the lowest id can be in a pair: each
+side is first reduced to one row per combination of values, and a hot account
+full of equal rows joins as one row instead of all against all.
+
+Where a row may be in both populations, mirrored pairs count once and a pair
+is accepted if it is the best one of both its rows in either role (quality,
+then lowest ids), so no row is in two pairs.
+
 Both "best per" steps are ``row_number() = 1`` windows; Catalyst plans them
 with a partial ``WindowGroupLimit`` before the shuffle, so only the local top
 candidate per key crosses the network.
@@ -23,6 +32,7 @@ from pyspark.sql import functions as F
 from matchbook.functions.predicates import attr_expr, contains_predicate, within_predicate
 from matchbook.functions.scores import pass_score
 from matchbook.operators import band
+from matchbook.operators.populations import surely_disjoint
 from matchbook.spec import MatchPass
 
 
@@ -32,18 +42,29 @@ def project_side(df: DataFrame, p: MatchPass, side: str) -> DataFrame:
     Only these columns travel through the join (explicit column pruning on
     top of what Catalyst prunes from the scan)."""
     left = side == "l"
+    known = df.columns
     cols = [F.col("row_id").alias(f"{side}_id")]
     for i, (lk, rk) in enumerate(p.hard_keys()):
-        cols.append(attr_expr(lk if left else rk).alias(f"{side}_k{i}"))
+        cols.append(attr_expr(lk if left else rk, known).alias(f"{side}_k{i}"))
     for i, a in enumerate(p.attributes):
-        cols.append(attr_expr(a.left if left else a.right).alias(f"{side}_a{i}"))
+        cols.append(attr_expr(a.left if left else a.right, known).alias(f"{side}_a{i}"))
     return df.select(cols)
 
 
-def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
-    """All scored candidate pairs (l_id, r_id, q) at or above the pass floor."""
+def lowest_of_equals(rows: DataFrame, side: str) -> DataFrame:
+    """The lowest id of each combination of key and attribute values."""
+    values = [c for c in rows.columns if c != f"{side}_id"]
+    return rows.groupBy(values).agg(F.min(f"{side}_id").alias(f"{side}_id"))
+
+
+def candidates(left: DataFrame, right: DataFrame, p: MatchPass,
+               collapse: bool = False) -> DataFrame:
+    """Scored candidate pairs (l_id, r_id, q) at or above the pass floor: all of them, or
+    with ``collapse`` those between the lowest ids of equal rows."""
     L = project_side(left, p, "l")
     R = project_side(right, p, "r")
+    if collapse:
+        L, R = lowest_of_equals(L, "l"), lowest_of_equals(R, "r")
     n_keys = len(p.hard_keys())
     cond = [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(n_keys)]
     types = [L.schema[f"l_a{i}"].dataType for i in range(len(p.attributes))]
@@ -73,9 +94,32 @@ def greedy_pairs(cands: DataFrame) -> DataFrame:
     return best_r.withColumn("_rn", F.row_number().over(w2)).where("_rn = 1").drop("_rn")
 
 
+def one_pair_per_row(pairs: DataFrame) -> DataFrame:
+    """Pairs that are the best of both their rows, whichever side these are on."""
+    low, high = F.least("l_id", "r_id"), F.greatest("l_id", "r_id")
+    roles = pairs.select("l_id", "r_id", "q", F.explode(F.array("l_id", "r_id")).alias("row"))
+    best = Window.partitionBy("row").orderBy(F.desc("q"), low, high, "l_id")
+    won = roles.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
+    return (won.groupBy("l_id", "r_id", "q").agg(F.count(F.lit(1)).alias("_n"))
+            .where("_n = 2").drop("_n"))
+
+
+def best_pairs(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """The accepted pairs (l_id, r_id, q) of a pass."""
+    if surely_disjoint(p):
+        return greedy_pairs(candidates(left, right, p, collapse=True))
+    # A mirrored pair keeps its better orientation, at equal quality the one with the
+    # lower id on the left.
+    both = candidates(left, right, p)
+    once = Window.partitionBy(F.least("l_id", "r_id"), F.greatest("l_id", "r_id")) \
+        .orderBy(F.desc("q"), "l_id")
+    both = both.withColumn("_rn", F.row_number().over(once)).where("_rn = 1").drop("_rn")
+    return one_pair_per_row(greedy_pairs(both))
+
+
 def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """One row per accepted pair with the id order (quality desc, right id asc)."""
-    pairs = greedy_pairs(candidates(left, right, p))
+    pairs = best_pairs(left, right, p)
     return pairs.select("l_id", "r_id", "q", (-F.col("q")).alias("_o1"),
                         F.col("r_id").alias("_o2"))
 

@@ -16,8 +16,16 @@ FILTER_COLUMNS = {
 }
 
 
-def clamp_page(limit: int, offset: int) -> tuple[int, int]:
-    return min(max(int(limit), 0), MAX_LIMIT), max(int(offset), 0)
+SEEK_CELLS = 4096                # row-id ranges counted in one seek step
+SEEK_ROWS = 10000                # rows that a page may step over after seeking
+
+
+def check_page(limit: int, offset: int) -> tuple[int, int]:
+    """The page bounds as integers; values outside them are an error, never cut silently."""
+    limit, offset = int(limit), int(offset)
+    if not 0 <= limit <= MAX_LIMIT or offset < 0:
+        raise ValueError(f"a page has 0 to {MAX_LIMIT} rows from an offset of 0 or more")
+    return limit, offset
 
 
 def filtered(result: DataFrame, status: str, filters: dict | None = None) -> DataFrame:
@@ -30,15 +38,45 @@ def filtered(result: DataFrame, status: str, filters: dict | None = None) -> Dat
     return df
 
 
+def seek(df: DataFrame, offset: int) -> tuple[int, int, DataFrame]:
+    """(total rows, rows left to step over, the rows from there on).
+
+    Rows are counted by row-id range, at most ``SEEK_CELLS`` ranges at a time, and the range
+    that holds the offset is narrowed until it holds few rows, so a deep page reads counts
+    and its own rows, never sorts the rows before it."""
+    low, high = df.agg(F.min("row_id"), F.max("row_id")).first()
+    if low is None:
+        return 0, 0, df
+    total, rest = None, offset
+    while True:
+        width = -(-(high - low + 1) // SEEK_CELLS)
+        cell = F.expr(f"CAST((row_id - {low}L) DIV {width}L AS INT)")
+        counts = sorted(tuple(r) for r in df.where(F.col("row_id").between(low, high))
+                        .groupBy(cell.alias("cell")).count().collect())
+        total = sum(n for _, n in counts) if total is None else total
+        if offset >= total:
+            return total, 0, df.limit(0)
+        for c, n in counts:
+            if rest < n:
+                break
+            rest -= n
+        low, high = low + c * width, low + (c + 1) * width - 1
+        if n <= SEEK_ROWS or width == 1:
+            return total, rest, df.where(F.col("row_id") >= low)
+
+
 def page(result: DataFrame, status: str, filters: dict | None = None,
-         limit: int = DEFAULT_LIMIT, offset: int = 0) -> tuple[int, DataFrame]:
-    """(total, page rows in input order).  The total is one count job; the page
-    is a top-(offset+limit) by row id, so no full sort of the result."""
-    limit, offset = clamp_page(limit, offset)
+         limit: int = DEFAULT_LIMIT, offset: int = 0,
+         after: int | None = None) -> tuple[int, DataFrame]:
+    """(total, page rows in input order).  ``after`` continues behind a row id (keyset
+    paging); an offset is sought by counts, see ``seek``."""
+    limit, offset = check_page(limit, offset)
     df = filtered(result, status, filters)
-    total = df.count()
-    rows = df.orderBy("row_id").offset(offset).limit(limit)
-    return total, rows
+    if after is not None:
+        return df.count(), df.where(F.col("row_id") > after).orderBy("row_id") \
+            .offset(offset).limit(limit)
+    total, rest, tail = seek(df, offset)
+    return total, tail.orderBy("row_id").offset(rest).limit(limit)
 
 
 def matches_page(result: DataFrame, filters: dict | None = None, limit: int = DEFAULT_LIMIT,
@@ -53,21 +91,26 @@ def breaks_page(result: DataFrame, filters: dict | None = None, limit: int = DEF
 
 def with_page_meta(total: int, rows: DataFrame, limit: int, offset: int) -> DataFrame:
     """Page rows with the page's total/limit/offset as columns."""
-    limit, offset = clamp_page(limit, offset)
+    limit, offset = check_page(limit, offset)
     return rows.select(F.lit(total).cast("bigint").alias("page_total"),
                        F.lit(limit).cast("bigint").alias("page_limit"),
                        F.lit(offset).cast("bigint").alias("page_offset"), "*")
 
 
-def run_history(spark: SparkSession, runs_path: str) -> DataFrame:
-    """Runs newest first; missing totals read as 0."""
+def run_history(spark: SparkSession, runs_path: str, meta: DataFrame | None = None) -> DataFrame:
+    """Runs newest first, then by run id; missing totals read as 0.  A missing start is taken
+    from the request metadata (run_id, started_at) if given."""
     runs = spark.read.parquet(runs_path)
+    if meta is not None:
+        asked = meta.select("run_id", F.col("started_at").alias("asked_at"))
+        runs = (runs.join(asked, "run_id", "left")
+                .withColumn("started_at", F.coalesce("started_at", "asked_at")))
     t = lambda c: F.coalesce(F.col(f"totals.{c}"), F.lit(0)).cast("bigint").alias(c)  # noqa
     return runs.select("run_id", "config_id", "set_id", F.coalesce("started_at", F.lit(""))
                        .alias("started_at"),
                        F.coalesce("duration_sec", F.lit(0.0)).alias("duration_sec"),
                        t("input_rows"), t("matched_rows"), t("unmatched_rows"),
-                       t("match_groups")).orderBy(F.desc("started_at"))
+                       t("match_groups")).orderBy(F.desc("started_at"), "run_id")
 
 
 def run_detail(spark: SparkSession, runs_path: str, run_id: str,

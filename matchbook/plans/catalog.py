@@ -33,7 +33,8 @@ def _key(spark: SparkSession, sf_dir: str, what: str):
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _key(spark, sf_dir, "ledger")
     if k not in _cache:
-        _cache[k] = materialize(derived_ledger(spark, sf_dir), "ledger")
+        _cache[k] = materialize(derived_ledger(
+            spark, sf_dir, spark.sparkContext.defaultParallelism), "ledger")
     return _cache[k]
 
 
@@ -319,8 +320,8 @@ def q_run_history(spark, sf_dir):
         else:
             r = run_passes(led, specs[cfg], run_id=run_id)
             result = r.result
-        m = summary.run_manifest(result, r.matches, specs[cfg], run_id, started,
-                                 r.duration_sec, r.cycle_date)
+        m = summary.run_manifest(result, specs[cfg], run_id, started, r.duration_sec,
+                                 r.cycle_date, r.groups, r.skipped, r.durations())
         record_run(m, path, cfg)
     return browse.run_history(spark, path).drop("duration_sec")
 
@@ -333,8 +334,8 @@ def q_run_detail(spark, sf_dir):
     path = scratch_path(spark, "runs")
     r = standard_run(spark, sf_dir)
     run_id, cfg, requested, started = RUN_META
-    m = summary.run_manifest(standard_result(spark, sf_dir), r.matches, standard_spec(), run_id,
-                             started, r.duration_sec, r.cycle_date)
+    m = summary.run_manifest(standard_result(spark, sf_dir), standard_spec(), run_id, started,
+                             r.duration_sec, r.cycle_date, r.groups, r.skipped, r.durations())
     record_run(m, path, cfg)
     meta = spark.createDataFrame([(run_id, "ignored-config", requested, "ignored")],
                                  "run_id string, config_id string, requested_cycle_date string, "

@@ -16,9 +16,9 @@ STMT_DR = (Filter("LS_TYPE", "=", "STMT"), Filter("DR_CR_IND", "=", "DR"),
 
 
 def o2o_pass(**kw) -> MatchPass:
-    base = dict(id="MP_O2O", name="One-to-One : Ledger Credit vs Statement Debit",
+    base = dict(id="MP_O2O", name="Single credits, same reference",
                 match_type="ONE_TO_ONE", left=GL_CR, right=STMT_DR,
-                quality=90, rule_order=1, priority=10, attributes=(
+                quality=90, rule_order=1, attributes=(
                     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
                     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
                     Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True,
@@ -29,9 +29,9 @@ def o2o_pass(**kw) -> MatchPass:
 
 
 def o2m_pass(**kw) -> MatchPass:
-    base = dict(id="MP_O2M", name="One-to-Many : Ledger Credit vs Statement Debits",
+    base = dict(id="MP_O2M", name="Credits paid in parts",
                 match_type="ONE_TO_MANY", left=GL_CR, right=STMT_DR,
-                quality=85, rule_order=2, priority=20, attributes=(
+                quality=85, rule_order=2, attributes=(
                     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True,
                               aggregation=Aggregation("RIGHT", "SUM")),
                     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
@@ -42,9 +42,9 @@ def o2m_pass(**kw) -> MatchPass:
 
 
 def m2o_pass(**kw) -> MatchPass:
-    base = dict(id="MP_M2O", name="Many-to-One : Ledger Credits vs Statement Debit",
+    base = dict(id="MP_M2O", name="Credits paid together",
                 match_type="MANY_TO_ONE", left=GL_CR, right=STMT_DR,
-                quality=85, rule_order=3, priority=30, attributes=(
+                quality=85, rule_order=3, attributes=(
                     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True,
                               aggregation=Aggregation("LEFT", "SUM")),
                     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
@@ -55,9 +55,9 @@ def m2o_pass(**kw) -> MatchPass:
 
 
 def m2m_pass(**kw) -> MatchPass:
-    base = dict(id="MP_M2M", name="Many-to-Many : Ledger Credits vs Statement Debits",
+    base = dict(id="MP_M2M", name="Credit batches against debit batches",
                 match_type="MANY_TO_MANY", left=GL_CR, right=STMT_DR,
-                quality=80, rule_order=4, priority=40, attributes=(
+                quality=80, rule_order=4, attributes=(
                     Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True,
                               tolerance_amount=0.01),
                     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),

@@ -1,20 +1,50 @@
-"""Independent SQL formulations (DuckDB dialect) of every registered query,
-used as the correctness oracle.
+"""SQL formulations (DuckDB dialect) of the registered queries, used as the
+correctness oracle.
 
 Plain relational SQL over the ``orders`` table: the derived ledger as a
 CTE, joins, window ranking, GROUP BY and, for N:M, subsets enumerated by
-joining members to a table of bit masks.  Nothing here runs on Spark.
+joining members to a table of bit masks.  Nothing here runs on Spark, and the
+rules under test are stated here on their own: keys, totalled amounts, date
+rules and id prefix are written out per pass, not asked from the engine.
 """
 
 from __future__ import annotations
 
 import re
 
-from matchbook.operators.numbering import mgid_prefix
 from matchbook.plans import catalog as C
 from matchbook.plans.configs import CYCLE_DATE, GL_CR, SET_ID, m2m_pass, m2o_pass, o2m_pass, \
     o2o_pass, standard_spec
-from matchbook.spec import CANONICAL_COLUMNS, WITHIN_FLOOR, MatchPass
+from matchbook.spec import CANONICAL_COLUMNS, MatchPass
+
+WITHIN_FLOOR = 80
+MGID_PREFIX = "MGID_USD_NOSTRO_CITIBANK_20240115_"
+
+ACCOUNT = ("BANK_ACCOUNT", "BANK_ACCOUNT")
+CCY = ("CURRENCY", "CURRENCY")
+#: Join keys of each pass, written out: (left expression, right expression).
+KEYS = {
+    "MP_O2O": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY, ("REFERENCE", "REFERENCE")],
+    "MP_O2M": [ACCOUNT, CCY], "MP_M2O": [ACCOUNT, CCY], "MP_M2M": [ACCOUNT, CCY],
+    "MP_SUBSTR": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY],
+    "MP_CONTAINS": [ACCOUNT, CCY], "MP_NUMERIC": [ACCOUNT, CCY], "MP_PERCENT": [ACCOUNT, CCY],
+    "MP_DATEBAND": [ACCOUNT, CCY], "MP_AMTBAND": [ACCOUNT, CCY], "MP_HOT": [ACCOUNT, CCY],
+    "MP_O2M_W": [ACCOUNT, CCY], "MP_M2M_PCT": [ACCOUNT, CCY], "MP_M2M_LARGE": [ACCOUNT, CCY],
+    "MP_M2M_SKIP": [ACCOUNT, CCY], "MP_OVERLAP": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY],
+    "MP_HOTFINE": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY, ("REFERENCE", "REFERENCE")],
+}
+
+
+
+def amount_rule(p: MatchPass):
+    """The attribute over AMOUNT: the totalled one in these passes."""
+    return next(a for a in p.attributes if a.left == "AMOUNT" and a.right == "AMOUNT")
+
+
+def date_rule(p: MatchPass):
+    """The day tolerance over VALUE_DATE, if the pass has one."""
+    return next((a for a in p.attributes if a.left == "VALUE_DATE" and a.tolerance_days), None)
+
 
 LEDGER_SQL = """SELECT row_id, LS_TYPE, DR_CR_IND, STATUS, CAST(amt_raw AS DECIMAL(18,4)) AS AMOUNT, CURRENCY, VALUE_DATE, BANK_ACCOUNT, REFERENCE FROM (
 WITH o AS (SELECT o_orderkey k, o_custkey c, CAST(ROUND(o_totalprice*100) AS BIGINT) cents, CAST(o_orderdate AS DATE) d,
@@ -77,7 +107,7 @@ def left_pop(alias, p: MatchPass) -> str:
 
 
 def right_pop(alias, p: MatchPass) -> str:
-    return f"({pop(alias, p.right)} AND NOT COALESCE({pop(alias, p.left)}, FALSE))"
+    return pop(alias, p.right)
 
 
 def tol_sql(a, base: str) -> str:
@@ -112,7 +142,7 @@ def within_sql(a, l: str, r: str) -> str:
 
 
 def o2o_candidates(p: MatchPass, src: str) -> str:
-    keys = " AND ".join(f"{q('l', lk)} = {q('r', rk)}" for lk, rk in p.hard_keys())
+    keys = " AND ".join(f"{q('l', lk)} = {q('r', rk)}" for lk, rk in KEYS[p.id])
     where = [left_pop("l", p), right_pop("r", p), "l.row_id <> r.row_id"]
     for a in p.attributes:
         if a.operator == "WITHIN":
@@ -134,8 +164,7 @@ def greedy(cands: str) -> str:
 
 
 def mgid(seq: str) -> str:
-    from datetime import date
-    return f"('{mgid_prefix(SET_ID, date.fromisoformat(CYCLE_DATE))}' || printf('%06d', {seq}))"
+    return f"('{MGID_PREFIX}' || printf('%06d', {seq}))"
 
 
 def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str], str, str]:
@@ -151,8 +180,8 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
         return ctes, lg, n
     if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
         one_left = p.match_type == "ONE_TO_MANY"
-        agg, da = p.sum_attribute(), p.date_attribute()
-        keys = p.hard_keys()
+        agg, da = amount_rule(p), date_rule(p)
+        keys = KEYS[p.id]
         mk = [(rk if one_left else lk) for lk, rk in keys]
         ok = [(lk if one_left else rk) for lk, rk in keys]
         many_pop = right_pop("m", p) if one_left else left_pop("m", p)
@@ -188,8 +217,8 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
                 f"UNION ALL SELECT m.row_id, {mgid('nn.seq')}, {pid}, nn.q FROM {src} m JOIN {n} nn ON {mon} WHERE {many_pop})"]
         return ctes, lg, n
     # MANY_TO_MANY
-    amt, da = p.amount_attribute(), p.date_attribute()
-    keys = p.hard_keys()
+    amt, da = amount_rule(p), date_rule(p)
+    keys = KEYS[p.id]
     knames = ", ".join(f"k{i}" for i in range(len(keys)))
 
     def members(side):
@@ -209,24 +238,37 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
             f"ELSE GREATEST({float(WITHIN_FLOOR)}, round_even(100.0 - {dlt} / GREATEST({tol}, 1e-12) * 20.0, 0)) END AS BIGINT)")
     date_ok = (f" AND datediff('day', LEAST(l_dmin, r_dmin), GREATEST(l_dmax, r_dmax)) <= {da.tolerance_days}"
                if da else "")
+    # Cells: buckets of 2..cap rows a side, and the date windows of larger ones.
+    cap = p.max_bucket_side
+    cell = f"{knames}, win"
+    fits = f"a.n BETWEEN 2 AND {cap} AND b.n BETWEEN 2 AND {cap}"
     ctes = [f"{tag}_ml AS ({members('l')})", f"{tag}_mr AS ({members('r')})",
-            f"{tag}_el AS (SELECT {knames} FROM (SELECT {knames}, COUNT(*) n FROM {tag}_ml GROUP BY ALL) a "
-            f"JOIN (SELECT {knames}, COUNT(*) n FROM {tag}_mr GROUP BY ALL) b USING ({knames}) "
-            f"WHERE a.n BETWEEN 2 AND 10 AND b.n BETWEEN 2 AND 10)"]
+            f"{tag}_bk AS (SELECT {knames}, {fits} AS small FROM (SELECT {knames}, COUNT(*) n FROM {tag}_ml GROUP BY ALL) a "
+            f"JOIN (SELECT {knames}, COUNT(*) n FROM {tag}_mr GROUP BY ALL) b USING ({knames}) WHERE a.n >= 2 AND b.n >= 2)"]
+    for s in ("l", "r"):
+        cut = (f" UNION ALL SELECT m.*, unnest(range(dn - {da.tolerance_days}, dn + 1)) AS win FROM "
+               f"(SELECT m.*, datediff('day', DATE '1970-01-01', d) AS dn FROM {tag}_m{s} m JOIN {tag}_bk USING ({knames}) WHERE NOT small) m"
+               if da else f" UNION ALL SELECT m.*, 0 AS dn, -2147483648 AS win FROM {tag}_m{s} m JOIN {tag}_bk USING ({knames}) WHERE NOT small")
+        ctes.append(f"{tag}_w{s} AS (SELECT m.*, 0 AS dn, CAST(-2147483648 AS BIGINT) AS win FROM {tag}_m{s} m "
+                    f"JOIN {tag}_bk USING ({knames}) WHERE small{cut})")
+    start = f" WHERE win = -2147483648 OR ({cell}) IN (SELECT {knames}, dn FROM {tag}_wl UNION SELECT {knames}, dn FROM {tag}_wr)"
+    ctes.append(f"{tag}_cells AS (SELECT {cell}, a.n AS n_left, b.n AS n_right, {fits} AS ok FROM "
+                f"(SELECT {cell}, COUNT(*) n FROM {tag}_wl{start} GROUP BY ALL) a "
+                f"JOIN (SELECT {cell}, COUNT(*) n FROM {tag}_wr GROUP BY ALL) b USING ({cell}) WHERE a.n >= 2 AND b.n >= 2)")
     for s in ("l", "r"):
-        ctes.append(f"{tag}_p{s} AS (SELECT m.*, row_number() OVER (PARTITION BY {knames} ORDER BY id) - 1 AS pos, "
-                    f"COUNT(*) OVER (PARTITION BY {knames}) AS n FROM {tag}_m{s} m JOIN {tag}_el USING ({knames}))")
-        ctes.append(f"{tag}_s{s} AS (SELECT {knames}, mask AS {s}_mask, SUM(u) AS {s}_sum, MIN(d) AS {s}_dmin, "
-                    f"MAX(d) AS {s}_dmax, COUNT(*) AS {s}_cnt FROM {tag}_p{s} JOIN (SELECT range AS mask FROM range(3, 1024)) mm "
+        ctes.append(f"{tag}_p{s} AS (SELECT m.*, row_number() OVER (PARTITION BY {cell} ORDER BY id) - 1 AS pos, "
+                    f"COUNT(*) OVER (PARTITION BY {cell}) AS n FROM {tag}_w{s} m JOIN (SELECT * FROM {tag}_cells WHERE ok) USING ({cell}))")
+        ctes.append(f"{tag}_s{s} AS (SELECT {cell}, mask AS {s}_mask, SUM(u) AS {s}_sum, MIN(d) AS {s}_dmin, "
+                    f"MAX(d) AS {s}_dmax, COUNT(*) AS {s}_cnt FROM {tag}_p{s} JOIN (SELECT range AS mask FROM range(3, {1 << cap})) mm "
                     f"ON (mask >> pos) & 1 = 1 AND mask < (1 << n) GROUP BY ALL HAVING COUNT(*) >= 2)")
     ctes.append(f"{g} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {knames} ORDER BY q DESC, "
-                f"l_cnt + r_cnt, l_mask DESC, r_mask DESC) AS rn FROM (SELECT *, {qual} AS q FROM {tag}_sl "
-                f"JOIN {tag}_sr USING ({knames}) WHERE {dlt} <= {tol}{date_ok}) WHERE q >= {p.quality}) WHERE rn = 1)")
+                f"l_cnt + r_cnt, win, l_mask DESC, r_mask DESC) AS rn FROM (SELECT *, {qual} AS q FROM {tag}_sl "
+                f"JOIN {tag}_sr USING ({cell}) WHERE {dlt} <= {tol}{date_ok}) WHERE q >= {p.quality}) WHERE rn = 1)")
     ctes.append(f"{n} AS (SELECT g.*, row_number() OVER (ORDER BY q DESC, lmin) + {offset} AS seq FROM {g} g "
-                f"JOIN (SELECT {knames}, MIN(id) AS lmin FROM {tag}_pl GROUP BY ALL) USING ({knames}))")
+                f"JOIN (SELECT {cell}, MIN(id) AS lmin FROM {tag}_pl GROUP BY ALL) USING ({cell}))")
     ctes.append(f"{lg} AS (SELECT m.id AS row_id, {mgid('nn.seq')} AS MATCHING_ID, {pid} AS MATCHED_BY_PASS, nn.q AS MATCH_QUALITY "
-                f"FROM {tag}_pl m JOIN {n} nn USING ({knames}) WHERE (nn.l_mask >> m.pos) & 1 = 1 "
-                f"UNION ALL SELECT m.id, {mgid('nn.seq')}, {pid}, nn.q FROM {tag}_pr m JOIN {n} nn USING ({knames}) "
+                f"FROM {tag}_pl m JOIN {n} nn USING ({cell}) WHERE (nn.l_mask >> m.pos) & 1 = 1 "
+                f"UNION ALL SELECT m.id, {mgid('nn.seq')}, {pid}, nn.q FROM {tag}_pr m JOIN {n} nn USING ({cell}) "
                 f"WHERE (nn.r_mask >> m.pos) & 1 = 1)")
     return ctes, lg, n
 

@@ -1,13 +1,13 @@
 """Run the ordered match passes and assemble the reconciliation result.
 
-Per pass: open rows -> populations -> matcher plan -> member rows; the open
-rows left-joined with the member rows on ``row_id`` are written once, as a
-state table bucketed on ``row_id``, to the shared checkpoint folder.  The
-next pass's open rows are a filter on it (no driver-side id set), and its
-state join reads them already partitioned.  After the last pass all groups
-are numbered in one distributed step, ordered by (pass, quality desc, tie
-id), so ids are dense and sequential across passes without any per-pass
-round trip to the driver.
+Per pass: open rows -> populations -> matcher plan -> member rows, which are
+narrow (row id, quality, order) and written once to the shared checkpoint
+folder.  The next pass's open rows are the ledger without the member rows so
+far (an anti-join on ``row_id``; no driver-side id set).  After the last pass
+all groups are numbered in one distributed step, ordered by (pass, quality
+desc, tie id), so ids are dense and sequential across passes without any
+per-pass round trip to the driver, and the ledger is joined once with the
+narrow long form.
 """
 
 from __future__ import annotations
@@ -54,6 +54,11 @@ class RunResult:
     run_id: str = ""
     extra: dict = field(default_factory=dict)
     result: DataFrame | None = None   # every input row with its match columns (a plan)
+    groups: DataFrame | None = None   # pass_id, matched_groups (a plan over narrow rows)
+    skipped: DataFrame | None = None  # pass_id, skipped_cells, skipped_rows of N:M passes (a plan)
+
+    def durations(self) -> dict[str, float]:
+        return {r.spec.id: r.duration_sec for r in self.passes}
 
 
 def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
@@ -98,12 +103,6 @@ def run_pass(remaining: DataFrame, p: MatchPass, set_id: str, cycle_date: date,
     return materialize(long, f"pass-{p.id}"), n
 
 
-_MEMBER_COLS = ("q", "_o1", "_o2", "_lead", "_pass", "MATCHED_BY_PASS")
-
-# Write each pass's state bucketed on row_id (see ``materialize``).
-BUCKET_STATES = True
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -115,79 +114,46 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
                run_id: str = "") -> RunResult:
     """Run every ACTIVE pass in ruleOrder; ids are sequential across passes.
 
-    Each pass writes one state table: its input rows left-joined with its
-    member rows on ``row_id``, bucketed on ``row_id``.  The rows still open
-    are a filter on it, so each later pass reads only those.  Group ids for
-    the whole run are then assigned in one distributed numbering step on
-    narrow columns and written as the long form ``matches``.  ``result``
-    (every input row with its match columns) joins each state's matched rows
-    to their ids by ``row_id`` (only the narrow side shuffles) and adds the
-    last pass's open rows; there is no join against the whole ledger."""
+    Only narrow member rows are written, one table per pass and the numbered long form
+    ``matches``.  ``result`` (every input row with its match columns) is a plan: the ledger
+    left-joined once with the long form on ``row_id``."""
     t0 = time.time()
     started = datetime.now(timezone.utc).isoformat()
     cdate = spec.effective_cycle_date(cycle_date)
     spark = ledger.sparkSession
-    stale = [c for c in OUTPUT_COLUMNS if c != "STATUS" and c in ledger.columns]
-    base = ledger.drop(*stale)
-    cols = base.columns
     runs: list[PassRun] = []
-    states: list[DataFrame] = []
-    remaining = base
+    skips: list[DataFrame] = []
+    remaining = ledger
     for k, p in enumerate(spec.active_passes()):
         t1 = time.time()
-        members = pass_members(remaining, p).select(
+        members = materialize(pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
-            F.lit(p.id).alias("MATCHED_BY_PASS"))
-        state = materialize(remaining.join(members, "row_id", "left"), f"state-{p.id}",
-                            bucket_by="row_id" if BUCKET_STATES else None)
-        states.append(state)
-        remaining = state.where(F.col("_pass").isNull()).select(cols)
-        runs.append(PassRun(p, state.where(F.col("_pass").isNotNull())
-                            .select("row_id", *_MEMBER_COLS), None, round(time.time() - t1, 3)))
-    status = lambda v: F.lit(v).alias("STATUS")
-    out_cols = [c for c in cols if c != "STATUS"]
-    if states:
+            F.lit(p.id).alias("MATCHED_BY_PASS")), f"members-{p.id}")
+        if p.match_type == "MANY_TO_MANY":
+            skips.append(many_to_many.skipped_totals(*pass_populations(remaining, p), p)
+                         .select(F.lit(p.id).alias("pass_id"), "skipped_cells", "skipped_rows"))
+        remaining = remaining.join(members.select("row_id"), "row_id", "left_anti")
+        runs.append(PassRun(p, members, None, round(time.time() - t1, 3)))
+    groups = None
+    numbering_sec = 0.0
+    if runs:
         t1 = time.time()
-        # Ids are attached on narrow columns only: number the group heads,
-        # give each member row its id, and write that long form once.
         narrow = _union([r.matches for r in runs])
+        groups = narrow.groupBy(F.col("MATCHED_BY_PASS").alias("pass_id")) \
+            .agg(F.count_if("_lead").alias("matched_groups"))
         ids, _ = group_ids(narrow, spec.set_id, cdate, with_count=False)
-        long = materialize(narrow.join(ids, ["_pass", "_o2"], "inner").select(
-            "row_id", "_pass", "MATCHING_ID", "MATCHED_BY_PASS",
-            F.col("q").alias("MATCH_QUALITY")), "matches")
+        matches = materialize(narrow.join(ids, ["_pass", "_o2"], "inner").select(
+            "row_id", "MATCHING_ID", "MATCHED_BY_PASS", F.col("q").alias("MATCH_QUALITY")),
+            "matches")
         numbering_sec = round(time.time() - t1, 3)
-        matches = long.drop("_pass")
         for r in runs:
             r.matches = matches.where(F.col("MATCHED_BY_PASS") == F.lit(r.spec.id))
-        # Each state's matched rows pick up their ids by row_id: the state is
-        # bucketed on row_id, so only the narrow id rows are shuffled.
-        parts = []
-        for k, state in enumerate(states):
-            ids_k = long.where(F.col("_pass") == F.lit(k)).select("row_id", "MATCHING_ID")
-            done = state.where(F.col("_pass").isNotNull()).join(ids_k, "row_id", "inner")
-            parts.append(done.select(
-                *[status("MATCHED") if c == "STATUS" else F.col(c) for c in cols],
-                F.lit(cdate).alias("MATCH_DATE"), "MATCHING_ID", "MATCHED_BY_PASS",
-                F.col("q").alias("MATCH_QUALITY")))
-        result = _union(parts)
     else:
         matches = spark.createDataFrame([], MATCH_SCHEMA)
-        numbering_sec = 0.0
-        result = None
-    open_rows = remaining.select(
-        *[status("UNMATCHED") if c == "STATUS" else F.col(c) for c in cols],
-        F.lit(None).cast("date").alias("MATCH_DATE"),
-        F.lit(None).cast("string").alias("MATCHING_ID"),
-        F.lit(None).cast("string").alias("MATCHED_BY_PASS"),
-        F.lit(None).cast("bigint").alias("MATCH_QUALITY"))
-    result = open_rows if result is None else result.unionByName(open_rows)
-    if "STATUS" not in cols:
-        result = result.select(*out_cols, "STATUS", "MATCH_DATE", "MATCHING_ID",
-                               "MATCHED_BY_PASS", "MATCH_QUALITY")
     matches = matches.withColumn("MATCH_DATE", F.lit(cdate))
     return RunResult(ledger, matches, runs, spec, cdate, started,
                      round(time.time() - t0, 3), run_id, {"numbering_sec": numbering_sec},
-                     result)
+                     reconcile(ledger, matches), groups, _union(skips) if skips else None)
 
 
 def reconcile(ledger: DataFrame, matches: DataFrame) -> DataFrame:

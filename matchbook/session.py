@@ -62,7 +62,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     ctx_dir = sc.getCheckpointDir()
     if ctx_dir:
         return ctx_dir.rstrip("/")
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[[^\]]*\])?", sc.master):     # not local-cluster[...]
         d = tempfile.mkdtemp(prefix="matchbook-ckpt-")
         sc.setCheckpointDir(d)
         return sc.getCheckpointDir().rstrip("/")
@@ -89,7 +89,7 @@ def materialize(df: DataFrame, tag: str, bucket_by: str | None = None) -> DataFr
     path = f"{checkpoint_root(spark)}/matchbook/{_RUN_TAG}/{_counter[0]:05d}-{tag}"
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)     # no job to infer the schema
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "mb_" + re.sub(r"[^0-9A-Za-z_]", "_", f"{_RUN_TAG}_{_counter[0]:05d}_{tag}")
     (df.write.mode("overwrite").format("parquet").bucketBy(n, bucket_by).sortBy(bucket_by)

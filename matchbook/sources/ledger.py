@@ -9,10 +9,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchbook.functions.predicates import column
 from matchbook.session import materialize
 from matchbook.spec import CANONICAL_COLUMNS, OUTPUT_COLUMNS, ExtraColumn, SpecError
 
@@ -66,38 +67,75 @@ def ledger_schema(header: list[str], extras=()) -> T.StructType:
     return T.StructType(fields)
 
 
+def _numbered(df: DataFrame, row_id: str) -> DataFrame:
+    """Rows numbered in (file name, position in the file) order, whatever the split sizes.
+
+    Every row knows its file and its position there: Parquet gives a row index; a text
+    split is read in order from its first byte, so the split's first byte and the row's
+    place among the rows of its task order the rows of a CSV file.  Positions become
+    numbers by counting rows per split (a few narrow rows), not by a global sort."""
+    spark = df.sparkSession
+    meta = F.col("_metadata")
+    tagged = materialize(df.select(
+        "*", meta["file_path"].alias("_mb_file"), meta["file_block_start"].alias("_mb_block"),
+        F.spark_partition_id().alias("_mb_task"),
+        F.monotonically_increasing_id().alias("_mb_at")), "ledger-scan")
+    first = Window.orderBy("_mb_file", "_mb_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (tagged.groupBy("_mb_file", "_mb_block", "_mb_task")
+              .agg(F.count(F.lit(1)).alias("_mb_n"), F.min("_mb_at").alias("_mb_min"))
+              .withColumn("_mb_start", F.coalesce(F.sum("_mb_n").over(first), F.lit(0))))
+    keys = ["_mb_file", "_mb_block", "_mb_task"]
+    out = tagged.join(splits, keys)                         # one row per input split
+    return out.select((F.col("_mb_start") + F.col("_mb_at") - F.col("_mb_min")).cast("bigint")
+                      .alias(row_id), *[column(c) for c in df.columns])
+
+
+def _require_unique(df: DataFrame, row_id: str) -> None:
+    key = column(row_id)
+    twice = df.groupBy(key.alias("id")).count().where("id IS NULL OR count > 1").limit(1).collect()
+    if twice:
+        raise SpecError(f"{row_id} must be a unique number; {twice[0]['id']} stands "
+                        f"{twice[0]['count']} times")
+
+
 def load_ledger(spark: SparkSession, path: str, fmt: str = "csv", extras=(),
                 row_id: str = "row_id") -> DataFrame:
-    """Typed scan of the input with a stable unique ``row_id``.
+    """Typed scan of the input with a stable unique BIGINT ``row_id``.
 
-    CSV is read with an explicit schema and FAILFAST (a malformed value is an
-    error, never a silent null).  If the input has no ``row_id`` column one is
-    assigned right after the scan and materialised once, so the ids cannot
-    change when a later stage is recomputed.  Stale output columns from an
-    earlier run are dropped.
+    CSV is read with an explicit schema and FAILFAST (a malformed value is an error, never
+    a silent null).  A ``row_id`` in the input is read as a number and must be unique.
+    Otherwise rows are numbered from 0 by file name and position in the file, once, so the
+    ids depend neither on split sizes nor on recomputed stages.  Stale output columns from
+    an earlier run are dropped.
     """
     if fmt == "csv":
         header = spark.read.option("header", True).csv(path).columns
-        df = (spark.read.schema(ledger_schema(header, extras)).option("header", True)
+        schema = T.StructType([T.StructField(f.name, T.LongType()) if f.name == row_id else f
+                               for f in ledger_schema(header, extras).fields])
+        df = (spark.read.schema(schema).option("header", True)
               .option("mode", "FAILFAST").option("enforceSchema", False).csv(path))
     else:
         df = spark.read.format(fmt).load(path)
         missing = sorted(set(CANONICAL_COLUMNS) - set(df.columns))
         if missing:
             raise SpecError(f"input is missing required canonical columns: {missing}")
-        declared = {e.name: e for e in extras if not _parsed_after_scan(e)}
-        df = df.select([F.col(c).cast(CANONICAL_TYPES[c]) if c in CANONICAL_TYPES else
-                        F.col(c).cast(extra_type(declared[c])) if c in declared else F.col(c)
-                        for c in df.columns])
+    given = row_id in df.columns
+    if not given:
+        df = _numbered(df, row_id)
+    declared = {e.name: e for e in extras if not _parsed_after_scan(e)}
+    types = CANONICAL_TYPES | {c: extra_type(e) for c, e in declared.items()} | {
+        row_id: T.LongType()}
+    df = df.select([column(c).cast(types[c]).alias(c) if c in types else column(c)
+                    for c in df.columns])
     for e in extras:
         if _parsed_after_scan(e) and e.name in df.columns:
-            raw = F.col(e.name).cast("string")
+            raw = column(e.name).cast("string")
             parsed = F.to_date(raw, e.format) if e.type == "date" else \
                 F.to_timestamp_ntz(raw, F.lit(e.format))
             df = df.withColumn(e.name, parsed)
     df = df.drop(*[c for c in OUTPUT_COLUMNS if c != "STATUS" and c in df.columns])
-    if row_id not in df.columns:
-        df = materialize(df.select(F.monotonically_increasing_id().alias(row_id), "*"), "ledger")
+    if given:
+        _require_unique(df, row_id)
     return df
 
 
@@ -109,8 +147,9 @@ def _calendar_date(col, dtype: T.DataType):
     return col.cast("date")
 
 
-def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reconciliation mix derived from ``orders``.
+def derived_ledger(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """The reconciliation mix derived from ``orders``; ``spread`` deals the orders to so many
+    partitions first, for sources of a few large row groups.
 
     Per order (``o_orderkey % 100``): 0-69 an exact GL/STMT pair, 70-79 a pair
     whose statement is one day later, 80-87 one GL row against 2-4 statement
@@ -125,13 +164,7 @@ def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
         _calendar_date(F.col("o_orderdate"), orders.schema["o_orderdate"].dataType).alias("d"))
-    # A source of fewer files than cores (one row group each, here) is read
-    # by a few tasks; spread it so the derived rows, and every table written
-    # from them, are not produced by one task.  Large inputs arrive in many
-    # files and are left alone.
-    cores = spark.sparkContext.defaultParallelism
-    if len(o.inputFiles()) < cores:
-        o = o.repartition(cores)
+    o = o.repartition(spread) if spread else o
     o = o.withColumn("kind", F.col("k") % 100).withColumn("parts", F.lit(2) + F.col("k") % 3)
     side = F.explode(F.array(
         F.struct(F.lit("GL").alias("ls"), F.lit("CR").alias("dc"), F.lit(0).alias("base")),

@@ -30,5 +30,6 @@ def record_run(manifest: DataFrame, runs_path: str, config_id: str | None = None
     """Append one run manifest row to the runs table (flattened totals)."""
     row = manifest.select(
         "run_id", F.lit(config_id).cast("string").alias("config_id"), "set_id", "cycle_date",
-        "started_at", "duration_sec", "totals", "pass_breakdown", "unmatched_breakdown")
+        "started_at", "duration_sec", "input_path", "output_path", "config_path", "totals",
+        "pass_breakdown", "unmatched_breakdown")
     row.write.mode("append").parquet(runs_path)

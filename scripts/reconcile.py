@@ -52,11 +52,13 @@ def main(argv: list[str] | None = None) -> dict:
     ledger = load_ledger(spark, args.input, in_fmt, extras=spec.extra_columns)
     run_id = args.run_id or uuid.uuid4().hex[:12]
     run = run_passes(ledger, spec, args.cycle_date, run_id=run_id)
-    write_result(run.result, args.output, fmt=args.format, ordered=True)
-    # Summaries read the written Parquet result, or the run's plan for CSV.
-    result = spark.read.parquet(args.output) if args.format == "parquet" else run.result
-    manifest = materialize(run_manifest(result, result, spec, run_id, run.started_at,
-                                        run.duration_sec, run.cycle_date), "manifest")
+    # Written once; the ordered output and the manifest read the written rows.
+    result = materialize(run.result, "result")
+    write_result(result, args.output, fmt=args.format, ordered=True)
+    manifest = materialize(run_manifest(
+        result, spec, run_id, run.started_at, run.duration_sec, run.cycle_date,
+        run.groups, run.skipped, run.durations(),
+        {"input": args.input, "output": args.output, "config": args.config}), "manifest")
     manifest.coalesce(1).write.mode("overwrite").json(args.output.rstrip("/") + "_manifest")
     if args.runs:
         record_run(manifest, args.runs)
