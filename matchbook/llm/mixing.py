@@ -85,19 +85,19 @@ def source_targets(base: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEA
 def _draw(seed: int) -> str:
     """SQL: quotas array ``q`` -> array of the left and the right child's quotas."""
     total = "aggregate(q, 0L, (a, x) -> a + x)"
-    uniform = f"shiftrightunsigned(xxhash64({seed}, node, s.i, i), 11) / 9007199254740992.0D"
+    uniform = f"shiftrightunsigned(xxhash64({seed}, node, s.i, j), 11) / 9007199254740992.0D"
     urn = f"""aggregate(
-        if(least(K, s.n) > 0, sequence(1L, least(K, s.n)), cast(array() AS array<bigint>)),
-        named_struct('x', 0L, 'N', s.N, 'S', greatest(K, s.n)),
-        (t, i) -> if({uniform} * t.N < t.S,
-                     named_struct('x', t.x + 1, 'N', t.N - 1, 'S', t.S - 1),
-                     named_struct('x', t.x, 'N', t.N - 1, 'S', t.S)),
+        if(least(K, s.take) > 0, sequence(1L, least(K, s.take)), cast(array() AS array<bigint>)),
+        named_struct('x', 0L, 'rest', s.rest, 'good', greatest(K, s.take)),
+        (t, j) -> if({uniform} * t.rest < t.good,
+                     named_struct('x', t.x + 1, 'rest', t.rest - 1, 'good', t.good - 1),
+                     named_struct('x', t.x, 'rest', t.rest - 1, 'good', t.good)),
         t -> t.x)"""
     step = f"""transform(array({urn}), x -> named_struct(
-        'i', s.i + 1, 'N', s.N - K, 'n', s.n - x,
+        'i', s.i + 1, 'rest', s.rest - K, 'take', s.take - x,
         'l', concat(s.l, array(x)), 'r', concat(s.r, array(K - x))))[0]"""
     return f"""aggregate(q,
-        named_struct('i', 0L, 'N', {total}, 'n', {total} div 2,
+        named_struct('i', 0L, 'rest', {total}, 'take', {total} div 2,
                      'l', cast(array() AS array<bigint>), 'r', cast(array() AS array<bigint>)),
         (s, K) -> {step},
         s -> array(s.l, s.r))"""
