@@ -51,6 +51,47 @@ def hot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cache[k]
 
 
+def adversarial_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger made hard: null accounts, currencies, sides and references, amounts
+    rounded to thousands and references to 50 values (many equal rows and ties), split
+    orders sharing accounts, dates moved to the start of their month."""
+    k = _key(spark, sf_dir, "adversarial")
+    if k not in _cache:
+        order = F.floor(F.col("row_id") / 16)
+        _cache[k] = materialize(ledger(spark, sf_dir).select(
+            "row_id",
+            F.when(order % 23 != 0, F.col("LS_TYPE")).alias("LS_TYPE"), "DR_CR_IND", "STATUS",
+            (F.floor(F.col("AMOUNT") / 1000) * 1000).cast("decimal(18,4)").alias("AMOUNT"),
+            F.when(order % 19 != 0, F.col("CURRENCY")).alias("CURRENCY"),
+            F.trunc("VALUE_DATE", "month").alias("VALUE_DATE"),
+            F.when(order % 17 != 0, F.when(
+                F.col("BANK_ACCOUNT").startswith("NOSTRO-AGG-"),
+                F.concat(F.lit("NOSTRO-AGG-"), (order % 397).cast("string")))
+                .otherwise(F.col("BANK_ACCOUNT"))).alias("BANK_ACCOUNT"),
+            F.when(order % 13 != 0, F.concat(F.lit("TRX-"), (order % 50).cast("string")))
+            .alias("REFERENCE")), "adversarial-ledger")
+    return _cache[k]
+
+
+def hot_fine_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger with a third of the single-row orders given one account, amount,
+    currency and reference (a standing fee)."""
+    fee = (F.floor(F.col("row_id") / 16) % 3 == 0) & F.col("BANK_ACCOUNT").startswith("NOSTRO-0")
+    one = lambda c, v: F.when(fee, F.lit(v)).otherwise(F.col(c)).alias(c)
+    return ledger(spark, sf_dir).select(
+        "row_id", "LS_TYPE", "DR_CR_IND", "STATUS",
+        F.when(fee, F.lit(25)).otherwise(F.col("AMOUNT")).cast("decimal(18,4)").alias("AMOUNT"),
+        one("CURRENCY", "USD"), "VALUE_DATE", one("BANK_ACCOUNT", "NOSTRO-FEE"),
+        one("REFERENCE", "FEE"))
+
+
+def adversarial_run(spark: SparkSession, sf_dir: str) -> RunResult:
+    k = _key(spark, sf_dir, "adversarial-run")
+    if k not in _cache:
+        _cache[k] = run_passes(adversarial_ledger(spark, sf_dir), standard_spec(), run_id="run-adv")
+    return _cache[k]
+
+
 def standard_run(spark: SparkSession, sf_dir: str) -> RunResult:
     k = _key(spark, sf_dir, "run")
     if k not in _cache:
@@ -115,6 +156,27 @@ M2M_PERCENT_PASS = m2m_pass(id="MP_M2M_PCT", attributes=(
     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
     Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=3)))
 
+M2M_LARGE_PASS = m2m_pass(id="MP_M2M_LARGE", attributes=(
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.05),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=6)))
+
+M2M_SKIP_PASS = m2m_pass(id="MP_M2M_SKIP", max_bucket_side=6, attributes=(
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=0.01),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=150)))
+
+OPEN_ITEMS = (Filter("STATUS", "=", "OPEN"),)
+OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), attributes=(
+    Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=40)))
+
+HOT_FINE_PASS = o2o_pass(id="MP_HOTFINE")
+
+POP_MIXED = (Filter("QTY", "<", 500.5), Filter("QTY", "!=", 7.25), Filter("AMOUNT", ">", 100000.00005),
+             Filter("VALUE_DATE", ">=", "1995-06-01"), Filter("QTY", ">=", "3"))
+
 POP_IN_LIKE = (Filter("CURRENCY", "IN", ["USD", "GBP"]),
                Filter("BANK_ACCOUNT", "LIKE", "NOSTRO-00%"),
                Filter("REFERENCE", "LIKE", "TRX-_%"))
@@ -244,6 +306,68 @@ def q_m2m_percent_groups(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, M2M_PERCENT_PASS)
 
 
+def q_m2m_large_bucket(spark, sf_dir):
+    """Buckets of up to more than a hundred rows a side, cut into date windows."""
+    return _numbered_pass(spark, sf_dir, M2M_LARGE_PASS)
+
+
+def q_m2m_skipped(spark, sf_dir):
+    """The cells that are too large to search, with their sizes."""
+    p = M2M_SKIP_PASS
+    left, right = pass_populations(ledger(spark, sf_dir), p)
+    return many_to_many.skipped(left, right, p).select(
+        F.col("k0").alias("BANK_ACCOUNT"), F.col("k1").alias("CURRENCY"), "window",
+        "n_left", "n_right")
+
+
+def q_o2o_overlap(spark, sf_dir):
+    """One population on both sides."""
+    left, right = pass_populations(adversarial_ledger(spark, sf_dir), OVERLAP_PASS)
+    return one_to_one.best_pairs(left, right, OVERLAP_PASS)
+
+
+def q_o2o_hot_fine_key(spark, sf_dir):
+    """A third of the rows agree in account, amount, currency and reference."""
+    left, right = pass_populations(hot_fine_ledger(spark, sf_dir), HOT_FINE_PASS)
+    return one_to_one.best_pairs(left, right, HOT_FINE_PASS)
+
+
+def q_adversarial_matches(spark, sf_dir):
+    return adversarial_run(spark, sf_dir).matches
+
+
+def q_run_manifest(spark, sf_dir):
+    """The manifest of the adversarial run, one row per figure."""
+    r = adversarial_run(spark, sf_dir)
+    m = summary.run_manifest(r.result, standard_spec(), "run-adv", "2024-01-15T09:00:00+00:00",
+                             r.duration_sec, r.cycle_date, r.groups, r.skipped, r.durations())
+    total = lambda c: F.struct(F.lit("total").alias("kind"), F.lit(c).alias("key"),
+                               F.col(f"totals.{c}").alias("value"))
+    listed = lambda kind, entries: F.transform(entries, lambda e: F.struct(
+        F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
+    return m.select(F.inline(F.concat(
+        F.array(*[total(c) for c in ("input_rows", "matched_rows", "unmatched_rows", "match_groups")]),
+        listed("side", F.map_entries("unmatched_breakdown.by_side")),
+        listed("currency", F.map_entries("unmatched_breakdown.by_currency")),
+        F.transform("pass_breakdown", lambda p: F.struct(
+            F.lit("groups").alias("kind"), p["pass_id"].alias("key"),
+            p["matched_groups"].alias("value"))))))
+
+
+def q_population_mixed_types(spark, sf_dir):
+    """Literals that the column's type does not hold, against BIGINT and DECIMAL(18,4)."""
+    led = ledger(spark, sf_dir).withColumn("QTY", F.col("row_id") % 1000)
+    return select_population(led, POP_MIXED)
+
+
+def q_parquet_load(spark, sf_dir):
+    """A Parquet ledger of many files without row ids: rows are numbered by file and position."""
+    path = scratch_path(spark, "parquet-ledger")
+    (ledger(spark, sf_dir).repartitionByRange(7, "row_id").sortWithinPartitions("row_id")
+     .drop("row_id").write.parquet(path))
+    return load_ledger(spark, path, "parquet")
+
+
 def q_m2m_groups(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, m2m_pass())
 
@@ -298,6 +422,14 @@ def q_matches_page(spark, sf_dir):
     return browse.with_page_meta(total, rows, 100, 50)
 
 
+DEEP_OFFSET = 20000
+
+
+def q_matches_page_deep(spark, sf_dir):
+    total, rows = browse.matches_page(standard_result(spark, sf_dir), None, 100, DEEP_OFFSET)
+    return browse.with_page_meta(total, rows, 100, DEEP_OFFSET)
+
+
 def q_breaks_page(spark, sf_dir):
     total, rows = browse.breaks_page(standard_result(spark, sf_dir), BREAKS_FILTERS, 100, 0)
     return browse.with_page_meta(total, rows, 100, 0)
@@ -350,10 +482,15 @@ def q_run_detail(spark, sf_dir):
 
 
 def q_csv_roundtrip(spark, sf_dir):
-    """Result written as CSV part files and loaded back as a typed ledger."""
+    """Result written as CSV part files; every written column is read back as its text, and
+    the ledger columns through the typed loader as well."""
     path = scratch_path(spark, "csv")
     write_result(standard_result(spark, sf_dir), path, fmt="csv", ordered=True)
-    return load_ledger(spark, path, "csv", extras=(ExtraColumn("row_id", "integer"),))
+    typed = load_ledger(spark, path, "csv").select("row_id", "AMOUNT", "VALUE_DATE", "BANK_ACCOUNT")
+    texts = spark.read.option("header", True).csv(path).select(
+        F.col("row_id").cast("bigint").alias("row_id"), "STATUS", F.col("AMOUNT").alias("AMOUNT_TEXT"),
+        "CURRENCY", "REFERENCE", "MATCH_DATE", "MATCHING_ID", "MATCHED_BY_PASS", "MATCH_QUALITY")
+    return typed.join(texts, "row_id")
 
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items())

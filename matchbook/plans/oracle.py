@@ -73,6 +73,17 @@ HOT_SQL = """SELECT row_id, LS_TYPE, DR_CR_IND, STATUS, AMOUNT, CURRENCY, VALUE_
   CASE WHEN BANK_ACCOUNT LIKE 'NOSTRO-0%' AND CAST(FLOOR(row_id / 16) AS BIGINT) % 3 = 0
        THEN 'NOSTRO-HOT' ELSE BANK_ACCOUNT END AS BANK_ACCOUNT, REFERENCE FROM ledger"""
 
+ADVERSARIAL_SQL = """SELECT row_id, CASE WHEN row_id // 16 % 23 <> 0 THEN LS_TYPE END AS LS_TYPE, DR_CR_IND, STATUS,
+  CAST(FLOOR(AMOUNT / 1000) * 1000 AS DECIMAL(18,4)) AS AMOUNT, CASE WHEN row_id // 16 % 19 <> 0 THEN CURRENCY END AS CURRENCY,
+  CAST(date_trunc('month', VALUE_DATE) AS DATE) AS VALUE_DATE,
+  CASE WHEN row_id // 16 % 17 <> 0 THEN CASE WHEN BANK_ACCOUNT LIKE 'NOSTRO-AGG-%' THEN 'NOSTRO-AGG-' || CAST(row_id // 16 % 397 AS VARCHAR) ELSE BANK_ACCOUNT END END AS BANK_ACCOUNT,
+  CASE WHEN row_id // 16 % 13 <> 0 THEN 'TRX-' || CAST(row_id // 16 % 50 AS VARCHAR) END AS REFERENCE FROM ledger"""
+
+FEE = "(row_id // 16 % 3 = 0 AND BANK_ACCOUNT LIKE 'NOSTRO-0%')"
+HOT_FINE_SQL = f"""SELECT row_id, LS_TYPE, DR_CR_IND, STATUS, CASE WHEN {FEE} THEN CAST(25 AS DECIMAL(18,4)) ELSE AMOUNT END AS AMOUNT,
+  CASE WHEN {FEE} THEN 'USD' ELSE CURRENCY END AS CURRENCY, VALUE_DATE,
+  CASE WHEN {FEE} THEN 'NOSTRO-FEE' ELSE BANK_ACCOUNT END AS BANK_ACCOUNT, CASE WHEN {FEE} THEN 'FEE' ELSE REFERENCE END AS REFERENCE FROM ledger"""
+
 LEDGER_COLS = "row_id, LS_TYPE, DR_CR_IND, STATUS, AMOUNT, CURRENCY, VALUE_DATE, BANK_ACCOUNT, REFERENCE"
 _COL_RE = re.compile(r"\b(" + "|".join(CANONICAL_COLUMNS) + r")\b")
 
@@ -356,6 +367,32 @@ def history_sql() -> str:
     return with_ctes(a_ctes + b_ctes, tot(ra, sa, ca, ma) + " UNION ALL " + tot(rb, sb, cb, mb))
 
 
+def overlap_sql() -> str:
+    """Both orientations, the better one of a mirrored pair, best right per left, best left
+    per right, and then a pair only where it is the best of both rows in either role."""
+    once = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY LEAST(l_id, r_id), GREATEST(l_id, r_id) "
+            f"ORDER BY q DESC, l_id) AS one FROM ({o2o_candidates(C.OVERLAP_PASS, 'adv')})) WHERE one = 1")
+    return with_ctes(BASE + [f"adv AS ({ADVERSARIAL_SQL})", f"g AS ({greedy(once)})",
+                             "roles AS (SELECT l_id, r_id, q, l_id AS r FROM g UNION ALL SELECT l_id, r_id, q, r_id FROM g)",
+                             "best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY q DESC, LEAST(l_id, r_id), GREATEST(l_id, r_id), l_id) AS n FROM roles)"],
+                     "SELECT l_id, r_id, q FROM best WHERE n = 1 GROUP BY ALL HAVING COUNT(*) = 2")
+
+
+def manifest_sql() -> str:
+    ctes, m = run_ctes(standard_spec(), "a_", with_base=False, src="adv")
+    open_items = lambda c, kind: (f"SELECT '{kind}', COALESCE({c}, '(null)'), COUNT(*) FROM adv "
+                                  f"WHERE row_id NOT IN (SELECT row_id FROM {m}) GROUP BY 2")
+    return with_ctes(
+        BASE + [f"adv AS ({ADVERSARIAL_SQL})"] + ctes,
+        f"SELECT 'total' AS kind, 'input_rows' AS key, (SELECT COUNT(*) FROM adv) AS value "
+        f"UNION ALL SELECT 'total', 'matched_rows', (SELECT COUNT(*) FROM {m}) "
+        f"UNION ALL SELECT 'total', 'unmatched_rows', (SELECT COUNT(*) FROM adv) - (SELECT COUNT(*) FROM {m}) "
+        f"UNION ALL SELECT 'total', 'match_groups', (SELECT COUNT(DISTINCT MATCHING_ID) FROM {m}) "
+        f"UNION ALL {open_items('LS_TYPE', 'side')} UNION ALL {open_items('CURRENCY', 'currency')} "
+        f"UNION ALL SELECT 'groups', x.id, (SELECT COUNT(DISTINCT MATCHING_ID) FROM {m} WHERE MATCHED_BY_PASS = x.id) "
+        f"FROM (VALUES ('MP_O2O'), ('MP_O2M'), ('MP_M2O'), ('MP_M2M')) AS x(id)")
+
+
 def oracle_sql() -> dict[str, str]:
     spec = standard_spec()
     res = lambda body: with_ctes(result_ctes(), body)
@@ -392,6 +429,23 @@ def oracle_sql() -> dict[str, str]:
         "m2m_subsets": with_ctes(BASE + pass_ctes(m2m, "ledger", "p", "0")[0],
                                  "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, l_mask, r_mask, q FROM p_groups"),
         "m2m_groups": _single(m2m, "long"),
+        "m2m_large_bucket": _single(C.M2M_LARGE_PASS, "long"),
+        "m2m_skipped": with_ctes(
+            BASE + pass_ctes(C.M2M_SKIP_PASS, "ledger", "p", "0")[0],
+            "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, CASE WHEN win > -2147483648 THEN DATE '1970-01-01' + CAST(win AS INTEGER) END AS \"window\", "
+            "n_left, n_right FROM p_cells WHERE NOT ok"),
+        "o2o_overlap": overlap_sql(),
+        "o2o_hot_fine_key": _pairs(C.HOT_FINE_PASS, src="fee", extra=[f"fee AS ({HOT_FINE_SQL})"]),
+        "adversarial_matches": with_ctes(
+            BASE + [f"adv AS ({ADVERSARIAL_SQL})"] + run_ctes(spec, "a_", with_base=False, src="adv")[0],
+            f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM a_matches"),
+        "run_manifest": manifest_sql(),
+        "population_mixed_types": with_ctes(
+            BASE, "SELECT * FROM (SELECT *, row_id % 1000 AS QTY FROM ledger) WHERE QTY < 500.5 AND QTY <> 7.25 "
+                  "AND AMOUNT > 100000.00005 AND VALUE_DATE >= DATE '1995-06-01' AND QTY >= 3"),
+        "parquet_load": with_ctes(
+            BASE, f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, {LEDGER_COLS.removeprefix('row_id, ')} FROM ledger"),
+        "matches_page_deep": page_sql("MATCHED", {}, 100, C.DEEP_OFFSET),
         "m2m_percent_groups": _single(C.M2M_PERCENT_PASS, "long"),
         "passes_matches": with_ctes(run_ctes(spec)[0], f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM matches"),
         "hot_passes_matches": with_ctes(
@@ -415,7 +469,9 @@ def oracle_sql() -> dict[str, str]:
         "matches_page": page_sql("MATCHED", C.MATCHES_FILTERS, 100, 50),
         "breaks_page": page_sql("UNMATCHED", C.BREAKS_FILTERS, 100, 0),
         "run_history": history_sql(),
-        "csv_roundtrip": res(f"SELECT {LEDGER_COLS} FROM result"),
+        "csv_roundtrip": res("SELECT row_id, AMOUNT, VALUE_DATE, BANK_ACCOUNT, STATUS, CAST(AMOUNT AS VARCHAR) AS AMOUNT_TEXT, "
+                             "CURRENCY, REFERENCE, strftime(MATCH_DATE, '%Y-%m-%d') AS MATCH_DATE, MATCHING_ID, MATCHED_BY_PASS, "
+                             "CAST(MATCH_QUALITY AS VARCHAR) AS MATCH_QUALITY FROM result"),
         "run_detail": res(
             f"SELECT '{C.RUN_META[0]}' AS run_id, '{SET_ID}' AS set_id, '{C.RUN_META[1]}' AS config_id, "
             f"DATE '{CYCLE_DATE}' AS cycle_date, '{C.RUN_META[2]}' AS requested_cycle_date, "
