@@ -6,18 +6,15 @@ import json
 import os
 import sys
 
-from test_spec import doc
-
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, os.path.join(os.path.dirname(HERE), "scripts"))
 
 
 def test_reconcile_script(spark, tmp_path):
     import reconcile
-    cfg = tmp_path / "config.json"
-    cfg.write_text(json.dumps(doc()))
+    cfg = os.path.join(HERE, "fixtures", "golden_config.json")
     out = str(tmp_path / "out")
-    totals = reconcile.main(["--config", str(cfg), "--input",
+    totals = reconcile.main(["--config", cfg, "--input",
                              os.path.join(HERE, "fixtures", "golden_input.csv"),
                              "--output", out, "--runs", str(tmp_path / "runs"), "--run-id", "r1"])
     assert totals == {"input_rows": 18, "matched_rows": 16, "unmatched_rows": 2, "match_groups": 6}
@@ -30,3 +27,5 @@ def test_reconcile_script(spark, tmp_path):
     assert rows[-1]["STATUS"] == "UNMATCHED"
     man = [json.loads(l) for f in glob.glob(out + "_manifest/*.json") for l in open(f)]
     assert man[0]["run_id"] == "r1" and len(man[0]["pass_breakdown"]) == 4
+    assert man[0]["config_path"] == cfg and man[0]["output_path"] == out
+    assert all(p["duration_sec"] > 0 for p in man[0]["pass_breakdown"])

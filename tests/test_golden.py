@@ -3,6 +3,8 @@
 import csv
 import os
 
+import pytest
+
 from matchbook.plans.configs import standard_spec
 from matchbook.plans.run import reconcile, run_passes
 from matchbook.plans import summary
@@ -76,7 +78,11 @@ def test_golden_pages(spark):
     assert rows.count() == 2
     total, rows = browse.breaks_page(res, {"nonsense": "x"})
     assert sorted(r.REFERENCE for r in rows.collect()) == ["ORPHAN1", "ORPHAN2"]
-    assert browse.clamp_page(-3, -1) == (0, 0) and browse.clamp_page(10 ** 6, 5) == (10000, 5)
+    total, rows = browse.page(res, "MATCHED", limit=5, after=3)
+    assert total == 16 and [r.row_id for r in rows.collect()] == [4, 5, 6, 7, 8]
+    for bad in ((-1, 0), (10, -1), (10001, 0)):
+        with pytest.raises(ValueError):
+            browse.check_page(*bad)
 
 
 def test_run_result_equals_reconcile(spark):

@@ -1,12 +1,20 @@
 """Edge cases of the four matchers on hand-made ledgers."""
 
+from datetime import date
+from decimal import Decimal
+
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from helpers import ledger_df, long_rows, row
+from helpers import LEDGER_SCHEMA, ledger_df, long_rows, row
+from matchbook.operators import many_to_many, one_to_one
+from matchbook.operators.populations import pass_populations, select_population
 from matchbook.plans.configs import m2m_pass, m2o_pass, o2m_pass, o2o_pass
-from matchbook.plans.run import run_pass
-from matchbook.spec import Attribute, Aggregation, MatchPass, SpecError
-from datetime import date
+from matchbook.plans import browse, summary
+from matchbook.plans.run import run_pass, run_passes
+from matchbook.sources.ledger import load_ledger
+from matchbook.spec import Aggregation, Attribute, ExtraColumn, Filter, MatchPass, RunSpec, SpecError
 
 CD = date(2024, 1, 15)
 
@@ -39,11 +47,75 @@ def test_o2o_null_keys_never_match(spark):
     assert got == [] and n == 0
 
 
-def test_overlapping_populations_never_self_pair(spark):
+def test_overlapping_populations_pair_each_row_once(spark):
     p = o2o_pass(left=(), right=())           # every row is in both populations
-    rows = [row(1, "L", 100), row(2, "R", 100)]
-    got, _ = _run(spark, rows, p)
-    assert got == []                          # rows qualifying for both sides are left rows
+    rows = [row(1, "L", 100), row(2, "R", 100), row(3, "R", 100), row(4, "L", 7), row(5, "L", 9), row(6, "R", 9)]
+    got, n = _run(spark, rows, p)
+    assert n == 2 and [r[0] for r in got] == [1, 2, 5, 6]     # 3 finds its partners taken
+    for p in (o2m_pass(left=(), right=()), m2o_pass(left=(), right=()), m2m_pass(left=(), right=())):
+        with pytest.raises(SpecError):
+            _run(spark, rows, p)
+
+
+def test_equal_rows_collapse_before_the_join(spark):
+    rows = [row(i, "L" if i % 2 else "R", 25, ref="FEE") for i in range(1, 401)]
+    p = o2o_pass()
+    left, right = pass_populations(ledger_df(spark, rows), p)
+    assert one_to_one.candidates(left, right, p).count() == 200 * 200
+    assert [tuple(r) for r in one_to_one.candidates(left, right, p, collapse=True).collect()] == [(1, 2, 100)]
+    got, n = _run(spark, rows, p)
+    assert n == 1 and [r[0] for r in got] == [1, 2]
+
+
+def test_large_buckets_are_cut_by_date_and_the_rest_is_counted(spark):
+    rows, rid = [], 1
+    for day in range(1, 25):                   # 24 rows a side, one each day, and one group of 2 + 2
+        for s in "LR":
+            # Right amounts have fractions that never sum to a whole number.
+            rows.append(row(rid, s, 1000 * 3 ** (day % 4) + (0.5 if s == "R" else 0) / 8 ** (day % 4),
+                            d=f"2024-02-{day:02d}"))
+            rid += 1
+    rows += [row(900, "L", 5.5, d="2024-03-20"), row(901, "L", 4.5, d="2024-03-21"),
+             row(902, "R", 3, d="2024-03-20"), row(903, "R", 7, d="2024-03-22")]
+    got, n = _run(spark, rows, m2m_pass())
+    assert n == 1 and [r[0] for r in got] == [900, 901, 902, 903]
+    crowd = [row(2000 + k, "LR"[k % 2], 50 + k, d="2024-04-01", acct="CROWD") for k in range(40)]
+    left, right = pass_populations(ledger_df(spark, rows + crowd), m2m_pass())
+    skipped = many_to_many.skipped(left, right, m2m_pass()).collect()
+    assert [(r["k0"], r["n_left"], r["n_right"]) for r in skipped] == [("CROWD", 20, 20)]
+    assert tuple(many_to_many.skipped_totals(left, right, m2m_pass()).first()) == (1, 40)
+    assert many_to_many.skipped_totals(left, right, m2m_pass(max_bucket_side=20)).first()[0] == 0
+
+
+def test_filter_literals_compare_exactly(spark):
+    df = spark.createDataFrame([(1, Decimal("100.0000")), (2, Decimal("100.0001")), (3, Decimal("5"))],
+                               "QTY bigint, AMOUNT decimal(18,4)")
+    pick = lambda *f: sorted(r["QTY"] for r in select_population(df, [Filter(*f)]).collect())
+    assert pick("QTY", "<", 2.5) == [1, 2] and pick("QTY", "=", 2.5) == [] and pick("QTY", "IN", [2.5, 3]) == [3]
+    assert pick("AMOUNT", ">", 100.00005) == [2] and pick("AMOUNT", "=", "100.0") == [1]
+    assert pick("QTY", ">=", "2") == [2, 3] and pick("AMOUNT", "<", 10 ** 20) == [1, 2, 3]
+
+
+def test_awkward_column_names(spark):
+    rows = [(*row(1, "L", 100), "a", 1), (*row(2, "R", 100), "a", 2), (*row(3, "R", 100), "b", 3)]
+    df = spark.createDataFrame(rows, T.StructType([*LEDGER_SCHEMA.fields, T.StructField("TRADE-ID", T.StringType()),
+                                                   T.StructField("q", T.LongType())]))
+    p = o2o_pass(attributes=(Attribute("TRADE-ID", "TRADE-ID", "EQUALS"),
+                             Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True)))
+    extra = (ExtraColumn("TRADE-ID", "string"), ExtraColumn("q", "integer"))
+    run = run_passes(df, RunSpec("T", (p,), "2024-01-15", extra))
+    got = {r["row_id"]: (r["STATUS"], r["q"]) for r in run.result.collect()}
+    assert got == {1: ("MATCHED", 1), 2: ("MATCHED", 2), 3: ("UNMATCHED", 3)}
+
+
+def test_wide_decimals_are_not_binned(spark):
+    wide = ledger_df(spark, [row(1, "L", 10), row(2, "R", 10.5)]).withColumn(
+        "AMOUNT", F.col("AMOUNT").cast("decimal(38,4)") + F.lit("9" * 25).cast("decimal(38,0)"))
+    p = o2o_pass(quality=0, attributes=(
+        Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+        Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=1e12)))
+    long, n = run_pass(wide, p, "T", CD)
+    assert n == 1
 
 
 def test_o2o_quality_rounding_half_up(spark):
@@ -226,3 +298,54 @@ def test_within_on_extra_date_column(spark):
         long, n = run_pass(led, p, "T", CD)
         ids = sorted(r.row_id for r in long.collect())
         assert ids == [1, 2] and n == 1, (band, ids)
+
+
+def test_row_identity(spark, tmp_path):
+    head = "LS_TYPE,DR_CR_IND,STATUS,AMOUNT,CURRENCY,VALUE_DATE,BANK_ACCOUNT,REFERENCE"
+    line = lambda n: f"GL,CR,OPEN,{n}.00,USD,2024-01-15,A,R{n}"
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join([head] + [line(n) for n in range(3)]) + "\n")
+    (folder / "b.csv").write_text("\n".join([head] + [line(n) for n in range(3, 4000)]) + "\n")
+    for split in ("134217728", "20000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = load_ledger(spark, str(folder)).orderBy("row_id").select("row_id", "REFERENCE").collect()
+        assert [tuple(r) for r in got] == [(n, f"R{n}") for n in range(4000)]
+        parquet = str(tmp_path / f"p{split}")
+        spark.createDataFrame([(*r[1:],) for r in [row(n, "L", n, ref=f"R{n}") for n in range(500)]],
+                              T.StructType(LEDGER_SCHEMA.fields[1:])).coalesce(1).write.parquet(parquet)
+        got = load_ledger(spark, parquet, "parquet").orderBy("row_id").collect()
+        assert [(r["row_id"], r["REFERENCE"]) for r in got] == [(n, f"R{n}") for n in range(500)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024 * 1024))
+    given = tmp_path / "given.csv"
+    given.write_text("\n".join(["row_id," + head, "2," + line(1), "10," + line(1)]) + "\n")
+    assert dict(load_ledger(spark, str(given)).dtypes)["row_id"] == "bigint"
+    given.write_text("\n".join(["row_id," + head, "2," + line(1), "2," + line(1)]) + "\n")
+    with pytest.raises(SpecError):
+        load_ledger(spark, str(given))
+
+
+def test_manifest_keeps_items_without_side_or_currency(spark):
+    rows = [row(1, "L", 100), row(2, "R", 100), row(3, "L", 5, ccy=None), (4, None, *row(4, "L", 1)[2:])]
+    spec = RunSpec("T", (o2o_pass(), m2m_pass()), "2024-01-15")
+    run = run_passes(ledger_df(spark, rows), spec, run_id="x")
+    m = summary.run_manifest(run.result, spec, "x", run.started_at, 1.0, run.cycle_date, run.groups,
+                             run.skipped, run.durations(), {"input": "in"}).first()
+    assert m.totals.asDict() == {"input_rows": 4, "matched_rows": 2, "unmatched_rows": 2, "match_groups": 1}
+    assert m.unmatched_breakdown.by_side == {"GL": 1, "(null)": 1}
+    assert m.unmatched_breakdown.by_currency == {"USD": 1, "(null)": 1}
+    assert [(p.pass_id, p.matched_groups, p.matched_rows, p.skipped_rows) for p in m.pass_breakdown] == \
+        [("MP_O2O", 1, 2, 0), ("MP_M2M", 0, 0, 0)]
+    assert m.input_path == "in" and m.output_path is None and m.pass_breakdown[0].duration_sec > 0
+    alone = summary.run_manifest(run.result, spec, "x", run.started_at, 1.0, run.cycle_date).first()
+    assert alone.totals == m.totals
+
+
+def test_deep_pages_are_sought(spark):
+    result = spark.range(0, 50000).selectExpr("id * 3 + IF(id > 40000, 1000000, 0) AS row_id",
+                                              "IF(id % 5 = 0, 'UNMATCHED', 'MATCHED') AS STATUS")
+    ids = [r.row_id for r in result.where("STATUS = 'MATCHED'").orderBy("row_id").collect()]
+    for offset in (0, 7, 12345, 31999, 32001, 39995, 40000, 99999):
+        total, rows = browse.matches_page(result, limit=10, offset=offset)
+        assert total == len(ids) and [r.row_id for r in rows.collect()] == ids[offset:offset + 10]
+    assert browse.seek(result, 45000)[1] < browse.SEEK_ROWS
