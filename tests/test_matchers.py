@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from helpers import LEDGER_SCHEMA, ledger_df, long_rows, row
 from matchbook.operators import many_to_many, one_to_one
+from matchbook.operators.matching import (match_many_to_many, match_many_to_one, match_one_to_many,
+                                          match_one_to_one, number_groups, score_pairs)
 from matchbook.operators.populations import pass_populations, select_population
 from matchbook.plans.configs import m2m_pass, m2o_pass, o2m_pass, o2o_pass
 from matchbook.plans import browse, summary
@@ -349,3 +351,34 @@ def test_deep_pages_are_sought(spark):
         total, rows = browse.matches_page(result, limit=10, offset=offset)
         assert total == len(ids) and [r.row_id for r in rows.collect()] == ids[offset:offset + 10]
     assert browse.seek(result, 45000)[1] < browse.SEEK_ROWS
+
+
+def test_matchers_as_operators(spark):
+    rows = [row(1, "L", 100), row(2, "R", 100), row(3, "L", 300, ref="B"), row(4, "R", 100, ref="C"),
+            row(5, "R", 200, ref="D")]
+    p = o2o_pass()
+    left, right = pass_populations(ledger_df(spark, rows), p)
+    pairs = match_one_to_one(left, right, p)
+    ids = number_groups(pairs, "T", CD, offset=4).collect()
+    assert {(r["row_id"], r["quality"], r["MATCHING_ID"]) for r in ids} == \
+        {(1, 100, "MGID_T_20240115_000005"), (2, 100, "MGID_T_20240115_000005")}
+    rest = lambda df: df.where("row_id > 2")
+    got = match_one_to_many(rest(left), rest(right), o2m_pass())
+    assert sorted(r["row_id"] for r in got.collect()) == [3, 4, 5] and got.where("leads").count() == 1
+    mirror = match_many_to_one(rest(right), rest(left), m2o_pass(left=(), right=()))
+    assert sorted(r["row_id"] for r in mirror.collect()) == [3, 4, 5]
+    assert match_many_to_many(left, right, m2m_pass()).count() == 5     # 100 + 300 = 100 + 100 + 200
+    with pytest.raises(SpecError):
+        match_one_to_one(left, right, o2m_pass())
+
+
+def test_score_pairs(spark):
+    rows = [row(1, "L", 10, ref="AB12"), row(2, "R", 10, d="2024-01-18", ref="AB99")]
+    df = ledger_df(spark, rows)
+    pairs = df.where("row_id = 1").select(F.struct("*").alias("l")).join(
+        df.where("row_id = 2").select(F.struct("*").alias("r")), F.lit(True))
+    got = score_pairs(pairs, [
+        Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
+        Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=4),
+        Attribute("SUBSTRING(REFERENCE, 1, 2)", "SUBSTRING(REFERENCE, 1, 2)", "EQUALS")]).first()
+    assert got["quality"] == 93                    # (100 * 10 + 85 * 10 + 100 * 3) / 23 = 93.48
