@@ -61,9 +61,9 @@ def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
     return out.where(F.col("day").isNotNull()) if date_attr is not None else out
 
 
-def _both_sides(left: DataFrame, right: DataFrame, p: MatchPass,
+def member_rows(left: DataFrame, right: DataFrame, p: MatchPass,
                 scale: int | None = None) -> DataFrame:
-    """Member rows of both populations in one frame, tagged by side."""
+    """Member rows of both populations in one frame, tagged by side: keys, id, units, day."""
     scale = _scale(left, p.amount_attribute().left) if scale is None else scale
     return _members(left, p, "l", scale).withColumn("side", F.lit("l")).unionByName(
         _members(right, p, "r", scale).withColumn("side", F.lit("r")))
@@ -85,7 +85,7 @@ def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
 
     One partially-aggregated count over both sides: a hot bucket is a single
     row before the shuffle."""
-    both = both if both is not None else _both_sides(left, right, p)
+    both = both if both is not None else member_rows(left, right, p)
     return (_counts(both, _key_names(p)).where((F.col("n_left") > 0) & (F.col("n_right") > 0))
             .withColumn("eligible", _fits(p)))
 
@@ -130,16 +130,16 @@ def _cell_members(both: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame]:
 def skipped(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """One row per cell that is too large: keys, window (its first day; null if the bucket
     is not cut), n_left, n_right."""
-    _, large = _cell_members(_both_sides(left, right, p), p)
+    _, large = _cell_members(member_rows(left, right, p), p)
     first = F.when(F.col("win") != WHOLE, F.date_from_unix_date("win"))
     return (_counts(large, _key_names(p) + ["win"])
             .withColumn("window", first).drop("win"))
 
 
-def skipped_totals(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+def skipped_totals(both: DataFrame, p: MatchPass) -> DataFrame:
     """One row: skipped_cells and skipped_rows (rows that are in a cell too large and in no
-    cell that was tried)."""
-    tried, large = _cell_members(_both_sides(left, right, p), p)
+    cell that was tried) of the pass's ``member_rows``."""
+    tried, large = _cell_members(both, p)
     cells = large.select(*_key_names(p), "win").distinct()
     rows = large.select("id").distinct().join(tried.select("id").distinct(), "id", "left_anti")
     both = cells.select(F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(
@@ -148,11 +148,11 @@ def skipped_totals(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame
                     F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("skipped_rows"))
 
 
-def _bucket_lists(left: DataFrame, right: DataFrame, p: MatchPass, scale: int) -> DataFrame:
+def _bucket_lists(both: DataFrame, p: MatchPass) -> DataFrame:
     """One row per cell with both member arrays.
 
     Lists are only built after the counts proved the cell small."""
-    m, _ = _cell_members(_both_sides(left, right, p, scale), p)
+    m, _ = _cell_members(both, p)
     member = F.struct("id", "u", "day")
     return m.groupBy(_key_names(p) + ["win"]).agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", member))).alias("l_m"),
@@ -176,16 +176,17 @@ def _subsets(buckets: DataFrame, side: str, kn: list[str]) -> DataFrame:
         F.bit_count(mask).alias(f"{side}_cnt"))
 
 
-def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame]:
-    """(winning pair per bucket, cell lists).  Id order: (quality desc,
-    smallest left row id of the cell)."""
+def groups(left: DataFrame, right: DataFrame, p: MatchPass,
+           both: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(winning pair per bucket, cell lists).  Id order: (quality desc, smallest left row id
+    of the cell).  ``both``: the pass's ``member_rows``, if they are at hand."""
     amt = p.amount_attribute()
     date_attr = p.date_attribute()
     scale = _scale(left, amt.left)
     bucket, kn = _key_names(p), _key_names(p) + ["win"]
     tol_abs = float(amt.tolerance_amount or 0.0)
     tol_pct = float(amt.tolerance_percent or 0.0)
-    b = _bucket_lists(left, right, p, scale)
+    b = _bucket_lists(both if both is not None else member_rows(left, right, p, scale), p)
     # Widest tolerance any left subset can have, in units (sum of |members| bounds |sumL|).
     abs_total = F.aggregate(F.col("l_m"), F.lit(0).cast("bigint"),
                             lambda a, x: a + F.abs(x["u"]))

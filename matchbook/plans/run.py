@@ -61,17 +61,22 @@ class RunResult:
         return {r.spec.id: r.duration_sec for r in self.passes}
 
 
-def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
+def pass_members(remaining: DataFrame, p: MatchPass, skips: list | None = None) -> DataFrame:
     """One pass over ``remaining`` (lazy): member rows
     (row_id, q, _o1, _o2, _lead) where (_o1, _o2) is the group's id order
-    inside the pass and exactly one member per group leads."""
+    inside the pass and exactly one member per group leads.  What an N:M pass
+    leaves out is appended to ``skips`` as a plan."""
     left, right = pass_populations(remaining, p)
     if p.match_type == "ONE_TO_ONE":
         return one_to_one.members(one_to_one.groups(left, right, p))
     if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
         return one_to_many.members(one_to_many.groups(left, right, p), left, right, p)
-    best, buckets = many_to_many.groups(left, right, p)
-    return many_to_many.members(best, buckets, p)
+    both = many_to_many.member_rows(left, right, p)
+    if skips is not None:
+        both = materialize(both, f"rows-{p.id}")       # counted, searched and reported from here
+        skips.append(many_to_many.skipped_totals(both, p).select(
+            F.lit(p.id).alias("pass_id"), "skipped_cells", "skipped_rows"))
+    return many_to_many.members(*many_to_many.groups(left, right, p, both), p)
 
 
 def group_ids(raw: DataFrame, set_id: str, cycle_date: date, offset: int = 0,
@@ -126,12 +131,9 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     remaining = ledger
     for k, p in enumerate(spec.active_passes()):
         t1 = time.time()
-        members = materialize(pass_members(remaining, p).select(
+        members = materialize(pass_members(remaining, p, skips).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS")), f"members-{p.id}")
-        if p.match_type == "MANY_TO_MANY":
-            skips.append(many_to_many.skipped_totals(*pass_populations(remaining, p), p)
-                         .select(F.lit(p.id).alias("pass_id"), "skipped_cells", "skipped_rows"))
         remaining = remaining.join(members.select("row_id"), "row_id", "left_anti")
         runs.append(PassRun(p, members, None, round(time.time() - t1, 3)))
     groups = None

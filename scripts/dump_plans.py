@@ -41,7 +41,7 @@ def main(sf: str = "/root/testdata/sf0.001") -> None:
          pass_members(catalog.hot_ledger(spark, sf), catalog.HOT_PASS)),
         ("1:N pass", pass_members(led, o2m_pass())),
         ("N:M pass", pass_members(led, m2m_pass())),
-        ("Result assembly (bucketed states joined to narrow ids by row_id)",
+        ("Result assembly (the ledger joined once with the narrow long form)",
          catalog.standard_run(spark, sf).result),
     ]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
