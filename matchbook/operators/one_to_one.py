@@ -57,16 +57,18 @@ def lowest_of_equals(rows: DataFrame, side: str) -> DataFrame:
     return rows.groupBy(values).agg(F.min(f"{side}_id").alias(f"{side}_id"))
 
 
-def candidates(left: DataFrame, right: DataFrame, p: MatchPass,
-               collapse: bool = False) -> DataFrame:
-    """Scored candidate pairs (l_id, r_id, q) at or above the pass floor: all of them, or
-    with ``collapse`` those between the lowest ids of equal rows."""
-    L = project_side(left, p, "l")
-    R = project_side(right, p, "r")
-    if collapse:
-        L, R = lowest_of_equals(L, "l"), lowest_of_equals(R, "r")
+def score_only(p: MatchPass) -> list[int]:
+    """The EQUALS attributes that add to the score but are no join keys."""
+    return [i for i, a in enumerate(p.attributes) if a.operator == "EQUALS"
+            and a.aggregation is None and (a.left, a.right) not in p.hard_keys()]
+
+
+def _scored(L: DataFrame, R: DataFrame, p: MatchPass, equal: tuple[int, ...] = ()) -> DataFrame:
+    """Scored pairs of projected sides at or above the floor; the attributes ``equal`` are
+    join keys as well."""
     n_keys = len(p.hard_keys())
     cond = [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(n_keys)]
+    cond += [F.col(f"l_a{i}") == F.col(f"r_a{i}") for i in equal]
     types = [L.schema[f"l_a{i}"].dataType for i in range(len(p.attributes))]
     for k, (i, t) in enumerate(band.pick_bands(p, types)):
         L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}",
@@ -85,6 +87,29 @@ def candidates(left: DataFrame, right: DataFrame, p: MatchPass,
     return cand.select("l_id", "r_id", q.alias("q")).where(F.col("q") >= F.lit(p.quality))
 
 
+def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """All scored candidate pairs (l_id, r_id, q) at or above the pass floor."""
+    return _scored(project_side(left, p, "l"), project_side(right, p, "r"), p)
+
+
+def best_candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """The candidates that can be chosen: those between the lowest ids of equal rows.
+
+    Where one attribute only adds to the score (a reference that is no key), a left row's
+    best partner either agrees in it, which an equi-join finds, or does not, and then it is
+    the lowest id of the right rows that agree in everything else.  So the second join sees
+    one right row for each combination of the other values, and both grow with the rows."""
+    L = lowest_of_equals(project_side(left, p, "l"), "l")
+    R = lowest_of_equals(project_side(right, p, "r"), "r")
+    extra = score_only(p)
+    if len(extra) != 1:
+        return _scored(L, R, p)
+    name = f"r_a{extra[0]}"
+    rest = (lowest_of_equals(R.drop(name), "r")
+            .withColumn(name, F.lit(None).cast(R.schema[name].dataType)))
+    return _scored(L, R, p, (extra[0],)).unionByName(_scored(L, rest, p))
+
+
 def greedy_pairs(cands: DataFrame) -> DataFrame:
     """Best right per left (q desc, r_id asc), then best left per right
     (q desc, l_id asc) among those."""
@@ -107,7 +132,7 @@ def one_pair_per_row(pairs: DataFrame) -> DataFrame:
 def best_pairs(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """The accepted pairs (l_id, r_id, q) of a pass."""
     if surely_disjoint(p):
-        return greedy_pairs(candidates(left, right, p, collapse=True))
+        return greedy_pairs(best_candidates(left, right, p))
     # A mirrored pair keeps its better orientation, at equal quality the one with the
     # lower id on the left.
     both = candidates(left, right, p)

@@ -187,8 +187,7 @@ POP_COMPARE = (Filter("LS_TYPE", "=", "STMT"), Filter("AMOUNT", ">", 100000),
 
 def _pairs(spark, sf_dir, p, greedy=True) -> DataFrame:
     left, right = pass_populations(ledger(spark, sf_dir), p)
-    c = one_to_one.candidates(left, right, p)
-    return one_to_one.greedy_pairs(c) if greedy else c
+    return (one_to_one.best_pairs if greedy else one_to_one.candidates)(left, right, p)
 
 
 def _numbered_pass(spark, sf_dir, p) -> DataFrame:
@@ -262,7 +261,7 @@ def q_o2o_amount_band(spark, sf_dir):
 def q_o2o_hot_account(spark, sf_dir):
     p = HOT_PASS
     left, right = pass_populations(hot_ledger(spark, sf_dir), p)
-    return one_to_one.greedy_pairs(one_to_one.candidates(left, right, p))
+    return one_to_one.best_pairs(left, right, p)
 
 
 def q_o2m_buckets(spark, sf_dir):

@@ -64,7 +64,7 @@ def test_equal_rows_collapse_before_the_join(spark):
     p = o2o_pass()
     left, right = pass_populations(ledger_df(spark, rows), p)
     assert one_to_one.candidates(left, right, p).count() == 200 * 200
-    assert [tuple(r) for r in one_to_one.candidates(left, right, p, collapse=True).collect()] == [(1, 2, 100)]
+    assert [tuple(r) for r in one_to_one.best_candidates(left, right, p).collect()] == [(1, 2, 100)]
     got, n = _run(spark, rows, p)
     assert n == 1 and [r[0] for r in got] == [1, 2]
 
