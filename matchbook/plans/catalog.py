@@ -21,7 +21,7 @@ from matchbook.plans.run import RunResult, run_pass, run_passes
 from matchbook.session import materialize, scratch_path
 from matchbook.sources.ledger import derived_ledger, load_ledger
 from matchbook.sources.sinks import record_run, write_result
-from matchbook.spec import Aggregation, Attribute, ExtraColumn, Filter, RunSpec
+from matchbook.spec import Aggregation, Attribute, Filter, RunSpec
 
 _cache: dict = {}
 

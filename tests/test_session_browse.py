@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 import matchbook.session as S
 from matchbook.plans import browse
