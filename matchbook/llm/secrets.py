@@ -15,13 +15,13 @@
    scores every candidate.
 
 Cases: null or empty text has no candidate; a null path has zero path features; repeated
-rows give repeated findings; without findings of both labels no forest can be trained and
-the operator raises; extra columns are ignored; an empty table gives no candidates.
+rows give repeated findings; without labelled findings of both labels no forest can be
+trained and the candidates come back without a judgement (null); extra columns are
+ignored; an empty table gives no candidates.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -147,8 +147,9 @@ def _vectors(found: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_training: int = MAX_TRAINING,
-          seed: int = 7) -> RandomForestClassificationModel:
-    """Forest over findings with their features and a ``label`` of 0 or 1."""
+          seed: int = 7) -> RandomForestClassificationModel | None:
+    """Forest over findings with their features and a ``label`` of 0 or 1; None without
+    findings of both labels."""
     order = F.xxhash64(F.lit(seed), "finding", "id", "at")
     rows = labelled.select("label", "finding", "id", "at", *FEATURES)
     part = [rows.where(F.col("label") == y).orderBy(order, "finding", "id", "at")
@@ -156,16 +157,20 @@ def train(labelled: DataFrame, max_training: int = MAX_TRAINING,
     sample = part[0].unionByName(part[1]).select(F.col("label").cast("double"), *FEATURES)
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(seen) < 2:
-        raise ValueError("findings of both labels are needed")
+        return None
     weight = F.when(F.col("label") == 1, 1.0 / seen[1.0]).otherwise(1.0 / seen[0.0])
     sample = sample.withColumn("weight", weight * sum(seen.values()))
     return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES,
                                   maxDepth=DEPTH, seed=seed).fit(_vectors(sample))
 
 
-def classify(found: DataFrame, forest: RandomForestClassificationModel,
+def classify(found: DataFrame, forest: RandomForestClassificationModel | None,
              threshold: float = 0.5) -> DataFrame:
-    """``found`` with probability and is_secret."""
+    """row, id, at, finding, probability, is_secret.  Without a forest nothing is known
+    about a finding: both are null."""
+    if forest is None:
+        return found.select("row", "id", "at", "finding", F.lit(None).cast("double").alias("probability"),
+                            F.lit(None).cast("boolean").alias("is_secret"))
     p = vector_to_array("probability")[1]
     scored = forest.transform(_vectors(found)).withColumn("p_", p)
     return scored.select("row", "id", "at", "finding", F.col("p_").alias("probability"),
