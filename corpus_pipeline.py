@@ -16,6 +16,11 @@ from matchbook.llm.queries import token_output
 from matchbook.session import checkpoint_root
 
 
+#: Pieces that a worker process remembers in the last stage; the processes of the stages
+#: before it still hold their memory then.
+TOKEN_CACHE = 120_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in no learned language (no letter, no text) go."""
     model = langid.fit(docs.where(~langid.held_out()))
@@ -45,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files."""
-    return token_output(docs)
+    return token_output(docs, cache=TOKEN_CACHE)
 
 
 STAGES = [("language_id", identify_language), ("jaccard_join", drop_near_duplicates),

@@ -54,10 +54,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def token_output(docs: DataFrame) -> DataFrame:
+def token_output(docs: DataFrame, cache: int = simple8b.CACHE) -> DataFrame:
     spark = docs.sparkSession
     path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
-    simple8b.write_token_files(docs, path, tokenizer_path())
+    simple8b.write_token_files(docs, path, tokenizer_path(), cache=cache)
     return simple8b.read_token_files(spark, path, ids=False)
 
 

@@ -21,6 +21,7 @@ an empty file set; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,15 +36,21 @@ BLOCK = 128
 #: (ids in a word, bits of an id) by selector; selector 0 is the escape, 1 is unused.
 PACKS = ((1, 60), (0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
          (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-CACHE = 500_000                # pieces of text whose ids a worker remembers
+GROUP = 1 << 19                # bytes of text that are encoded at once
+CACHE = 500_000                # pieces of text whose ids a worker process remembers (twice)
 FILE_SCHEMA = ("shard int, doc_id bigint, start bigint, n_tokens bigint, words binary, "
                "blocks binary")
 
 
 # ------------------------------------------------------------------------ codec
 
+_BITS_16 = np.array([max(1, v.bit_length()) for v in range(1 << 16)], np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs (0 needs 1)."""
+    if not len(x) or x.max() < len(_BITS_16):
+        return _BITS_16[x]
     out = np.ones(len(x), np.uint8)
     for b in range(1, 64):
         over = x >= U64(1 << b)
@@ -179,7 +186,21 @@ def decode_streams(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 #: White space but blank and line feed, and the mark of pieces.
 _OTHER = re.compile("[\\x00\t\v\f\r\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_STOPS = ",."
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class ByteLetters(dict):
+    """Character -> the code points that a byte-level vocabulary writes its bytes as:
+    printable bytes as themselves, the others as the code points from 256 on, in order."""
+
+    def __init__(self):
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.of_byte = [chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)]
+
+    def __missing__(self, character: str) -> str:
+        self[character] = out = "".join(self.of_byte[b] for b in character.encode())
+        return out
 
 
 class Pieces:
@@ -188,91 +209,106 @@ class Pieces:
     The byte-level pattern always starts a token at a blank that stands alone before a
     visible character, and takes a line feed that stands alone as a token, so a text
     without neighbouring white space is the concatenation of its blank-separated
-    pieces.  Other texts are encoded whole.
+    pieces.  A piece of letters with marks behind them is the letters' tokens and the
+    marks' tokens.  Other texts and pieces are encoded whole.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, special_as_text: bool = True, cache: int = CACHE):
+        self.cache = cache
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.model = self.tokenizer.model
+        # Ids are held as short as the vocabulary allows.
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind = np.dtype("<u2" if small else "<u4")
+        self.letters = ByteLetters()
+        self.blank = self.letters[" "]
+        letter = "H" if small else "I"
+        self.packed = [struct.Struct(f"<{n}{letter}").pack for n in range(32)]
         self.feed = self._encode(["\n"])[0]
-        self.stops = dict(zip(_STOPS, self._encode(list(_STOPS)), strict=True))
+        self.old: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self._reset()
+        self._turn()
 
-    def _reset(self) -> None:
-        self.known.clear()
-        self.known |= {"\n": self.feed, "\0": b""}
+    def _turn(self) -> None:
+        """Forget pieces that were not met since the last turn."""
+        self.old = self.known
+        self.known = {"\n": self.feed, "\0": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+        return [np.array(e.ids, self.kind).tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids.  A piece after '\\x00' has no blank before it."""
-        if not text:
-            return b""
-        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text \
-                or text[-1] in " \n" or _OTHER.search(text):
-            return self._encode([text])[0]
-        pieces = ("\0" + text.replace("\n", " \n \0")).split(" ")
-        known = self.known
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
-        if missing:
-            if len(known) > CACHE:
-                self._reset()
-                missing = [p for p in dict.fromkeys(pieces) if p not in known]
-            self._learn(missing)
-        return b"".join(map(known.__getitem__, pieces))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode unknown pieces as the lines of one text: a line feed that stands alone is
-        one token of its own, so the ids split at it."""
-        known, new = self.known, {}
-        for p in pieces:                     # "word," is "word" and ",", which are known more often
-            if p[-1:] in _STOPS and p[-2:-1].isalpha() and p[:-1] not in known:
-                new[p[:-1]] = None
-            elif p[-1:] not in _STOPS or not p[-2:-1].isalpha():
-                new[p] = None
-        if new:
-            self._encode_lines(list(new))
-        for p in pieces:
-            if p not in known:
-                known[p] = known[p[:-1]] + self.stops[p[-1]]
-
-    def _encode_lines(self, pieces: list[str]) -> None:
-        text = "\n".join([p[1:] if p[:1] == "\0" else " " + p for p in pieces])
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        feed = np.frombuffer(self.feed, "<u4")[0]
-        cuts = np.flatnonzero(ids == feed)
-        raw, begin = ids.tobytes(), 0
-        for p, end in zip(pieces, [*cuts.tolist(), len(ids)], strict=True):
-            self.known[p] = raw[4 * begin:4 * end]
-            begin = end + 1
+    def _fresh(self, piece: str) -> bytes:
+        """Ids of a piece not met before.  After '\x00' it has no blank before it."""
+        core = piece.rstrip(_MARKS)
+        bare = core[:1] == "\0"
+        word = core[1:] if bare else core
+        if not word.isalpha():
+            return self._encode([piece[1:] if piece[:1] == "\0" else " " + piece])[0]
+        if len(core) < len(piece):
+            return self._find(core) + self._find("\0" + piece[len(core):])
+        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word))
+        ids = [t.id for t in self.model.tokenize(letters if bare else self.blank + letters)]
+        return self.packed[len(ids)](*ids) if len(ids) < len(self.packed) \
+            else np.array(ids, self.kind).tobytes()
+
+    def _find(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            found = self.known[piece] = self.old.get(piece) or self._fresh(piece)
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed as ``kind``."""
+        cut = [None if not t or "  " in t or "\n " in t or " \n" in t or "\n\n" in t
+               or t[-1] in " \n" or _OTHER.search(t)
+               else ("\0" + t.replace("\n", " \n \0")).split(" ") for t in texts]
+        if len(self.known) > self.cache:
+            self._turn()
+        known, before, fresh = self.known, self.old.get, self._fresh
+        for piece in set().union(*filter(None, cut)).difference(known):
+            known[piece] = before(piece) or fresh(piece)
+        get = known.__getitem__
+        return [b"".join(map(get, pieces)) if pieces else self._encode([t])[0] if t else b""
+                for t, pieces in zip(texts, cut, strict=True)]
+
+
+def worker_pieces(path: str, cache: int) -> Pieces:
+    """The pieces that this worker process has met so far: tasks of one process share them."""
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_pieces_by_path", {})
+    if path not in kept:
+        kept[path] = Pieces(path)
+    kept[path].cache = cache
+    return kept[path]
 
 
 # ------------------------------------------------------------------- Spark files
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id",
-                      text_col: str = "text", end_id: int = 0) -> None:
+                      text_col: str = "text", end_id: int = 0, cache: int = CACHE) -> None:
     """Tokenise whole texts and write them, with ``end_id`` after each, in ascending id
-    order.  Texts are dealt to shards by id range first, so that ids are made and written
+    order.  ``cache`` bounds the memory of a worker process, about 100 bytes an entry and two
+    entries a piece.  Texts are dealt to shards by id range first, so that ids are made and written
     in one pass over sorted rows and only the texts are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        shard, at, pieces = TaskContext.get().partitionId(), 0, Pieces(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
+        shard, at, pieces = TaskContext.get().partitionId(), 0, worker_pieces(tokenizer_path, cache)
+        end, width = np.array([end_id], pieces.kind).tobytes(), pieces.kind.itemsize
         for batch in batches:
             if not batch.num_rows:
                 continue
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0)
             offsets = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False))])
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, GROUP):
                 rows = batch.slice(i, j - i)
-                raw = [pieces(t or "") + end for t in rows.column("text").to_pylist()]
-                sizes = np.array([len(r) // 4 for r in raw], np.int64)
+                raw = [ids + end for ids in
+                       pieces([t or "" for t in rows.column("text").to_pylist()])]
+                sizes = np.array([len(r) // width for r in raw], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                coded = encode_streams(np.frombuffer(b"".join(raw), "<u4"), bounds)
+                coded = encode_streams(np.frombuffer(b"".join(raw), pieces.kind), bounds)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([shard] * len(raw), pa.int32()), rows.column("id"),
                     pa.array(at + bounds[:-1]), pa.array(sizes),
