@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -158,6 +159,34 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's
+    garbage collection finds that no plan refers to them, which may otherwise take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def by_key(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows of a key in one task, sorted, so that a task holds one key at a time."""
+    return (df.repartition(shuffle_parts(df.sparkSession), key)
+            .sortWithinPartitions(key, *(order or [])))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[tuple]:
+    """(key, row tuples) of each run of equal keys in sorted batches."""
+    now, rows = None, []
+    for batch in batches:
+        values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for k, v in zip(batch.column(key).to_pylist(), values, strict=True):
+            if rows and k != now:
+                yield now, rows
+                rows = []
+            now = k
+            rows.append(v)
+    if rows:
+        yield now, rows
+
+
 def rows_of(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c)
                                        for c in columns], names=names)
@@ -218,36 +247,94 @@ def scatter_tagged(df: DataFrame, emit: Callable, split: Callable, dtypes: list[
     return df.mapInArrow(run, "bucket int, blob binary")
 
 
-def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str,
-           with_bucket: bool = False) -> DataFrame:
-    """Reduce side: ``reduce`` gets the concatenated arrays of one bucket at a time (after
-    the bucket's number if asked for) and yields record batches."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tuple]:
+    """(bucket, its concatenated arrays), one bucket at a time."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"),
+                                strict=True):
+            if bucket != now and held:
+                yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = bucket
+            held.append(unpack(blob.as_buffer(), dtypes))
+    if held:
+        yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
 
-        def done():
-            if held:
-                yield from reduce(*([now] if with_bucket else []),
-                                  *(np.concatenate(c) for c in zip(*held, strict=True)))
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"),
-                                    strict=True):
-                if bucket != now:
-                    yield from done()
-                    now, held = bucket, []
-                held.append(unpack(blob.as_buffer(), dtypes))
-        yield from done()
+
+def _dealt(blobs: DataFrame) -> DataFrame:
     return (blobs.repartition(shuffle_parts(blobs.sparkSession), "bucket")
-            .sortWithinPartitions("bucket").mapInArrow(run, schema))
+            .sortWithinPartitions("bucket"))
+
+
+def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str) -> DataFrame:
+    """Reduce side: ``reduce(bucket, arrays...)`` yields record batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, columns in _by_bucket(batches, dtypes):
+            yield from reduce(bucket, *columns)
+    return _dealt(blobs).mapInArrow(run, schema)
+
+
+def regather(blobs: DataFrame, reduce: Callable, dtypes: list[str], out: list[str],
+             buckets: int) -> DataFrame:
+    """Reduce side of one exchange and map side of the next: ``reduce(bucket, arrays...)``
+    yields tuples of arrays, which are sent by the first of them, a task's together."""
+    def emit(batches):
+        for bucket, columns in _by_bucket(batches, dtypes):
+            yield from reduce(bucket, *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _held(batches, emit, out):
+            yield packed(columns, out, buckets)
+    return _dealt(blobs).mapInArrow(run, "bucket int, blob binary")
 
 
 def bucket_count(spark: SparkSession) -> int:
     """Several buckets a shuffle partition, so that hashing deals them out evenly."""
-    return 8 * shuffle_parts(spark)
+    return 3 * shuffle_parts(spark)
+
+
+BLOOM = 1 << 23                  # bits of a Bloom filter: one megabyte, whatever is in it
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _bloom_cells(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(nodes.view(U64))
+    return (h % U64(BLOOM)).astype(np.int64), ((h >> U64(32)) % U64(BLOOM)).astype(np.int64)
+
+
+def bloom_filter(nodes: DataFrame):
+    """Broadcast filter of the BIGINT column ``node``: a fixed-size bitmap that only saves
+    shuffling rows that a join would drop; it never loses one."""
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BLOOM, bool)
+        for batch in batches:
+            for cells in _bloom_cells(batch.column("node").to_numpy()):
+                bits[cells] = True
+        if bits.any():
+            yield rows_of(["bits"], pa.array([np.packbits(bits).tobytes()], pa.binary()))
+
+    total = np.zeros(BLOOM // 8, np.uint8)
+    for r in nodes.select("node").coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
+        total |= np.frombuffer(r["bits"], np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(total.tobytes())
+
+
+def in_bloom(bits: bytes, nodes: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(bits, np.uint8)
+    one, two = ((table[c >> 3] >> (7 - (c & 7))) & 1 for c in _bloom_cells(nodes))
+    return (one & two).astype(bool)
+
+
+def only(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``node`` passes the Bloom filter of ``nodes``, before a join."""
+    wanted = bloom_filter(nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = in_bloom(wanted.value, batch.column("node").to_numpy())
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+    return df.mapInArrow(run, df.schema)
 
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from matchbook.llm.common import (U64, chunks, flat, gather, mix64, pack, rows_of, shingle_sets,
-                                  squeeze, unpack, unsqueeze)
-from matchbook.llm.similar import candidate_lists, components
+from matchbook.llm.common import (U64, chunks, flat, in_bloom, mix64, pack, release_shuffles,
+                                  rows_of, shingle_sets, squeeze, unpack, unsqueeze)
+from matchbook.llm.similar import bitmap, candidate_lists, components
 from matchbook.session import materialize
 
 NUM, DEN = 4, 5                   # similarity 0.8
@@ -38,7 +39,11 @@ WIDTH = 5
 CELLS = 20                        # bits of the order sketch
 PART = 1 << 14                    # sketch counts in one row of its exchange
 
-SET_COLUMNS = "row bigint, id bigint, n_shingles bigint, set_hash bigint, z binary"
+BITS = 2                          # bits of a set's parity bitmap for each shingle
+
+SET_COLUMNS = ("row bigint, id bigint, n_shingles bigint, set_hash bigint, first boolean, "
+               "z binary, bits binary")
+SET_NAMES = [c.split()[0] for c in SET_COLUMNS.split(", ")]
 
 
 def _set(z: bytes) -> np.ndarray:
@@ -46,32 +51,39 @@ def _set(z: bytes) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), WIDTH)[0]
 
 
-def set_table(rows: DataFrame) -> DataFrame:
-    """(row, id, n_shingles, set_hash, z) of rows (row, id, text).  z is the compressed text;
-    only the first row of each set in a task carries it."""
+def set_table(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """SET_COLUMNS of rows (row, id, text, ...): z is the compressed text, bits the parity
+    bitmap.  The first row of each set in a task carries them; with ``whole`` every row keeps
+    its text, and further columns pass through."""
+    extra = [f for f in rows.schema.fields if f.name not in ("row", "id", "text")] if whole else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = flat(batch.column("text"))
+            valid = batch.column("text").is_valid().to_pylist()
             for i, j in chunks(offsets):
                 part = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], WIDTH)
                 hashes = [int(mix64(s).sum(dtype=U64).view(np.int64)) if len(s) else None
                           for s in part]
-                z = []
+                first, z, bits = [], [], []
                 for k, h in enumerate(hashes, i):
-                    z.append(squeeze(data[offsets[k]:offsets[k + 1]].tobytes())
-                             if h is not None and h not in seen else None)
+                    new = h is not None and h not in seen
                     seen.add(h)
-                yield rows_of(SET_COLUMNS_NAMES, batch.column("row").slice(i, j - i),
-                              batch.column("id").slice(i, j - i),
+                    first.append(new)
+                    z.append(squeeze(data[offsets[k]:offsets[k + 1]].tobytes())
+                             if new or whole and valid[k] else None)
+                    bits.append(bitmap(part[k - i], BITS) if new else None)
+                yield rows_of([*SET_NAMES, *(f.name for f in extra)],
+                              batch.column("row").slice(i, j - i), batch.column("id").slice(i, j - i),
                               np.array([len(s) for s in part], np.int64),
-                              pa.array(hashes, pa.int64()), pa.array(z, pa.binary()))
-    return rows.mapInArrow(run, SET_COLUMNS)
-
-
-SET_COLUMNS_NAMES = [c.split()[0] for c in SET_COLUMNS.split(", ")]
+                              pa.array(hashes, pa.int64()), pa.array(first, pa.bool_()),
+                              pa.array(z, pa.binary()), pa.array(bits, pa.binary()),
+                              *(batch.column(f.name).slice(i, j - i) for f in extra))
+    schema = T.StructType(T._parse_datatype_string(SET_COLUMNS).fields + extra)
+    return rows.mapInArrow(run, schema)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -147,18 +159,29 @@ def _index(order):
     return emit
 
 
-def set_components(rows: DataFrame) -> DataFrame:
-    """The ``sets`` table with component_id and kept (one row of each component: its
-    smallest id, of equal ids the first row).  ``rows``: row, id, text."""
-    sets = materialize(set_table(rows), "sets")
-    nodes = (sets.where("z IS NOT NULL")
+def _texts_of(nodes: DataFrame):
+    def texts(wanted) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = in_bloom(wanted.value, batch.column("node").to_numpy())
+                yield batch.filter(pa.array(keep))
+        return (nodes.select(F.col("set_hash").alias("node"), "z")
+                .mapInArrow(run, "node bigint, z binary"))
+    return texts
+
+
+def set_components(sets: DataFrame) -> DataFrame:
+    """row, id, n_shingles, component_id and kept (one row of each component: its smallest
+    id, of equal ids the first row) of a written set table."""
+    nodes = (sets.where("first")
              .select("set_hash", F.coalesce("id", F.lit(-2**63)).alias("rank"), "z"))
-    order = rows.sparkSession.sparkContext.broadcast(shingle_order(nodes))
+    order = sets.sparkSession.sparkContext.broadcast(shingle_order(nodes))
     pairs, members = candidate_lists(nodes, _index(order), NUM, DEN, positions=True)
-    texts = nodes.select(F.col("set_hash").alias("node"), "z")
-    labels = components(pairs, members, texts, _set, NUM, DEN)
+    bits = sets.where("first").select(
+        F.col("set_hash").alias("node"), F.col("n_shingles").alias("size"), "bits")
+    labels = components(pairs, members, bits, _texts_of(nodes), _set, NUM, DEN)
 
-    named = (sets.drop("z").join(labels, F.col("set_hash") == F.col("node"), "left").drop("node")
+    named = (sets.select("row", "id", "n_shingles", "set_hash").join(labels, F.col("set_hash") == F.col("node"), "left").drop("node")
              .withColumn("label", F.coalesce("label", "set_hash")))
     # The smallest id of each component: a partial aggregate, then a join that adaptive
     # execution splits where a component holds very many rows.
@@ -172,26 +195,40 @@ def set_components(rows: DataFrame) -> DataFrame:
                     F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("kept")))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"),
-                       F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+                       F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row per document: <id_col>, n_shingles, component_id, kept."""
-    return (set_components(numbered(docs, id_col, text_col))
+    sets = materialize(set_table(numbered(docs, id_col, text_col)), "sets")
+    return (set_components(sets)
             .select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id."""
-    row = "set_row"
-    while row in docs.columns:
-        row += "_"
-    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "set-docs")
-    rows = kept.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("id"),
-                       F.col(text_col).alias("text"))
-    drop = set_components(rows).where("NOT kept").select(F.col("row").alias(row))
-    return kept.join(drop, row, "left_anti").drop(row)
+    """``docs`` without the documents whose component has a smaller id, or an equal one in an
+    earlier row.  The set table holds the rows meanwhile, texts compressed."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = numbered(docs, id_col, text_col, *(F.col(f"`{c}`").alias(f"other{k}")
+                                             for k, c in enumerate(others)))
+    sets = materialize(set_table(rows, whole=True), "sets")
+    drop = materialize(set_components(sets).where("NOT kept").select("row"), "set-drop")
+    release_shuffles(docs.sparkSession)
+    names = [f"other{k}" for k in range(len(others))]
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = batch.column("z").to_pylist()
+            text = pa.array([None if x is None else unsqueeze(x).decode() for x in z], pa.string())
+            yield pa.RecordBatch.from_arrays([text, *(batch.column(n) for n in names)],
+                                             names=["text", *names])
+
+    schema = T.StructType([T.StructField("text", T.StringType())]
+                          + [rows.schema[n] for n in names])
+    left = sets.join(drop, "row", "left_anti").select("z", *names).mapInArrow(restore, schema)
+    where = dict(zip(others, names, strict=True)) | {text_col: "text"}
+    return left.select(*(F.col(where[c]).alias(c) for c in docs.columns))

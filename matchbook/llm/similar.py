@@ -10,11 +10,24 @@ Joining all pairs of a list would be quadratic, so work is saved by set relation
   compared with the first node of its own and the neighbouring size blocks only.
   Members that link to a pivot share the pivot's component and need no comparison with
   each other;
-* only members of lists that still hold several components afterwards are compared
-  across components.
+* lists of copies overlap nearly wholly, so lists with the same first node are joined to
+  one group, and a group to that of the earliest first node that has the group's as a
+  member; a group holds every pair of each of its lists;
+* a group that still holds several components is searched by a lower bound of the
+  symmetric difference: sets are folded into parity bitmaps, and no two sets differ in
+  fewer elements than their bitmaps do in bits.  First a spanning forest of the pairs
+  that the bound allows, closest first, is compared exactly; pairs inside a component
+  need no comparison then;
+* where the exact comparison refuted an edge of the forest, all pairs that the bound
+  allows between the group's components are compared.
+
+Groups of more than ``BLOCK`` members are cut into blocks and compared block by block, so
+no task holds an unbounded group.
 
 Every pair above the threshold that shares a key is then either linked or in one
-component, so the components are those of the complete join.
+component, so the components are those of the complete join.  The bound only works
+inside tasks; what is shuffled and compared exactly grows with the members of lists,
+not with their pairs.
 """
 
 from __future__ import annotations
@@ -26,17 +39,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import (U64, bucket_count, connected_components, gather, mix64, rows_of,
-                                  scatter, shuffle_parts, signed)
+from matchbook.llm.common import (U64, bloom_filter, bucket_count, by_key, connected_components,
+                                  gather, grouped, only, release_shuffles, rows_of, scatter,
+                                  shuffle_parts)
 from matchbook.session import materialize
 
 FANOUT = 256                      # members that one task compares with a pivot
+BLOCK = 4096                      # members of a group that one task holds (two blocks at most)
 LIST = ["<u8", "<i8", "<i8", "<u4", "<u4"]                     # key, node, rank, size, position
-FOUND = "kind int, a bigint, b bigint, rank bigint, size bigint"
+FOUND = "kind int, a bigint, b bigint, rank bigint"
+FOUND_NAMES = ["kind", "a", "b", "rank"]
 
 
 def _reduce_lists(num: int, den: int, positions: bool) -> Callable:
-    def run(key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
+    def run(bucket, key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.concatenate([[False], key[1:] == key[:-1]])
@@ -75,43 +91,192 @@ def _reduce_lists(num: int, den: int, positions: bool) -> Callable:
         pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
         if len(pairs):
             yield rows_of(FOUND_NAMES, np.zeros(len(pairs), np.int32), pairs[:, 0], pairs[:, 1],
-                          pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64()))
-        # Lists of three or more, each different membership once.
+                          pa.nulls(len(pairs), pa.int64()))
+        # Members of lists of three or more, under the list's first node.
         count = np.bincount(lists)
-        begin = np.flatnonzero(new)
-        name = np.add.reduceat(mix64(node.view(U64)), begin)
-        big = np.flatnonzero(count >= 3)
-        big = big[np.unique(name[big], return_index=True)[1]]
-        members = np.isin(lists, big)
-        if members.any():
-            yield rows_of(FOUND_NAMES, np.ones(int(members.sum()), np.int32),
-                          signed(name[lists[members]]), node[members], rank[members],
-                          size[members].astype(np.int64))
+        lead = np.flatnonzero(new)[lists]
+        large = count[lists] >= 3
+        members = np.unique(np.stack([node[lead[large]], node[large], rank[lead[large]]], 1), axis=0)
+        if len(members):
+            yield rows_of(FOUND_NAMES, np.ones(len(members), np.int32), *members.T)
     return run
 
 
-FOUND_NAMES = ["kind", "a", "b", "rank", "size"]
-
-
 def candidate_lists(rows: DataFrame, emit: Callable, num: int, den: int,
                     positions: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b), (members list, node, rank, size) of the index that ``emit`` fills."""
+    """(pairs a, b), (members lead, node) of the index that ``emit`` fills."""
     found = materialize(
         gather(scatter(rows, emit, LIST, bucket_count(rows.sparkSession)),
                _reduce_lists(num, den, positions), LIST, FOUND), "lists")
     pairs = found.where("kind = 0").select("a", "b").distinct()
-    members = (found.where("kind = 1")
-               .select(F.col("a").alias("list"), F.col("b").alias("node"), "rank", "size")
-               .dropDuplicates(["list", "node"]))
-    return materialize(pairs, "pairs"), members
+    release_shuffles(rows.sparkSession)
+    members = (found.where("kind = 1").groupBy(F.col("a").alias("lead"), F.col("b").alias("node"))
+               .agg(F.min("rank").alias("rank")))
+    members = materialize(members, "members")
+    # A group goes to the earliest first node that has its own first node as a member: groups
+    # of copies end under their earliest text.
+    first = members.groupBy("node").agg(F.expr("min_by(lead, struct(rank, lead))").alias("to"))
+    merged = (members.join(first.withColumnRenamed("node", "lead"), "lead")
+              .select(F.col("to").alias("lead"), "node").distinct())
+    return materialize(pairs, "pairs"), materialize(merged, "groups")
+
+
+# ------------------------------------------------------------ parity bitmaps
+
+def bitmaps(elements: np.ndarray, ends: np.ndarray, per_element: int) -> list[bytes]:
+    """For each set elements[ends[k]:ends[k + 1]] the parity of the elements that fall on each
+    of 2**k >= 256 bits, about ``per_element`` for each element.  A bitmap of half the size
+    is the parity of its two halves."""
+    size = np.diff(ends)
+    bits = 1 << np.ceil(np.log2(np.maximum(per_element * size, 256))).astype(np.int64)
+    stop = np.cumsum(bits)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = (stop - bits)[owner] + (elements & (bits[owner] - 1).astype(U64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(stop[-1]) if len(stop) else 0) & 1
+    packed = np.packbits(odd.astype(bool)).tobytes()
+    return [packed[a:b] for a, b in zip(((stop - bits) // 8).tolist(), (stop // 8).tolist(),
+                                        strict=True)]
+
+
+def bitmap(elements: np.ndarray, per_element: int) -> bytes:
+    return bitmaps(elements, np.array([0, len(elements)]), per_element)[0]
+
+
+def _folded(words: np.ndarray, length: int) -> np.ndarray:
+    while words.shape[-1] > length:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def allowed(size_a, size_b, differing, num: int, den: int):
+    """Whether sets that differ in at least so many elements can reach the threshold."""
+    total = size_a + size_b
+    return (differing * (den + num) <= total * (den - num)) \
+        & (np.minimum(size_a, size_b) * den >= np.maximum(size_a, size_b) * num)
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def prune(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps (node, size, bits) allow."""
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            keep = []
+            for k in range(batch.num_rows):
+                x, y = np.frombuffer(c["xb"][k], "<u8"), np.frombuffer(c["yb"][k], "<u8")
+                n = min(len(x), len(y))
+                d = int(np.bitwise_count(_folded(x, n) ^ _folded(y, n)).sum())
+                if allowed(c["xs"][k], c["ys"][k], d, num, den):
+                    keep.append(k)
+            if keep:
+                yield rows_of(["a", "b"], *(np.array(c[n])[keep] for n in ("a", "b")))
+
+    bits = only(bits, ends_of(pairs))
+    x = bits.selectExpr("node AS a", "size AS xs", "bits AS xb")
+    y = bits.selectExpr("node AS b", "size AS ys", "bits AS yb")
+    return (pairs.join(x, "a").join(y, "b").select("a", "b", "xs", "xb", "ys", "yb")
+            .mapInArrow(test, "a bigint, b bigint").distinct())
+
+
+def _near(size, label, block, words, num: int, den: int):
+    """For each member i of a group: (i, earlier members j of other labels that the bitmaps
+    allow, their distances); where there are two blocks, pairs between them only."""
+    cross = len(np.unique(block)) > 1
+    lengths = np.array([len(w) for w in words])
+    tables = {}
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        tables[int(n)] = (rows, np.stack([words[r] for r in rows]))
+    for n in list(tables):                       # each class also folded to the next smaller
+        rows, m = tables[n]
+        tables[n] = (rows, m, _folded(m, n // 2) if n // 2 in tables else None)
+    for i in range(len(size)):
+        n = int(lengths[i])
+        found, far = [], []
+        for k, own in ((n, words[i]), (n // 2, None), (2 * n, words[i])):
+            if k not in tables:
+                continue
+            rows, m, half = tables[k]
+            upto = int(np.searchsorted(rows, i))
+            if not upto:
+                continue
+            j = rows[:upto]
+            ok = (label[j] != label[i]) & (np.minimum(size[j], size[i]) * den
+                                           >= np.maximum(size[j], size[i]) * num)
+            if cross:
+                ok &= block[j] != block[i]
+            if not ok.any():
+                continue
+            table = (half if k > n else m)[:upto][ok]
+            own = _folded(words[i], k) if own is None else own
+            d = np.bitwise_count(table ^ own).sum(axis=1, dtype=np.int64)
+            good = allowed(size[j[ok]], size[i], d, num, den)
+            found.append(j[ok][good])
+            far.append(d[good])
+        if found and sum(map(len, found)):
+            yield i, np.concatenate(found), np.concatenate(far)
+
+
+def blocks_of(groups: DataFrame) -> DataFrame:
+    """Rows (lead, node, ...) with ``task``, which two blocks of a group share, and ``block``."""
+    n = (groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+         .select("lead", F.expr(f"(n - 1) div {BLOCK} + 1").alias("n")))
+    one = groups.join(n, "lead").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
+    # Two blocks meet in one task; a block alone meets itself there where it is the only one,
+    # or else beside its next neighbour.
+    return (one.withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+            .withColumn("task", F.xxhash64("lead", F.least("block", "other"),
+                                           F.greatest("block", "other"))).drop("other", "n"))
+
+
+def open_pairs(groups: DataFrame, bits: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(lead, a, b): pairs between components of each group (lead, node, label) that the
+    bitmaps (node, size, bits) allow, a spanning forest of them, closest first, or all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "task", ["lead", "node", "size", "label", "block", "bits"]):
+            node, size, label, block = (np.array([r[k] for r in rows], np.int64)
+                                        for k in range(1, 5))
+            words = [np.frombuffer(r[5], "<u8") for r in rows]
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    root[x] = root.get(root[x], root[x])
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for i, j, far in _near(size, label, block, words, num, den):
+                if not forest:
+                    a += [int(node[i])] * len(j)
+                    b += node[j].tolist()
+                    continue
+                for k in np.argsort(far, kind="stable").tolist():
+                    mine, other = find(int(label[i])), find(int(label[j[k]]))
+                    if mine != other:
+                        root[max(mine, other)] = min(mine, other)
+                        a.append(int(node[i]))
+                        b.append(int(node[j[k]]))
+            if a:
+                yield rows_of(["lead", "a", "b"], np.full(len(a), rows[0][0], np.int64),
+                              np.minimum(a, b), np.maximum(a, b))
+    tasks = blocks_of(groups).join(only(bits, groups).dropDuplicates(["node"]), "node")
+    return (by_key(tasks, "task", ["node"])
+            .mapInArrow(run, "lead bigint, a bigint, b bigint").distinct())
+
 
+# ------------------------------------------------------- comparison, components
 
 def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarray],
            num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the Jaccard threshold num / den exactly.
 
-    ``texts``: (node, z), ``sets`` makes the set of a z; a node may come several times.  Each pivot
-    ``a`` meets its partners in groups of about ``FANOUT``, so a pivot with very many
+    ``texts``: (node, z), ``sets`` makes the set of a z; a node may come several times.  Each
+    pivot ``a`` meets its partners in groups of about ``FANOUT``, so a pivot with very many
     partners is many tasks' work; a task holds one pivot's set and one partner's."""
     n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salts = F.expr(f"n div {FANOUT} + 1")
@@ -119,6 +284,7 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarra
         "a", F.pmod(F.xxhash64("b"), salts).alias("salt"), "b")
     pivots = n.select("a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
                       F.col("a").alias("b"))
+    texts = only(texts, ends_of(pairs))
     fan = partners.unionByName(pivots).join(texts, F.col("b") == F.col("node")).drop("node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,24 +313,39 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarra
             .select("a", "b", "z").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def components(pairs: DataFrame, members: DataFrame, texts: DataFrame,
+def components(pairs: DataFrame, members: DataFrame, bits: DataFrame, texts: Callable,
                sets: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
-    """(node, label) of every node that has a link."""
-    links = materialize(verify(pairs, texts, sets, num, den), "links")
-    first = connected_components(links)
-    held = (members.join(first, "node", "left")
-            .withColumn("label", F.coalesce("label", "node")))
-    split = (held.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo != hi").select("list"))
-    held = materialize(held.join(split, "list", "left_semi"), "open-lists")
-    if held.isEmpty():
-        return first
-    x, y = held.alias("x"), held.alias("y")
-    more = (x.join(y, (F.col("x.list") == F.col("y.list"))
-                   & F.expr("struct(x.rank, x.node) < struct(y.rank, y.node)")
-                   & (F.col("x.label") != F.col("y.label"))
-                   & F.expr(f"least(x.size, y.size) * {den} >= greatest(x.size, y.size) * {num}"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    further = materialize(verify(materialize(more, "open-pairs"), texts, sets, num, den), "links")
-    return connected_components(links.unionByName(further))
+    """(node, label) of every node that has a link.  ``bits``: (node, size, bits) of every
+    node, at least once; ``texts(filter)``: (node, z) of at least the nodes in a Bloom filter."""
+    low_high = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    likely = materialize(prune(pairs, bits, num, den), "likely-pairs")
+    nodes = ends_of(likely).unionByName(members.select("node"))
+    texts = materialize(texts(bloom_filter(nodes)), "texts")
+    links = materialize(verify(likely, texts, sets, num, den).select(*low_high), "links")
+    tried = likely.select(*low_high)
+    labels = materialize(connected_components(links), "labels")
+    release_shuffles(pairs.sparkSession)
+    groups = members
+    for forest in (True, False):
+        # A node that is in the group under its own name was first in all its lists, so it
+        # was compared with all it shares a list with.
+        held = (groups.where("node != lead").join(labels, "node", "left")
+                .withColumn("label", F.coalesce("label", "node")))
+        split = (held.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                 .where("lo != hi").select("lead"))
+        held = materialize(held.join(split, "lead", "left_semi"), "open-members")
+        edges = materialize(open_pairs(held, bits, num, den, forest), "open-pairs")
+        more = materialize(edges.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
+                           "new-pairs")
+        found = materialize(verify(more, texts, sets, num, den), "links")
+        links, tried = links.unionByName(found), tried.unionByName(more)
+        if not found.isEmpty():
+            labels = materialize(connected_components(
+                found.unionByName(labels.selectExpr("node AS a", "label AS b"))), "labels")
+        # Groups of which an edge proved wrong are searched in full.
+        wrong = edges.join(links, ["a", "b"], "left_anti").select("lead").distinct()
+        groups = materialize(groups.join(wrong, "lead", "left_semi"), "open-groups")
+        release_shuffles(pairs.sparkSession)
+        if groups.isEmpty():
+            break
+    return labels
