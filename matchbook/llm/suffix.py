@@ -11,12 +11,17 @@ that a pass moves a few numbers per hundred bytes:
    start in it are repeated and need no further pass, neither as copies nor as sources.
 2. The smallest 16-byte hash inside each remaining window: equal windows have equal
    smallest hashes.  Windows whose hash occurs in one document only are unique.
-3. The windows that are left, as 128-bit hashes of their whole bytes.  Equal groups are
-   exactly the repeated windows.
+3. Runs of neighbouring windows with the same smallest hash, as one string (about 18
+   windows): where it stands in a document of smaller id, all its windows are repeated.
+   Then pass 2 again over what is left.
+4. The runs that are left go to the task of their smallest hash with their bytes (at most
+   84 a piece).  There every window is told apart by a 128-bit hash of its whole bytes;
+   equal groups are exactly the repeated windows.
 
 A pass is a blob exchange: tasks keep the smallest id of a key and send that one, larger
 ids being decided on the spot, so a string that stands in a third of all documents is a
-few rows for each task.  Answers go back to the documents by row number.  The compressed
+few rows for each task.  (In pass 4, where the strings around it differ, the two ends of
+such a string are a row for each document, all with one key.)  Answers go back to the documents by row number.  The compressed
 texts are bucketed by row once, so the passes read them without another shuffle.
 
 Order: smaller id first; a null id is smaller than all others.  Rows with equal ids are
@@ -34,16 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import (U64, bucket_count, chunks, flat, gather, mix64, packed, rows_of,
-                                  scatter_tagged, shuffle_parts, squeeze, substring_hashes,
-                                  unsqueeze)
+from matchbook.llm.common import (U64, bucket_count, chunks, flat, gather, regather,
+                                  release_shuffles, rows_of, scatter, scatter_tagged, shuffle_parts,
+                                  squeeze, substring_hashes, unsqueeze)
 from matchbook.session import materialize
 
 WINDOW = 50
 GRAM = 16
 CHUNK = 512
-KEYED = ["<u8", "<u8", "<i8", "<i8", "<u4"]          # key, check, rank, row, position
-BACK = ["<i8", "<u8"]                                 # row, key or position
+GROUP = 1 << 18               # bytes of text that the kernels handle at once
+KEYED = ["<u8", "<u8", "<i8", "<i8", "<u8"]          # key, check, rank, row, place
+BACK = ["<i8", "<u8"]                                 # row, key or place
+SPAN = WINDOW - GRAM + 1                              # windows that one 16-byte string can lead
+REACH = SPAN + WINDOW - 1                             # bytes of so many neighbouring windows
+PIECES = ["<u8", "<i8", "<i8", "<u8", f"V{REACH}"]    # key, rank, row, place, bytes
+COUNT_SHIFT = 40                                      # a place is a first window and a count
 EARLIEST = -2**63
 
 
@@ -55,8 +65,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.empty(0, U64)
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
-    low, high = word[:n], word[8:8 + n]
-    return mix64(low * U64(0x9E3779B97F4A7C15) + mix64(high ^ U64(0xD6E8FEB86659FD93)))
+    h = word[8:8 + n] * U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(32)
+    h += word[:n]
+    h *= U64(0x9E3779B97F4A7C15)
+    h ^= h >> U64(29)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(32)
+    return h
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,15 +102,80 @@ def double_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray):
     return substring_hashes(data, start, end), substring_hashes(data ^ np.uint8(0x5A), start, end)
 
 
-def chunk_keys(data: np.ndarray, grams: np.ndarray, offsets: np.ndarray):
-    start, end, row = cut_points(grams, offsets, CHUNK)
-    key, check = double_hash(data, start, end + WINDOW - 1)
-    return start, end, row, key, check
+def _among(owner: np.ndarray, value: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    """Whether value[i] is among the found numbers of its owner row (positions or hashes)."""
+    if not any(map(len, found)):
+        return np.zeros(len(value), bool)
+    who = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    mark = lambda o, v: v.astype(U64) + o.astype(U64) * U64(0x9E3779B97F4A7C15)
+    return np.isin(mark(owner, value), mark(who, np.concatenate(found)))
+
+
+class Group:
+    """Rows joined to one buffer: chunks, smallest hashes, and the windows still open."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, found: dict[str, list[np.ndarray]]):
+        self.data, self.offsets, self.found = data, offsets, found
+        self._grams = None
+
+    @property
+    def grams(self) -> np.ndarray:
+        if self._grams is None:
+            self._grams = gram_hashes(self.data)
+        return self._grams
+
+    def decided(self, name: str):
+        """Window starts [a, b) that an earlier pass decided."""
+        found = self.found.get(name)
+        if not found or not any(map(len, found)):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place = np.concatenate(found)
+        a = (place & U64((1 << COUNT_SHIFT) - 1)).astype(np.int64) \
+            + np.repeat(self.offsets[:-1], [len(f) for f in found])
+        return a, a + (place >> U64(COUNT_SHIFT)).astype(np.int64)
+
+    def open_windows(self) -> np.ndarray:
+        """By window start: in a row, in nothing decided, smallest hash alive."""
+        self.least = sliding_min(self.grams, WINDOW - GRAM + 1)
+        n = len(self.least)
+        change = np.zeros(len(self.data) + 2, np.int8)
+        last = self.offsets[1:] - WINDOW
+        has = last >= self.offsets[:-1]
+        change[self.offsets[:-1][has]] += 1
+        change[last[has] + 1] -= 1
+        for name in ("done", "fine"):                  # ranges of one pass never overlap
+            start, end = self.decided(name)
+            change[start] -= 1
+            change[end] += 1
+        live = np.cumsum(change, dtype=np.int8)[:n] > 0
+        for name in ("alive", "alive2"):
+            if name in self.found and n:
+                begin, stop, owner = self.runs(live)
+                keep = _among(owner, self.least[begin], self.found[name])
+                still = np.zeros(n + 1, np.int8)
+                still[begin[keep]] += 1
+                still[stop[keep]] -= 1
+                live = np.cumsum(still[:-1], dtype=np.int8) > 0
+        return live
+
+    def runs(self, live: np.ndarray):
+        """Runs of open windows of one row with the same smallest hash: begin, end, row."""
+        n = len(live)
+        fresh = np.ones(n + 1, bool)
+        fresh[1:n] = (self.least[1:] != self.least[:-1]) | ~live[:-1] | ~live[1:]
+        fresh[self.offsets[self.offsets < n]] = True
+        begin = np.flatnonzero(live & fresh[:-1])
+        stop = np.flatnonzero(live & fresh[1:]) + 1
+        return begin, stop, np.searchsorted(self.offsets, begin, "right") - 1
 
 
 # ------------------------------------------------------------------- exchanges
 
-def lower(key, check, rank, row, pos):
+def places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return start.astype(U64) | ((end - start).astype(U64) << U64(COUNT_SHIFT))
+
+
+def lower(key, check, rank, row, place):
     """(followers, representatives): a row follows when its key has a smaller rank here."""
     order = np.lexsort((rank, check, key))
     k, c, r = key[order], check[order], rank[order]
@@ -103,10 +184,10 @@ def lower(key, check, rank, row, pos):
     return order[r > least], order[r == least]
 
 
-def shared(key, check, rank, row, pos):
-    """(members of keys that several ranks have, one row of each key)."""
-    order = np.lexsort((rank, key))
-    k, r = key[order], rank[order]
+def shared(key, check, rank, row, place):
+    """(members of keys that several rows have, one row of each key)."""
+    order = np.lexsort((row, key))
+    k, r = key[order], row[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     begin = np.flatnonzero(new)
     group = np.cumsum(new) - 1
@@ -114,16 +195,11 @@ def shared(key, check, rank, row, pos):
     return order[(r[begin] != most)[group]], order[begin]
 
 
-def _answers(split: Callable, by_position: bool, buckets: int):
+def _answers(split: Callable, by_place: bool, buckets: int):
     """Reduce a bucket of keys: rows that the rule decides go back, keyed by row number."""
-    def back(key, row, pos, at):
-        what = pos[at].astype("<u8") if by_position else key[at]
-        return packed((row[at].view(U64), what), ["<u8", "<u8"], buckets)
-
-    def run(bucket, key, check, rank, row, pos) -> Iterator[pa.RecordBatch]:
-        at = np.arange(len(key)) if bucket >= buckets else split(key, check, rank, row, pos)[0]
-        if len(at):
-            yield back(key, row, pos, at)
+    def run(bucket, key, check, rank, row, place):
+        at = np.arange(len(key)) if bucket >= buckets else split(key, check, rank, row, place)[0]
+        yield row[at].view(U64), (place if by_place else key)[at]
     return run
 
 
@@ -141,112 +217,132 @@ def _per_row(bucket, row, what) -> Iterator[pa.RecordBatch]:
                                                  strict=True)], pa.binary()))
 
 
-def decide(source: DataFrame, emit: Callable, split: Callable, by_position: bool,
+def decide(source: DataFrame, emit: Callable, split: Callable, by_place: bool,
            tag: str) -> DataFrame:
-    """(row, found): for each row the keys (or positions) that one pass decided."""
+    """(row, found): for each row the keys (or places) that one pass decided.  Its shuffles
+    are let go afterwards."""
     buckets = bucket_count(source.sparkSession)
     sent = scatter_tagged(source, emit, split, KEYED, buckets)
-    back = gather(sent, _answers(split, by_position, buckets), KEYED, "bucket int, blob binary",
-                  with_bucket=True)
-    return materialize(gather(back, _per_row, BACK, "row bigint, found binary",
-                              with_bucket=True), tag)
+    back = regather(sent, _answers(split, by_place, buckets), KEYED, ["<u8", "<u8"], buckets)
+    out = materialize(gather(back, _per_row, BACK, "row bigint, found binary"), tag)
+    del sent, back
+    release_shuffles(source.sparkSession)
+    return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], found: tuple[str, ...]):
-    """Bounded groups of rows: row, rank, data, offsets, and the found arrays by row."""
+def _groups(batches: Iterator[pa.RecordBatch], *found: str):
+    """Bounded groups of rows: row, rank, Group with the found numbers of earlier passes."""
     for batch in batches:
         texts = [unsqueeze(z) for z in batch.column("z").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         cols = {c: batch.column(c).to_pylist() for c in found}
         row, rank = batch.column("row").to_numpy(), batch.column("rank").to_numpy()
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, GROUP):
             data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-            yield (row[i:j], rank[i:j], data, offsets[i:j + 1] - offsets[i],
-                   {c: [np.frombuffer(b or b"", "<u8") for b in cols[c][i:j]] for c in found})
-
-
-def _member(owner: np.ndarray, value: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-    """Whether value[i] is among the found numbers of its owner row."""
-    if not any(map(len, found)):
-        return np.zeros(len(value), bool)
-    who = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    pairs = np.stack([np.concatenate([who, owner]).astype(U64),
-                      np.concatenate([np.concatenate(found), value])], 1)
-    _, number = np.unique(pairs, axis=0, return_inverse=True)
-    number = number.reshape(-1)
-    return np.isin(number[len(who):], number[:len(who)])
-
-
-def emit_chunks(batches):
-    for row, rank, data, offsets, _ in _batches(batches, ()):
-        _, _, owner, key, check = chunk_keys(data, gram_hashes(data), offsets)
-        yield key, check, rank[owner], row[owner], np.zeros(len(key), "<u4")
-
-
-def _open_runs(data, offsets, done: list[np.ndarray]):
-    """Runs of windows of undecided chunks with the same smallest hash: begin, end, row, hash."""
-    grams = gram_hashes(data)
-    start, end, owner, key, _ = chunk_keys(data, grams, offsets)
-    still = ~_member(owner, key, done)
-    least = sliding_min(grams, WINDOW - GRAM + 1)
-    live = np.zeros(len(data) + 1, np.int32)
-    np.add.at(live, start[still], 1)
-    np.add.at(live, end[still], -1)
-    live = np.cumsum(live[:-1])[:len(least)] > 0
-    edge = np.zeros(len(least) + 1, bool)
-    edge[offsets[offsets <= len(least)]] = True
-    change = np.concatenate([[True], least[1:] != least[:-1]]) if len(least) else np.zeros(0, bool)
-    before = np.concatenate([[False], live[:-1]]) if len(live) else live
-    begin = np.flatnonzero(live & (change | edge[:-1] | ~before))
-    stop = np.flatnonzero(np.concatenate([live[:-1] & (change[1:] | edge[1:-1] | ~live[1:]),
-                                          live[-1:]])) + 1 if len(live) else begin
-    return begin, stop, np.searchsorted(offsets, begin, "right") - 1, least[begin]
-
-
-def emit_smallest(batches):
-    for row, rank, data, offsets, found in _batches(batches, ("done",)):
-        _, _, owner, key = _open_runs(data, offsets, found["done"])
-        yield key, np.zeros(len(key), "<u8"), rank[owner], row[owner], np.zeros(len(key), "<u4")
-
-
-def emit_windows(batches):
-    for row, rank, data, offsets, found in _batches(batches, ("done", "alive")):
-        begin, stop, owner, key = _open_runs(data, offsets, found["done"])
-        keep = _member(owner, key, found["alive"])
-        n = (stop - begin)[keep]
-        at = np.repeat(begin[keep] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        who = np.repeat(owner[keep], n)
-        key, check = double_hash(data, at, at + WINDOW)
-        yield key, check, rank[who], row[who], (at - offsets[who]).astype("<u4")
+            yield row[i:j], rank[i:j], Group(data, offsets[i:j + 1] - offsets[i], {
+                c: [np.frombuffer(b or b"", "<u8") for b in cols[c][i:j]] for c in found})
+
+
+def _send(g: Group, row, rank, owner, start, end):
+    """Strings from each first window to the end of the last one, as keyed rows."""
+    key, check = double_hash(g.data, start, end + WINDOW - 1)
+    first = g.offsets[owner]
+    return key, check, rank[owner], row[owner], places(start - first, end - first)
+
+
+def _chunks(batches):
+    for row, rank, g in _groups(batches):
+        start, end, owner = cut_points(g.grams, g.offsets, CHUNK)
+        yield _send(g, row, rank, owner, start, end)
+
+
+def _runs(*found: str):
+    def emit(batches):
+        for row, rank, g in _groups(batches, *found):
+            begin, stop, owner = g.runs(g.open_windows())
+            yield _send(g, row, rank, owner, begin, stop)
+    return emit
+
+
+def _smallest(*found: str):
+    def emit(batches):
+        for row, rank, g in _groups(batches, *found):
+            begin, _, owner = g.runs(g.open_windows())
+            key = g.least[begin]
+            zero = np.zeros(len(key), "<u8")
+            yield key, zero, zero.view(np.int64), row[owner], zero
+    return emit
+
+
+def _open_pieces(*found: str):
+    """Emit the open runs, at most ``SPAN`` windows a piece, with their bytes."""
+    def emit(batches):
+        for row, rank, g in _groups(batches, *found):
+            begin, stop, owner = g.runs(g.open_windows())
+            parts = -(-(stop - begin) // SPAN)
+            run = np.repeat(np.arange(len(begin)), parts)
+            nth = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = begin[run] + nth * SPAN
+            end = np.minimum(start + SPAN, stop[run])
+            owner = owner[run]
+            at = start[:, None] + np.arange(REACH)
+            held = np.where(at < (end + WINDOW - 1)[:, None],
+                            g.data[np.minimum(at, max(len(g.data) - 1, 0))], 0).astype(np.uint8) \
+                if len(start) else np.zeros((0, REACH), np.uint8)
+            first = g.offsets[owner]
+            yield (g.least[start], rank[owner], row[owner], places(start - first, end - first),
+                   np.ascontiguousarray(held).view(f"V{REACH}").reshape(-1))
+    return emit
+
+
+def _repeated_windows(bucket, key, rank, row, place, held):
+    """The windows of the pieces that stand in a document of smaller id, keyed by row."""
+    count = (place >> U64(COUNT_SHIFT)).astype(np.int64)
+    piece = np.repeat(np.arange(len(key)), count)
+    nth = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    at = piece * REACH + nth
+    data = np.frombuffer(held.tobytes(), np.uint8)
+    one, two = double_hash(data, at, at + WINDOW)
+    again = lower(one, two, rank[piece], None, None)[0]
+    window = (place[piece] & U64((1 << COUNT_SHIFT) - 1)) + nth.astype(U64)
+    start = window[again].astype(np.int64)
+    yield row[piece][again].view(U64), places(start, start + 1)
+
+
+def decide_windows(source: DataFrame, emit: Callable, tag: str) -> DataFrame:
+    """(row, found): the open windows that stand in a document of smaller id."""
+    buckets = bucket_count(source.sparkSession)
+    back = regather(scatter(source, emit, PIECES, buckets), _repeated_windows, PIECES,
+                    ["<u8", "<u8"], buckets)
+    out = materialize(gather(back, _per_row, BACK, "row bigint, found binary"), tag)
+    del back
+    release_shuffles(source.sparkSession)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids = None
     for batch in batches:
         ids, done = batch.column("id"), 0
-        for row, _, data, offsets, found in _batches(iter([batch]), ("done", "again")):
-            start, end, owner, key, _ = chunk_keys(data, gram_hashes(data), offsets)
-            hit = _member(owner, key, found["done"])
-            at = np.concatenate([f.astype(np.int64) + offsets[k]
-                                 for k, f in enumerate(found["again"])])
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, start[hit], 1)
-            np.add.at(change, end[hit] + WINDOW - 1, -1)
-            np.add.at(change, at, 1)
-            np.add.at(change, at + WINDOW, -1)
+        for row, _, g in _groups(iter([batch]), "done", "fine", "again"):
+            offsets, n = g.offsets, len(g.data)
+            change = np.zeros(n + 1, np.int32)
+            for name in ("done", "fine", "again"):
+                start, end = g.decided(name)
+                np.add.at(change, start, 1)
+                np.add.at(change, end + WINDOW - 1, -1)
             gone = np.cumsum(change[:-1]) > 0
-            edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-            # Runs end at their row's end as well.
-            cut = np.zeros(len(data) + 1, bool)
-            cut[offsets] = True
-            inner = np.flatnonzero(cut[1:-1] & gone[:-1] & gone[1:]) + 1 if len(data) else []
-            a = np.sort(np.concatenate([np.flatnonzero(edges == 1), inner])).astype(np.int64)
-            b = np.sort(np.concatenate([np.flatnonzero(edges == -1), inner])).astype(np.int64)
-            who = np.searchsorted(offsets, a, "right") - 1
+            edge = np.zeros(n + 1, bool)                 # runs end at their row's end as well
+            edge[offsets] = True
+            before = np.concatenate([[False], gone[:-1]]) if n else gone
+            after = np.concatenate([gone[1:], [False]]) if n else gone
+            a = np.flatnonzero(gone & (~before | edge[:-1]))
+            b = np.flatnonzero(gone & (~after | edge[1:])) + 1
             spans: list[list[dict]] = [[] for _ in row]
-            for k, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True):
+            for k, x, y in zip((np.searchsorted(offsets, a, "right") - 1).tolist(), a.tolist(),
+                               b.tolist(), strict=True):
                 spans[k].append({"a": x - int(offsets[k]), "b": y - int(offsets[k])})
-            kept = [data[offsets[k]:offsets[k + 1]][~gone[offsets[k]:offsets[k + 1]]].tobytes()
+            kept = [g.data[offsets[k]:offsets[k + 1]][~gone[offsets[k]:offsets[k + 1]]].tobytes()
+                    if spans[k] else g.data[offsets[k]:offsets[k + 1]].tobytes()
                     for k in range(len(row))]
             yield rows_of(["row", "id", "n_bytes", "spans", "kept"], row,
                           ids.slice(done, len(row)), np.diff(offsets),
@@ -280,16 +376,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = materialize(
         rows.mapInArrow(compress, "row bigint, id bigint, rank bigint, z binary")
         .repartition(shuffle_parts(docs.sparkSession), "row"), "suffix-texts", bucket_by="row")
+    release_shuffles(docs.sparkSession)
 
-    def with_found(*found: tuple[str, DataFrame]) -> DataFrame:
+    def after(how: str = "left", **found: DataFrame) -> DataFrame:
         out = texts
-        for name, table in found:
-            out = out.join(table.withColumnRenamed("found", name), "row", "left")
+        for name, table in found.items():
+            out = out.join(table.withColumnRenamed("found", name), "row",
+                           how if name == "alive" else "left")
         return out
 
-    done = decide(texts, emit_chunks, lower, False, "suffix-chunks")
-    alive = decide(with_found(("done", done)), emit_smallest, shared, False, "suffix-smallest")
-    again = decide(with_found(("done", done), ("alive", alive)), emit_windows, lower, True,
-                   "suffix-windows")
-    return (with_found(("done", done), ("again", again)).mapInArrow(_cut, RESULT)
+    # Rows without a living hash have no repeated window outside their decided chunks: from
+    # the third pass on they are not read.
+    done = decide(texts, _chunks, lower, True, "suffix-chunks")
+    alive = decide(after(done=done), _smallest("done"), shared, False, "suffix-alive")
+    fine = decide(after("inner", done=done, alive=alive), _runs("done", "alive"), lower, True,
+                  "suffix-runs")
+    alive2 = decide(after("inner", done=done, alive=alive, fine=fine),
+                    _smallest("done", "alive", "fine"), shared, False, "suffix-alive2")
+    again = decide_windows(after("inner", done=done, alive=alive, fine=fine, alive2=alive2),
+                           _open_pieces("done", "alive", "fine", "alive2"), "suffix-windows")
+    return (after(done=done, fine=fine, again=again).mapInArrow(_cut, RESULT)
             .select(F.col("id").alias(id_col), "n_bytes", "spans", "kept"))
