@@ -4,8 +4,12 @@ Lines are cut at LF and compared after lowering A-Z and collapsing white space.
 line's set is its distinct ``WIDTH``-byte shingles (the whole line if it is shorter).
 
 1. One narrow row per line occurrence; equal lines are one node (64-bit hash).
-2. ``BANDS`` bands of ``ROWS`` MinHash values: two lines of similarity 0.8 share a band
-   with probability 1 - (1 - 0.8**3)**12 = 0.9998.
+2. One row per node and task with its set's size, parity bitmap and ``BANDS`` band keys of
+   ``ROWS`` MinHash values each: lines of similarity 0.8 share a band with probability
+   1 - (1 - 0.8**3)**12 = 0.9998.  Long lines hash each shingle once and take the minimum
+   of each of 36 bins (empty bins borrow from others in an order fixed for the bin); lines
+   of few shingles use 36 permutations.  Between ``SHORT`` and ``LONG`` shingles a line has
+   both kinds of keys, so similar lines always share one kind.
 3. ``similar``: lines that share a band are compared exactly with the pivots of their
    lists and across components that are left, and only similarity >= 4/5 links.
 4. Components by large-star / small-star over the links.
@@ -25,18 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import U64, chunks, flat, mix64, rows_of, substring_hashes
-from matchbook.llm.similar import candidate_lists, components
+from matchbook.llm.common import U64, chunks, flat, in_bloom, mix64, rows_of, substring_hashes
+from matchbook.llm.similar import bitmaps, candidate_lists, components
 from matchbook.session import materialize
 
 WIDTH = 8
 BANDS, ROWS = 12, 3
 NUM, DEN = 4, 5
+BITS = 2                 # bits of a line's parity bitmap for each shingle
+SHORT, LONG = 128, 160   # shingles; SHORT / LONG is the threshold, as sizes of similar sets are
+GROUP = 1 << 16          # bytes of text handled at once
 
-_XOR = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32)[:, None]
-_TIMES = (mix64(np.arange(1001, BANDS * ROWS + 1001, dtype=U64)) >> U64(32)).astype(np.uint32)[:, None] \
-    | np.uint32(1)
-_BAND = mix64(np.arange(5001, BANDS + 5001, dtype=U64))
+_K = BANDS * ROWS
+EMPTY = U64((1 << 64) - 1)
+_XOR = (mix64(np.arange(1, _K + 1, dtype=U64)) >> U64(32)).astype(np.uint32)
+_TIMES = (mix64(np.arange(1001, _K + 1001, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+_BAND = mix64(np.arange(5001, 2 * BANDS + 5001, dtype=U64)).reshape(2, BANDS)
+#: The order in which each bin looks for a full one.
+_BORROW = np.argsort(mix64(np.arange(9001, _K * _K + 9001, dtype=U64)).reshape(_K, _K), axis=1)
 
 
 def normal(line: bytes) -> bytes:
@@ -50,35 +60,95 @@ def line_numbers(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return substring_hashes(data, offsets[:-1], offsets[1:]), data, offsets
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Distinct 64-bit shingle hashes of every line."""
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the distinct shingles of all lines, line by line, and the n + 1 line
+    ends among them."""
     if len(data) >= WIDTH:
         grams = mix64(np.ndarray((len(data) - WIDTH + 1,), "<u8", np.ascontiguousarray(data),
                                  strides=(1,)) + U64(1))
-    whole = substring_hashes(data, offsets[:-1], offsets[1:])
-    return [np.unique(grams[a:b - WIDTH + 1]) if b - a >= WIDTH else whole[k:k + 1]
-            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+    else:
+        grams = np.empty(0, U64)
+    length = np.diff(offsets)
+    count = np.maximum(length - WIDTH + 1, 1)
+    line = np.repeat(np.arange(len(length)), count)
+    at = offsets[:-1][line] + np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    h = np.append(grams, U64(0))[np.minimum(at, len(grams))]
+    short = np.flatnonzero(length < WIDTH)
+    if len(short):
+        first = (np.cumsum(count) - count)[short]
+        h[first] = substring_hashes(data, offsets[short], offsets[short + 1])
+    out = []
+    for i in range(0, len(length), 1 << 16):              # 16 bits number the lines of a part
+        part = (line >= i) & (line < i + (1 << 16)) if len(length) > 1 << 16 else slice(None)
+        key = np.sort(((line[part] - i).astype(U64) << U64(48)) | (h[part] >> U64(16)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        out.append((key & U64((1 << 48) - 1), (key >> U64(48)).astype(np.int64) + i))
+    values = np.concatenate([x for x, _ in out]) if out else np.empty(0, U64)
+    lines = np.concatenate([y for _, y in out]) if out else np.empty(0, np.int64)
+    return values, np.searchsorted(lines, np.arange(len(length) + 1))
 
 
 def line_set(line: bytes) -> np.ndarray:
     return shingles(np.frombuffer(line, np.uint8), np.array([0, len(line)]))[0]
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys of each set, from BANDS x ROWS minima."""
-    sig = np.stack([(((s >> U64(32)).astype(np.uint32) ^ _XOR) * _TIMES).min(axis=1) for s in sets])
-    sig = sig.reshape(len(sets), BANDS, ROWS).astype(U64)
-    key = np.broadcast_to(_BAND, (len(sets), BANDS))
+def _binned(values: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """One-permutation minima: n x 36, empty bins filled from the first full bin of their
+    own fixed order."""
+    h = mix64(values)
+    out = np.full(n * _K, EMPTY, U64)
+    np.minimum.at(out, line * _K + (h % U64(_K)).astype(np.int64), h >> U64(8))
+    out = out.reshape(n, _K)
+    full = out != EMPTY
+    filled = out.copy()
+    missing = ~full
+    for step in range(_K):
+        if not missing.any():
+            break
+        source = _BORROW[:, step]
+        take = missing & full[:, source]
+        filled[take] = out[:, source][take]
+        missing &= ~take
+    return filled
+
+
+def _permuted(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    x = (values >> U64(16)).astype(np.uint32)
+    return np.stack([np.minimum.reduceat((x ^ _XOR[k]) * _TIMES[k], begin)
+                     for k in range(_K)], 1).astype(U64)
+
+
+def _keys(minima: np.ndarray, kind: int) -> np.ndarray:
+    sig = minima.reshape(len(minima), BANDS, ROWS)
+    key = np.broadcast_to(_BAND[kind], (len(minima), BANDS))
     for r in range(ROWS):
         key = mix64(key ^ sig[:, :, r] * U64(0x9E3779B97F4A7C15))
     return key
 
 
+def band_keys(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Packed band keys of each line's set values[ends[k]:ends[k + 1]]."""
+    size = np.diff(ends)
+    out = [b""] * len(size)
+    for kind, which in ((0, size >= SHORT), (1, size < LONG)):
+        ids = np.flatnonzero(which)
+        if not len(ids):
+            continue
+        mine = values[np.repeat(which, size)]
+        n = size[ids]
+        minima = _binned(mine, np.repeat(np.arange(len(ids)), n), len(ids)) if kind == 0 \
+            else _permuted(mine, np.cumsum(n) - n)
+        packed, width = _keys(minima, kind).tobytes(), 8 * BANDS
+        for i, k in enumerate(ids.tolist()):
+            out[k] += packed[width * i:width * (i + 1)]
+    return out
+
+
 def _lines(batches: Iterator[pa.RecordBatch]):
     """Bounded groups of rows: (batch, row numbers, line numbers, normalised lines)."""
     for batch in batches:
         data, offsets = flat(batch.column("text"))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, GROUP):
             row, number, lines = [], [], []
             for k in range(i, j):
                 for n, line in enumerate(data[offsets[k]:offsets[k + 1]].tobytes().split(b"\n")):
@@ -92,10 +162,15 @@ def _lines(batches: Iterator[pa.RecordBatch]):
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, row, number, lines in _lines(batches):
-        yield rows_of(["row", "rank", "line", "node"], batch.column("row").to_numpy()[row],
-                      batch.column("rank").to_numpy()[row], number,
-                      line_numbers(lines)[0].view(np.int64))
+    """One row per line that is not blank, and one with line -1 per document."""
+    for batch in batches:
+        yield rows_of(["row", "id", "rank", "line", "node"],
+                      *(batch.column(c) for c in ("row", "id", "rank")),
+                      np.full(batch.num_rows, -1, np.int32), pa.nulls(batch.num_rows, pa.int64()))
+        for _, row, number, lines in _lines(iter([batch])):
+            yield rows_of(["row", "id", "rank", "line", "node"],
+                          *(batch.column(c).take(pa.array(row)) for c in ("row", "id", "rank")),
+                          number, line_numbers(lines)[0].view(np.int64))
 
 
 def _new_lines(batches: Iterator[pa.RecordBatch]):
@@ -112,44 +187,67 @@ def _new_lines(batches: Iterator[pa.RecordBatch]):
             yield nodes[fresh], [lines[k] for k in fresh]
 
 
-def _bands(batches: Iterator[pa.RecordBatch]):
+LINE_ROWS = "node bigint, size bigint, bits binary, bands binary"
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for nodes, lines in _new_lines(batches):
         _, data, offsets = line_numbers(lines)
-        sets = shingles(data, offsets)
-        size = np.repeat(np.array([len(s) for s in sets], np.int64), BANDS)
-        zero = np.zeros(len(size), np.int64)
-        yield band_keys(sets).reshape(-1), np.repeat(nodes.view(np.int64), BANDS), zero, size, zero
+        values, ends = shingles(data, offsets)
+        yield rows_of(["node", "size", "bits", "bands"], nodes.view(np.int64),
+                      np.diff(ends).astype(np.int64),
+                      pa.array(bitmaps(mix64(values), ends, BITS), pa.binary()),
+                      pa.array(band_keys(values, ends), pa.binary()))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes, lines in _new_lines(batches):
-        yield rows_of(["node", "z"], nodes.view(np.int64), pa.array(lines, pa.binary()))
+def _bands(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        bands = batch.column("bands").to_pylist()
+        if not bands:
+            continue
+        n = np.array([len(k) // 8 for k in bands])
+        zero = np.zeros(int(n.sum()), np.int64)
+        yield (np.frombuffer(b"".join(bands), "<u8"), np.repeat(batch.column("node").to_numpy(), n),
+               zero, np.repeat(batch.column("size").to_numpy(), n), zero)
+
+
+def _texts_of(docs: DataFrame):
+    def texts(wanted) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for nodes, lines in _new_lines(batches):
+                keep = np.flatnonzero(in_bloom(wanted.value, nodes.view(np.int64)))
+                if len(keep):
+                    yield rows_of(["node", "z"], nodes[keep].view(np.int64),
+                                  pa.array([lines[k] for k in keep], pa.binary()))
+        return docs.mapInArrow(run, "node bigint, z binary")
+    return texts
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: row, <id_col>, n_lines (not blank), removed (ascending numbers of
+    """One row per document: <id_col>, n_lines (not blank), removed (ascending numbers of
     the removed lines, the text's first line being 0)."""
-    rows = materialize(docs.select(
+    rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("rank"),
-        F.col(text_col).alias("text")), "line-docs")
-    seen = materialize(rows.select("row", "rank", "text").mapInArrow(
-        _occurrences, "row bigint, rank bigint, line int, node bigint"), "line-rows")
-    pairs, members = candidate_lists(rows.select("text"), _bands, NUM, DEN, positions=False)
-    texts = rows.select("text").mapInArrow(_texts, "node bigint, z binary")
-    labels = components(pairs, members, texts, line_set, NUM, DEN)
+        F.col(text_col).alias("text"))
+    text = rows.select("text")
+    seen = materialize(rows.mapInArrow(
+        _occurrences, "row bigint, id bigint, rank bigint, line int, node bigint"), "line-rows")
+    lines = materialize(text.mapInArrow(_line_rows, LINE_ROWS), "line-sets")
+    pairs, members = candidate_lists(lines.select("node", "size", "bands"), _bands, NUM, DEN,
+                                     positions=False)
+    labels = components(pairs, members, lines.select("node", "size", "bits"), _texts_of(text),
+                        line_set, NUM, DEN)
 
     place = F.struct("rank", "row", "line")
     named = (seen.join(labels, "node", "left")
-             .select("row", "rank", "line", F.coalesce("label", "node").alias("label")))
-    first = named.groupBy("label").agg(F.min(place).alias("first"))
-    gone = (named.join(first, "label").groupBy("row")
-            .agg(F.count(F.lit(1)).alias("n_lines"),
-                 F.array_sort(F.collect_list(F.when(place != F.col("first"), F.col("line"))))
-                 .alias("removed")))
-    return (rows.select("row", "id").join(gone, "row", "left")
-            .select("row", F.col("id").alias(id_col), F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-                    F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
+             .select("row", "id", "rank", "line", F.coalesce("label", "node").alias("label")))
+    first = (named.where("line >= 0").groupBy("label").agg(F.min(place).alias("first")))
+    gone = F.when(place != F.col("first"), F.col("line"))
+    return (named.join(first, "label", "left").groupBy("row", "id")
+            .agg(F.count_if(F.col("line") >= 0).alias("n_lines"),
+                 F.array_sort(F.collect_list(gone)).alias("removed"))
+            .select(F.col("id").alias(id_col), "n_lines", "removed"))
 
 
 def without_lines(text: str, removed: list[int]) -> str:
