@@ -1,0 +1,249 @@
+"""Jaccard join, fuzzy lines, repeated byte strings, secret scan, pipeline."""
+
+import os
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from matchbook.llm import common, linededup, queries, secrets, setjoin, similar, suffix
+from test_exact_mixing import docs
+
+SF = "/root/testdata/sf0.001"
+
+
+def components(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_connected_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
+    links += [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(1, 300)]
+    got = {r["node"]: r["label"] for r in common.connected_components(
+        spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    want = components({x for e in links for x in e}, links)
+    assert got == {n: c for n, c in want.items() if n in got}
+    assert set(got) == {x for a, b in links if a != b for x in (a, b)}
+    assert common.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def word_set(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near(a, b):
+    both = len(a & b)
+    return bool(both) and 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def cluster_rows(seed):
+    """A base text with many edited copies, so that few are similar to the first one; a passage
+    that many documents share; repeats, ties and degenerate texts."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w) if i % 2 else "\t".join(w).upper(), "s"))
+    shared = " ".join(word() for _ in range(40))
+    rows += [(100 + i, " ".join(word() for _ in range(rng.randint(2, 60))) + " " + shared, "s") for i in range(50)]
+    rows += [(200, None, "s"), (201, "", "s"), (202, "one two", "s"), (203, "One  two", "s"), (204, "two one", "s"),
+             (205, rows[3][1], "s"), (205, rows[3][1], "s"), (None, "null id text is here now", "s"),
+             (207, "null id text is here now", "s"), (208, "q " * 40000, "s")]
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_components_against_brute_force(spark, seed):
+    rows = cluster_rows(seed)
+    got = setjoin.jaccard_components(docs(spark, rows).selectExpr("*", "1 AS row", "2 AS z")).collect()
+    sets = [word_set(t) for _, t, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])]
+    comp = components(range(len(rows)), links)
+    members = {}
+    for k, c in comp.items():
+        members.setdefault(c, []).append(rows[k][0])
+    least = {c: min((x for x in ids if x is not None), default=None) for c, ids in members.items()}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == \
+        sorted(((rows[k][0], len(sets[k]), least[comp[k]] if sets[k] else rows[k][0])
+                for k in range(len(rows))), key=key)
+    assert sum(r["kept"] for r in got) == len(members)
+
+
+def test_near_duplicates_are_dropped_once(spark):
+    rows = cluster_rows(4)
+    df = docs(spark, rows).selectExpr("*", "1 AS set_row")
+    left = setjoin.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert left.count() == setjoin.jaccard_components(df).where("kept").count()
+    assert setjoin.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = random.Random(9)
+    import numpy as np
+    for _ in range(200):
+        n = rng.randint(1, 300)
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = {x for x in a if rng.random() > 0.12} | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 8 + 1))}
+        if not b or len(a & b) * 5 < 4 * len(a | b):
+            continue
+        x, y = (np.frombuffer(similar.bitmap(np.array(sorted(s), np.uint64), 4), "<u8") for s in (a, b))
+        m = min(len(x), len(y))
+        d = int(np.bitwise_count(similar._folded(x, m) ^ similar._folded(y, m)).sum())
+        assert d <= len(a ^ b) and similar.allowed(len(a), len(b), d, 4, 5)
+
+
+def line_shingles(line):
+    b = linededup.normal(line.encode())
+    return {b[i:i + 8] for i in range(len(b) - 7)} if len(b) >= 8 else {b}
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    rng = random.Random(11)
+    texts, pool = [], [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "zeta9"]) + str(rng.randrange(50))
+                                for _ in range(n)) for n in (2, 4, 8, 15, 25, 40) for _ in range(6)]
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            line = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 2)):
+                line[rng.randrange(len(line))] = rng.choice("abc")
+            lines.append("".join(line))
+        texts.append((i, "\n".join(lines + [""] * (i % 3)), "s"))
+    texts += [(50, None, "s"), (51, "", "s"), (52, "Ok", "s"), (53, "ok ", "s"), (53, "ok ", "s"),
+              (None, " oK", "s"), (54, ("long line " * 5000) + "\n" + "long line " * 5000, "s")]
+    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0, k))
+    flat = [(k, n, line_shingles(x)) for k in order for n, x in enumerate((texts[k][1] or "").split("\n"))
+            if linededup.normal(x.encode())]
+    links = [(i, j) for i in range(len(flat)) for j in range(i)
+             if 5 * len(flat[i][2] & flat[j][2]) >= 4 * len(flat[i][2] | flat[j][2])]
+    comp = components(range(len(flat)), links)
+    removed = {}
+    for i, (k, n, _) in enumerate(flat):
+        if comp[i] != i:
+            removed.setdefault(k, []).append(n)
+    got = linededup.fuzzy_lines(docs(spark, texts).coalesce(1).selectExpr("*", "1 AS row", "2 AS line")).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(((r["doc_id"], r["n_lines"], r["removed"]) for r in got), key=key) == sorted(
+        ((texts[k][0], sum(1 for f in flat if f[0] == k), removed.get(k, [])) for k in range(len(texts))), key=key)
+    assert linededup.without_lines("a\nb\na", [2]) == "a\nb"
+    assert linededup.fuzzy_lines(docs(spark, [])).count() == 0
+
+
+def brute_repeats(rows):
+    seen, out = {}, []
+    texts = [((i if i is not None else -2**63), (t or "").encode()) for i, t, _ in rows]
+    for rank, b in texts:
+        for s in range(len(b) - 49):
+            w = b[s:s + 50]
+            seen[w] = min(seen.get(w, rank), rank)
+    for rank, b in texts:
+        gone = set()
+        for s in range(len(b) - 49):
+            if seen[b[s:s + 50]] < rank:
+                gone |= set(range(s, s + 50))
+        spans = sum(1 for p in gone if p - 1 not in gone)
+        out.append((len(b), len(gone), spans, bytes(c for p, c in enumerate(b) if p not in gone)))
+    return out
+
+
+def test_repeated_bytes_against_brute_force(spark):
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("ab é\n") for _ in range(n))
+    base = text(2500)
+    rows = [(i, text(rng.randint(0, 80)) + base[rng.randrange(1200):rng.randrange(1200, 2500)] + text(rng.randint(0, 90)), "s")
+            for i in range(40)]
+    for i in range(40, 60):                       # edited copies
+        w = list(rows[i - 40][1])
+        for _ in range(4):
+            w[rng.randrange(len(w))] = "X"
+        rows.append((i, "".join(w), "s"))
+    rows += [(70, None, "s"), (71, "", "s"), (72, "x" * 49, "s"), (73, "x" * 49, "s"), (74, "x" * 50, "s"),
+             (75, "x" * 3000, "s"), (76, "y" * 60 + "x" * 70, "s"), (None, base, "s"), (90, base, "s"), (90, base, "s"),
+             (91, base * 30, "s")]
+    got = suffix.remove_repeats(docs(spark, rows).coalesce(2).selectExpr("*", "1 AS row", "2 AS rank", "3 AS z")).collect()
+    mine = sorted((r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), bytes(r["kept"])) for r in got)
+    assert mine == sorted(brute_repeats(rows))
+    assert suffix.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_secret_scan_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op10_secret_scan(spark, sf)
+    truth = F.col("finding").rlike("^[0-9a-fA-F]{40}$")
+    assert got.where(truth).count() > 5
+    assert got.where(truth & ~F.col("is_secret")).count() == 0
+    assert got.where(~truth & F.col("is_secret")).count() <= 0.02 * got.count()
+
+
+def test_secret_candidates_cases(spark):
+    rows = [(1, 'token = "0123456789abcdef0123"', "conf/test.env"), (2, None, None), (3, "", "s"), (4, "short", "s"),
+            (5, "thequickbrownfoxjumped", "s"), (5, "thequickbrownfoxjumped", "s"), (None, "A" * 5000, "s")]
+    df = docs(spark, rows).selectExpr("*", "1 AS row", "2 AS at")
+    stats = secrets.corpus_statistics(df.select("text"))
+    found = secrets.candidates(df, stats, path_col="source")
+    got = {r["id"]: r for r in found.collect()}
+    assert found.count() == 4 and got[1]["at"] == 9 and got[1]["assigned"] == got[1]["quoted"] == got[1]["key_word"] == 1
+    assert got[1]["path_depth"] == 1 and got[1]["path_example"] == 1 and got[5]["assigned"] == 0
+    assert secrets.train(found.withColumn("label", F.lit(1))) is None
+    judged = secrets.classify(found, None)
+    assert judged.where("is_secret IS NULL").count() == 4
+    forest = secrets.train(found.withColumn("label", (F.col("digits") > 0).cast("int")))
+    assert {r["id"] for r in secrets.classify(found, forest).where("is_secret").collect()} == {1}
+    assert secrets.candidates(df.limit(0), stats).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(10**9, None, "en", "src0", 0), (10**9 + 1, "12 34", "en", "src0", 5)], table.schema)
+    now, columns = table.unionByName(extra), table.columns
+    counts = [now.count()]
+    for name, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == columns
+        now = spark.createDataFrame(now.collect(), table.schema)
+        counts.append(now.count())
+    assert counts[1] == counts[0] - 2 and counts[2] < counts[1] and counts[3] <= counts[2]
+    tokens = cp.STAGES[-1][1](spark, now, SF)
+    assert tokens.count() == now.count() and tokens.agg(F.min("start")).first()[0] == 0
+    whole = cp.run(spark, SF)
+    assert whole.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and whole.count() > 0
+
+
+def test_registered_queries_agree_with_sql(spark):
+    import oracle_check
+    names = list(queries.QUERIES)
+    report = oracle_check.compare(spark, SF, names, verbose=False)
+    assert set(names) == {n for n in names if re.match(r"op\d+_", n)} and len(names) == 10
+    assert all(r["status"] in ("match", "no-oracle") for r in report.values()), report
+
+
+def test_guard_is_in_the_entry_file_only():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    for folder, _, files in os.walk(os.path.join(root, "matchbook", "llm")):
+        for f in files:
+            if f.endswith(".py"):
+                assert "except ImportError" not in open(os.path.join(folder, f)).read()
+    for folder, _, files in os.walk(os.path.join(root, "matchbook")):
+        if os.sep + "llm" not in folder:
+            for f in files:
+                if f.endswith(".py"):
+                    assert "matchbook.llm" not in open(os.path.join(folder, f)).read()
