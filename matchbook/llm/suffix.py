@@ -223,7 +223,8 @@ def decide(source: DataFrame, emit: Callable, split: Callable, by_place: bool,
     are let go afterwards."""
     buckets = bucket_count(source.sparkSession)
     sent = scatter_tagged(source, emit, split, KEYED, buckets)
-    back = regather(sent, _answers(split, by_place, buckets), KEYED, ["<u8", "<u8"], buckets)
+    back = regather(sent, _answers(split, by_place, buckets), KEYED, ["<u8", "<u8"],
+                    shuffle_parts(source.sparkSession))
     out = materialize(gather(back, _per_row, BACK, "row bigint, found binary"), tag)
     del sent, back
     release_shuffles(source.sparkSession)
@@ -313,7 +314,8 @@ def decide_windows(source: DataFrame, emit: Callable, tag: str) -> DataFrame:
     """(row, found): the open windows that stand in a document of smaller id."""
     buckets = bucket_count(source.sparkSession)
     back = regather(scatter(source, emit, PIECES, buckets), _repeated_windows, PIECES,
-                    ["<u8", "<u8"], buckets)
+                    ["<u8", "<u8"],
+                    shuffle_parts(source.sparkSession))
     out = materialize(gather(back, _per_row, BACK, "row bigint, found binary"), tag)
     del back
     release_shuffles(source.sparkSession)
