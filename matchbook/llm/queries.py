@@ -87,19 +87,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_findings(found: DataFrame) -> DataFrame:
-    """Labels of candidates of known kind; the tables hold no reviewed findings, so a rule
-    stands in for the reviewer: 40 hexadecimal digits, as an access token has, are a secret,
-    and so is nothing else that was planted; a word without digits is none."""
-    hexadecimal = F.col("finding").rlike("^[0-9a-fA-F]{40}$")
-    plain = ~F.col("finding").rlike("[0-9]")
-    return (found.where(hexadecimal | plain).withColumn("label", hexadecimal.cast("int")))
+    """Findings of known kind with ``label``; the tables hold no reviewed findings, so the
+    rules of ``secrets.label`` stand in for the reviewer."""
+    return found.withColumn("label", secrets.label()).where("label IS NOT NULL")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     statistics = secrets.corpus_statistics(docs.select("text"))
     found = materialize(secrets.candidates(docs, statistics, path_col="source"), "findings")
-    forest = secrets.train(labelled_findings(found.where(~langid.held_out("id"))))
+    forest = secrets.train(labelled_findings(found.where(~langid.held_out("id"))),
+                           reference=secrets.reference_findings(docs, statistics, "source"))
     return (secrets.classify(found, forest)
             .select(F.col("id").alias("doc_id"), "at", "finding", "probability", "is_secret"))
 

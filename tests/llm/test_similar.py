@@ -210,6 +210,33 @@ def test_secret_candidates_cases(spark):
     assert secrets.candidates(df.limit(0), stats).count() == 0
 
 
+def test_secrets_and_look_alikes_of_kinds_that_no_rule_names(spark, tmp_path):
+    rng = random.Random(23)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    digits, alnum = "0123456789", "0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"
+    bad = [lambda: f"npm_{pick(alnum, 36)}", lambda: f"glpat-{pick(alnum, 20)}",
+           lambda: f"sk_live_{pick(alnum, 24)}", lambda: f"dop_v1_{pick(alnum, 43)}",
+           lambda: f'db_password = "{pick(alnum, 10)}"', lambda: f"auth: {pick(alnum, 12)}"]
+    good = [lambda: f"978-3-{pick(digits, 2)}-{pick(digits, 6)}-{pick(digits, 1)}",
+            lambda: f"+49-{pick(digits, 3)}-{pick(digits, 4)}-{pick(digits, 4)}",
+            lambda: f"photos/2021/{pick(digits, 2)}/holiday-{pick(digits, 4)}",
+            lambda: f"2024-01-{pick(digits, 2)}T10-{pick(digits, 2)}-31",
+            lambda: f"etag {pick('0123456789ABCDEF', 32)}", lambda: f"invoice = {pick(digits, 18)}"]
+    rows = []
+    for k, kind in enumerate(bad + good):
+        rows += [(100 * k + i, f"some words here {kind()} and more", f"src{i % 9}") for i in range(40)]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").where("NOT text RLIKE '[0-9a-fA-F]{40}'")
+    table = plain.selectExpr("doc_id + 100000 AS doc_id", "text", "source").unionByName(
+        docs(spark, rows).select("doc_id", "text", "source"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_secret_scan(spark, str(tmp_path)).where("doc_id < 100000")
+    assert got.where("is_secret IS NULL").count() == 0
+    share = {r["kind"]: (r["n"], r["p"]) for r in got.groupBy(F.expr("doc_id div 100").alias("kind")).agg(
+        F.count("*").alias("n"), F.avg(F.col("is_secret").cast("int")).alias("p")).collect()}
+    assert all(share[k][0] >= 36 and share[k][1] >= 0.8 for k in range(len(bad))), str(share)
+    assert all(share.get(k, (0, 0))[1] <= 0.2 for k in range(len(bad), len(bad + good))), str(share)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
     table = spark.read.parquet(f"{SF}/documents.parquet")
