@@ -247,6 +247,23 @@ def scatter_tagged(df: DataFrame, emit: Callable, split: Callable, dtypes: list[
     return df.mapInArrow(run, "bucket int, blob binary")
 
 
+def scatter_split(df: DataFrame, emit: Callable, split: Callable, dtypes: list[str],
+                  buckets: int) -> DataFrame:
+    """As ``scatter``, for keys that may hold much of the data: ``split`` gives the rows for
+    their key's bucket and the rows (or None) of large keys, which go to the buckets from
+    ``buckets`` on, dealt out by key and by the time at which a task held them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        task = TaskContext.get().partitionId()
+        for k, columns in enumerate(_held(batches, emit, dtypes)):
+            send, large = split(*columns)
+            yield packed(send, dtypes, buckets)
+            if large is not None:
+                here = mix64(np.array([(task << 32) + k + 1], U64))
+                yield packed(large, dtypes, buckets, buckets, large[0] ^ here)
+    return df.mapInArrow(run, "bucket int, blob binary")
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tuple]:
     """(bucket, its concatenated arrays), one bucket at a time."""
     now, held = None, []

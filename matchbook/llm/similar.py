@@ -6,6 +6,9 @@ Joining all pairs of a list would be quadratic, so work is saved by set relation
 * a list is cut into blocks by set size; blocks too far apart for the threshold are
   skipped, and with positions so are entries whose remaining shingles cannot reach the
   overlap any more;
+* a list that fills much of a map task's postings is not sent whole: its first node of each
+  size block goes to the list's bucket, the postings go in slices to buckets of their own,
+  and slices meet the pivots of the whole list by a salted join, so no task holds the list;
 * the answers of a list's members are derived from its pivots: every member is
   compared with the first node of its own and the neighbouring size blocks only.
   Members that link to a pivot share the pivot's component and need no comparison with
@@ -40,23 +43,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import (U64, bloom_filter, bucket_count, by_key, connected_components,
-                                  gather, grouped, only, release_shuffles, rows_of, scatter,
-                                  shuffle_parts)
+                                  gather, grouped, only, pack, release_shuffles, rows_of,
+                                  scatter_split, shuffle_parts, unpack)
 from matchbook.session import materialize
 
 FANOUT = 256                      # members that one task compares with a pivot
 BLOCK = 4096                      # members of a group that one task holds (two blocks at most)
 LIST = ["<u8", "<i8", "<i8", "<u4", "<u4"]                     # key, node, rank, size, position
-FOUND = "kind int, a bigint, b bigint, rank bigint"
-FOUND_NAMES = ["kind", "a", "b", "rank"]
+FOUND = "kind int, a bigint, b bigint, rank bigint, blob binary"
+FOUND_NAMES = ["kind", "a", "b", "rank", "blob"]
+PAIR, MEMBER, PIVOTS, SLICE = range(4)
+HOT = 1024                        # postings of a key, of those a map task holds at once, that are a slice
+PIECE = 1 << 16                   # postings in one row of a slice
+FLAG = np.uint32(1 << 31)         # on a position: the posting stands for a slice
 
 
-def _reduce_lists(num: int, den: int, positions: bool) -> Callable:
+def _found(kind: int, a, b, rank=None, blob=None) -> pa.RecordBatch:
+    n = len(a)
+    return rows_of(FOUND_NAMES, np.full(n, kind, np.int32), a, b,
+                   pa.nulls(n, pa.int64()) if rank is None else rank,
+                   pa.nulls(n, pa.binary()) if blob is None else pa.array(blob, pa.binary()))
+
+
+def _blocks(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Size blocks: sizes of one block differ by less than the threshold's factor."""
+    return np.floor(np.log(size) / np.log(den / num) + 1e-9).astype(np.int64)
+
+
+def _slices(num: int, den: int, hot: int) -> Callable:
+    """For postings held together: those to send to their key's bucket, with slices replaced
+    by their first posting of each size block, and the slices' postings."""
+    def split(key, node, rank, size, pos):
+        order = np.lexsort((node, rank, key))
+        key, node, rank, size, pos = (c[order] for c in (key, node, rank, size, pos))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        lists = np.cumsum(new) - 1
+        large = np.bincount(lists)[lists] >= hot
+        if not large.any():
+            return [key, node, rank, size, pos], None
+        at = np.flatnonzero(large)
+        _, first = np.unique(lists[at] * 4096 + _blocks(size[at], num, den), return_index=True)
+        sent = np.concatenate([np.flatnonzero(~large), at[first]])
+        flag = np.where(large[sent], FLAG, np.uint32(0))
+        return ([key[sent], node[sent], rank[sent], size[sent], pos[sent].astype(np.uint32) | flag],
+                [c[at] for c in (key, node, rank, size, pos)])
+    return split
+
+
+def _allowed_pairs(small_size, large_size, pos_a, pos_b, size_a, size_b, num: int, den: int,
+                   positions: bool) -> np.ndarray:
+    ok = small_size * den >= large_size * num
+    if positions:
+        rest = np.minimum(size_a.astype(np.int64) - pos_a, size_b.astype(np.int64) - pos_b)
+        ok &= rest >= -(-num * (small_size + large_size) // (num + den))
+    return ok
+
+
+def _reduce_slices(key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((rank, node, key))
+    k, n = key[order], node[order]
+    order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])]
+    key, columns = key[order], [c[order] for c in (node, rank, size, pos)]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        for a in range(i, j, PIECE):
+            b = min(a + PIECE, j)
+            yield _found(SLICE, key[a:a + 1].view(np.int64), columns[0][a:a + 1],
+                         blob=[pack(*(c[a:b] for c in columns))])
+
+
+def _meet(num: int, den: int, positions: bool) -> Callable:
+    """Pairs and members of rows (blob, pivots) of a slice and its list's pivots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, pivots in zip(batch.column("blob"), batch.column("pivots"), strict=True):
+                node, rank, size, pos = unpack(blob.as_buffer(), LIST[1:])
+                p_node, p_rank, p_size, p_pos = unpack(pivots.as_buffer(), LIST[1:])
+                block, p_block = _blocks(size, num, den), _blocks(p_size, num, den)
+                for k in range(len(p_node)):
+                    at = np.flatnonzero((np.abs(block - p_block[k]) <= 1) & (node != p_node[k]))
+                    small = np.minimum(size[at], p_size[k]).astype(np.int64)
+                    large = np.maximum(size[at], p_size[k]).astype(np.int64)
+                    at = at[_allowed_pairs(small, large, pos[at], int(p_pos[k]), size[at], p_size[k],
+                                           num, den, positions)]
+                    if len(at):
+                        before = (p_rank[k] < rank[at]) | ((p_rank[k] == rank[at])
+                                                           & (p_node[k] < node[at]))
+                        yield _found(PAIR, np.where(before, p_node[k], node[at]),
+                                     np.where(before, node[at], p_node[k]))
+                lead = np.lexsort((p_node, p_rank))[0]
+                yield _found(MEMBER, np.full(len(node), p_node[lead]), node,
+                             np.full(len(node), p_rank[lead]))
+    return run
+
+
+def _reduce_lists(num: int, den: int, positions: bool, buckets: int) -> Callable:
     def run(bucket, key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
+        if bucket >= buckets:
+            yield from _reduce_slices(key, node, rank, size, pos)
+            return
+        flag = pos >= FLAG
+        pos = pos & ~FLAG
+        hot = np.unique(key[flag])
         order = np.argsort(key, kind="stable")
         key = key[order]
         same = np.concatenate([[False], key[1:] == key[:-1]])
-        keep = same | np.concatenate([same[1:], [False]])
+        keep = same | np.concatenate([same[1:], [False]]) | flag[order]
         key, node, rank, size, pos = (key[keep], *(c[order][keep] for c in (node, rank, size, pos)))
         if not len(key):
             return
@@ -69,9 +161,7 @@ def _reduce_lists(num: int, den: int, positions: bool) -> Callable:
         key, node, rank, size, pos = (c[order] for c in (key, node, rank, size, pos))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         lists = np.cumsum(new) - 1
-        # Size blocks: sizes of one block differ by less than the threshold's factor.
-        block = np.floor(np.log(size) / np.log(den / num) + 1e-9).astype(np.int64)
-        code = lists * 4096 + block
+        code = lists * 4096 + _blocks(size, num, den)
         codes, pivot = np.unique(code, return_index=True)      # first in rank of each block
         a, b = [], []
         for shift in (-1, 0, 1):
@@ -82,32 +172,48 @@ def _reduce_lists(num: int, den: int, positions: bool) -> Callable:
         a, b = np.concatenate(a), np.concatenate(b)
         small, large = np.minimum(size[a], size[b]).astype(np.int64), \
             np.maximum(size[a], size[b]).astype(np.int64)
-        ok = (a != b) & (small * den >= large * num)
-        if positions:
-            rest = 1 + np.minimum(size[a].astype(np.int64) - pos[a], size[b].astype(np.int64) - pos[b]) - 1
-            need = -(-num * (small + large) // (num + den))
-            ok &= rest >= need
+        ok = (a != b) & _allowed_pairs(small, large, pos[a], pos[b], size[a], size[b], num, den,
+                                       positions)
         a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]        # by rank
         pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
         if len(pairs):
-            yield rows_of(FOUND_NAMES, np.zeros(len(pairs), np.int32), pairs[:, 0], pairs[:, 1],
-                          pa.nulls(len(pairs), pa.int64()))
+            yield _found(PAIR, pairs[:, 0], pairs[:, 1])
         # Members of lists of three or more, under the list's first node.
         count = np.bincount(lists)
         lead = np.flatnonzero(new)[lists]
-        large = count[lists] >= 3
+        sliced = np.isin(key, hot)
+        large = (count[lists] >= 3) | sliced
         members = np.unique(np.stack([node[lead[large]], node[large], rank[lead[large]]], 1), axis=0)
         if len(members):
-            yield rows_of(FOUND_NAMES, np.ones(len(members), np.int32), *members.T)
+            yield _found(MEMBER, *members.T)
+        pivot = pivot[sliced[pivot]]
+        for at in np.split(pivot, np.flatnonzero(np.diff(lists[pivot])) + 1) if len(pivot) else ():
+            yield _found(PIVOTS, key[at[:1]].view(np.int64), node[at[:1]],
+                         blob=[pack(node[at], rank[at], size[at], pos[at])])
     return run
 
 
+def postings(rows: DataFrame, emit: Callable, num: int, den: int, buckets: int) -> DataFrame:
+    """Rows (bucket, blob) of the index: lists by key below ``buckets``, slices from there on."""
+    return scatter_split(rows, emit, _slices(num, den, HOT), LIST, buckets)
+
+
 def candidate_lists(rows: DataFrame, emit: Callable, num: int, den: int,
                     positions: bool) -> tuple[DataFrame, DataFrame]:
     """(pairs a, b), (members lead, node) of the index that ``emit`` fills."""
+    buckets, salts = bucket_count(rows.sparkSession), shuffle_parts(rows.sparkSession)
     found = materialize(
-        gather(scatter(rows, emit, LIST, bucket_count(rows.sparkSession)),
-               _reduce_lists(num, den, positions), LIST, FOUND), "lists")
+        gather(postings(rows, emit, num, den, buckets),
+               _reduce_lists(num, den, positions, buckets), LIST, FOUND), "lists")
+    slices = found.where(f"kind = {SLICE}").select(
+        F.col("a").alias("key"), F.pmod(F.xxhash64("blob"), F.lit(salts)).alias("salt"), "blob")
+    if not slices.isEmpty():
+        pivots = found.where(f"kind = {PIVOTS}").select(
+            F.col("a").alias("key"), F.explode(F.expr(f"sequence(0L, {salts} - 1L)")).alias("salt"),
+            F.col("blob").alias("pivots"))
+        met = (slices.join(pivots, ["key", "salt"]).select("blob", "pivots")
+               .mapInArrow(_meet(num, den, positions), FOUND))
+        found = found.unionByName(materialize(met, "slices"))
     pairs = found.where("kind = 0").select("a", "b").distinct()
     release_shuffles(rows.sparkSession)
     members = (found.where("kind = 1").groupBy(F.col("a").alias("lead"), F.col("b").alias("node"))

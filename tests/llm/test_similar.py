@@ -147,6 +147,32 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert linededup.fuzzy_lines(docs(spark, [])).count() == 0
 
 
+def test_no_bucket_holds_a_hot_list(spark, monkeypatch):
+    """A third of all lines share band keys: their postings go out in slices, and the results
+    are those of the comparison by brute force."""
+    monkeypatch.setattr(similar, "HOT", 4)
+    rows = [(k, k % 7 + 90, bytes(similar.U64([5, 100 + k]).tobytes())) for k in range(3000)]
+    df = spark.createDataFrame(rows, "node bigint, size bigint, bands binary").repartition(8)
+    most, lists, sent = 0, {}, 0
+    for r in similar.postings(df, linededup._bands, 4, 5, 16).collect():
+        keys = common.unpack(r["blob"], similar.LIST)[0]
+        lists.setdefault(r["bucket"], []).extend(keys.tolist())
+    for keys in lists.values():
+        most = max(most, keys.count(5))
+        sent += keys.count(5)
+    assert sent >= 3000 and most < 1500
+    assert sum(k.count(5) for b, k in lists.items() if b < 16) <= 8 * 2
+    pairs, members = similar.candidate_lists(df, linededup._bands, 4, 5, positions=False)
+    assert {tuple(sorted(r)) for r in pairs.collect()} == {(0, k) for k in range(1, 3000)}
+    assert {(r["lead"], r["node"]) for r in members.collect()} == {(0, k) for k in range(3000)}
+
+
+def test_sliced_lists_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT", 3)
+    test_jaccard_components_against_brute_force(spark, 3)
+    test_fuzzy_lines_against_brute_force(spark)
+
+
 def brute_repeats(rows):
     seen, out = {}, []
     texts = [((i if i is not None else -2**63), (t or "").encode()) for i, t, _ in rows]
