@@ -21,8 +21,9 @@ Joining all pairs of a list would be quadratic, so work is saved by set relation
   fewer elements than their bitmaps do in bits.  First a spanning forest of the pairs
   that the bound allows, closest first, is compared exactly; pairs inside a component
   need no comparison then;
-* where the exact comparison refuted an edge of the forest, all pairs that the bound
-  allows between the group's components are compared.
+* where the exact comparison refuted an edge of the forest, the group's sets themselves are
+  compared inside tasks, pairs that bitmaps eight times as fine allow only, and a task gives
+  no more than a spanning forest of true links.
 
 Groups of more than ``BLOCK`` members are cut into blocks and compared block by block, so
 no task holds an unbounded group.
@@ -43,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import (U64, bloom_filter, bucket_count, by_key, connected_components,
-                                  gather, grouped, only, pack, release_shuffles, rows_of,
-                                  scatter_split, shuffle_parts, unpack)
+                                  gather, grouped, mix64, only, pack, release_shuffles,
+                                  rows_of, scatter_split, shuffle_parts, unpack)
 from matchbook.session import materialize
 
 FANOUT = 256                      # members that one task compares with a pivot
 BLOCK = 4096                      # members of a group that one task holds (two blocks at most)
+ELEMENTS = 1 << 22                # elements of a block's sets, where a task holds the sets
+FINE = 16                         # bits for each element in the bitmaps of a group compared by sets
 LIST = ["<u8", "<i8", "<i8", "<u4", "<u4"]                     # key, node, rank, size, position
 FOUND = "kind int, a bigint, b bigint, rank bigint, blob binary"
 FOUND_NAMES = ["kind", "a", "b", "rank", "blob"]
@@ -327,10 +330,13 @@ def _near(size, label, block, words, num: int, den: int):
             yield i, np.concatenate(found), np.concatenate(far)
 
 
-def blocks_of(groups: DataFrame) -> DataFrame:
-    """Rows (lead, node, ...) with ``task``, which two blocks of a group share, and ``block``."""
-    n = (groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
-         .select("lead", F.expr(f"(n - 1) div {BLOCK} + 1").alias("n")))
+def blocks_of(groups: DataFrame, weight: str | None = None) -> DataFrame:
+    """Rows (lead, node, ...) with ``task``, which two blocks of a group share, and ``block``.
+    With ``weight``, a column, blocks are also bounded by its sum (``ELEMENTS``)."""
+    count = F.expr(f"(count(1) - 1) div {BLOCK}")
+    if weight:
+        count = F.greatest(count, F.expr(f"sum({weight}) div {ELEMENTS}"))
+    n = groups.groupBy("lead").agg((count + F.lit(1)).cast("long").alias("n"))
     one = groups.join(n, "lead").withColumn("block", F.pmod(F.xxhash64("node"), "n"))
     # Two blocks meet in one task; a block alone meets itself there where it is the only one,
     # or else beside its next neighbour.
@@ -339,32 +345,36 @@ def blocks_of(groups: DataFrame) -> DataFrame:
                                            F.greatest("block", "other"))).drop("other", "n"))
 
 
-def open_pairs(groups: DataFrame, bits: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(lead, a, b): pairs between components of each group (lead, node, label) that the
-    bitmaps (node, size, bits) allow, a spanning forest of them, closest first, or all."""
+def _roots() -> tuple[Callable, Callable]:
+    """Union-find over labels: find(x), and join(x, y), which says whether they were apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    def join(x: int, y: int) -> bool:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+        return x != y
+    return find, join
+
+
+def open_pairs(groups: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """(lead, a, b): a spanning forest, closest first, of the pairs between components of each
+    group (lead, node, label) that the bitmaps (node, size, bits) allow."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "task", ["lead", "node", "size", "label", "block", "bits"]):
             node, size, label, block = (np.array([r[k] for r in rows], np.int64)
                                         for k in range(1, 5))
             words = [np.frombuffer(r[5], "<u8") for r in rows]
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                return x
-
+            _, join = _roots()
             a, b = [], []
             for i, j, far in _near(size, label, block, words, num, den):
-                if not forest:
-                    a += [int(node[i])] * len(j)
-                    b += node[j].tolist()
-                    continue
                 for k in np.argsort(far, kind="stable").tolist():
-                    mine, other = find(int(label[i])), find(int(label[j[k]]))
-                    if mine != other:
-                        root[max(mine, other)] = min(mine, other)
+                    if join(int(label[i]), int(label[j[k]])):
                         a.append(int(node[i]))
                         b.append(int(node[j[k]]))
             if a:
@@ -375,6 +385,35 @@ def open_pairs(groups: DataFrame, bits: DataFrame, num: int, den: int, forest: b
             .mapInArrow(run, "lead bigint, a bigint, b bigint").distinct())
 
 
+def open_links(groups: DataFrame, sizes: DataFrame, texts: DataFrame,
+               sets: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
+    """(a, b): links between components of each group (lead, node, label), of the pairs that
+    two of its blocks hold a spanning forest.  A task compares the sets themselves, so pairs
+    that are no link never leave it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, "task", ["node", "label", "block", "z"]):
+            node, label, block = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            held = [np.sort(sets(r[3])) for r in rows]
+            size = np.array([len(x) for x in held], np.int64)
+            words = [np.frombuffer(bitmap(mix64(x), FINE), "<u8") for x in held]
+            find, join = _roots()
+            a, b = [], []
+            for i, j, far in _near(size, label, block, words, num, den):
+                for k in j[np.argsort(far, kind="stable")].tolist():
+                    if find(int(label[i])) == find(int(label[k])):
+                        continue
+                    both = len(np.intersect1d(held[i], held[k], assume_unique=True))
+                    if both * den >= num * (len(held[i]) + len(held[k]) - both):
+                        join(int(label[i]), int(label[k]))
+                        a.append(int(node[i]))
+                        b.append(int(node[k]))
+            if a:
+                yield rows_of(["a", "b"], np.minimum(a, b), np.maximum(a, b))
+    groups = groups.join(only(sizes, groups).dropDuplicates(["node"]), "node")
+    tasks = blocks_of(groups, "size").join(only(texts, groups).dropDuplicates(["node"]), "node")
+    return by_key(tasks, "task", ["node"]).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 # ------------------------------------------------------- comparison, components
 
 def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarray],
@@ -431,27 +470,32 @@ def components(pairs: DataFrame, members: DataFrame, bits: DataFrame, texts: Cal
     tried = likely.select(*low_high)
     labels = materialize(connected_components(links), "labels")
     release_shuffles(pairs.sparkSession)
-    groups = members
-    for forest in (True, False):
+
+    def held(groups: DataFrame) -> DataFrame:
         # A node that is in the group under its own name was first in all its lists, so it
         # was compared with all it shares a list with.
-        held = (groups.where("node != lead").join(labels, "node", "left")
-                .withColumn("label", F.coalesce("label", "node")))
-        split = (held.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        named = (groups.where("node != lead").join(labels, "node", "left")
+                 .withColumn("label", F.coalesce("label", "node")))
+        split = (named.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .where("lo != hi").select("lead"))
-        held = materialize(held.join(split, "lead", "left_semi"), "open-members")
-        edges = materialize(open_pairs(held, bits, num, den, forest), "open-pairs")
-        more = materialize(edges.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
-                           "new-pairs")
-        found = materialize(verify(more, texts, sets, num, den), "links")
-        links, tried = links.unionByName(found), tried.unionByName(more)
-        if not found.isEmpty():
-            labels = materialize(connected_components(
-                found.unionByName(labels.selectExpr("node AS a", "label AS b"))), "labels")
-        # Groups of which an edge proved wrong are searched in full.
-        wrong = edges.join(links, ["a", "b"], "left_anti").select("lead").distinct()
-        groups = materialize(groups.join(wrong, "lead", "left_semi"), "open-groups")
+        return materialize(named.join(split, "lead", "left_semi"), "open-members")
+
+    def joined(found: DataFrame) -> DataFrame:
+        return labels if found.isEmpty() else materialize(connected_components(
+            found.unionByName(labels.selectExpr("node AS a", "label AS b"))), "labels")
+
+    edges = materialize(open_pairs(held(members), bits, num, den), "open-pairs")
+    more = materialize(edges.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
+                       "new-pairs")
+    found = materialize(verify(more, texts, sets, num, den), "links")
+    labels = joined(found)
+    # Groups of which an edge proved wrong are compared in full.
+    wrong = (edges.join(links.unionByName(found), ["a", "b"], "left_anti")
+             .select("lead").distinct())
+    groups = materialize(members.join(wrong, "lead", "left_semi"), "open-groups")
+    release_shuffles(pairs.sparkSession)
+    if not groups.isEmpty():
+        labels = joined(materialize(open_links(held(groups), bits.select("node", "size"), texts,
+                                               sets, num, den), "links"))
         release_shuffles(pairs.sparkSession)
-        if groups.isEmpty():
-            break
     return labels

@@ -173,6 +173,31 @@ def test_sliced_lists_against_brute_force(spark, monkeypatch):
     test_fuzzy_lines_against_brute_force(spark)
 
 
+def test_groups_that_do_not_link_give_no_pairs(spark, monkeypatch):
+    """Edited copies just under the threshold: what leaves the tasks is a forest of links."""
+    rng = random.Random(29)
+    base = [f"w{i}" for i in range(104)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for at in (rng.sample(range(20), 2) if k % 40 else []):
+            w[5 * at + 2] = f"e{k}x{at}"
+        texts.append(" ".join(w[:-1] + [f"t{k}"]).encode())
+    sets = [word_set(t.decode()) for t in texts]
+    links = [(i, j) for i in range(120) for j in range(i) if near(sets[i], sets[j])]
+    zs = [setjoin.squeeze(t) for t in texts]
+    groups = spark.createDataFrame([(0, k + 1, k + 1) for k in range(120)], "lead bigint, node bigint, label bigint")
+    table = spark.createDataFrame([(k + 1, len(sets[k]), z) for k, z in enumerate(zs)],
+                                  "node bigint, size bigint, z binary")
+    for block in (4096, 50):
+        monkeypatch.setattr(similar, "BLOCK", block)
+        got = {(r["a"] - 1, r["b"] - 1) for r in similar.open_links(
+            groups, table.select("node", "size"), table.select("node", "z"), setjoin._set, 4, 5).collect()}
+        assert {(max(x), min(x)) for x in got} <= set(links)
+        assert components(range(120), got) == components(range(120), links)
+        assert len(got) < 120 * (1 if block > 120 else 6)
+
+
 def brute_repeats(rows):
     seen, out = {}, []
     texts = [((i if i is not None else -2**63), (t or "").encode()) for i, t, _ in rows]
