@@ -158,7 +158,9 @@ def decode_streams(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
     filled = np.concatenate([[0], np.cumsum(count)])
     total = filled[ends] - filled[begin] if len(blobs) else np.zeros(0, np.int64)
     tails = {}
-    for k in np.flatnonzero(total != sizes).tolist():    # a stream with a tail of raw values
+    escapes = np.concatenate([[0], np.cumsum(sel == 0)])
+    tailed = escapes[ends] > escapes[begin] if len(blobs) else np.zeros(0, bool)
+    for k in np.flatnonzero(tailed | (total != sizes)).tolist():    # with a tail of raw values
         a, b = int(begin[k]), int(ends[k])
         m = int(np.searchsorted(np.cumsum(count[a:b]), sizes[k])) + 1 if sizes[k] else 0
         tails[k] = (a, a + m, b)
@@ -210,15 +212,17 @@ class Pieces:
     visible character, and takes a line feed that stands alone as a token, so a text
     without neighbouring white space is the concatenation of its blank-separated
     pieces.  A piece of letters with marks behind them is the letters' tokens and the
-    marks' tokens.  Other texts and pieces are encoded whole.
+    marks' tokens.  Other texts and pieces, and texts with an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, cache: int = CACHE):
+    def __init__(self, path: str, special_as_text: bool = False, cache: int = CACHE):
         self.cache = cache
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not (special_as_text and t.special)]
         # Ids are held as short as the vocabulary allows.
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind = np.dtype("<u2" if small else "<u4")
@@ -263,7 +267,7 @@ class Pieces:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as ``kind``."""
         cut = [None if not t or "  " in t or "\n " in t or " \n" in t or "\n\n" in t
-               or t[-1] in " \n" or _OTHER.search(t)
+               or t[-1] in " \n" or _OTHER.search(t) or any(x in t for x in self.added)
                else ("\0" + t.replace("\n", " \n \0")).split(" ") for t in texts]
         if len(self.known) > self.cache:
             self._turn()

@@ -172,6 +172,21 @@ def test_pieces_agree_with_the_tokenizer():
     assert p(texts) == [x if t else b"" for t, x in zip(texts, p._encode(texts), strict=True)]
 
 
+def test_ids_are_those_of_the_plain_tokenizer():
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "a <|endof b"]
+    got = simple8b.Pieces(queries.tokenizer_path())
+    assert [np.frombuffer(x, got.kind).tolist() for x in got(texts)] == \
+        [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tails_just_above_the_widest_pack():
+    ids = np.array([2**60, 2**60 + 5, 2**61 - 1, 2**60, 3], np.uint64)
+    coded = simple8b.encode_streams(ids, np.array([0, 3, 5]))
+    assert (simple8b.decode_streams([w for w, _ in coded], np.array([3, 2])) == ids).all()
+
+
 def test_token_files_hold_the_whole_stream(spark, tmp_path):
     rows = [(5, "later text", "s"), (1, "", "s"), (2, None, "s"), (None, "null id", "s"), (3, "x " * 60000, "s"),
             (4, "same", "s"), (4, "same", "s"), (4, "other", "s")]
