@@ -21,12 +21,20 @@ from matchbook.session import checkpoint_root
 TOKEN_CACHE = 120_000
 
 
+def free_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, lengthened until none is a column of ``docs`` (names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"{n}_" for n in names)
+    return names
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in no learned language (no letter, no text) go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    names = ("lang_pred", "lang_score", "lang_shares")
+    names = free_names(docs, "lang_pred", "lang_score", "lang_shares")
     return (langid.predict(docs, model, names=names)
-            .where(F.col("lang_pred") != langid.UNKNOWN).drop(*names))
+            .where(F.col(names[0]) != langid.UNKNOWN).drop(*names))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +45,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go; others keep
     their text as it is."""
-    names = ("bench_words", "bench_hit", "bench_items", "bench_spans")
+    names = free_names(docs, "bench_words", "bench_hit", "bench_items", "bench_spans")
     found = decontam.find_contamination(
         docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names=names)
-    return found.where(~decontam.contaminated("bench_hit", "bench_words")).drop(*names)
+    return found.where(~decontam.contaminated(names[1], names[0])).drop(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

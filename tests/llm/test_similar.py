@@ -306,6 +306,16 @@ def test_pipeline_stages(spark):
     assert whole.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and whole.count() > 0
 
 
+def test_pipeline_stages_take_columns_of_their_own_names(spark):
+    import corpus_pipeline as cp
+    table = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    more = table.selectExpr("*", "1 AS lang_pred", "2 AS LANG_SHARES", "3 AS bench_hit", "4 AS bench_words_")
+    for stage in (cp.identify_language, cp.decontaminate):
+        got = stage(spark, more, SF)
+        assert got.columns == more.columns
+        assert got.count() == stage(spark, table, SF).count()
+
+
 def test_registered_queries_agree_with_sql(spark):
     import oracle_check
     names = list(queries.QUERIES)
