@@ -1,7 +1,7 @@
 """Every registered query against its DuckDB oracle on sf0.001."""
 
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 import oracle_check
 
 

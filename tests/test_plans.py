@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from matchbook.plans import catalog
 from matchbook.plans.configs import o2m_pass, o2o_pass
 from matchbook.plans.run import pass_members

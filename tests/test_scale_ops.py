@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from matchbook.operators import one_to_one
 from matchbook.operators.numbering import number_rows
 from matchbook.operators.populations import pass_populations
