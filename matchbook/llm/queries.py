@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm import (chat, decontam, exact, langid, linededup, mixing, secrets, setjoin,
-                           simple8b, suffix)
+from matchbook.llm import (chat, decontam, exact, langid, linededup, merkle, mixing, secrets,
+                           setjoin, simple8b, spelling, suffix, urlfilter)
 from matchbook.session import checkpoint_root, materialize
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -102,7 +102,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "at", "finding", "probability", "is_secret"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_versions(_table(spark, sf_dir, "documents")).drop("copied")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_language_id, op3_benchmark_decontamination, op4_line_dedup,
-    op5_token_output,
-    op6_suffix_dedup, op7_source_mixing, op8_jaccard_join, op9_exact_dedup, op10_secret_scan)}
+    op5_token_output, op6_suffix_dedup, op7_source_mixing, op8_jaccard_join, op9_exact_dedup, op10_secret_scan,
+    op11_merkle_manifest, op12_spelling_variants, op13_url_filter)}

@@ -118,5 +118,112 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS tex
 FROM d JOIN g ON d.t = g.t
 """
 
+def crc32_of(utf8: str) -> str:
+    """Unsigned CRC-32 of a text expression's UTF-8 bytes, bit by bit."""
+    digit = lambda k: f"(instr('0123456789ABCDEF', substr(hx, 2 * i + {k}, 1)) - 1)"
+    codes = f"list_transform(range(0, length(hx) // 2), lambda i: {digit(1)} * 16 + {digit(2)})"
+    step = "lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    crc = (f"list_reduce(list_concat([4294967295], {codes}), lambda c, b: "
+           f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step}))")
+    return f"(SELECT xor({crc}, 4294967295) FROM (SELECT hex(encode({utf8})) AS hx))"
+
+
+def tree_levels(name: str, nodes: str, paths: str, depth: int) -> str:
+    """CTEs of ``depth`` levels over nodes (tree, pos, d) and the way of paths (id, tree, at_,
+    cur, proof) through them; a tree that has one node left stays as it is."""
+    out = []
+    for k in range(depth):
+        out.append(f"""
+{name}r{k} AS (SELECT tree, pos // 16 AS up, list(d ORDER BY pos) AS ds, any_value(n) > 1 AS more
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}) GROUP BY tree, pos // 16),
+{name}n{k} AS (SELECT tree, up AS pos, CASE WHEN more THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d
+  FROM {name}r{k}),
+{name}p{k} AS (SELECT id, tree, place // 16 AS place, CASE WHEN more THEN sha256(a || cur || b) ELSE cur END AS cur,
+  CASE WHEN more THEN proof || a || b ELSE proof END AS proof
+  FROM (SELECT p.*, more, array_to_string(ds[1:place % 16], '') AS a, array_to_string(ds[place % 16 + 2:], '') AS b
+        FROM {paths} p JOIN {name}r{k} r ON r.tree = p.tree AND r.up = p.place // 16))""")
+        nodes, paths = f"{name}n{k}", f"{name}p{k}"
+    return ",".join(out)
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+LOWER_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+# Trees of up to 16 ** 6 leaves a source and 16 ** 3 sources.
+OP11 = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS id, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         sha256({_LEAF} || {_field('text')}) AS leaf,
+         CASE WHEN {crc32_of("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 0 AND doc_id IS NOT NULL
+              THEN sha256({_LEAF} || {_field(LOWER_TEXT)}) END AS changed
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos FROM rows),
+leaves AS (SELECT tree, pos, leaf AS d FROM placed),
+start AS (SELECT id, tree, pos AS place, coalesce(changed, leaf) AS cur, '' AS proof FROM placed),
+{tree_levels('s', 'leaves', 'start', 6)},
+subroots AS (SELECT 0 AS tree, tree AS pos, d FROM sn5),
+further AS (SELECT id, 0 AS tree, tree AS place, cur, proof FROM sp5),
+{tree_levels('t', 'subroots', 'further', 3)}
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(p.proof) AS proof_sha256, p.cur AS folded_root,
+       p.cur = r.d AS verified
+FROM placed JOIN tp2 p USING (id) JOIN sn5 s ON s.tree = placed.tree CROSS JOIN tn2 r
+"""
+
+# Near words share a pattern with one place open, or one is the other with a letter deleted.
+OP12 = f"""
+WITH runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER_TEXT}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+found AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (SELECT *, {crc32_of("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM found),
+words AS (
+  SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2)
+           ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+places AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words),
+masks AS (SELECT w, substr(w, 1, i - 1) || '*' || substr(w, i + 1) AS m FROM places),
+cuts AS (SELECT DISTINCT w, substr(w, 1, i - 1) || substr(w, i + 1) AS m FROM places),
+near AS (
+  SELECT a.w, b.w AS v FROM masks a JOIN masks b USING (m) WHERE a.w <> b.w
+  UNION SELECT c.w, x.w FROM cuts c JOIN words x ON c.m = x.w
+  UNION SELECT x.w, c.w FROM cuts c JOIN words x ON c.m = x.w),
+best AS (
+  SELECT p.w, count(*) AS n_near, arg_min(p.v, (-y.n, p.v)) AS v, max(y.n) AS m
+  FROM near p JOIN words y ON y.w = p.v GROUP BY p.w),
+forms AS (
+  SELECT x.w, x.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * x.n THEN v END AS form,
+         CASE WHEN m >= 5 * x.n THEN m END AS form_n
+  FROM words x LEFT JOIN best USING (w)),
+RECURSIVE_CHAIN
+SELECT w AS word, form, arg_max(r, step) AS root, n, n_near, form_n
+FROM chain JOIN forms USING (w) GROUP BY w, form, n, n_near, form_n
+""".replace("WITH runs", "WITH RECURSIVE runs", 1).replace("RECURSIVE_CHAIN", """chain AS (
+  SELECT w, w AS r, 0 AS step FROM forms
+  UNION ALL SELECT c.w, f.form, c.step + 1 FROM chain c JOIN forms f ON f.w = c.r WHERE f.form IS NOT NULL)""")
+
+OP13 = """
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+raw AS (
+  SELECT row_number() OVER () AS id, page_id,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM raw),
+pages_ AS (
+  SELECT id, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM cut),
+fits AS (
+  SELECT id, r.host || r.path AS rule, verdict,
+         row_number() OVER (PARTITION BY id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
+  FROM pages_ p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM pages_ LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (id)
+"""
+
+
 ORACLE = {"op1_chat_formatting": OP1, "op3_benchmark_decontamination": OP3, "op6_suffix_dedup": OP6,
-          "op7_source_mixing": OP7, "op8_jaccard_join": OP8, "op9_exact_dedup": OP9}
+          "op7_source_mixing": OP7, "op8_jaccard_join": OP8, "op9_exact_dedup": OP9,
+          "op11_merkle_manifest": OP11, "op12_spelling_variants": OP12, "op13_url_filter": OP13}
