@@ -27,6 +27,27 @@ def floor_div(x: Column, w: Column | int) -> Column:
     return ((x - F.pmod(x, w)).cast("decimal(20,0)") / w.cast("decimal(20,0)")).cast("bigint")
 
 
+def ratio_bins(units: Column, tol: float, pct: float) -> tuple[Column, Column]:
+    """(own bin, bins in reach) of a value for |l - r| <= max(tol, |l| * pct); tol in units.
+
+    Without a percentage the bins are ``max(1, tol)`` wide.  With one they are geometric:
+    values go to the scale sign(x) * ln(1 + pct * |x| / tol) / pct, on which every tolerance
+    has the width 1 / (1 - pct) at most, so bins of that width keep a pair within tolerance
+    in neighbouring bins, whatever its size.  From 50 % on all values share one bin."""
+    if pct == 0.0:
+        w = max(1, int(tol + 1e-9))
+        x = units.cast("bigint")
+        t = F.lit(int(tol + 1e-9))
+        return floor_div(x, w), F.sequence(floor_div(x - t, w), floor_div(x + t, w))
+    if pct >= 0.5:
+        return F.lit(0).cast("bigint"), F.array(F.lit(0).cast("bigint"))
+    x = units.cast("double")
+    g = F.signum(x) * F.log1p(F.abs(x) * F.lit(pct / max(tol, 1.0))) / F.lit(pct)
+    w, slack = 1.0 / (1.0 - pct), 1e-6
+    cell = lambda v: F.floor(v / F.lit(w))
+    return cell(g), F.sequence(cell(g - F.lit(w + slack)), cell(g + F.lit(w + slack)))
+
+
 def value_units(value: Column, dtype: T.DataType) -> tuple[Column, int] | None:
     """(integer units, scale exponent) for a numeric or date value, else None."""
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):

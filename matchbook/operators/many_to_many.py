@@ -1,22 +1,19 @@
-"""N:M matching: best subset pair inside small cells of hard-key buckets.
-
-A cell is a bucket with 2..``max_bucket_side`` rows on both sides.  A larger bucket is cut
-by date first where the pass compares VALUE_DATE within t days: every group lies in the
-window [d, d + t] of its earliest day d, so the windows that start on the days of the
-bucket are its cells.  What is still larger has too many subsets to try; such cells are
-left out, counted by ``skipped`` and reported with the run.  Sizes are counted first
-(partial aggregation), so member lists are only built for cells that are known to be
-small; a hot account with millions of rows never becomes a list.
-
-For every cell each side's subsets of size >= 2 are enumerated with higher-order
-functions (mask m over the members sorted by row id, bit i = the i-th member): sum,
-earliest and latest date.  Left and right subsets are then paired by a band join on the
-cell plus a sum bin whose width is the largest tolerance any left subset of that cell can
-have, so only pairs whose sums can be within tolerance are formed.  A pair must satisfy
-|sumL - sumR| <= max(toleranceAmount, |sumL| * tolerancePercent) and, with a VALUE_DATE
-WITHIN, the spread of all dates of both subsets must be within the tolerance.  Per bucket
-the best pair wins: quality desc, fewer rows, then the earlier window, the larger left
-mask and the larger right mask.
+"""N:M matching: best subset pair inside hard-key buckets.
+
+A bucket with 2..``max_bucket_side`` rows on both sides is enumerated: each side's subsets
+of size >= 2 are listed with higher-order functions (mask m over the members sorted by row
+id, bit i = the i-th member): sum, earliest and latest date.  Left and right subsets are
+paired by a band join on the bucket plus a sum bin.  Sizes are counted first (partial
+aggregation), so member lists are only built for buckets that are known to be small; a hot
+account with millions of rows never becomes a list.  Larger buckets are searched by groups
+of growing size (see ``subset_search``), which gives the same choice without listing all
+subsets; no bucket is left out.
+
+A pair must satisfy |sumL - sumR| <= max(toleranceAmount, |sumL| * tolerancePercent) and,
+with a VALUE_DATE WITHIN, the spread of all dates of both subsets must be within the
+tolerance.  Per bucket the best pair wins: quality desc, fewer rows, then (in a searched
+bucket) the earlier window of days that holds it, the larger left mask and the larger right
+mask.
 """
 
 from __future__ import annotations
@@ -27,12 +24,11 @@ from pyspark.sql import types as T
 
 from matchbook.functions.predicates import attr_expr
 from matchbook.functions.scores import subset_quality
+from matchbook.operators import subset_search
 from matchbook.operators.band import floor_div
 from matchbook.session import materialize
 from matchbook.spec import MatchPass
 
-WHOLE = -2**31                   # window number of a bucket that is not cut
-
 
 def _key_names(p: MatchPass) -> list[str]:
     return [f"k{i}" for i in range(len(p.hard_keys()))]
@@ -44,7 +40,7 @@ def _scale(df: DataFrame, expr: str) -> int:
 
 
 def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
-    """(keys, id, units, day) per row; rows with a null amount or date are left out."""
+    """(keys, id, units, day) per row; rows with a null key, amount or date are left out."""
     amt = p.amount_attribute()
     date_attr = p.date_attribute()
     keys = [attr_expr(lk if side == "l" else rk, df.columns).alias(f"k{i}")
@@ -57,7 +53,7 @@ def _members(df: DataFrame, p: MatchPass, side: str, scale: int) -> DataFrame:
         cols.append(F.unix_date(d.cast("date")).alias("day"))
     else:
         cols.append(F.lit(0).alias("day"))
-    out = df.select(cols).where(F.col("u").isNotNull())
+    out = df.select(cols).where(F.col("u").isNotNull()).dropna(subset=_key_names(p))
     return out.where(F.col("day").isNotNull()) if date_attr is not None else out
 
 
@@ -90,71 +86,50 @@ def bucket_stats(left: DataFrame, right: DataFrame, p: MatchPass,
             .withColumn("eligible", _fits(p)))
 
 
-def _windows(both: DataFrame, stats: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame] | None:
-    """(members with window, cells with counts) of buckets too large to be cells, or None if
-    the pass does not compare dates.  A row is in at most t + 1 windows."""
-    if p.date_attribute() is None:
-        return None
+def _cells(both: DataFrame, p: MatchPass) -> DataFrame:
+    """The buckets that can have a group, with their counts, written once."""
+    return materialize(bucket_stats(None, None, p, both)
+                       .where((F.col("n_left") >= 2) & (F.col("n_right") >= 2)), f"m2m-cells-{p.id}")
+
+
+def large_windows(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """The cells that are not enumerated: keys, window (its first day; null if the pass compares
+    no dates), n_left, n_right.  A cell is a date window of a large bucket, [d, d + t] for every
+    day d of the bucket, with more than ``max_bucket_side`` rows on a side."""
     kn = _key_names(p)
-    large = stats.where((F.col("n_left") >= 2) & (F.col("n_right") >= 2) & ~F.col("eligible"))
-    spread = (both.join(large.select(kn), kn, "left_semi")
-              .withColumn("win", F.explode(F.sequence(
-                  F.col("day") - p.date_attribute().tolerance_days, F.col("day")))))
+    both = member_rows(left, right, p)
+    rows = both.join(_cells(both, p).where("NOT eligible").select(kn), kn, "left_semi")
+    if p.date_attribute() is None:
+        return _counts(rows, kn).withColumn("window", F.lit(None).cast("date"))
+    spread = rows.withColumn("win", F.explode(F.sequence(
+        F.col("day") - p.date_attribute().tolerance_days, F.col("day"))))
     cells = (spread.groupBy(kn + ["win"])
              .agg(F.count_if(F.col("side") == "l").alias("n_left"),
                   F.count_if(F.col("side") == "r").alias("n_right"),
                   F.max(F.col("day") == F.col("win")).alias("starts"))
-             .where(F.col("starts") & (F.col("n_left") >= 2) & (F.col("n_right") >= 2))
-             .drop("starts").withColumn("eligible", _fits(p)))
-    return spread, cells
+             .where(F.col("starts") & (F.col("n_left") >= 2) & (F.col("n_right") >= 2) & ~_fits(p)))
+    return cells.select(*kn, F.date_from_unix_date("win").alias("window"), "n_left", "n_right")
 
 
-def _cell_members(both: DataFrame, p: MatchPass) -> tuple[DataFrame, DataFrame]:
-    """(members of all cells, members of the cells that are too large)."""
+def skipped(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """Buckets that were neither enumerated nor searched to their end: none, whatever their
+    size.  Keys, n_left, n_right."""
     kn = _key_names(p)
-    stats = bucket_stats(None, None, p, both)
-    part = lambda rows, cells, by: rows.join(cells.select(by), by, "left_semi")
-    whole = both.withColumn("win", F.lit(WHOLE))
-    small = part(whole, stats.where("eligible"), kn)
-    cut = _windows(both, stats, p)
-    if cut is None:
-        large = stats.where((F.col("n_left") >= 2) & (F.col("n_right") >= 2) & ~F.col("eligible"))
-        return small, part(whole, large, kn)
-    spread, cells = cut
-    spread = spread.select(whole.columns)
-    by = kn + ["win"]
-    return (small.unionByName(part(spread, cells.where("eligible"), by)),
-            part(spread, cells.where("NOT eligible"), by))
+    both = member_rows(left, right, p)
+    cells = _cells(both, p)
+    _, done = subset_search.search(both, cells.where("NOT eligible"), kn, p,
+                                   _scale(left, p.amount_attribute().left))
+    return cells.where("NOT eligible").join(done, kn, "left_anti").drop("eligible")
 
 
-def skipped(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
-    """One row per cell that is too large: keys, window (its first day; null if the bucket
-    is not cut), n_left, n_right."""
-    _, large = _cell_members(member_rows(left, right, p), p)
-    first = F.when(F.col("win") != WHOLE, F.date_from_unix_date("win"))
-    return (_counts(large, _key_names(p) + ["win"])
-            .withColumn("window", first).drop("win"))
-
-
-def skipped_totals(both: DataFrame, p: MatchPass) -> DataFrame:
-    """One row: skipped_cells and skipped_rows (rows that are in a cell too large and in no
-    cell that was tried) of the pass's ``member_rows``."""
-    tried, large = _cell_members(both, p)
-    cells = large.select(*_key_names(p), "win").distinct()
-    rows = large.select("id").distinct().join(tried.select("id").distinct(), "id", "left_anti")
-    both = cells.select(F.lit(1).alias("c"), F.lit(0).alias("r")).unionByName(
-        rows.select(F.lit(0).alias("c"), F.lit(1).alias("r")))
-    return both.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("skipped_cells"),
-                    F.coalesce(F.sum("r"), F.lit(0)).cast("bigint").alias("skipped_rows"))
-
-
-def _bucket_lists(both: DataFrame, p: MatchPass) -> DataFrame:
-    """One row per cell with both member arrays.
-
-    Lists are only built after the counts proved the cell small."""
-    m, _ = _cell_members(both, p)
+def _bucket_lists(both: DataFrame, cells: DataFrame, p: MatchPass) -> DataFrame:
+    """One row per small bucket with both member arrays.
+
+    Lists are only built after the counts proved the bucket small."""
+    kn = _key_names(p)
+    m = both.join(cells.where("eligible").select(kn), kn, "left_semi")
     member = F.struct("id", "u", "day")
-    return m.groupBy(_key_names(p) + ["win"]).agg(
+    return m.groupBy(kn).agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == "l", member))).alias("l_m"),
         F.sort_array(F.collect_list(F.when(F.col("side") == "r", member))).alias("r_m"))
 
@@ -176,17 +151,40 @@ def _subsets(buckets: DataFrame, side: str, kn: list[str]) -> DataFrame:
         F.bit_count(mask).alias(f"{side}_cnt"))
 
 
-def groups(left: DataFrame, right: DataFrame, p: MatchPass,
-           both: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(winning pair per bucket, cell lists).  Id order: (quality desc, smallest left row id
-    of the cell).  ``both``: the pass's ``member_rows``, if they are at hand."""
+def _chosen(side: str):
+    """Member ids of a mask, ascending."""
+    return F.expr(f"filter(transform({side}_m, (x, i) -> "
+                  f"IF(({side}_mask >> i) & 1 = 1, x.id, NULL)), v -> v IS NOT NULL)")
+
+
+def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    """The winning pair of each bucket: keys, l_ids and r_ids (ascending), l_mask and r_mask
+    (null in a bucket that was searched), q.  Id order: (quality desc, smallest left row id of
+    the bucket, or of the date window in one that was searched)."""
+    kn = _key_names(p)
+    scale = _scale(left, p.amount_attribute().left)
+    both = member_rows(left, right, p, scale)
+    cells = _cells(both, p)
+    order = [(-F.col("q")).alias("_o1"), F.col("l_min_id").alias("_o2")]
+    best = _enumerated(both, cells, p, scale).select(
+        *kn, "l_ids", "r_ids", "l_mask", "r_mask", "q", *order)
+    large = cells.where("NOT eligible")
+    if large.isEmpty():
+        return best
+    none = F.lit(None).cast("bigint")
+    found, _ = subset_search.search(both, large, kn, p, scale)
+    return best.unionByName(found.select(*kn, "l_ids", "r_ids", none.alias("l_mask"),
+                                         none.alias("r_mask"), "q", *order))
+
+
+def _enumerated(both: DataFrame, cells: DataFrame, p: MatchPass, scale: int) -> DataFrame:
+    """The winning pair of each small bucket."""
     amt = p.amount_attribute()
     date_attr = p.date_attribute()
-    scale = _scale(left, amt.left)
-    bucket, kn = _key_names(p), _key_names(p) + ["win"]
+    kn = _key_names(p)
     tol_abs = float(amt.tolerance_amount or 0.0)
     tol_pct = float(amt.tolerance_percent or 0.0)
-    b = _bucket_lists(both if both is not None else member_rows(left, right, p, scale), p)
+    b = _bucket_lists(both, cells, p)
     # Widest tolerance any left subset can have, in units (sum of |members| bounds |sumL|).
     abs_total = F.aggregate(F.col("l_m"), F.lit(0).cast("bigint"),
                             lambda a, x: a + F.abs(x["u"]))
@@ -215,25 +213,16 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass,
         pairs = pairs.where(spread <= F.lit(date_attr.tolerance_days))
     pairs = pairs.withColumn("q", subset_quality(delta, tol_eff)) \
         .where(F.col("q") >= F.lit(p.quality))
-    w = Window.partitionBy(*bucket).orderBy(
-        F.desc("q"), F.asc(F.col("l_cnt") + F.col("r_cnt")), "win",
-        F.desc("l_mask"), F.desc("r_mask"))
+    w = Window.partitionBy(*kn).orderBy(
+        F.desc("q"), F.asc(F.col("l_cnt") + F.col("r_cnt")), F.desc("l_mask"), F.desc("r_mask"))
     best = pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return best.select(*kn, "l_mask", "r_mask", "q", (-F.col("q")).alias("_o1"),
-                       F.col("l_min_id").alias("_o2")), b
+    return (best.select(*kn, "l_mask", "r_mask", "q", "l_min_id")
+            .join(b.select(*kn, "l_m", "r_m"), kn)
+            .withColumn("l_ids", _chosen("l")).withColumn("r_ids", _chosen("r")))
 
 
-def members(best: DataFrame, bucket_lists: DataFrame, p: MatchPass) -> DataFrame:
+def members(best: DataFrame) -> DataFrame:
     """Member rows of both chosen subsets; the first chosen left row leads."""
-    kn = _key_names(p) + ["win"]
-    j = best.join(bucket_lists.select(*kn, "l_m", "r_m"), kn, "inner")
-
-    def chosen(side: str):
-        return F.expr(f"filter(transform({side}_m, (x, i) -> "
-                      f"IF(({side}_mask >> i) & 1 = 1, x.id, NULL)), v -> v IS NOT NULL)")
-
-    j = j.select(chosen("l").alias("_l"), chosen("r").alias("_r"), "q", "_o1", "_o2")
-    ids = F.concat(F.col("_l"), F.col("_r"))
-    return j.select(F.explode(ids).alias("row_id"), F.col("_l")[0].alias("_first"),
-                    "q", "_o1", "_o2") \
+    return best.select(F.explode(F.concat("l_ids", "r_ids")).alias("row_id"),
+                       F.col("l_ids")[0].alias("_first"), "q", "_o1", "_o2") \
         .select("row_id", (F.col("row_id") == F.col("_first")).alias("_lead"), "q", "_o1", "_o2")

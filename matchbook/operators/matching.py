@@ -65,7 +65,7 @@ def match_many_to_one(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFr
 
 def match_many_to_many(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     _expect(p, "MANY_TO_MANY")
-    return _members(many_to_many.members(*many_to_many.groups(left, right, p), p))
+    return _members(many_to_many.members(many_to_many.groups(left, right, p)))
 
 
 def number_groups(members: DataFrame, set_id: str, cycle_date: date, offset: int = 0) -> DataFrame:

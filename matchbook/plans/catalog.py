@@ -295,9 +295,8 @@ def q_m2m_buckets(spark, sf_dir):
 def q_m2m_subsets(spark, sf_dir):
     p = m2m_pass()
     left, right = pass_populations(ledger(spark, sf_dir), p)
-    best, _ = many_to_many.groups(left, right, p)
-    return best.select(F.col("k0").alias("BANK_ACCOUNT"), F.col("k1").alias("CURRENCY"),
-                       "l_mask", "r_mask", "q")
+    return many_to_many.groups(left, right, p).select(
+        F.col("k0").alias("BANK_ACCOUNT"), F.col("k1").alias("CURRENCY"), "l_mask", "r_mask", "q")
 
 
 def q_m2m_percent_groups(spark, sf_dir):
@@ -311,14 +310,27 @@ def q_m2m_large_bucket(spark, sf_dir):
 
 
 def q_m2m_skipped(spark, sf_dir):
-    """The cells that are too large to search, with their sizes."""
+    """Buckets left out by the search: none, whatever their size."""
     p = M2M_SKIP_PASS
     left, right = pass_populations(ledger(spark, sf_dir), p)
     return many_to_many.skipped(left, right, p).select(
+        F.col("k0").alias("BANK_ACCOUNT"), F.col("k1").alias("CURRENCY"), "n_left", "n_right")
+
+
+def q_m2m_large_windows(spark, sf_dir):
+    """The date windows too large to enumerate, with their sizes."""
+    p = M2M_SKIP_PASS
+    left, right = pass_populations(ledger(spark, sf_dir), p)
+    return many_to_many.large_windows(left, right, p).select(
         F.col("k0").alias("BANK_ACCOUNT"), F.col("k1").alias("CURRENCY"), "window",
         "n_left", "n_right")
 
 
+def q_m2m_searched(spark, sf_dir):
+    """Buckets of up to hundreds of rows a side with windows of 150 days, searched."""
+    return _numbered_pass(spark, sf_dir, M2M_SKIP_PASS)
+
+
 def q_o2o_overlap(spark, sf_dir):
     """One population on both sides."""
     left, right = pass_populations(adversarial_ledger(spark, sf_dir), OVERLAP_PASS)

@@ -20,6 +20,9 @@ from matchbook.spec import CANONICAL_COLUMNS, MatchPass
 WITHIN_FLOOR = 80
 MGID_PREFIX = "MGID_USD_NOSTRO_CITIBANK_20240115_"
 
+#: N:M passes whose large buckets all have an exact pair of at most so many rows a side.
+SUBSET_ROWS = {"MP_M2M_SKIP": 2}
+
 ACCOUNT = ("BANK_ACCOUNT", "BANK_ACCOUNT")
 CCY = ("CURRENCY", "CURRENCY")
 #: Join keys of each pass, written out: (left expression, right expression).
@@ -249,43 +252,52 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
             f"ELSE GREATEST({float(WITHIN_FLOOR)}, round_even(100.0 - {dlt} / GREATEST({tol}, 1e-12) * 20.0, 0)) END AS BIGINT)")
     date_ok = (f" AND datediff('day', LEAST(l_dmin, r_dmin), GREATEST(l_dmax, r_dmax)) <= {da.tolerance_days}"
                if da else "")
-    # Cells: buckets of 2..cap rows a side, and the date windows of larger ones.
+    # Small buckets (2..cap rows a side): all subsets by mask.  Large ones: subsets grown row by
+    # row within the days, of up to SUBSET_ROWS rows where the pass names a bound (its buckets
+    # all have an exact pair of so few rows).
     cap = p.max_bucket_side
-    cell = f"{knames}, win"
+    deep = f" AND g.n < {SUBSET_ROWS[p.id]}" if p.id in SUBSET_ROWS else ""
+    td = da.tolerance_days if da else 0
     fits = f"a.n BETWEEN 2 AND {cap} AND b.n BETWEEN 2 AND {cap}"
     ctes = [f"{tag}_ml AS ({members('l')})", f"{tag}_mr AS ({members('r')})",
             f"{tag}_bk AS (SELECT {knames}, {fits} AS small FROM (SELECT {knames}, COUNT(*) n FROM {tag}_ml GROUP BY ALL) a "
             f"JOIN (SELECT {knames}, COUNT(*) n FROM {tag}_mr GROUP BY ALL) b USING ({knames}) WHERE a.n >= 2 AND b.n >= 2)"]
     for s in ("l", "r"):
-        cut = (f" UNION ALL SELECT m.*, unnest(range(dn - {da.tolerance_days}, dn + 1)) AS win FROM "
-               f"(SELECT m.*, datediff('day', DATE '1970-01-01', d) AS dn FROM {tag}_m{s} m JOIN {tag}_bk USING ({knames}) WHERE NOT small) m"
-               if da else f" UNION ALL SELECT m.*, 0 AS dn, -2147483648 AS win FROM {tag}_m{s} m JOIN {tag}_bk USING ({knames}) WHERE NOT small")
-        ctes.append(f"{tag}_w{s} AS (SELECT m.*, 0 AS dn, CAST(-2147483648 AS BIGINT) AS win FROM {tag}_m{s} m "
-                    f"JOIN {tag}_bk USING ({knames}) WHERE small{cut})")
-    start = f" WHERE win = -2147483648 OR ({cell}) IN (SELECT {knames}, dn FROM {tag}_wl UNION SELECT {knames}, dn FROM {tag}_wr)"
-    ctes.append(f"{tag}_cells AS (SELECT {cell}, a.n AS n_left, b.n AS n_right, {fits} AS ok FROM "
-                f"(SELECT {cell}, COUNT(*) n FROM {tag}_wl{start} GROUP BY ALL) a "
-                f"JOIN (SELECT {cell}, COUNT(*) n FROM {tag}_wr GROUP BY ALL) b USING ({cell}) WHERE a.n >= 2 AND b.n >= 2)")
-    for s in ("l", "r"):
-        ctes.append(f"{tag}_p{s} AS (SELECT m.*, row_number() OVER (PARTITION BY {cell} ORDER BY id) - 1 AS pos, "
-                    f"COUNT(*) OVER (PARTITION BY {cell}) AS n FROM {tag}_w{s} m JOIN (SELECT * FROM {tag}_cells WHERE ok) USING ({cell}))")
-        ctes.append(f"{tag}_s{s} AS (SELECT {cell}, mask AS {s}_mask, SUM(u) AS {s}_sum, MIN(d) AS {s}_dmin, "
-                    f"MAX(d) AS {s}_dmax, COUNT(*) AS {s}_cnt FROM {tag}_p{s} JOIN (SELECT range AS mask FROM range(3, {1 << cap})) mm "
+        ctes.append(f"{tag}_p{s} AS (SELECT m.*, row_number() OVER (PARTITION BY {knames} ORDER BY id) - 1 AS pos, "
+                    f"COUNT(*) OVER (PARTITION BY {knames}) AS n FROM {tag}_m{s} m JOIN (SELECT * FROM {tag}_bk WHERE small) USING ({knames}))")
+        ctes.append(f"{tag}_s{s} AS (SELECT {knames}, mask AS {s}_mask, SUM(u) AS {s}_sum, MIN(d) AS {s}_dmin, "
+                    f"MAX(d) AS {s}_dmax, COUNT(*) AS {s}_cnt, list(id ORDER BY id DESC) AS {s}_ids "
+                    f"FROM {tag}_p{s} JOIN (SELECT range AS mask FROM range(3, {1 << cap})) mm "
                     f"ON (mask >> pos) & 1 = 1 AND mask < (1 << n) GROUP BY ALL HAVING COUNT(*) >= 2)")
-    ctes.append(f"{g} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {knames} ORDER BY q DESC, "
-                f"l_cnt + r_cnt, win, l_mask DESC, r_mask DESC) AS rn FROM (SELECT *, {qual} AS q FROM {tag}_sl "
-                f"JOIN {tag}_sr USING ({cell}) WHERE {dlt} <= {tol}{date_ok}) WHERE q >= {p.quality}) WHERE rn = 1)")
-    ctes.append(f"{n} AS (SELECT g.*, row_number() OVER (ORDER BY q DESC, lmin) + {offset} AS seq FROM {g} g "
-                f"JOIN (SELECT {cell}, MIN(id) AS lmin FROM {tag}_pl GROUP BY ALL) USING ({cell}))")
-    ctes.append(f"{lg} AS (SELECT m.id AS row_id, {mgid('nn.seq')} AS MATCHING_ID, {pid} AS MATCHED_BY_PASS, nn.q AS MATCH_QUALITY "
-                f"FROM {tag}_pl m JOIN {n} nn USING ({cell}) WHERE (nn.l_mask >> m.pos) & 1 = 1 "
-                f"UNION ALL SELECT m.id, {mgid('nn.seq')}, {pid}, nn.q FROM {tag}_pr m JOIN {n} nn USING ({cell}) "
-                f"WHERE (nn.r_mask >> m.pos) & 1 = 1)")
+        ctes.append(f"{tag}_b{s} AS (SELECT m.* FROM {tag}_m{s} m JOIN (SELECT * FROM {tag}_bk WHERE NOT small) USING ({knames}))")
+        ctes.append(f"{tag}_g{s} AS (SELECT {knames}, id AS hi, [id] AS ids, u AS s, d AS dmin, d AS dmax, 1 AS n FROM {tag}_b{s} "
+                    f"UNION ALL SELECT {', '.join(f'g.k{i}' for i in range(len(keys)))}, m.id, [m.id] || g.ids, g.s + m.u, "
+                    f"LEAST(g.dmin, m.d), GREATEST(g.dmax, m.d), g.n + 1 FROM {tag}_g{s} g JOIN {tag}_b{s} m USING ({knames}) "
+                    f"WHERE m.id > g.hi AND datediff('day', LEAST(g.dmin, m.d), GREATEST(g.dmax, m.d)) <= {td}{deep})")
+        ctes.append(f"{tag}_t{s} AS (SELECT {knames}, s AS {s}_sum, dmin AS {s}_dmin, dmax AS {s}_dmax, n AS {s}_cnt, ids AS {s}_ids "
+                    f"FROM {tag}_g{s} WHERE n >= 2)")
+    ctes.append(f"{tag}_small AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {knames} ORDER BY q DESC, "
+                f"l_cnt + r_cnt, l_mask DESC, r_mask DESC) AS rn FROM (SELECT *, {qual} AS q FROM {tag}_sl "
+                f"JOIN {tag}_sr USING ({knames}) WHERE {dlt} <= {tol}{date_ok}) WHERE q >= {p.quality}) WHERE rn = 1)")
+    ctes.append(f"{tag}_met AS (SELECT *, GREATEST(l_dmax, r_dmax) AS dmx FROM (SELECT *, {qual} AS q FROM {tag}_tl "
+                f"JOIN {tag}_tr USING ({knames}) WHERE {dlt} <= {tol}{date_ok}) WHERE q >= {p.quality} "
+                f"QUALIFY rank() OVER (PARTITION BY {knames} ORDER BY q DESC, l_cnt + r_cnt) = 1)")
+    ctes.append(f"{tag}_days AS (SELECT {knames}, d AS day FROM {tag}_bl UNION SELECT {knames}, d FROM {tag}_br)")
+    ctes.append(f"{tag}_large AS (SELECT * FROM (SELECT m.*, day, row_number() OVER (PARTITION BY {knames} "
+                f"ORDER BY day, l_ids DESC, r_ids DESC) AS rn FROM (SELECT {knames}, q, l_ids, r_ids, dmx, MIN(day) AS day FROM {tag}_met "
+                f"JOIN {tag}_days USING ({knames}) WHERE datediff('day', day, dmx) <= {td} GROUP BY ALL) m) WHERE rn = 1)")
+    ctes.append(f"{g} AS (SELECT {knames}, l_mask, r_mask, l_ids, r_ids, q, MIN(id) AS lmin FROM {tag}_small "
+                f"JOIN {tag}_pl USING ({knames}) GROUP BY ALL UNION ALL "
+                f"SELECT {knames}, NULL, NULL, l_ids, r_ids, q, MIN(id) FROM {tag}_large JOIN {tag}_bl USING ({knames}) "
+                f"WHERE datediff('day', day, d) BETWEEN 0 AND {td} GROUP BY ALL)")
+    ctes.append(f"{n} AS (SELECT *, row_number() OVER (ORDER BY q DESC, lmin) + {offset} AS seq FROM {g})")
+    ctes.append(f"{lg} AS (SELECT unnest(l_ids || r_ids) AS row_id, {mgid('seq')} AS MATCHING_ID, {pid} AS MATCHED_BY_PASS, "
+                f"q AS MATCH_QUALITY FROM {n})")
     return ctes, lg, n
 
 
 def with_ctes(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 BASE = [f"ledger AS ({LEDGER_SQL})"]
@@ -398,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
     res = lambda body: with_ctes(result_ctes(), body)
     o2m = o2m_pass()
     m2m = m2m_pass()
-    kn = "BANK_ACCOUNT, CURRENCY"
+    kn, kk = "BANK_ACCOUNT, CURRENCY", "k0, k1"
     out = {
         "ledger_scan": with_ctes(BASE, "SELECT * FROM ledger"),
         "population_eq": with_ctes(BASE, f"SELECT * FROM ledger l WHERE {pop('l', GL_CR)}"),
@@ -430,10 +442,16 @@ def oracle_sql() -> dict[str, str]:
                                  "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, l_mask, r_mask, q FROM p_groups"),
         "m2m_groups": _single(m2m, "long"),
         "m2m_large_bucket": _single(C.M2M_LARGE_PASS, "long"),
-        "m2m_skipped": with_ctes(
-            BASE + pass_ctes(C.M2M_SKIP_PASS, "ledger", "p", "0")[0],
-            "SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, CASE WHEN win > -2147483648 THEN DATE '1970-01-01' + CAST(win AS INTEGER) END AS \"window\", "
-            "n_left, n_right FROM p_cells WHERE NOT ok"),
+        "m2m_searched": _single(C.M2M_SKIP_PASS, "long"),
+        "m2m_skipped": "SELECT BANK_ACCOUNT, CURRENCY, n AS n_left, n AS n_right FROM "
+                       "(SELECT '' AS BANK_ACCOUNT, '' AS CURRENCY, COUNT(*) AS n FROM orders) WHERE FALSE",
+        "m2m_large_windows": with_ctes(
+            BASE + pass_ctes(C.M2M_SKIP_PASS, "ledger", "p", "0")[0] + [
+                f"w{s} AS (SELECT {kk}, win, COUNT(*) AS n FROM (SELECT {kk}, unnest(range(d - DATE '1970-01-01' - 150, "
+                f"d - DATE '1970-01-01' + 1)) AS win FROM p_b{s}) GROUP BY ALL)" for s in ("l", "r")],
+            f"SELECT k0 AS BANK_ACCOUNT, k1 AS CURRENCY, day AS \"window\", wl.n AS n_left, wr.n AS n_right FROM wl JOIN wr "
+            f"USING ({kk}, win) JOIN p_days USING ({kk}) WHERE win = day - DATE '1970-01-01' AND wl.n >= 2 AND wr.n >= 2 "
+            f"AND NOT (wl.n <= 6 AND wr.n <= 6)"),
         "o2o_overlap": overlap_sql(),
         "o2o_hot_fine_key": _pairs(C.HOT_FINE_PASS, src="fee", extra=[f"fee AS ({HOT_FINE_SQL})"]),
         "adversarial_matches": with_ctes(

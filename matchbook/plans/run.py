@@ -55,28 +55,22 @@ class RunResult:
     extra: dict = field(default_factory=dict)
     result: DataFrame | None = None   # every input row with its match columns (a plan)
     groups: DataFrame | None = None   # pass_id, matched_groups (a plan over narrow rows)
-    skipped: DataFrame | None = None  # pass_id, skipped_cells, skipped_rows of N:M passes (a plan)
+    skipped: DataFrame | None = None  # pass_id, skipped_cells, skipped_rows: nothing is skipped
 
     def durations(self) -> dict[str, float]:
         return {r.spec.id: r.duration_sec for r in self.passes}
 
 
-def pass_members(remaining: DataFrame, p: MatchPass, skips: list | None = None) -> DataFrame:
+def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
     """One pass over ``remaining`` (lazy): member rows
     (row_id, q, _o1, _o2, _lead) where (_o1, _o2) is the group's id order
-    inside the pass and exactly one member per group leads.  What an N:M pass
-    leaves out is appended to ``skips`` as a plan."""
+    inside the pass and exactly one member per group leads."""
     left, right = pass_populations(remaining, p)
     if p.match_type == "ONE_TO_ONE":
         return one_to_one.members(one_to_one.groups(left, right, p))
     if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
         return one_to_many.members(one_to_many.groups(left, right, p), left, right, p)
-    both = many_to_many.member_rows(left, right, p)
-    if skips is not None:
-        both = materialize(both, f"rows-{p.id}")       # counted, searched and reported from here
-        skips.append(many_to_many.skipped_totals(both, p).select(
-            F.lit(p.id).alias("pass_id"), "skipped_cells", "skipped_rows"))
-    return many_to_many.members(*many_to_many.groups(left, right, p, both), p)
+    return many_to_many.members(many_to_many.groups(left, right, p))
 
 
 def group_ids(raw: DataFrame, set_id: str, cycle_date: date, offset: int = 0,
@@ -127,11 +121,10 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     cdate = spec.effective_cycle_date(cycle_date)
     spark = ledger.sparkSession
     runs: list[PassRun] = []
-    skips: list[DataFrame] = []
     remaining = ledger
     for k, p in enumerate(spec.active_passes()):
         t1 = time.time()
-        members = materialize(pass_members(remaining, p, skips).select(
+        members = materialize(pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS")), f"members-{p.id}")
         remaining = remaining.join(members.select("row_id"), "row_id", "left_anti")
@@ -155,7 +148,7 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
     matches = matches.withColumn("MATCH_DATE", F.lit(cdate))
     return RunResult(ledger, matches, runs, spec, cdate, started,
                      round(time.time() - t0, 3), run_id, {"numbering_sec": numbering_sec},
-                     reconcile(ledger, matches), groups, _union(skips) if skips else None)
+                     reconcile(ledger, matches), groups)
 
 
 def reconcile(ledger: DataFrame, matches: DataFrame) -> DataFrame:

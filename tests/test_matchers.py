@@ -1,5 +1,6 @@
 """Edge cases of the four matchers on hand-made ledgers."""
 
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -69,7 +70,7 @@ def test_equal_rows_collapse_before_the_join(spark):
     assert n == 1 and [r[0] for r in got] == [1, 2]
 
 
-def test_large_buckets_are_cut_by_date_and_the_rest_is_counted(spark):
+def test_large_buckets_are_searched_within_the_days(spark):
     rows, rid = [], 1
     for day in range(1, 25):                   # 24 rows a side, one each day, and one group of 2 + 2
         for s in "LR":
@@ -83,12 +84,45 @@ def test_large_buckets_are_cut_by_date_and_the_rest_is_counted(spark):
     assert n == 1 and [r[0] for r in got] == [900, 901, 902, 903]
     crowd = [row(2000 + k, "LR"[k % 2], 50 + k, d="2024-04-01", acct="CROWD") for k in range(40)]
     left, right = pass_populations(ledger_df(spark, rows + crowd), m2m_pass())
-    skipped = many_to_many.skipped(left, right, m2m_pass()).collect()
-    assert [(r["k0"], r["n_left"], r["n_right"]) for r in skipped] == [("CROWD", 20, 20)]
-    assert tuple(many_to_many.skipped_totals(
-        many_to_many.member_rows(left, right, m2m_pass()), m2m_pass()).first()) == (1, 40)
-    wider = m2m_pass(max_bucket_side=20)
-    assert many_to_many.skipped_totals(many_to_many.member_rows(left, right, wider), wider).first()[0] == 0
+    assert many_to_many.skipped(left, right, m2m_pass()).count() == 0
+    large = many_to_many.large_windows(left, right, m2m_pass()).where("k0 = 'CROWD'").collect()
+    assert [(r["n_left"], r["n_right"], str(r["window"])) for r in large] == [(20, 20, "2024-04-01")]
+
+
+def test_planted_pair_in_a_cell_of_40_by_40(spark):
+    """Remainders modulo 16 rule out all other groups of up to five rows."""
+    rows = [row(i, "L", 16 * (1000 + i * i % 997), d="2024-05-01") for i in range(1, 39)]
+    rows += [row(100 + i, "R", 16 * (1000 + i * i % 991) + 1, d="2024-05-02") for i in range(1, 38)]
+    rows += [row(201, "L", 7003.25), row(202, "L", 9003.5), row(211, "R", 5000.5), row(212, "R", 5001),
+             row(213, "R", 6005.25)]
+    rows = [(*r[:6], date(2024, 5, 1), *r[7:]) for r in rows]
+    exact = m2m_pass(attributes=(
+        Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=0.0), *m2m_pass().attributes[1:]))
+    got, n = _run(spark, rows, exact)
+    assert n == 1 and [r[0] for r in got] == [201, 202, 211, 212, 213] and got[0][3] == 100
+
+
+def test_search_equals_enumeration(spark):
+    """The same choice from buckets that are listed and from buckets that are searched."""
+    rng, rows, rid = random.Random(3), [], 1
+    for b in range(60):
+        for s in "LR":
+            for _ in range(rng.randint(2, 4)):
+                rows.append(row(rid, s, rng.choice([-20, 5, 10, 10.25, 20, 30.5, 41, 100.75]) + rng.randint(0, 3),
+                                d=f"2024-02-{rng.randint(1, 6):02d}", acct=f"B{b}"))
+                rid += rng.randint(1, 2)
+    rng.shuffle(rows)
+    for tol in (dict(tolerance_amount=0.5), dict(tolerance_percent=0.02)):
+        amount = Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, **tol)
+        same, _ = _run(spark, rows, m2m_pass(quality=0, attributes=(amount,)))
+        wide, _ = _run(spark, rows, m2m_pass(quality=0, attributes=(amount,), max_bucket_side=2))
+        assert wide == same and len(same) > 40
+        # With dates the earlier window goes first in a searched bucket: compare all but ties.
+        dated = (amount, m2m_pass().attributes[2])
+        same, _ = _run(spark, rows, m2m_pass(quality=0, attributes=dated))
+        wide, _ = _run(spark, rows, m2m_pass(quality=0, attributes=dated, max_bucket_side=2))
+        account = {r[0]: r[7] for r in rows}
+        assert sorted((account[i], q) for i, _, _, q in wide) == sorted((account[i], q) for i, _, _, q in same)
 
 
 def test_filter_literals_compare_exactly(spark):
@@ -165,7 +199,7 @@ def test_m2o_mirror(spark):
 
 
 def test_m2m_bucket_sizes(spark):
-    # bucket A: 1 left row -> not eligible; bucket B: 10+10 -> eligible; C: 11 left -> skipped
+    # bucket A: 1 left row -> no group; bucket B: 10+10 -> enumerated; C: 11 left -> searched
     rows = [row(1, "L", 5, acct="A"), row(2, "R", 2, acct="A"), row(3, "R", 3, acct="A")]
     rid = 100
     for acct, nl in (("B", 10), ("C", 11)):
@@ -174,8 +208,7 @@ def test_m2m_bucket_sizes(spark):
         for i in range(10):
             rows.append(row(rid, "R", 10 + i, acct=acct)); rid += 1
     got, n = _run(spark, rows, m2m_pass())
-    accts = {r[0] for r in got}
-    assert n == 1 and accts and all(100 <= a < 120 for a in accts)
+    assert n == 2 and {100 <= r[0] < 120 for r in got} == {True, False} and all(r[0] >= 100 for r in got)
 
 
 def test_m2m_tie_prefers_fewer_rows_then_larger_masks(spark):
