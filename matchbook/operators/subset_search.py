@@ -9,11 +9,11 @@ sides meet in a band join, smallest groups first.
   amounts therefore do not multiply.
 * A side grows by joining its sums with the bucket's rows of higher id within the days the
   pass allows, an equi-join on bucket and day bin that adaptive execution can split.
-* Groups of k rows are tried for k = 4, 5, ...  A bucket whose best pair has quality 100 is
-  settled, since later groups have more rows; another stays open, and only a better
-  quality is looked for in it.  The search ends when all are settled or have no more sums,
-  so no bucket is left out: the work of one without an exact pair is bounded by its
-  subsets (or by its distinct sums and days, where those are fewer).
+* With the sums of up to a rows at hand, a bucket whose best pair has quality 100 and at most
+  a + 2 rows is settled, since any pair not yet seen has more; the sums of another grow on.
+  The search ends when all are settled or have no more sums, so no bucket is left out: the
+  work of one without an exact pair is bounded by its subsets (or by its distinct sums and
+  days, where those are fewer).  Sums that stay few grow to their end before they meet.
 * Where all amounts are positive, sums beyond the other side's total cannot be met and
   are dropped with all that grows from them.
 
@@ -34,6 +34,7 @@ from matchbook.session import materialize
 from matchbook.spec import MatchPass
 
 WHOLE = 1 - 2**31                 # window number of a pass without dates
+AT_ONCE = 100_000                # expected sums up to which a side grows on before they meet
 
 
 def _day_bin(day, t: int):
@@ -68,23 +69,24 @@ def _reduced(level: DataFrame, side: str, kn: list[str]) -> DataFrame:
                     F.col("dmax").alias(f"{side}_dmax"), f"{side}_ids"))
 
 
-def _meet(left: DataFrame, right: DataFrame, k: int, kn: list[str], p: MatchPass, scale: int,
+def _meet(left: DataFrame, right: DataFrame, known: int, kn: list[str], p: MatchPass, scale: int,
           t: int) -> DataFrame:
-    """(keys, dmax, q, l_ids, r_ids) of the sums, of k rows together, that meet within the
-    tolerance and the days."""
+    """(keys, dmax, q, fewer, l_ids, r_ids) of the sums that meet within the tolerance and the
+    days, but for those of up to ``known`` rows on both sides, which have met before."""
     amt = p.amount_attribute()
     tol_abs, tol_pct = float(amt.tolerance_amount or 0.0), float(amt.tolerance_percent or 0.0)
     own, reach = ratio_bins(F.col("l_sum"), tol_abs * 10 ** scale, tol_pct), \
         ratio_bins(F.col("r_sum"), tol_abs * 10 ** scale, tol_pct)
     left = left.withColumn("bin", F.explode(own[1]))
-    right = right.withColumn("bin", reach[0]).withColumn("rows", F.lit(k) - F.col("rows"))
+    right = right.withColumn("bin", reach[0]).withColumnRenamed("rows", "r_rows")
     div = F.lit(float(10 ** scale))
     l_sum, r_sum = F.col("l_sum").cast("double") / div, F.col("r_sum").cast("double") / div
     tol, delta = F.greatest(F.lit(tol_abs), F.abs(l_sum) * F.lit(tol_pct)), F.abs(l_sum - r_sum)
     last = F.greatest("l_dmax", "r_dmax")
-    return (left.join(right, kn + ["rows", "bin"])
-            .where((delta <= tol) & (last - F.least("l_dmin", "r_dmin") <= t))
-            .select(*kn, last.alias("dmax"), subset_quality(delta, tol).alias("q"), "l_ids", "r_ids")
+    return (left.join(right, kn + ["bin"])
+            .where((F.greatest("rows", "r_rows") > known) & (delta <= tol) & (last - F.least("l_dmin", "r_dmin") <= t))
+            .select(*kn, last.alias("dmax"), subset_quality(delta, tol).alias("q"),
+                    (-F.col("rows") - F.col("r_rows")).alias("fewer"), "l_ids", "r_ids")
             .where(F.col("q") >= F.lit(p.quality)))
 
 
@@ -122,47 +124,41 @@ def search(both: DataFrame, large: DataFrame, kn: list[str], p: MatchPass,
     t = int(p.date_attribute().tolerance_days) if dated else 0
     rows = materialize(_caps(both.join(large.select(kn), kn, "left_semi"), kn, p, scale),
                        f"m2m-large-{p.id}")
-    levels, sides = {1: _start(rows, kn)}, {1: {"l", "r"}}     # sums of a rows; sides that have any
-    open_ = materialize(large.select(*kn, F.lit(-1).cast("bigint").alias("best_q")), "m2m-open")
-    found = []
-    k = 4
+    start = _start(rows, kn)
+    levels, sizes = [start], [rows.count()]                    # sums of 1, 2, ... rows
+    open_, best, met = large.select(kn), None, 1
     while True:
-        for a in range(2, k - 1):
-            if a not in levels and sides.get(a - 1):
-                levels[a] = materialize(
-                    _grow(levels[a - 1].join(open_.select(kn), kn, "left_semi"), rows, kn, t),
-                    f"m2m-sums-{p.id}-{a}")
-                sides[a] = {r["side"] for r in levels[a].select("side").distinct().collect()}
-        pairs = [a for a in range(2, k - 1)
-                 if "l" in sides.get(a, ()) and "r" in sides.get(k - a, ())]
-        if pairs:
-            some = lambda counts: reduce(DataFrame.unionByName, [
-                levels[a].withColumn("rows", F.lit(a)) for a in counts])
-            met = _meet(_reduced(some(pairs).join(open_.select(kn), kn, "left_semi"), "l", kn),
-                        _reduced(some([k - a for a in pairs]), "r", kn), k, kn, p, scale, t)
-            pair = F.max(F.struct("q", "l_ids", "r_ids")).alias("pair")
-            met = (met.join(open_, kn)
-                   .where(F.col("q") > F.col("best_q"))
-                   .groupBy(*kn, "dmax").agg(pair).select(*kn, "dmax", "pair.*"))
-            choice = F.max(F.struct("q", (-F.col("win")).alias("w"), "l_ids", "r_ids")).alias("c")
-            best = materialize(_window(rows, met, kn, t, dated).groupBy(kn).agg(choice)
-                               .select(*kn, "c.*"), f"m2m-found-{p.id}-{k}")
-            found.append(best)
-            now = best.select(*kn, F.col("q").alias("now_q"))
-            open_ = materialize(
-                open_.join(now, kn, "left").select(*kn, F.coalesce("now_q", "best_q").alias("best_q"))
-                .where(F.col("best_q") < 100), "m2m-open")
-        k += 1
-        most = {s: max(a for a in sides if s in sides[a]) for s in ("l", "r")}
-        if open_.isEmpty() or (k > most["l"] + most["r"] and not sides[max(sides)]):
+        while True:
+            grown = materialize(_grow(levels[-1].join(open_, kn, "left_semi"), rows, kn, t),
+                                f"m2m-sums-{p.id}-{len(levels) + 1}")
+            levels.append(grown)
+            sizes.append(grown.count())
+            if not sizes[-1] or sizes[-1] ** 2 > AT_ONCE * sizes[-2]:    # the next would be large
+                break
+        if len(levels) > 2 or sizes[-1]:
+            some = reduce(DataFrame.unionByName, [
+                x.withColumn("rows", F.lit(a + 1)) for a, x in enumerate(levels) if a and sizes[a]])
+            pairs = _meet(_reduced(some.join(open_, kn, "left_semi"), "l", kn),
+                          _reduced(some, "r", kn), met, kn, p, scale, t)
+            pairs = (pairs.groupBy(*kn, "dmax")
+                     .agg(F.max(F.struct("q", "fewer", "l_ids", "r_ids")).alias("pair"))
+                     .select(*kn, "dmax", "pair.*"))
+            found = _window(rows, pairs, kn, t, dated).select(
+                *kn, F.struct("q", "fewer", (-F.col("win")).alias("w"), "l_ids", "r_ids").alias("c"))
+            best = materialize((found if best is None else found.unionByName(best))
+                               .groupBy(kn).agg(F.max("c").alias("c")), f"m2m-found-{p.id}")
+        met = len(levels)
+        if not sizes[-1]:
             break
-    if found:
-        out = reduce(DataFrame.unionByName, found)
-    else:
-        out = both.sparkSession.createDataFrame(
-            [], ", ".join([f"{c} {t}" for c, t in large.select(kn).dtypes]
-                          + ["q bigint, w int, l_ids array<bigint>, r_ids array<bigint>"]))
-    best = out.groupBy(kn).agg(F.max(F.struct("q", "w", "l_ids", "r_ids")).alias("c")).select(
+        settled = best.where((F.col("c.q") == 100) & (-F.col("c.fewer") <= met + 2))
+        open_ = materialize(large.select(kn).join(settled.select(kn), kn, "left_anti"), "m2m-open")
+        if open_.isEmpty():
+            break
+    if best is None:
+        best = rows.sparkSession.createDataFrame([], ", ".join(
+            [f"{c} {t}" for c, t in large.select(kn).dtypes]
+            + ["c struct<q: bigint, fewer: int, w: int, l_ids: array<bigint>, r_ids: array<bigint>>"]))
+    best = best.select(
         *kn, "c.q", (-F.col("c.w")).alias("win"), F.sort_array("c.l_ids").alias("l_ids"),
         F.sort_array("c.r_ids").alias("r_ids"))
     lowest = (rows.where("side = 'l'").join(best.select(*kn, "win"), kn)
