@@ -115,7 +115,7 @@ def skipped(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """Buckets that were neither enumerated nor searched to their end: none, whatever their
     size.  Keys, n_left, n_right."""
     kn = _key_names(p)
-    both = member_rows(left, right, p)
+    both = materialize(member_rows(left, right, p), f"m2m-members-{p.id}")
     cells = _cells(both, p)
     _, done = subset_search.search(both, cells.where("NOT eligible"), kn, p,
                                    _scale(left, p.amount_attribute().left))
@@ -163,7 +163,8 @@ def groups(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     the bucket, or of the date window in one that was searched)."""
     kn = _key_names(p)
     scale = _scale(left, p.amount_attribute().left)
-    both = member_rows(left, right, p, scale)
+    # Counted, listed and searched from one narrow table of the rows still open.
+    both = materialize(member_rows(left, right, p, scale), f"m2m-members-{p.id}")
     cells = _cells(both, p)
     order = [(-F.col("q")).alias("_o1"), F.col("l_min_id").alias("_o2")]
     best = _enumerated(both, cells, p, scale).select(
