@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.predicates import column
 from matchbook.functions.scores import pass_score
-from matchbook.operators import many_to_many, one_to_many, one_to_one
+from matchbook.operators import many_to_many, one_to_many, one_to_one, partial_bucket
 from matchbook.operators.numbering import matching_id, number_rows
 from matchbook.spec import Attribute, MatchPass, SpecError
 
@@ -53,14 +53,20 @@ def match_one_to_one(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFra
     return _members(one_to_one.members(one_to_one.groups(left, right, p)))
 
 
+def _match_totals(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
+    if p.partial_bucket:
+        return _members(partial_bucket.members(partial_bucket.groups(left, right, p)))
+    return _members(one_to_many.members(one_to_many.groups(left, right, p), left, right, p))
+
+
 def match_one_to_many(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     _expect(p, "ONE_TO_MANY")
-    return _members(one_to_many.members(one_to_many.groups(left, right, p), left, right, p))
+    return _match_totals(left, right, p)
 
 
 def match_many_to_one(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     _expect(p, "MANY_TO_ONE")
-    return _members(one_to_many.members(one_to_many.groups(left, right, p), left, right, p))
+    return _match_totals(left, right, p)
 
 
 def match_many_to_many(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:

@@ -85,6 +85,15 @@ def hot_fine_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("REFERENCE", "FEE"))
 
 
+def shared_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger with the accounts of split orders merged into five, so that a bucket
+    holds the parts of many totals."""
+    order = F.floor(F.col("row_id") / 16)
+    return ledger(spark, sf_dir).withColumn("BANK_ACCOUNT", F.when(
+        F.col("BANK_ACCOUNT").startswith("NOSTRO-AGG-"), F.concat(F.lit("NOSTRO-AGG-"), (order % 5).cast("string")))
+        .otherwise(F.col("BANK_ACCOUNT")))
+
+
 def adversarial_run(spark: SparkSession, sf_dir: str) -> RunResult:
     k = _key(spark, sf_dir, "adversarial-run")
     if k not in _cache:
@@ -166,6 +175,17 @@ M2M_SKIP_PASS = m2m_pass(id="MP_M2M_SKIP", max_bucket_side=6, attributes=(
     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
     Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=150)))
 
+PARTIAL_O2M_PASS = o2m_pass(id="MP_O2M_PART", quality=0, partial_bucket=True, attributes=(
+    Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True, aggregation=Aggregation("RIGHT", "SUM")),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=2)))
+
+PARTIAL_M2O_PASS = m2o_pass(id="MP_M2O_PART", quality=80, partial_bucket=True, attributes=(
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=100.0,
+              tolerance_percent=0.001, aggregation=Aggregation("LEFT", "SUM")),
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=1)))
+
 OPEN_ITEMS = (Filter("STATUS", "=", "OPEN"),)
 OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), attributes=(
     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
@@ -280,6 +300,20 @@ def q_o2m_within_quality(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, O2M_WITHIN_PASS)
 
 
+def q_o2m_partial(spark, sf_dir):
+    """1:N against a part of the bucket, exact totals, accounts shared by many orders."""
+    long, _ = run_pass(shared_ledger(spark, sf_dir), PARTIAL_O2M_PASS, SET_ID,
+                       standard_spec().effective_cycle_date())
+    return long
+
+
+def q_m2o_partial_within(spark, sf_dir):
+    """N:1 against a part of the bucket, totals within an amount and a percentage."""
+    long, _ = run_pass(shared_ledger(spark, sf_dir), PARTIAL_M2O_PASS, SET_ID,
+                       standard_spec().effective_cycle_date())
+    return long
+
+
 def q_m2o_groups(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, m2o_pass())
 

@@ -87,6 +87,9 @@ HOT_FINE_SQL = f"""SELECT row_id, LS_TYPE, DR_CR_IND, STATUS, CASE WHEN {FEE} TH
   CASE WHEN {FEE} THEN 'USD' ELSE CURRENCY END AS CURRENCY, VALUE_DATE,
   CASE WHEN {FEE} THEN 'NOSTRO-FEE' ELSE BANK_ACCOUNT END AS BANK_ACCOUNT, CASE WHEN {FEE} THEN 'FEE' ELSE REFERENCE END AS REFERENCE FROM ledger"""
 
+SHARED_SQL = """SELECT row_id, LS_TYPE, DR_CR_IND, STATUS, AMOUNT, CURRENCY, VALUE_DATE,
+  CASE WHEN BANK_ACCOUNT LIKE 'NOSTRO-AGG-%' THEN 'NOSTRO-AGG-' || CAST(row_id // 16 % 5 AS VARCHAR) ELSE BANK_ACCOUNT END AS BANK_ACCOUNT, REFERENCE FROM ledger"""
+
 LEDGER_COLS = "row_id, LS_TYPE, DR_CR_IND, STATUS, AMOUNT, CURRENCY, VALUE_DATE, BANK_ACCOUNT, REFERENCE"
 _COL_RE = re.compile(r"\b(" + "|".join(CANONICAL_COLUMNS) + r")\b")
 
@@ -296,6 +299,37 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
     return ctes, lg, n
 
 
+def partial_sql(p: MatchPass) -> str:
+    """1:N or N:1 against parts of a bucket: every subset of the rows within the days of a
+    target, by mask; each target's best one, accepted if all its rows have no better one."""
+    one_left = p.match_type == "ONE_TO_MANY"
+    agg, days = amount_rule(p), date_rule(p).tolerance_days
+    one, many = ("left", "right") if one_left else ("right", "left")
+    side = {"left": left_pop("x", p), "right": right_pop("x", p)}
+    tol = "0.0" if agg.operator == "EQUALS" else tol_sql(agg, "v")
+    delta = "ABS(CAST(v AS DOUBLE) - CAST(total AS DOUBLE))"
+    qual = "CAST(100 AS BIGINT)" if agg.operator == "EQUALS" else \
+        f"CAST(ROUND({curve(delta, f'GREATEST({tol}, 1e-12)')}, 0) AS BIGINT)"
+    return with_ctes(BASE + [
+        f"shared AS ({SHARED_SQL})",
+        f"one AS (SELECT row_id AS one_id, BANK_ACCOUNT, CURRENCY, AMOUNT AS v, VALUE_DATE AS td FROM shared x WHERE {side[one]})",
+        f"many AS (SELECT row_id AS id, BANK_ACCOUNT, CURRENCY, AMOUNT AS u, VALUE_DATE AS d FROM shared x WHERE {side[many]})",
+        "cells AS (SELECT BANK_ACCOUNT, CURRENCY, td, MAX(v) AS top FROM one GROUP BY ALL)",
+        f"cell AS (SELECT *, row_number() OVER w - 1 AS pos, COUNT(*) OVER (PARTITION BY BANK_ACCOUNT, CURRENCY, td) AS n "
+        f"FROM cells JOIN many USING (BANK_ACCOUNT, CURRENCY) WHERE ABS(datediff('day', d, td)) <= {days} AND u <= top * 1.01 + 100 "
+        f"WINDOW w AS (PARTITION BY BANK_ACCOUNT, CURRENCY, td ORDER BY id))",
+        "sums AS (SELECT BANK_ACCOUNT, CURRENCY, td, mask, SUM(u) AS total, COUNT(*) AS rows, list(id ORDER BY id DESC) AS ids "
+        "FROM cell JOIN (SELECT range AS mask FROM range(3, 1 << (SELECT MAX(n) FROM cell))) mm ON (mask >> pos) & 1 = 1 AND mask < (1 << n) "
+        "GROUP BY ALL HAVING COUNT(*) >= 2)",
+        f"made AS (SELECT one_id, {qual} AS q, rows, ids, mask FROM one JOIN sums USING (BANK_ACCOUNT, CURRENCY, td) "
+        f"WHERE {delta} <= {tol} QUALIFY row_number() OVER (PARTITION BY one_id ORDER BY q DESC, rows, mask DESC) = 1 AND q >= {p.quality})",
+        "claims AS (SELECT one_id, row_number() OVER (PARTITION BY id ORDER BY q DESC, rows, one_id) AS rn FROM "
+        "(SELECT one_id, q, rows, unnest(ids) AS id FROM made))",
+        "won AS (SELECT one_id FROM claims GROUP BY one_id HAVING MAX(rn) = 1)",
+        "num AS (SELECT *, row_number() OVER (ORDER BY q DESC, one_id) AS seq FROM made JOIN won USING (one_id))"],
+        f"SELECT unnest([one_id] || ids) AS row_id, {mgid('seq')} AS MATCHING_ID, '{p.id}' AS MATCHED_BY_PASS, q AS MATCH_QUALITY FROM num")
+
+
 def with_ctes(ctes: list[str], body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
@@ -433,6 +467,8 @@ def oracle_sql() -> dict[str, str]:
                                        f"GROUP BY {kn} HAVING COUNT(*) >= 2"),
         "o2m_groups": _single(o2m, "long"),
         "o2m_within_quality": _single(C.O2M_WITHIN_PASS, "long"),
+        "o2m_partial": partial_sql(C.PARTIAL_O2M_PASS),
+        "m2o_partial_within": partial_sql(C.PARTIAL_M2O_PASS),
         "m2o_groups": _single(m2o_pass(), "long"),
         "m2m_buckets": with_ctes(BASE, f"SELECT {kn}, a.n AS n_left, b.n AS n_right, "
                                        f"(a.n BETWEEN 2 AND 10 AND b.n BETWEEN 2 AND 10) AS eligible FROM "

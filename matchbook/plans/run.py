@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchbook.operators import many_to_many, one_to_many, one_to_one
+from matchbook.operators import many_to_many, one_to_many, one_to_one, partial_bucket
 from matchbook.operators.numbering import matching_id, number_rows
 from matchbook.operators.populations import pass_populations
 from matchbook.session import materialize
@@ -68,6 +68,8 @@ def pass_members(remaining: DataFrame, p: MatchPass) -> DataFrame:
     left, right = pass_populations(remaining, p)
     if p.match_type == "ONE_TO_ONE":
         return one_to_one.members(one_to_one.groups(left, right, p))
+    if p.partial_bucket:
+        return partial_bucket.members(partial_bucket.groups(left, right, p))
     if p.match_type in ("ONE_TO_MANY", "MANY_TO_ONE"):
         return one_to_many.members(one_to_many.groups(left, right, p), left, right, p)
     return many_to_many.members(many_to_many.groups(left, right, p))
