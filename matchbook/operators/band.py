@@ -8,7 +8,8 @@ bins ``floor((u - t) / w) .. floor((u + t) / w)`` (at most three); the test
 is symmetric, so the roles may be swapped per attribute.  Every pair within
 the tolerance meets in exactly one bin, so no de-duplication is needed, and a
 hot hard-key bucket is split by value instead of being joined all-to-all.
-Integer arithmetic throughout, so bins are exact.
+Integer arithmetic throughout, so bins are exact.  A tolerance that is a
+percentage of the value has bins on a logarithmic scale (``ratio_bins``).
 """
 
 from __future__ import annotations
@@ -61,27 +62,26 @@ def value_units(value: Column, dtype: T.DataType) -> tuple[Column, int] | None:
     return None
 
 
-def tolerance_units(attr: Attribute, scale: int) -> int | None:
-    """Tolerance in units, or None when it varies per row (tolerancePercent)."""
+def tolerance_units(attr: Attribute, scale: int) -> tuple[float, float]:
+    """(tolerance in units, share of the left value): the larger one holds."""
     if attr.is_date_band:
-        return int(attr.tolerance_days)
-    if attr.tolerance_percent:
-        return None
-    return int((attr.tolerance_amount or 0.0) * 10 ** scale + 1e-9)
+        return float(attr.tolerance_days), 0.0
+    return (attr.tolerance_amount or 0.0) * 10 ** scale, float(attr.tolerance_percent or 0.0)
+
+
+def coarse(p: MatchPass) -> bool:
+    """Whether values are binned and indexed as well: ``p.band_join`` forces it; by default
+    where at most one key stands beside the implicit BANK_ACCOUNT, since one bucket can then
+    hold a large share of the rows."""
+    return len(p.hard_keys()) <= 2 if p.band_join is None else p.band_join
 
 
 def pick_bands(p: MatchPass, left_types: list[T.DataType],
-               max_dims: int = 2) -> list[tuple[int, int]]:
-    """(attribute index, tolerance units) of the WITHIN attributes to bin on.
-
-    ``p.band_join`` forces the choice; by default bins are used when the hard
-    keys are coarse (at most one key besides the implicit BANK_ACCOUNT), which
-    is where one bucket can hold a large share of the rows.  Up to two
-    attributes are binned, so a hot bucket is split by date and by amount.
-    """
-    if p.band_join is False:
-        return []
-    if p.band_join is None and len(p.hard_keys()) > 2:
+               max_dims: int = 2) -> list[tuple[int, tuple[float, float]]]:
+    """(attribute index, (tolerance units, percentage)) of the WITHIN attributes to bin on,
+    where the keys are coarse.  Up to two attributes are binned, so a hot bucket is split by
+    date and by amount."""
+    if not coarse(p):
         return []
     out = []
     for i, a in enumerate(p.attributes):
@@ -91,31 +91,21 @@ def pick_bands(p: MatchPass, left_types: list[T.DataType],
         is_date = isinstance(left_types[i], (T.DateType, T.TimestampType, T.TimestampNTZType))
         if u is None or is_date != a.is_date_band:
             continue
-        t = tolerance_units(a, u[1])
-        if t is not None:
-            out.append((i, t))
+        out.append((i, tolerance_units(a, u[1])))
     return out
 
 
-def left_bins(units: Column, t: int) -> Column:
-    w = max(1, t)
-    return F.explode(F.sequence(floor_div(units - F.lit(t), w), floor_div(units + F.lit(t), w)))
-
-
-def right_bin(units: Column, t: int) -> Column:
-    return floor_div(units, max(1, t))
-
-
 def add_bins(left: DataFrame, right: DataFrame, lcol: str, rcol: str, dtype: T.DataType,
-             t: int, name: str, explode_left: bool = True) -> tuple[DataFrame, DataFrame]:
+             tol: tuple[float, float], name: str, explode_left: bool = True) -> tuple[DataFrame, DataFrame]:
     """Bin both sides on one attribute.  One side is exploded into the bins its
     tolerance window covers, the other keeps its own bin.  The test is
     symmetric, so either side may explode; with two binned attributes the
     sides take turns (each row explodes at most 3x, not 3x3 on one side)."""
     lu, _ = value_units(F.col(lcol), dtype)
     ru, _ = value_units(F.col(rcol), dtype)
+    (l_own, l_reach), (r_own, r_reach) = ratio_bins(lu, *tol), ratio_bins(ru, *tol)
     if explode_left:
-        return (left.withColumn(f"l_{name}", left_bins(lu, t)),
-                right.withColumn(f"r_{name}", right_bin(ru, t)))
-    return (left.withColumn(f"l_{name}", right_bin(lu, t)),
-            right.withColumn(f"r_{name}", left_bins(ru, t)))
+        return (left.withColumn(f"l_{name}", F.explode(l_reach)),
+                right.withColumn(f"r_{name}", r_own))
+    return (left.withColumn(f"l_{name}", l_own),
+            right.withColumn(f"r_{name}", F.explode(r_reach)))

@@ -1,8 +1,8 @@
 """1:1 matching: greedy best pairs inside hard-key buckets.
 
 Plan: project each population to (row id, key values, attribute values) ->
-inner equi-join on the hard keys (plus a value bin when the keys are coarse,
-see ``band``) -> WITHIN / CONTAINS residual filters -> weighted score ->
+inner equi-join on the hard keys (plus a value bin or a q-gram when the keys are
+coarse, see ``band`` and ``containment``) -> WITHIN / CONTAINS residual filters -> weighted score ->
 quality floor -> best right per left row -> best left per right row among
 those survivors.  The greedy step is one-shot: a left row whose best right
 went to another left is not retried in the same pass (it stays available to
@@ -25,13 +25,14 @@ candidate per key crosses the network.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.predicates import attr_expr, contains_predicate, within_predicate
 from matchbook.functions.scores import pass_score
-from matchbook.operators import band
+from matchbook.operators import band, containment
 from matchbook.operators.populations import surely_disjoint
 from matchbook.spec import MatchPass
 
@@ -74,6 +75,10 @@ def _scored(L: DataFrame, R: DataFrame, p: MatchPass, equal: tuple[int, ...] = (
         L, R = band.add_bins(L, R, f"l_a{i}", f"r_a{i}", types[i], t, f"bin{i}",
                              explode_left=(k % 2 == 0))
         cond.append(F.col(f"l_bin{i}") == F.col(f"r_bin{i}"))
+    within = next((i for i, a in enumerate(p.attributes) if a.operator == "CONTAINS"), None)
+    if within is not None and band.coarse(p):
+        L, R = containment.add_grams(L, R, f"l_a{within}", f"r_a{within}", "gram")
+        cond.append(F.col("l_gram") == F.col("r_gram"))
     residual = [F.col("l_id") != F.col("r_id")]
     for i, a in enumerate(p.attributes):
         lc, rc = F.col(f"l_a{i}"), F.col(f"r_a{i}")
@@ -95,19 +100,25 @@ def candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
 def best_candidates(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """The candidates that can be chosen: those between the lowest ids of equal rows.
 
-    Where one attribute only adds to the score (a reference that is no key), a left row's
-    best partner either agrees in it, which an equi-join finds, or does not, and then it is
-    the lowest id of the right rows that agree in everything else.  So the second join sees
-    one right row for each combination of the other values, and both grow with the rows."""
+    Where attributes only add to the score (a reference that is no key), a left row's best
+    partner agrees with it in some of them.  For each such set of attributes an equi-join on
+    the keys and these finds the lowest id of the right rows that agree so far, whatever their
+    other score-only values (null there, so they add nothing; a row that agrees in more is
+    found with its full score by the join on more).  So each join sees one right row for each
+    combination of the values that count, and grows with the rows; there are 2**k joins for
+    k such attributes."""
     L = lowest_of_equals(project_side(left, p, "l"), "l")
     R = lowest_of_equals(project_side(right, p, "r"), "r")
     extra = score_only(p)
-    if len(extra) != 1:
-        return _scored(L, R, p)
-    name = f"r_a{extra[0]}"
-    rest = (lowest_of_equals(R.drop(name), "r")
-            .withColumn(name, F.lit(None).cast(R.schema[name].dataType)))
-    return _scored(L, R, p, (extra[0],)).unionByName(_scored(L, rest, p))
+    joins = []
+    for size in range(len(extra), -1, -1):
+        for agree in combinations(extra, size):
+            others = [f"r_a{i}" for i in extra if i not in agree]
+            reduced = lowest_of_equals(R.drop(*others), "r") if others else R
+            for name in others:
+                reduced = reduced.withColumn(name, F.lit(None).cast(R.schema[name].dataType))
+            joins.append(_scored(L, reduced, p, agree))
+    return reduce(DataFrame.unionByName, joins)
 
 
 def greedy_pairs(cands: DataFrame) -> DataFrame:

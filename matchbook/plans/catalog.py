@@ -186,6 +186,15 @@ PARTIAL_M2O_PASS = m2o_pass(id="MP_M2O_PART", quality=80, partial_bucket=True, a
     Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
     Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=1)))
 
+HOT_CONTAINS_PASS = o2o_pass(id="MP_HOT_CONTAINS", quality=0, attributes=(
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("REFERENCE", "SUBSTRING(REFERENCE, 1, 8)", "CONTAINS", mandatory=True)))
+
+HOT_PERCENT_PASS = o2o_pass(id="MP_HOT_PERCENT", quality=0, attributes=(
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=0.5, tolerance_percent=0.0005),
+    Attribute("SUBSTRING(REFERENCE, 5, 30)", "SUBSTRING(REFERENCE, 5, 30)", "EQUALS")))
+
 OPEN_ITEMS = (Filter("STATUS", "=", "OPEN"),)
 OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), attributes=(
     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
@@ -194,6 +203,14 @@ OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), a
 
 HOT_FINE_PASS = o2o_pass(id="MP_HOTFINE")
 
+LATTICE_PASS = o2o_pass(id="MP_LATTICE", quality=0, attributes=(
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=2),
+    Attribute("SUBSTRING(REFERENCE, 1, 6)", "SUBSTRING(REFERENCE, 1, 6)", "EQUALS"),
+    Attribute("SUBSTRING(REFERENCE, 5, 30)", "SUBSTRING(REFERENCE, 5, 30)", "EQUALS"),
+    Attribute("SUBSTRING(CAST(AMOUNT AS STRING), 1, 4)", "SUBSTRING(CAST(AMOUNT AS STRING), 1, 4)",
+              "EQUALS")))
+
 POP_MIXED = (Filter("QTY", "<", 500.5), Filter("QTY", "!=", 7.25), Filter("AMOUNT", ">", 100000.00005),
              Filter("VALUE_DATE", ">=", "1995-06-01"), Filter("QTY", ">=", "3"))
 
@@ -284,6 +301,18 @@ def q_o2o_hot_account(spark, sf_dir):
     return one_to_one.best_pairs(left, right, p)
 
 
+def q_contains_hot_account(spark, sf_dir):
+    """CONTAINS without dates in an account that holds a third of the rows."""
+    left, right = pass_populations(hot_ledger(spark, sf_dir), HOT_CONTAINS_PASS)
+    return one_to_one.best_pairs(left, right, HOT_CONTAINS_PASS)
+
+
+def q_percent_hot_account(spark, sf_dir):
+    """A tolerance in percent, without dates, in an account that holds a third of the rows."""
+    left, right = pass_populations(hot_ledger(spark, sf_dir), HOT_PERCENT_PASS)
+    return one_to_one.candidates(left, right, HOT_PERCENT_PASS)
+
+
 def q_o2m_buckets(spark, sf_dir):
     p = o2m_pass()
     _, right = pass_populations(ledger(spark, sf_dir), p)
@@ -377,6 +406,12 @@ def q_o2o_hot_fine_key(spark, sf_dir):
     return one_to_one.best_pairs(left, right, HOT_FINE_PASS)
 
 
+def q_o2o_lattice(spark, sf_dir):
+    """Three attributes that only add to the score, in an account with a third of the rows."""
+    left, right = pass_populations(hot_ledger(spark, sf_dir), LATTICE_PASS)
+    return one_to_one.best_pairs(left, right, LATTICE_PASS)
+
+
 def q_adversarial_matches(spark, sf_dir):
     return adversarial_run(spark, sf_dir).matches
 

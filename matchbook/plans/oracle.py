@@ -34,6 +34,9 @@ KEYS = {
     "MP_DATEBAND": [ACCOUNT, CCY], "MP_AMTBAND": [ACCOUNT, CCY], "MP_HOT": [ACCOUNT, CCY],
     "MP_O2M_W": [ACCOUNT, CCY], "MP_M2M_PCT": [ACCOUNT, CCY], "MP_M2M_LARGE": [ACCOUNT, CCY],
     "MP_M2M_SKIP": [ACCOUNT, CCY], "MP_OVERLAP": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY],
+    "MP_HOT_CONTAINS": [ACCOUNT, CCY],
+    "MP_HOT_PERCENT": [ACCOUNT, CCY],
+    "MP_LATTICE": [ACCOUNT, CCY],
     "MP_HOTFINE": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY, ("REFERENCE", "REFERENCE")],
 }
 
@@ -462,6 +465,8 @@ def oracle_sql() -> dict[str, str]:
         "o2o_date_band": _pairs(C.DATE_BAND_PASS),
         "o2o_amount_band": _pairs(C.AMOUNT_BAND_PASS),
         "o2o_hot_account": _pairs(C.HOT_PASS, src="hot", extra=[f"hot AS ({HOT_SQL})"]),
+        "contains_hot_account": _pairs(C.HOT_CONTAINS_PASS, src="hot", extra=[f"hot AS ({HOT_SQL})"]),
+        "percent_hot_account": _pairs(C.HOT_PERCENT_PASS, greedy_=False, src="hot", extra=[f"hot AS ({HOT_SQL})"]),
         "o2m_buckets": with_ctes(BASE, f"SELECT {kn}, CAST(COALESCE(SUM(AMOUNT), 0) AS DECIMAL(28,4)) AS m_sum, MIN(VALUE_DATE) AS m_dmin, "
                                        f"MAX(VALUE_DATE) AS m_dmax, COUNT(*) AS m_n FROM ledger m WHERE {right_pop('m', o2m)} "
                                        f"GROUP BY {kn} HAVING COUNT(*) >= 2"),
@@ -490,6 +495,7 @@ def oracle_sql() -> dict[str, str]:
             f"AND NOT (wl.n <= 6 AND wr.n <= 6)"),
         "o2o_overlap": overlap_sql(),
         "o2o_hot_fine_key": _pairs(C.HOT_FINE_PASS, src="fee", extra=[f"fee AS ({HOT_FINE_SQL})"]),
+        "o2o_lattice": _pairs(C.LATTICE_PASS, src="hot", extra=[f"hot AS ({HOT_SQL})"]),
         "adversarial_matches": with_ctes(
             BASE + [f"adv AS ({ADVERSARIAL_SQL})"] + run_ctes(spec, "a_", with_base=False, src="adv")[0],
             f"SELECT *, DATE '{CYCLE_DATE}' AS MATCH_DATE FROM a_matches"),

@@ -1,14 +1,17 @@
 """Band join, numbering and run invariants on the derived ledger (sf0.001)."""
 
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from helpers import SF_SMALL
-from matchbook.operators import one_to_one
+from helpers import SF_SMALL, ledger_df, row
+from matchbook.operators import containment, one_to_one
 from matchbook.operators.numbering import number_rows
 from matchbook.operators.populations import pass_populations
 from matchbook.plans import catalog
-from matchbook.plans.configs import standard_spec
+from matchbook.plans.configs import o2o_pass, standard_spec
+from matchbook.spec import Attribute
 
 
 def _pairs(spark, p):
@@ -18,12 +21,64 @@ def _pairs(spark, p):
 
 def test_band_join_equals_plain_join(spark):
     for base in (catalog.DATE_BAND_PASS, catalog.AMOUNT_BAND_PASS, catalog.HOT_PASS,
-                 catalog.NUMERIC_PASS):
+                 catalog.NUMERIC_PASS, catalog.PERCENT_PASS, catalog.CONTAINS_PASS):
         banded = _pairs(spark, base.__class__(**{**base.__dict__, "band_join": True}))
         plain = _pairs(spark, base.__class__(**{**base.__dict__, "band_join": False}))
         assert banded == plain and len(plain) > 0
 
 
+def _random_values(n, seed):
+    rng = random.Random(seed)
+    texts = ["", "a", "ab", "abc", "abcabcabc", "xyzxyz", "aXbYcZ", "ä漢ä漢ä漢ä", "zz" * 20, None]
+    return [row(i, "L" if i % 2 else "R", rng.choice([0, 0.5, -3, 7, 100]) * rng.choice([1, 1.001, 1.01, 40])
+                if rng.random() > 0.05 else None, ref=(rng.choice(texts) or "") + rng.choice(["", "abc", "c", "漢ä漢ä"])
+                if rng.random() > 0.1 else None, acct=rng.choice(["A", "B"])) for i in range(n)]
+
+
+def test_percentage_and_contains_joins_on_random_values(spark):
+    """Binned and indexed joins find the pairs of the plain join: null, negative and zero amounts,
+    empty and short needles, letters of several bytes."""
+    df = ledger_df(spark, _random_values(300, 4))
+    for attribute in (Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.01),
+                      Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.4, tolerance_amount=2),
+                      Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_percent=0.9),
+                      Attribute("REFERENCE", "REFERENCE", "CONTAINS", mandatory=True),
+                      Attribute("REFERENCE", "SUBSTRING(REFERENCE, 2, 3)", "CONTAINS", mandatory=True)):
+        got = []
+        for mode in (True, False):
+            p = o2o_pass(quality=0, attributes=(attribute,), band_join=mode)
+            left, right = pass_populations(df, p)
+            pairs = [tuple(r) for r in one_to_one.candidates(left, right, p).collect()]
+            assert len(pairs) == len(set(pairs))
+            got.append(set(pairs))
+        assert got[0] == got[1] and got[0]
+
+
+def test_contains_meets_few_rows(spark):
+    """In one account of 2,000 rows a needle meets the rows with its rarest part."""
+    df = ledger_df(spark, [row(2 * i + k, "LR"[k], 5, ref=f"PAYMENT {i:06d}{' paid' if k == 0 else ''}")
+                           for i in range(1000) for k in (0, 1)])
+    p = o2o_pass(quality=0, attributes=(Attribute("REFERENCE", "REFERENCE", "CONTAINS", mandatory=True),))
+    left, right = pass_populations(df, p)
+    L, R = containment.add_grams(one_to_one.project_side(left, p, "l"), one_to_one.project_side(right, p, "r"),
+                                 "l_a0", "r_a0", "gram")
+    assert L.join(R, (F.col("l_gram") == F.col("r_gram")) & (F.col("l_k0") == F.col("r_k0"))).count() == 1000
+    assert one_to_one.candidates(left, right, p).count() == 1000
+
+
+def test_score_only_attributes_pick_the_same_pairs(spark):
+    rng = random.Random(8)
+    df = ledger_df(spark, [row(i, "L" if i % 2 else "R", rng.choice([5, 6, 7]), ref=rng.choice(["AA1", "AB1", "AB2", "B", None]),
+                               d=f"2024-01-{rng.randint(10, 13)}", acct=rng.choice("XYZ")) for i in range(400)])
+    part = lambda a, n: Attribute(f"SUBSTRING(REFERENCE, {a}, {n})", f"SUBSTRING(REFERENCE, {a}, {n})", "EQUALS")
+    p = o2o_pass(quality=0, attributes=(Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=1),
+                                        part(1, 1), part(2, 1), part(3, 1), Attribute("CAST(AMOUNT AS INT)", "CAST(AMOUNT AS INT)", "EQUALS")))
+    left, right = pass_populations(df, p)
+    assert len(one_to_one.score_only(p)) == 4
+    plain = {tuple(r) for r in one_to_one.greedy_pairs(one_to_one.candidates(left, right, p)).collect()}
+    assert {tuple(r) for r in one_to_one.best_pairs(left, right, p).collect()} == plain and len(plain) > 5
+
+
 def test_numbering_matches_global_row_number(spark):
     led = catalog.ledger(spark, SF_SMALL).select("row_id", (F.col("row_id") % 7).alias("k"))
     numbered, n = number_rows(led, ["k", "row_id"], offset=10)
