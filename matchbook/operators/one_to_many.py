@@ -1,7 +1,7 @@
 """1:N and N:1 matching: one row against a whole hard-key bucket.
 
-The many side is aggregated per bucket (SUM of the aggregated attribute,
-MIN/MAX date, COUNT >= 2) with partial aggregation, so a hot bucket shrinks
+The many side is aggregated per bucket (SUM, COUNT, MIN, MAX or AVG of the
+aggregated attribute, MIN/MAX date, COUNT >= 2) with partial aggregation, so a hot bucket shrinks
 to one row before the shuffle.  One-side rows join the bucket rows, must
 agree with the bucket sum (EQUALS as doubles, or WITHIN the tolerance) and,
 when the pass has a VALUE_DATE WITHIN, the bucket's earliest and latest dates
@@ -39,11 +39,15 @@ def _key_names(p: MatchPass) -> list[str]:
 def buckets(many: DataFrame, p: MatchPass) -> DataFrame:
     """Many-side buckets: keys, m_sum, (m_dmin, m_dmax), m_n >= 2."""
     _, _, many_side = _sides(p)
-    agg = p.sum_attribute()
+    agg = p.total_attribute()
     value = attr_expr(agg.left if many_side == "l" else agg.right, many.columns)
+    total = {"SUM": F.coalesce(F.sum("v"), F.lit(0)), "AVG": F.coalesce(F.sum("v"), F.lit(0)),
+             "COUNT": F.count("v"), "MIN": F.min("v"), "MAX": F.max("v")}[agg.aggregation.function]
     date_attr = p.date_attribute()
     cols = _keys(p, many_side, many) + [value.alias("v"), F.col("row_id")]
-    aggs = [F.coalesce(F.sum("v"), F.lit(0)).alias("m_sum"), F.min("row_id").alias("m_first")]
+    aggs = [total.alias("m_sum"), F.min("row_id").alias("m_first")]
+    if agg.aggregation.function == "AVG":                  # compared as a sum and a count
+        aggs.append(F.count("v").alias("m_vn"))
     if date_attr is not None:
         d = attr_expr(date_attr.left if many_side == "l" else date_attr.right, many.columns)
         cols.append(d.alias("d"))
@@ -55,7 +59,7 @@ def buckets(many: DataFrame, p: MatchPass) -> DataFrame:
 def candidates(one: DataFrame, many: DataFrame, p: MatchPass) -> DataFrame:
     """One-side rows joined to buckets that pass the amount and date rules."""
     _, one_side, _ = _sides(p)
-    agg = p.sum_attribute()
+    agg = p.total_attribute()
     date_attr = p.date_attribute()
     cols = [F.col("row_id").alias("one_id")] + _keys(p, one_side, one) + \
         [attr_expr(agg.left if one_side == "l" else agg.right, one.columns).alias("one_v")]
@@ -64,15 +68,21 @@ def candidates(one: DataFrame, many: DataFrame, p: MatchPass) -> DataFrame:
                               one.columns).alias("one_d"))
     cand = one.select(cols).join(buckets(many, p), _key_names(p), "inner")
     one_v, m_sum = F.col("one_v").cast("double"), F.col("m_sum").cast("double")
+    if agg.aggregation.function == "AVG":
+        # The average times the count is the sum, without a division.
+        exact = F.col("one_v") * F.col("m_vn") == F.col("m_sum")
+        m_sum = m_sum / F.nullif(F.col("m_vn"), F.lit(0)).cast("double")
+    else:
+        exact = one_v == m_sum
     if agg.operator == "EQUALS":
-        ok = one_v == m_sum
+        ok = exact
     else:
         ok = F.abs(one_v - m_sum) <= numeric_tolerance(agg, F.col("one_v"))
     if date_attr is not None:
         td = F.lit(date_attr.tolerance_days)
         ok = ok & (F.abs(F.datediff(F.col("one_d"), F.col("m_dmin"))) <= td) \
             & (F.abs(F.datediff(F.col("one_d"), F.col("m_dmax"))) <= td)
-    q = aggregate_quality(agg, F.col("one_v"), F.col("m_sum"))
+    q = aggregate_quality(agg, F.col("one_v"), m_sum)
     return cand.where(ok).withColumn("q", q).where(F.col("q") >= F.lit(p.quality))
 
 

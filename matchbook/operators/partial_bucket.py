@@ -41,7 +41,7 @@ LISTED = 30                      # rows of a cell whose halves are listed
 def _side(df: DataFrame, p: MatchPass, left: bool, names: tuple[str, str, str],
           scale: int) -> DataFrame:
     """Keys, id, amount in units and day of one population; rows that lack one are left out."""
-    total, dated = p.sum_attribute(), p.date_attribute()
+    total, dated = p.total_attribute(), p.date_attribute()
     pick = lambda a: attr_expr(a.left if left else a.right, df.columns)
     keys = [attr_expr(lk if left else rk, df.columns).alias(f"k{i}")
             for i, (lk, rk) in enumerate(p.hard_keys())]
@@ -53,7 +53,7 @@ def _side(df: DataFrame, p: MatchPass, left: bool, names: tuple[str, str, str],
 
 def _targets(one: DataFrame, p: MatchPass, left: bool, scale: int) -> DataFrame:
     """Targets with their tolerance in units (0 where totals must be equal)."""
-    rule = p.sum_attribute()
+    rule = p.total_attribute()
     out = _side(one, p, left, ("one_id", "v", "tday"), scale)
     if rule.operator == "EQUALS":
         return out.withColumn("tol", F.lit(0).cast("bigint"))
@@ -156,7 +156,7 @@ def _from_sums(targets: DataFrame, rows: DataFrame, cell: list[str], scored) ->
 def proposals(one: DataFrame, many: DataFrame, p: MatchPass) -> DataFrame:
     """The best subset of each target that has one: one_id, q, rows, ids (descending)."""
     one_is_left = p.match_type == "ONE_TO_MANY"
-    rule = p.sum_attribute()
+    rule = p.total_attribute()
     scale = max(_scale(one, rule.left if one_is_left else rule.right),
                 _scale(many, rule.right if one_is_left else rule.left))
     dated = p.date_attribute()

@@ -8,6 +8,8 @@ shared by the queries that read them.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from matchbook.operators.populations import pass_populations, select_population
 from matchbook.plans import browse, summary
 from matchbook.plans.configs import (CYCLE_DATE, GL_CR, SET_ID, STMT_DR, m2m_pass, m2o_pass,
                                      o2m_pass, o2o_pass, standard_spec)
+from matchbook.plans.carry import run_cycle
 from matchbook.plans.run import RunResult, run_pass, run_passes
+from matchbook.plans.suspects import suspected_pairs
 from matchbook.session import materialize, scratch_path
 from matchbook.sources.ledger import derived_ledger, load_ledger
 from matchbook.sources.sinks import record_run, write_result
@@ -195,6 +199,29 @@ HOT_PERCENT_PASS = o2o_pass(id="MP_HOT_PERCENT", quality=0, attributes=(
     Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=0.5, tolerance_percent=0.0005),
     Attribute("SUBSTRING(REFERENCE, 5, 30)", "SUBSTRING(REFERENCE, 5, 30)", "EQUALS")))
 
+def _total_pass(function: str, left: str = "AMOUNT", **tolerance):
+    return o2m_pass(id=f"MP_O2M_{function}", quality=0, attributes=(
+        Attribute(left, "AMOUNT", "WITHIN" if tolerance else "EQUALS", mandatory=True,
+                  aggregation=Aggregation("RIGHT", function), **tolerance),
+        Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+        Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=2)))
+
+
+#: One total of each kind: the number of parts by the length of the reference, the least and the
+#: largest part by a share of the total, the exact average by half of it.
+TOTAL_PASSES = {
+    "COUNT": _total_pass("COUNT", "CAST(LENGTH(REFERENCE) - 5 AS DECIMAL(18,4))"),
+    "MIN": _total_pass("MIN", tolerance_percent=0.6),
+    "MAX": _total_pass("MAX", tolerance_percent=0.7, tolerance_amount=10),
+    "AVG": _total_pass("AVG", "CAST(AMOUNT * 0.5 AS DECIMAL(18,4))")}
+
+CYCLES = ("1995-06-30", "1998-12-31")
+SUSPECT_FLOOR = 60
+SUSPECT_SPEC = RunSpec(set_id=SET_ID, cycle_date=CYCLE_DATE, passes=(
+    o2o_pass(id="MP_SUBSTR", quality=95, rule_order=1, attributes=SUBSTRING_PASS.attributes),
+    o2m_pass(rule_order=2),
+    o2o_pass(id="MP_AMTBAND", quality=99, rule_order=3, attributes=AMOUNT_BAND_PASS.attributes)))
+
 OPEN_ITEMS = (Filter("STATUS", "=", "OPEN"),)
 OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), attributes=(
     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
@@ -343,6 +370,43 @@ def q_m2o_partial_within(spark, sf_dir):
     return long
 
 
+def q_o2m_count(spark, sf_dir):
+    return _numbered_pass(spark, sf_dir, TOTAL_PASSES["COUNT"])
+
+
+def q_o2m_min(spark, sf_dir):
+    return _numbered_pass(spark, sf_dir, TOTAL_PASSES["MIN"])
+
+
+def q_o2m_max(spark, sf_dir):
+    return _numbered_pass(spark, sf_dir, TOTAL_PASSES["MAX"])
+
+
+def q_o2m_avg(spark, sf_dir):
+    return _numbered_pass(spark, sf_dir, TOTAL_PASSES["AVG"])
+
+
+def q_carried_items(spark, sf_dir):
+    """Two cycles, the second with the items that the first left open: when each row was first
+    seen and matched, and for how many cycles it was carried."""
+    led, state = ledger(spark, sf_dir), scratch_path(spark, "open-items")
+    first = date.fromisoformat(CYCLES[0])
+    one = run_cycle(led.where(F.col("VALUE_DATE") <= first), standard_spec(), state, CYCLES[0])
+    two = run_cycle(led.where(F.col("VALUE_DATE") > first), standard_spec(), state, CYCLES[1])
+    shown = lambda c: c.result.select(
+        "row_id", F.col("FIRST_SEEN").alias("first_seen"), F.col("MATCH_DATE").alias("matched_in"),
+        F.col("AGE_CYCLES").alias("age"), "MATCHED_BY_PASS", "MATCH_QUALITY")
+    return shown(one).where("matched_in IS NOT NULL").unionByName(shown(two))
+
+
+def q_suspected_pairs(spark, sf_dir):
+    """Pairs of open rows below the floors of two 1:1 passes, ranked over the run."""
+    k = _key(spark, sf_dir, "suspect-run")
+    if k not in _cache:
+        _cache[k] = run_passes(adversarial_ledger(spark, sf_dir), SUSPECT_SPEC, run_id="run-suspect")
+    return suspected_pairs(_cache[k], SUSPECT_FLOOR)
+
+
 def q_m2o_groups(spark, sf_dir):
     return _numbered_pass(spark, sf_dir, m2o_pass())
 

@@ -11,6 +11,7 @@ rules and id prefix are written out per pass, not asked from the engine.
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from matchbook.plans import catalog as C
 from matchbook.plans.configs import CYCLE_DATE, GL_CR, SET_ID, m2m_pass, m2o_pass, o2m_pass, \
@@ -37,14 +38,16 @@ KEYS = {
     "MP_HOT_CONTAINS": [ACCOUNT, CCY],
     "MP_HOT_PERCENT": [ACCOUNT, CCY],
     "MP_LATTICE": [ACCOUNT, CCY],
+    **{f"MP_O2M_{f}": [ACCOUNT, CCY] for f in ("COUNT", "MIN", "MAX", "AVG")},
     "MP_HOTFINE": [ACCOUNT, ("AMOUNT", "AMOUNT"), CCY, ("REFERENCE", "REFERENCE")],
 }
 
 
 
 def amount_rule(p: MatchPass):
-    """The attribute over AMOUNT: the totalled one in these passes."""
-    return next(a for a in p.attributes if a.left == "AMOUNT" and a.right == "AMOUNT")
+    """The attribute that is totalled, or else the one over AMOUNT."""
+    total = next((a for a in p.attributes if a.aggregation), None)
+    return total or next(a for a in p.attributes if a.left == "AMOUNT" and a.right == "AMOUNT")
 
 
 def date_rule(p: MatchPass):
@@ -212,12 +215,16 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
         knames = ", ".join(f"k{i}" for i in range(len(keys)))
         dsel = (f", MIN({q('m', da.right if one_left else da.left)}) AS m_dmin, "
                 f"MAX({q('m', da.right if one_left else da.left)}) AS m_dmax") if da else ""
-        b = (f"SELECT {kcols}, COALESCE(SUM({q('m', mv)}), 0) AS m_sum{dsel}, COUNT(*) AS m_n "
+        fn = agg.aggregation.function
+        tot = f"COALESCE(SUM({q('m', mv)}), 0)" if fn == "SUM" else f"{fn}({q('m', mv)})"
+        b = (f"SELECT {kcols}, {tot} AS m_sum, SUM({q('m', mv)}) AS m_all, COUNT({q('m', mv)}) AS m_vn{dsel}, COUNT(*) AS m_n "
              f"FROM {src} m WHERE {many_pop} GROUP BY ALL HAVING COUNT(*) >= 2")
         on = " AND ".join(f"{q('o', e)} = b.k{i}" for i, e in enumerate(ok))
         ovs = f"CAST({q('o', ov)} AS DOUBLE)"
         if agg.operator == "EQUALS":
             amt_ok, qual = f"{ovs} = CAST(b.m_sum AS DOUBLE)", "CAST(100 AS BIGINT)"
+            if fn == "AVG":
+                amt_ok = f"{q('o', ov)} * b.m_vn = b.m_all"
         else:
             dlt = f"ABS({ovs} - CAST(b.m_sum AS DOUBLE))"
             t = tol_sql(agg, q("o", ov))
@@ -302,6 +309,41 @@ def pass_ctes(p: MatchPass, src: str, tag: str, offset: str) -> tuple[list[str],
     return ctes, lg, n
 
 
+def carry_sql() -> str:
+    """Two cycles, written out: the second takes what the first left open."""
+    spec = standard_spec()
+    first, m1 = run_ctes(spec, "a_", with_base=False, src="led1")
+    second, m2 = run_ctes(spec, "b_", with_base=False, src="led2")
+    cols = LEDGER_COLS
+    c1, c2 = (f"DATE '{c}'" for c in C.CYCLES)
+    new = f"CASE WHEN VALUE_DATE <= {c1} THEN {c1} ELSE {c2} END"
+    return with_ctes(
+        BASE + [f"led1 AS (SELECT {cols} FROM ledger WHERE VALUE_DATE <= {c1})"] + first
+        + [f"led2 AS (SELECT {cols} FROM ledger WHERE row_id NOT IN (SELECT row_id FROM {m1}))"] + second,
+        f"SELECT row_id, {new} AS first_seen, "
+        f"CASE WHEN a.row_id IS NOT NULL THEN {c1} WHEN b.row_id IS NOT NULL THEN {c2} END AS matched_in, "
+        f"CASE WHEN a.row_id IS NULL AND VALUE_DATE <= {c1} THEN 1 ELSE 0 END AS age, "
+        f"COALESCE(a.MATCHED_BY_PASS, b.MATCHED_BY_PASS) AS MATCHED_BY_PASS, "
+        f"COALESCE(a.MATCH_QUALITY, b.MATCH_QUALITY) AS MATCH_QUALITY "
+        f"FROM ledger LEFT JOIN {m1} a USING (row_id) LEFT JOIN {m2} b USING (row_id)")
+
+
+def suspects_sql() -> str:
+    ctes, m = run_ctes(C.SUSPECT_SPEC, "a_", with_base=False, src="adv")
+    rules = [p for p in C.SUSPECT_SPEC.active_passes() if p.match_type == "ONE_TO_ONE"]
+    made = " UNION ALL ".join(
+        f"SELECT *, {k} AS k, '{p.id}' AS pass_id FROM ({greedy(o2o_candidates(replace(p, quality=C.SUSPECT_FLOOR), 'rest'))})"
+        for k, p in enumerate(rules))
+    order = "q DESC, k, LEAST(l_id, r_id), GREATEST(l_id, r_id)"
+    return with_ctes(
+        BASE + [f"adv AS ({ADVERSARIAL_SQL})"] + ctes
+        + [f"rest AS (SELECT * FROM adv WHERE row_id NOT IN (SELECT row_id FROM {m}))", f"made AS ({made})",
+           f"roles AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY {order}) AS n FROM "
+           "(SELECT *, unnest([l_id, r_id]) AS r FROM made))",
+           "won AS (SELECT l_id, r_id, q, k, pass_id FROM roles WHERE n = 1 GROUP BY ALL HAVING COUNT(*) = 2)"],
+        "SELECT row_number() OVER (ORDER BY q DESC, k, l_id, r_id) AS suspect_rank, l_id, r_id, q AS quality, pass_id FROM won")
+
+
 def partial_sql(p: MatchPass) -> str:
     """1:N or N:1 against parts of a bucket: every subset of the rows within the days of a
     target, by mask; each target's best one, accepted if all its rows have no better one."""
@@ -474,6 +516,12 @@ def oracle_sql() -> dict[str, str]:
         "o2m_within_quality": _single(C.O2M_WITHIN_PASS, "long"),
         "o2m_partial": partial_sql(C.PARTIAL_O2M_PASS),
         "m2o_partial_within": partial_sql(C.PARTIAL_M2O_PASS),
+        "o2m_count": _single(C.TOTAL_PASSES["COUNT"], "long"),
+        "o2m_min": _single(C.TOTAL_PASSES["MIN"], "long"),
+        "o2m_max": _single(C.TOTAL_PASSES["MAX"], "long"),
+        "o2m_avg": _single(C.TOTAL_PASSES["AVG"], "long"),
+        "carried_items": carry_sql(),
+        "suspected_pairs": suspects_sql(),
         "m2o_groups": _single(m2o_pass(), "long"),
         "m2m_buckets": with_ctes(BASE, f"SELECT {kn}, a.n AS n_left, b.n AS n_right, "
                                        f"(a.n BETWEEN 2 AND 10 AND b.n BETWEEN 2 AND 10) AS eligible FROM "
