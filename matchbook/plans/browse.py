@@ -3,9 +3,11 @@ and the history of runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from matchbook.sources.sinks import INDEX_COLUMNS
+
 # Fixed values of the browsing surface.
 MAX_LIMIT = 10000
 DEFAULT_LIMIT = 100
@@ -79,6 +81,31 @@ def page(result: DataFrame, status: str, filters: dict | None = None,
     return total, tail.orderBy("row_id").offset(rest).limit(limit)
 
 
+def indexed_page(spark: SparkSession, path: str, status: str, filters: dict | None = None,
+                 limit: int = DEFAULT_LIMIT, offset: int = 0) -> tuple[int, DataFrame]:
+    """(total, page rows in input order) of a result written by ``sinks.write_paged``.
+
+    The zone map alone gives the total and the files that hold the page, so a deep page reads
+    these files only.  It knows status, pass and currency; a filter on the account counts the
+    rows (see ``page``)."""
+    limit, offset = check_page(limit, offset)
+    asked = {k: v for k, v in (filters or {}).items() if FILTER_COLUMNS.get(k) and v is not None}
+    if any(FILTER_COLUMNS[k] not in INDEX_COLUMNS for k in asked):
+        return page(spark.read.parquet(f"{path}/rows"), status, filters, limit, offset)
+    per_file = (filtered(spark.read.parquet(f"{path}/index"), status, asked)
+                .groupBy("file").agg(F.min("low").alias("low"), F.sum("n").alias("n")))
+    # One row a file: an unpartitioned window over it is small.
+    before = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = per_file.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    total = ranged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = (ranged.where((F.col("start") < offset + limit) & (F.col("start") + F.col("n") > offset))
+             .orderBy("low").collect())
+    if not files:
+        return total, spark.read.parquet(f"{path}/rows").limit(0)
+    rows = filtered(spark.read.parquet(*[f["file"] for f in files]), status, asked)
+    return total, rows.orderBy("row_id").offset(offset - min(offset, files[0]["start"])).limit(limit)
+
+
 def matches_page(result: DataFrame, filters: dict | None = None, limit: int = DEFAULT_LIMIT,
                  offset: int = 0) -> tuple[int, DataFrame]:
     return page(result, "MATCHED", filters, limit, offset)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchbook.operators import many_to_many, one_to_many, one_to_one
@@ -24,7 +24,7 @@ from matchbook.plans.run import RunResult, run_pass, run_passes
 from matchbook.plans.suspects import suspected_pairs
 from matchbook.session import materialize, scratch_path
 from matchbook.sources.ledger import derived_ledger, load_ledger
-from matchbook.sources.sinks import record_run, write_result
+from matchbook.sources.sinks import record_run, write_paged, write_result
 from matchbook.spec import Aggregation, Attribute, Filter, RunSpec
 
 _cache: dict = {}
@@ -567,6 +567,8 @@ def q_matches_page(spark, sf_dir):
 
 
 DEEP_OFFSET = 20000
+INDEXED_FILTERS = {"matched_by_pass": "MP_O2O", "currency": "GBP"}
+INDEXED_OFFSET = 4321
 
 
 def q_matches_page_deep(spark, sf_dir):
@@ -574,6 +576,34 @@ def q_matches_page_deep(spark, sf_dir):
     return browse.with_page_meta(total, rows, 100, DEEP_OFFSET)
 
 
+def q_matches_page_indexed(spark, sf_dir):
+    """A deep page through the zone map written with the result."""
+    path = scratch_path(spark, "paged")
+    write_paged(standard_result(spark, sf_dir), path)
+    total, rows = browse.indexed_page(spark, path, "MATCHED", INDEXED_FILTERS, 100, INDEXED_OFFSET)
+    return browse.with_page_meta(total, rows, 100, INDEXED_OFFSET)
+
+
+def q_output_order(spark, sf_dir):
+    """The place of every row in the ordered output, by file and position."""
+    path = scratch_path(spark, "in-order")
+    write_result(standard_result(spark, sf_dir), path, ordered=True)
+    rows = spark.read.parquet(path).select("row_id", "MATCHING_ID", F.col("_metadata.file_name").alias("file"),
+                                           F.col("_metadata.row_index").alias("at"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)      # one row a file
+    starts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.join(starts, "file").select("row_id", "MATCHING_ID",
+                                            (F.col("start") + F.col("at")).alias("place"))
+
+
+def q_run_order(spark, sf_dir):
+    """The place of every run in the history, newest first."""
+    listed = q_run_history(spark, sf_dir).withColumn("at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("at"))                               # one row a run
+    return listed.select("run_id", "started_at", "matched_rows", place.alias("place"))
+
+
 def q_breaks_page(spark, sf_dir):
     total, rows = browse.breaks_page(standard_result(spark, sf_dir), BREAKS_FILTERS, 100, 0)
     return browse.with_page_meta(total, rows, 100, 0)

@@ -575,6 +575,9 @@ def oracle_sql() -> dict[str, str]:
         "match_rate": res("SELECT COUNT(*) AS input_rows, COUNT(MATCHING_ID) AS matched_rows, CASE WHEN COUNT(*) > 0 "
                           "THEN ROUND(COUNT(MATCHING_ID) * 100.0 / COUNT(*), 2) ELSE 0.0 END AS match_rate_pct FROM result"),
         "matches_page": page_sql("MATCHED", C.MATCHES_FILTERS, 100, 50),
+        "matches_page_indexed": page_sql("MATCHED", C.INDEXED_FILTERS, 100, C.INDEXED_OFFSET),
+        "output_order": res("SELECT row_id, MATCHING_ID, row_number() OVER (ORDER BY row_id) - 1 AS place FROM result"),
+        "run_order": f"SELECT run_id, started_at, matched_rows, row_number() OVER (ORDER BY started_at DESC, run_id) AS place FROM ({history_sql()})",
         "breaks_page": page_sql("UNMATCHED", C.BREAKS_FILTERS, 100, 0),
         "run_history": history_sql(),
         "csv_roundtrip": res("SELECT row_id, AMOUNT, VALUE_DATE, BANK_ACCOUNT, STATUS, CAST(AMOUNT AS VARCHAR) AS AMOUNT_TEXT, "

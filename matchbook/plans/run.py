@@ -129,8 +129,9 @@ def run_passes(ledger: DataFrame, spec: RunSpec, cycle_date: str | None = None,
         members = materialize(pass_members(remaining, p).select(
             "row_id", "q", "_o1", "_o2", "_lead", F.lit(k).alias("_pass"),
             F.lit(p.id).alias("MATCHED_BY_PASS")), f"members-{p.id}")
-        remaining = remaining.join(members.select("row_id"), "row_id", "left_anti")
         runs.append(PassRun(p, members, None, round(time.time() - t1, 3)))
+        taken = _union([r.matches.select("row_id") for r in runs])   # one anti-join, not one a pass
+        remaining = ledger.join(taken, "row_id", "left_anti")
     groups = None
     numbering_sec = 0.0
     if runs:

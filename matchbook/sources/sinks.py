@@ -26,6 +26,20 @@ def write_result(result: DataFrame, path: str, fmt: str = "parquet", ordered: bo
         df.write.mode(mode).format(fmt).save(path)
 
 
+INDEX_COLUMNS = ("STATUS", "MATCHED_BY_PASS", "CURRENCY")
+
+
+def write_paged(result: DataFrame, path: str) -> None:
+    """The result as Parquet files of ascending row-id ranges under ``<path>/rows``, and under
+    ``<path>/index`` a zone map: per file its row-id range and the number of rows of every
+    status, pass and currency, from which ``browse.indexed_page`` picks the files of a page."""
+    write_result(result, f"{path}/rows", ordered=True)
+    rows = result.sparkSession.read.parquet(f"{path}/rows")
+    (rows.groupBy(F.col("_metadata.file_path").alias("file"), *INDEX_COLUMNS)
+     .agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count(F.lit(1)).alias("n"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/index"))
+
+
 def record_run(manifest: DataFrame, runs_path: str, config_id: str | None = None) -> None:
     """Append one run manifest row to the runs table (flattened totals)."""
     row = manifest.select(
