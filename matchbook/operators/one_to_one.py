@@ -7,6 +7,8 @@ quality floor -> best right per left row -> best left per right row among
 those survivors.  The greedy step is one-shot: a left row whose best right
 went to another left is not retried in the same pass (it stays available to
 later passes).  Ties are broken by the lowest row id.
+A pass with ``assignment="optimal"`` takes the pairs of the largest total quality
+instead (see ``assignment``).
 
 Scores depend on key and attribute values only and ties go to the lowest id, so
 of rows that agree in all of them only the lowest id can be in a pair: each
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.predicates import attr_expr, contains_predicate, within_predicate
 from matchbook.functions.scores import pass_score
-from matchbook.operators import band, containment
+from matchbook.operators import assignment, band, containment
 from matchbook.operators.populations import surely_disjoint
-from matchbook.spec import MatchPass
+from matchbook.spec import MatchPass, SpecError
 
 
 def project_side(df: DataFrame, p: MatchPass, side: str) -> DataFrame:
@@ -142,6 +144,11 @@ def one_pair_per_row(pairs: DataFrame) -> DataFrame:
 
 def best_pairs(left: DataFrame, right: DataFrame, p: MatchPass) -> DataFrame:
     """The accepted pairs (l_id, r_id, q) of a pass."""
+    if p.assignment == "optimal":
+        if not surely_disjoint(p):
+            raise SpecError(f"pass {p.id!r}: an optimal assignment needs populations whose filters "
+                            "exclude each other")
+        return assignment.optimal_pairs(candidates(left, right, p))
     if surely_disjoint(p):
         return greedy_pairs(best_candidates(left, right, p))
     # A mirrored pair keeps its better orientation, at equal quality the one with the

@@ -222,6 +222,11 @@ SUSPECT_SPEC = RunSpec(set_id=SET_ID, cycle_date=CYCLE_DATE, passes=(
     o2m_pass(rule_order=2),
     o2o_pass(id="MP_AMTBAND", quality=99, rule_order=3, attributes=AMOUNT_BAND_PASS.attributes)))
 
+OPTIMAL_PASS = o2o_pass(id="MP_OPTIMAL", quality=60, assignment="optimal", attributes=(
+    Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+    Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=2500.0),
+    Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=20)))
+
 OPEN_ITEMS = (Filter("STATUS", "=", "OPEN"),)
 OVERLAP_PASS = o2o_pass(id="MP_OVERLAP", quality=0, left=OPEN_ITEMS, right=(), attributes=(
     Attribute("AMOUNT", "AMOUNT", "EQUALS", mandatory=True),
@@ -340,6 +345,11 @@ def q_percent_hot_account(spark, sf_dir):
     return one_to_one.candidates(left, right, HOT_PERCENT_PASS)
 
 
+def q_o2o_optimal(spark, sf_dir):
+    """The pairs of the largest total quality under wide tolerances."""
+    return _pairs(spark, sf_dir, OPTIMAL_PASS)
+
+
 def q_o2m_buckets(spark, sf_dir):
     p = o2m_pass()
     _, right = pass_populations(ledger(spark, sf_dir), p)
