@@ -65,6 +65,29 @@ def unpack(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
     return out
 
 
+def pack_numbers(*arrays: np.ndarray) -> bytes:
+    """As ``pack`` for integers.  The first bytes of all numbers of an array stand together,
+    then the second ones and so on, as high bytes are mostly alike; signed numbers (rows,
+    mostly ascending) are differences."""
+    out = []
+    for a in arrays:
+        a = np.diff(a, prepend=a.dtype.type(0)) if a.dtype.kind == "i" else np.ascontiguousarray(a)
+        out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(1).compress(b"".join(out))
+
+
+def unpack_numbers(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    widths = [np.dtype(d).itemsize for d in dtypes]
+    n = len(raw) // sum(widths)
+    out, at = [], 0
+    for d, w in zip(dtypes, widths, strict=True):
+        a = np.ascontiguousarray(raw[at:at + n * w].reshape(w, n).T).reshape(-1).view(d)
+        out.append(np.cumsum(a, dtype=a.dtype) if a.dtype.kind == "i" else a)
+        at += n * w
+    return out
+
+
 def squeeze(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(3).compress(text)
 
@@ -193,7 +216,7 @@ def rows_of(names: list[str], *columns) -> pa.RecordBatch:
 
 
 def packed(columns, dtypes: list[str], buckets: int, base: int = 0,
-           by: np.ndarray | None = None) -> pa.RecordBatch:
+           by: np.ndarray | None = None, code: Callable = pack) -> pa.RecordBatch:
     """Rows (bucket, blob) of arrays, dealt to buckets from ``base`` on by ``by`` (the first
     array by default)."""
     columns = [c.astype(d, copy=False) for c, d in zip(columns, dtypes, strict=True)]
@@ -203,7 +226,7 @@ def packed(columns, dtypes: list[str], buckets: int, base: int = 0,
     columns, bucket = [c[order] for c in columns], bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
     return rows_of(["bucket", "blob"], bucket[cut[:-1]],
-                   pa.array([pack(*(c[a:b] for c in columns)) for a, b in
+                   pa.array([code(*(c[a:b] for c in columns)) for a, b in
                              zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()))
 
 
@@ -251,20 +274,22 @@ def scatter_split(df: DataFrame, emit: Callable, split: Callable, dtypes: list[s
                   buckets: int) -> DataFrame:
     """As ``scatter``, for keys that may hold much of the data: ``split`` gives the rows for
     their key's bucket and the rows (or None) of large keys, which go to the buckets from
-    ``buckets`` on, dealt out by key and by the time at which a task held them."""
+    ``buckets`` on, dealt out by key and by the time at which a task held them.  Blobs are
+    those of ``pack_numbers``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
         for k, columns in enumerate(_held(batches, emit, dtypes)):
             send, large = split(*columns)
-            yield packed(send, dtypes, buckets)
+            yield packed(send, dtypes, buckets, code=pack_numbers)
             if large is not None:
                 here = mix64(np.array([(task << 32) + k + 1], U64))
-                yield packed(large, dtypes, buckets, buckets, large[0] ^ here)
+                yield packed(large, dtypes, buckets, buckets, large[0] ^ here, pack_numbers)
     return df.mapInArrow(run, "bucket int, blob binary")
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator[tuple]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list[str],
+               decode: Callable = unpack) -> Iterator[tuple]:
     """(bucket, its concatenated arrays), one bucket at a time."""
     now, held = None, []
     for batch in batches:
@@ -274,7 +299,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], dtypes: list[str]) -> Iterator
                 yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
                 held = []
             now = bucket
-            held.append(unpack(blob.as_buffer(), dtypes))
+            held.append(decode(blob.as_buffer(), dtypes))
     if held:
         yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
 
@@ -284,10 +309,11 @@ def _dealt(blobs: DataFrame) -> DataFrame:
             .sortWithinPartitions("bucket"))
 
 
-def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str) -> DataFrame:
+def gather(blobs: DataFrame, reduce: Callable, dtypes: list[str], schema: str,
+           decode: Callable = unpack) -> DataFrame:
     """Reduce side: ``reduce(bucket, arrays...)`` yields record batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, columns in _by_bucket(batches, dtypes):
+        for bucket, columns in _by_bucket(batches, dtypes, decode):
             yield from reduce(bucket, *columns)
     return _dealt(blobs).mapInArrow(run, schema)
 
@@ -344,8 +370,11 @@ def in_bloom(bits: bytes, nodes: np.ndarray) -> np.ndarray:
 
 def only(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``node`` passes the Bloom filter of ``nodes``, before a join."""
-    wanted = bloom_filter(nodes)
+    return only_in(df, bloom_filter(nodes))
+
 
+def only_in(df: DataFrame, wanted) -> DataFrame:
+    """The rows of ``df`` whose ``node`` passes a broadcast Bloom filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = in_bloom(wanted.value, batch.column("node").to_numpy())

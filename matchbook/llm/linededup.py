@@ -3,13 +3,14 @@
 Lines are cut at LF and compared after lowering A-Z and collapsing white space.  A
 line's set is its distinct ``WIDTH``-byte shingles (the whole line if it is shorter).
 
-1. One narrow row per line occurrence; equal lines are one node (64-bit hash).
-2. One row per node and task with its set's size, parity bitmap and ``BANDS`` band keys of
-   ``ROWS`` MinHash values each: lines of similarity 0.8 share a band with probability
+1. Equal lines are one node (64-bit hash).
+2. A task sends each new line under ``BANDS`` band keys of ``ROWS`` MinHash values: lines of similarity 0.8 share a band with probability
    1 - (1 - 0.8**3)**12 = 0.9998.  Long lines hash each shingle once and take the minimum
    of each of 36 bins (empty bins borrow from others in an order fixed for the bin); lines
    of few shingles use 36 permutations.  Between ``SHORT`` and ``LONG`` shingles a line has
    both kinds of keys, so similar lines always share one kind.
+   Nodes that share a band with others are written once more with line, set size and parity
+   bitmap.
 3. ``similar``: lines that share a band are compared exactly with the pivots of their
    lists and across components that are left, and only similarity >= 4/5 links.
 4. Components by large-star / small-star over the links.
@@ -22,15 +23,16 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import U64, chunks, flat, in_bloom, mix64, rows_of, substring_hashes
-from matchbook.llm.similar import bitmaps, candidate_lists, components
+from matchbook.llm.common import (LOWER, SPACE, U64, bloom_filter, chunks, flat, in_bloom, mix64,
+                                  only_in, rows_of, substring_hashes, words_of)
+from matchbook.llm.similar import bitmaps, candidate_lists, components, ends_of, list_keys
 from matchbook.session import materialize
 
 WIDTH = 8
@@ -39,6 +41,7 @@ NUM, DEN = 4, 5
 BITS = 2                 # bits of a line's parity bitmap for each shingle
 SHORT, LONG = 128, 160   # shingles; SHORT / LONG is the threshold, as sizes of similar sets are
 GROUP = 1 << 16          # bytes of text handled at once
+SEEN = 1 << 20           # lines that a task remembers; what it forgets it may send again
 
 _K = BANDS * ROWS
 EMPTY = U64((1 << 64) - 1)
@@ -53,11 +56,28 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def line_numbers(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the lines, their joined bytes and offsets."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    data = np.frombuffer(b"".join(lines), np.uint8)
-    return substring_hashes(data, offsets[:-1], offsets[1:]), data, offsets
+def normal_lines(data: np.ndarray, offsets: np.ndarray):
+    """All lines of the texts data[offsets[k]:offsets[k + 1]] that are not blank: their texts'
+    numbers, line numbers, joined normalised bytes and n + 1 offsets into these."""
+    low = LOWER[data]
+    start, end, first = words_of(low, offsets)
+    feeds = np.concatenate([[0], np.cumsum(low == 10)])
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    number = feeds[start] - feeds[offsets[row]]
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
+    last = np.ones(len(start), bool)
+    last[:-1] = new[1:]
+    # Of the white space one byte stays between two words of a line.
+    keep = ~SPACE[low]
+    keep[end[~last]] = True
+    low[end[~last]] = 0x20
+    size = np.cumsum(end - start + ~last)
+    return row[new], number[new].astype(np.int32), low[keep], np.concatenate([[0], size[last]])
+
+
+def line_numbers(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return substring_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +146,9 @@ def _keys(minima: np.ndarray, kind: int) -> np.ndarray:
     return key
 
 
-def band_keys(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Packed band keys of each line's set values[ends[k]:ends[k + 1]]."""
+def band_keys(values: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of lines, their band keys) of the sets values[ends[k]:ends[k + 1]], by kind."""
     size = np.diff(ends)
-    out = [b""] * len(size)
     for kind, which in ((0, size >= SHORT), (1, size < LONG)):
         ids = np.flatnonzero(which)
         if not len(ids):
@@ -138,116 +157,110 @@ def band_keys(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
         n = size[ids]
         minima = _binned(mine, np.repeat(np.arange(len(ids)), n), len(ids)) if kind == 0 \
             else _permuted(mine, np.cumsum(n) - n)
-        packed, width = _keys(minima, kind).tobytes(), 8 * BANDS
-        for i, k in enumerate(ids.tolist()):
-            out[k] += packed[width * i:width * (i + 1)]
-    return out
+        yield ids, _keys(minima, kind)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]):
-    """Bounded groups of rows: (batch, row numbers, line numbers, normalised lines)."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per line that is not blank, and one without node per document, whose line is
+    the number of such lines."""
+    names = ["row", "id", "line", "node"]
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for i, j in chunks(offsets, GROUP):
-            row, number, lines = [], [], []
-            for k in range(i, j):
-                for n, line in enumerate(data[offsets[k]:offsets[k + 1]].tobytes().split(b"\n")):
-                    line = normal(line)
-                    if line:
-                        row.append(k)
-                        number.append(n)
-                        lines.append(line)
-            if lines:
-                yield batch, np.array(row), np.array(number, np.int32), lines
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per line that is not blank, and one with line -1 per document."""
-    for batch in batches:
-        yield rows_of(["row", "id", "rank", "line", "node"],
-                      *(batch.column(c) for c in ("row", "id", "rank")),
-                      np.full(batch.num_rows, -1, np.int32), pa.nulls(batch.num_rows, pa.int64()))
-        for _, row, number, lines in _lines(iter([batch])):
-            yield rows_of(["row", "id", "rank", "line", "node"],
-                          *(batch.column(c).take(pa.array(row)) for c in ("row", "id", "rank")),
-                          number, line_numbers(lines)[0].view(np.int64))
-
-
-def _new_lines(batches: Iterator[pa.RecordBatch]):
-    """Nodes and lines that the task has not seen before."""
+            row, number, joined, ends = normal_lines(data[offsets[i]:offsets[j]],
+                                                     offsets[i:j + 1] - offsets[i])
+            own = [batch.column(c).slice(i, j - i) for c in ("row", "id")]
+            yield rows_of(names, *own, np.bincount(row, minlength=j - i).astype(np.int32),
+                          pa.nulls(j - i, pa.int64()))
+            if len(row):
+                yield rows_of(names, *(c.take(pa.array(row)) for c in own), number,
+                              line_numbers(joined, ends))
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch], wanted: Callable | None = None):
+    """(nodes, joined lines, offsets) of lines that the task has not seen lately; of those that
+    ``wanted`` picks, if given."""
     seen: set[int] = set()
-    for _, _, _, lines in _lines(batches):
-        nodes = line_numbers(lines)[0]
-        fresh = []
-        for k, x in enumerate(nodes.tolist()):
-            if x not in seen:
-                seen.add(x)
-                fresh.append(k)
-        if fresh:
-            yield nodes[fresh], [lines[k] for k in fresh]
-
-
-LINE_ROWS = "node bigint, size bigint, bits binary, bands binary"
-
-
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes, lines in _new_lines(batches):
-        _, data, offsets = line_numbers(lines)
-        values, ends = shingles(data, offsets)
-        yield rows_of(["node", "size", "bits", "bands"], nodes.view(np.int64),
-                      np.diff(ends).astype(np.int64),
-                      pa.array(bitmaps(mix64(values), ends, BITS), pa.binary()),
-                      pa.array(band_keys(values, ends), pa.binary()))
-
-
-def _bands(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        bands = batch.column("bands").to_pylist()
-        if not bands:
-            continue
-        n = np.array([len(k) // 8 for k in bands])
-        zero = np.zeros(int(n.sum()), np.int64)
-        yield (np.frombuffer(b"".join(bands), "<u8"), np.repeat(batch.column("node").to_numpy(), n),
-               zero, np.repeat(batch.column("size").to_numpy(), n), zero)
-
-
-def _texts_of(docs: DataFrame):
-    def texts(wanted) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for nodes, lines in _new_lines(batches):
-                keep = np.flatnonzero(in_bloom(wanted.value, nodes.view(np.int64)))
-                if len(keep):
-                    yield rows_of(["node", "z"], nodes[keep].view(np.int64),
-                                  pa.array([lines[k] for k in keep], pa.binary()))
-        return docs.mapInArrow(run, "node bigint, z binary")
-    return texts
+        data, offsets = flat(batch.column("text"))
+        for i, j in chunks(offsets, GROUP):
+            _, _, joined, ends = normal_lines(data[offsets[i]:offsets[j]],
+                                              offsets[i:j + 1] - offsets[i])
+            node = line_numbers(joined, ends)
+            pick = np.unique(node, return_index=True)[1]
+            if wanted:
+                pick = pick[wanted(node[pick])]
+            pick = np.sort([k for k, x in zip(pick.tolist(), node[pick].tolist(), strict=True)
+                            if x not in seen]).astype(np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(node[pick].tolist())
+            if len(pick):
+                size = np.diff(ends)
+                mine = np.zeros(len(node), bool)
+                mine[pick] = True
+                yield (node[pick], joined[np.repeat(mine, size)],
+                       np.concatenate([[0], np.cumsum(size[pick])]))
+
+
+def _postings(batches: Iterator[pa.RecordBatch]):
+    """Postings of the bands of all lines: key, node, set size, no position."""
+    for node, joined, offsets in _new_lines(batches):
+        values, ends = shingles(joined, offsets)
+        size = np.diff(ends)
+        for ids, keys in band_keys(values, ends):
+            yield (list_keys(keys.reshape(-1)), np.repeat(node[ids], BANDS),
+                   np.repeat(size[ids], BANDS), np.zeros(keys.size, np.int64))
+
+
+LINE_ROWS = "node bigint, size bigint, bits binary, z binary"
+
+
+def _lines_of(text: DataFrame, wanted) -> DataFrame:
+    """LINE_ROWS of the lines in a Bloom filter: set size, parity bitmap and the line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, joined, offsets in _new_lines(batches, lambda x: in_bloom(wanted.value, x)):
+            values, ends = shingles(joined, offsets)
+            body = joined.tobytes()
+            yield rows_of(["node", "size", "bits", "z"], node, np.diff(ends).astype(np.int64),
+                          pa.array(bitmaps(mix64(values), ends, BITS), pa.binary()),
+                          pa.array([body[a:b] for a, b in zip(offsets[:-1].tolist(),
+                                                              offsets[1:].tolist(), strict=True)],
+                                   pa.binary()))
+    return text.mapInArrow(run, LINE_ROWS)
 
 
 def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: <id_col>, n_lines (not blank), removed (ascending numbers of
     the removed lines, the text's first line being 0)."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("rank"),
-        F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"),
+                       F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     text = rows.select("text")
+    pairs, members = candidate_lists(text, _postings, NUM, DEN, positions=False)
+    listed = bloom_filter(ends_of(pairs).unionByName(members.select("node")))
+    lines = materialize(_lines_of(text, listed), "lines")
+
+    def texts(wanted) -> DataFrame:
+        return only_in(lines.select("node", "z"), wanted)
+    labels = components(pairs, members, lines.select("node", "size", "bits"), texts, line_set,
+                        NUM, DEN)
+
     seen = materialize(rows.mapInArrow(
-        _occurrences, "row bigint, id bigint, rank bigint, line int, node bigint"), "line-rows")
-    lines = materialize(text.mapInArrow(_line_rows, LINE_ROWS), "line-sets")
-    pairs, members = candidate_lists(lines.select("node", "size", "bands"), _bands, NUM, DEN,
-                                     positions=False)
-    labels = components(pairs, members, lines.select("node", "size", "bits"), _texts_of(text),
-                        line_set, NUM, DEN)
-
-    place = F.struct("rank", "row", "line")
-    named = (seen.join(labels, "node", "left")
-             .select("row", "id", "rank", "line", F.coalesce("label", "node").alias("label")))
-    first = (named.where("line >= 0").groupBy("label").agg(F.min(place).alias("first")))
-    gone = F.when(place != F.col("first"), F.col("line"))
-    return (named.join(first, "label", "left").groupBy("row", "id")
-            .agg(F.count_if(F.col("line") >= 0).alias("n_lines"),
-                 F.array_sort(F.collect_list(gone)).alias("removed"))
-            .select(F.col("id").alias(id_col), "n_lines", "removed"))
+        _occurrences, "row bigint, id bigint, line int, node bigint"), "line-rows")
+    place = F.struct(F.coalesce("id", F.lit(-2**63)).alias("rank"), "row", "line")
+    named = (seen.where("node IS NOT NULL").join(labels, "node", "left")
+             .select(F.coalesce("label", "node").alias("label"), place.alias("place")))
+    # Components of one line have nothing to remove; the others' first lines are written, so
+    # that the join back is a stage that adaptive execution can split.
+    first = materialize(named.groupBy("label")
+                        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").drop("n"), "line-first")
+    gone = (named.join(first, "label").where("place != first")
+            .groupBy(F.col("place.row").alias("row"))
+            .agg(F.array_sort(F.collect_list("place.line")).alias("removed")))
+    return (seen.where("node IS NULL").join(gone, "row", "left")
+            .select(F.col("id").alias(id_col), F.col("line").cast("long").alias("n_lines"),
+                    F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
 
 
 def without_lines(text: str, removed: list[int]) -> str:

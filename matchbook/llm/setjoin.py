@@ -4,7 +4,8 @@ A document's set is its distinct 5-word shingles (A-Z lowered, words are runs of
 ``[^\\x20\\x09-\\x0D]``); with fewer words the whole sequence is one shingle; without words
 the set is empty and links with nothing.  Shingles and sets are 64-bit hashes.
 
-1. ``sets`` table: one row per document with set size and hash; equal sets are one node.
+1. ``sets`` table: one row per document with set size and hash; equal sets are one node, the
+   first of their rows, so that nodes of a task are near numbers and postings are narrow.
 2. Shingles get a global order, rare ones first, from a sketch of 2**20 counts over the
    whole table (fixed size, broadcast as one byte a cell).  Any order gives the same
    result; this one keeps shingles of common passages out of the index.
@@ -29,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchbook.llm.common import (U64, chunks, flat, in_bloom, mix64, pack, release_shuffles,
+from matchbook.llm.common import (U64, chunks, flat, mix64, only_in, pack, release_shuffles,
                                   rows_of, shingle_sets, squeeze, unpack, unsqueeze)
-from matchbook.llm.similar import bitmap, candidate_lists, components
+from matchbook.llm.similar import bitmap, candidate_lists, components, list_keys
 from matchbook.session import materialize
 
 NUM, DEN = 4, 5                   # similarity 0.8
@@ -41,7 +42,7 @@ PART = 1 << 14                    # sketch counts in one row of its exchange
 
 BITS = 2                          # bits of a set's parity bitmap for each shingle
 
-SET_COLUMNS = ("row bigint, id bigint, n_shingles bigint, set_hash bigint, first boolean, "
+SET_COLUMNS = ("row bigint, id bigint, n_shingles bigint, node bigint, set_hash bigint, "
                "z binary, bits binary")
 SET_NAMES = [c.split()[0] for c in SET_COLUMNS.split(", ")]
 
@@ -52,34 +53,36 @@ def _set(z: bytes) -> np.ndarray:
 
 
 def set_table(rows: DataFrame, whole: bool = False) -> DataFrame:
-    """SET_COLUMNS of rows (row, id, text, ...): z is the compressed text, bits the parity
-    bitmap.  The first row of each set in a task carries them; with ``whole`` every row keeps
-    its text, and further columns pass through."""
+    """SET_COLUMNS of rows (row, id, text, ...): node is the first row of the same set in the
+    task, which alone carries the set's hash, z (the compressed text) and bits (the parity
+    bitmap); with ``whole`` every row keeps its text, and further columns pass through."""
     extra = [f for f in rows.schema.fields if f.name not in ("row", "id", "text")] if whole else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             data, offsets = flat(batch.column("text"))
             valid = batch.column("text").is_valid().to_pylist()
+            number = batch.column("row").to_pylist()
             for i, j in chunks(offsets):
                 part = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], WIDTH)
                 hashes = [int(mix64(s).sum(dtype=U64).view(np.int64)) if len(s) else None
                           for s in part]
-                first, z, bits = [], [], []
+                node, z, bits = [], [], []
                 for k, h in enumerate(hashes, i):
                     new = h is not None and h not in seen
-                    seen.add(h)
-                    first.append(new)
+                    node.append(None if h is None else seen.setdefault(h, number[k]))
+                    if not new:
+                        hashes[k - i] = None
                     z.append(squeeze(data[offsets[k]:offsets[k + 1]].tobytes())
                              if new or whole and valid[k] else None)
                     bits.append(bitmap(part[k - i], BITS) if new else None)
                 yield rows_of([*SET_NAMES, *(f.name for f in extra)],
                               batch.column("row").slice(i, j - i), batch.column("id").slice(i, j - i),
                               np.array([len(s) for s in part], np.int64),
-                              pa.array(hashes, pa.int64()), pa.array(first, pa.bool_()),
+                              pa.array(node, pa.int64()), pa.array(hashes, pa.int64()),
                               pa.array(z, pa.binary()), pa.array(bits, pa.binary()),
                               *(batch.column(f.name).slice(i, j - i) for f in extra))
     schema = T.StructType(T._parse_datatype_string(SET_COLUMNS).fields + extra)
@@ -134,11 +137,11 @@ def prefix_length(n: int) -> int:
 
 
 def _index(order):
-    """Prefix postings: key, node, rank (document id), set size, position."""
+    """Prefix postings: key, node, set size, position."""
     def emit(batches: Iterator[pa.RecordBatch]):
         level = order.value
         for batch, numbers, sets in _texts(batches):
-            node, rank = batch.column("set_hash").to_numpy(), batch.column("rank").to_numpy()
+            node = batch.column("node").to_numpy()
             keys, lengths, sizes, who = [], [], [], []
             for k, s in zip(numbers, sets, strict=True):
                 n = len(s)
@@ -154,40 +157,38 @@ def _index(order):
                 who.append(k)
             lengths = np.array(lengths)
             at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            yield (mix64(np.concatenate(keys)), np.repeat(node[who], lengths),
-                   np.repeat(rank[who], lengths), np.repeat(sizes, lengths), at)
+            yield (list_keys(np.concatenate(keys)), np.repeat(node[who], lengths),
+                   np.repeat(sizes, lengths), at)
     return emit
 
 
-def _texts_of(nodes: DataFrame):
-    def texts(wanted) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = in_bloom(wanted.value, batch.column("node").to_numpy())
-                yield batch.filter(pa.array(keep))
-        return (nodes.select(F.col("set_hash").alias("node"), "z")
-                .mapInArrow(run, "node bigint, z binary"))
-    return texts
-
-
 def set_components(sets: DataFrame) -> DataFrame:
     """row, id, n_shingles, component_id and kept (one row of each component: its smallest
     id, of equal ids the first row) of a written set table."""
-    nodes = (sets.where("first")
-             .select("set_hash", F.coalesce("id", F.lit(-2**63)).alias("rank"), "z"))
+    firsts = sets.where("set_hash IS NOT NULL")
+    nodes = firsts.select("node", "z")
+    # Equal sets of several tasks are one node, the smallest; the others are its twins.
+    hashes = firsts.select("node", "set_hash")
+    least = hashes.groupBy("set_hash").agg(F.min("node").alias("one"))
+    twins = materialize(hashes.join(least, "set_hash").where("node != one").select("node", "one"),
+                        "set-twins")
     order = sets.sparkSession.sparkContext.broadcast(shingle_order(nodes))
-    pairs, members = candidate_lists(nodes, _index(order), NUM, DEN, positions=True)
-    bits = sets.where("first").select(
-        F.col("set_hash").alias("node"), F.col("n_shingles").alias("size"), "bits")
-    labels = components(pairs, members, bits, _texts_of(nodes), _set, NUM, DEN)
-
-    named = (sets.select("row", "id", "n_shingles", "set_hash").join(labels, F.col("set_hash") == F.col("node"), "left").drop("node")
-             .withColumn("label", F.coalesce("label", "set_hash")))
-    # The smallest id of each component: a partial aggregate, then a join that adaptive
-    # execution splits where a component holds very many rows.
-    least = (named.where("label IS NOT NULL").groupBy("label")
-             .agg(F.min("id").alias("component_id"),
-                  F.expr("min_by(row, struct(id IS NULL, id, row))").alias("first_row")))
+    pairs, members = candidate_lists(nodes, _index(order), NUM, DEN, True, twins)
+    bits = firsts.select("node", F.col("n_shingles").alias("size"), "bits")
+    labels = components(pairs, members, bits, lambda wanted: only_in(nodes, wanted), _set,
+                        NUM, DEN)
+
+    named = materialize(
+        sets.select("row", "id", "n_shingles", "node").join(twins, "node", "left")
+        .withColumn("node", F.coalesce("one", "node")).join(labels, "node", "left")
+        .select("row", "id", "n_shingles", F.coalesce("label", "node").alias("label")),
+        "set-labels")
+    # The smallest id of each component, written before the join back: so the join stands in
+    # a stage of its own, where adaptive execution can split a component of very many rows.
+    least = materialize(
+        named.where("label IS NOT NULL").groupBy("label")
+        .agg(F.min("id").alias("component_id"),
+             F.expr("min_by(row, struct(id IS NULL, id, row))").alias("first_row")), "set-least")
     return (named.join(least, "label", "left")
             .select("row", "id", "n_shingles",
                     F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id"))

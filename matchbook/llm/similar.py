@@ -14,7 +14,7 @@ Joining all pairs of a list would be quadratic, so work is saved by set relation
   Members that link to a pivot share the pivot's component and need no comparison with
   each other;
 * lists of copies overlap nearly wholly, so lists with the same first node are joined to
-  one group, and a group to that of the earliest first node that has the group's as a
+  one group, and a group to that of the smallest first node that has the group's as a
   member; a group holds every pair of each of its lists;
 * a group that still holds several components is searched by a lower bound of the
   symmetric difference: sets are folded into parity bitmaps, and no two sets differ in
@@ -44,30 +44,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import (U64, bloom_filter, bucket_count, by_key, connected_components,
-                                  gather, grouped, mix64, only, pack, release_shuffles,
-                                  rows_of, scatter_split, shuffle_parts, unpack)
+                                  gather, grouped, mix64, only, pack_numbers, release_shuffles,
+                                  rows_of, scatter_split, shuffle_parts, unpack_numbers)
 from matchbook.session import materialize
 
 FANOUT = 256                      # members that one task compares with a pivot
 BLOCK = 4096                      # members of a group that one task holds (two blocks at most)
 ELEMENTS = 1 << 22                # elements of a block's sets, where a task holds the sets
 FINE = 16                         # bits for each element in the bitmaps of a group compared by sets
-LIST = ["<u8", "<i8", "<i8", "<u4", "<u4"]                     # key, node, rank, size, position
-FOUND = "kind int, a bigint, b bigint, rank bigint, blob binary"
-FOUND_NAMES = ["kind", "a", "b", "rank", "blob"]
+LIST = ["<u8", "<i8", "<u4", "<u4"]                            # key, node, size, position
+FOUND = "kind int, a bigint, b bigint, blob binary"
+FOUND_NAMES = ["kind", "a", "b", "blob"]
 PAIR, MEMBER, PIVOTS, SLICE = range(4)
 HOT = 1024                        # postings of a key, of those a map task holds at once, that are a slice
 PIECE = 1 << 16                   # postings in one row of a slice
 FLAG = np.uint32(1 << 31)         # on a position: the posting stands for a slice
 
 
-def _found(kind: int, a, b, rank=None, blob=None) -> pa.RecordBatch:
+def _found(kind: int, a, b, blob=None) -> pa.RecordBatch:
     n = len(a)
     return rows_of(FOUND_NAMES, np.full(n, kind, np.int32), a, b,
-                   pa.nulls(n, pa.int64()) if rank is None else rank,
                    pa.nulls(n, pa.binary()) if blob is None else pa.array(blob, pa.binary()))
 
 
+def list_keys(values: np.ndarray) -> np.ndarray:
+    """Keys of 48 bits: two bytes less in each posting.  Values that meet under one key only
+    make a list longer; what links is decided by the sets."""
+    return mix64(values) >> U64(16)
+
+
 def _blocks(size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Size blocks: sizes of one block differ by less than the threshold's factor."""
     return np.floor(np.log(size) / np.log(den / num) + 1e-9).astype(np.int64)
@@ -76,20 +81,21 @@ def _blocks(size: np.ndarray, num: int, den: int) -> np.ndarray:
 def _slices(num: int, den: int, hot: int) -> Callable:
     """For postings held together: those to send to their key's bucket, with slices replaced
     by their first posting of each size block, and the slices' postings."""
-    def split(key, node, rank, size, pos):
-        order = np.lexsort((node, rank, key))
-        key, node, rank, size, pos = (c[order] for c in (key, node, rank, size, pos))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        lists = np.cumsum(new) - 1
+    def split(key, node, size, pos):
+        order = np.argsort(key)
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        lists = np.empty(len(key), np.int64)
+        lists[order] = np.cumsum(new) - 1
         large = np.bincount(lists)[lists] >= hot
         if not large.any():
-            return [key, node, rank, size, pos], None
+            return [key, node, size, pos], None
         at = np.flatnonzero(large)
+        at = at[np.lexsort((node[at], lists[at]))]
         _, first = np.unique(lists[at] * 4096 + _blocks(size[at], num, den), return_index=True)
-        sent = np.concatenate([np.flatnonzero(~large), at[first]])
+        sent = np.sort(np.concatenate([np.flatnonzero(~large), at[first]]))
         flag = np.where(large[sent], FLAG, np.uint32(0))
-        return ([key[sent], node[sent], rank[sent], size[sent], pos[sent].astype(np.uint32) | flag],
-                [c[at] for c in (key, node, rank, size, pos)])
+        return ([key[sent], node[sent], size[sent], pos[sent].astype(np.uint32) | flag],
+                [c[at] for c in (key, node, size, pos)])
     return split
 
 
@@ -102,17 +108,17 @@ def _allowed_pairs(small_size, large_size, pos_a, pos_b, size_a, size_b, num: in
     return ok
 
 
-def _reduce_slices(key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((rank, node, key))
+def _reduce_slices(key, node, size, pos) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((pos, node, key))
     k, n = key[order], node[order]
     order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])]
-    key, columns = key[order], [c[order] for c in (node, rank, size, pos)]
+    key, columns = key[order], [c[order] for c in (node, size, pos)]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         for a in range(i, j, PIECE):
             b = min(a + PIECE, j)
             yield _found(SLICE, key[a:a + 1].view(np.int64), columns[0][a:a + 1],
-                         blob=[pack(*(c[a:b] for c in columns))])
+                         blob=[pack_numbers(*(c[a:b] for c in columns))])
 
 
 def _meet(num: int, den: int, positions: bool) -> Callable:
@@ -120,8 +126,8 @@ def _meet(num: int, den: int, positions: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, pivots in zip(batch.column("blob"), batch.column("pivots"), strict=True):
-                node, rank, size, pos = unpack(blob.as_buffer(), LIST[1:])
-                p_node, p_rank, p_size, p_pos = unpack(pivots.as_buffer(), LIST[1:])
+                node, size, pos = unpack_numbers(blob.as_buffer(), LIST[1:])
+                p_node, p_size, p_pos = unpack_numbers(pivots.as_buffer(), LIST[1:])
                 block, p_block = _blocks(size, num, den), _blocks(p_size, num, den)
                 for k in range(len(p_node)):
                     at = np.flatnonzero((np.abs(block - p_block[k]) <= 1) & (node != p_node[k]))
@@ -130,20 +136,16 @@ def _meet(num: int, den: int, positions: bool) -> Callable:
                     at = at[_allowed_pairs(small, large, pos[at], int(p_pos[k]), size[at], p_size[k],
                                            num, den, positions)]
                     if len(at):
-                        before = (p_rank[k] < rank[at]) | ((p_rank[k] == rank[at])
-                                                           & (p_node[k] < node[at]))
-                        yield _found(PAIR, np.where(before, p_node[k], node[at]),
-                                     np.where(before, node[at], p_node[k]))
-                lead = np.lexsort((p_node, p_rank))[0]
-                yield _found(MEMBER, np.full(len(node), p_node[lead]), node,
-                             np.full(len(node), p_rank[lead]))
+                        yield _found(PAIR, np.minimum(p_node[k], node[at]),
+                                     np.maximum(p_node[k], node[at]))
+                yield _found(MEMBER, np.full(len(node), p_node.min()), node)
     return run
 
 
 def _reduce_lists(num: int, den: int, positions: bool, buckets: int) -> Callable:
-    def run(bucket, key, node, rank, size, pos) -> Iterator[pa.RecordBatch]:
+    def run(bucket, key, node, size, pos) -> Iterator[pa.RecordBatch]:
         if bucket >= buckets:
-            yield from _reduce_slices(key, node, rank, size, pos)
+            yield from _reduce_slices(key, node, size, pos)
             return
         flag = pos >= FLAG
         pos = pos & ~FLAG
@@ -152,20 +154,18 @@ def _reduce_lists(num: int, den: int, positions: bool, buckets: int) -> Callable
         key = key[order]
         same = np.concatenate([[False], key[1:] == key[:-1]])
         keep = same | np.concatenate([same[1:], [False]]) | flag[order]
-        key, node, rank, size, pos = (key[keep], *(c[order][keep] for c in (node, rank, size, pos)))
+        key, node, size, pos = (key[keep], *(c[order][keep] for c in (node, size, pos)))
         if not len(key):
             return
-        # One entry for each node of a list, the one of lowest rank; then by rank.
-        order = np.lexsort((rank, node, key))
+        # One entry for each node of a list, the one of lowest position; in order of nodes.
+        order = np.lexsort((pos, node, key))
         k, n = key[order], node[order]
-        first = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
-        order = order[first]
-        order = order[np.lexsort((node[order], rank[order], key[order]))]
-        key, node, rank, size, pos = (c[order] for c in (key, node, rank, size, pos))
+        order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])]
+        key, node, size, pos = (c[order] for c in (key, node, size, pos))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         lists = np.cumsum(new) - 1
         code = lists * 4096 + _blocks(size, num, den)
-        codes, pivot = np.unique(code, return_index=True)      # first in rank of each block
+        codes, pivot = np.unique(code, return_index=True)      # first node of each block
         a, b = [], []
         for shift in (-1, 0, 1):
             at = np.minimum(np.searchsorted(codes, code + shift), len(codes) - 1)
@@ -177,7 +177,7 @@ def _reduce_lists(num: int, den: int, positions: bool, buckets: int) -> Callable
             np.maximum(size[a], size[b]).astype(np.int64)
         ok = (a != b) & _allowed_pairs(small, large, pos[a], pos[b], size[a], size[b], num, den,
                                        positions)
-        a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]        # by rank
+        a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]        # by node
         pairs = np.unique(np.stack([node[a], node[b]], 1), axis=0)
         if len(pairs):
             yield _found(PAIR, pairs[:, 0], pairs[:, 1])
@@ -186,13 +186,13 @@ def _reduce_lists(num: int, den: int, positions: bool, buckets: int) -> Callable
         lead = np.flatnonzero(new)[lists]
         sliced = np.isin(key, hot)
         large = (count[lists] >= 3) | sliced
-        members = np.unique(np.stack([node[lead[large]], node[large], rank[lead[large]]], 1), axis=0)
+        members = np.unique(np.stack([node[lead[large]], node[large]], 1), axis=0)
         if len(members):
             yield _found(MEMBER, *members.T)
         pivot = pivot[sliced[pivot]]
         for at in np.split(pivot, np.flatnonzero(np.diff(lists[pivot])) + 1) if len(pivot) else ():
             yield _found(PIVOTS, key[at[:1]].view(np.int64), node[at[:1]],
-                         blob=[pack(node[at], rank[at], size[at], pos[at])])
+                         blob=[pack_numbers(node[at], size[at], pos[at])])
     return run
 
 
@@ -201,13 +201,18 @@ def postings(rows: DataFrame, emit: Callable, num: int, den: int, buckets: int)
     return scatter_split(rows, emit, _slices(num, den, HOT), LIST, buckets)
 
 
-def candidate_lists(rows: DataFrame, emit: Callable, num: int, den: int,
-                    positions: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b), (members lead, node) of the index that ``emit`` fills."""
+def candidate_lists(rows: DataFrame, emit: Callable, num: int, den: int, positions: bool,
+                    twins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b), (members lead, node) of the index that ``emit`` fills.
+
+    ``twins``: nodes whose set is that of a smaller node.  A twin stands in the same lists as
+    the smaller node and behind it, so it is never a pivot or a first node, and all that it
+    is paired with is paired with the smaller node too: its pairs are left out."""
     buckets, salts = bucket_count(rows.sparkSession), shuffle_parts(rows.sparkSession)
     found = materialize(
         gather(postings(rows, emit, num, den, buckets),
-               _reduce_lists(num, den, positions, buckets), LIST, FOUND), "lists")
+               _reduce_lists(num, den, positions, buckets), LIST, FOUND, unpack_numbers),
+        "lists")
     slices = found.where(f"kind = {SLICE}").select(
         F.col("a").alias("key"), F.pmod(F.xxhash64("blob"), F.lit(salts)).alias("salt"), "blob")
     if not slices.isEmpty():
@@ -217,14 +222,15 @@ def candidate_lists(rows: DataFrame, emit: Callable, num: int, den: int,
         met = (slices.join(pivots, ["key", "salt"]).select("blob", "pivots")
                .mapInArrow(_meet(num, den, positions), FOUND))
         found = found.unionByName(materialize(met, "slices"))
+    if twins is not None:
+        found = found.join(twins.select(F.col("node").alias("b")), "b", "left_anti")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     release_shuffles(rows.sparkSession)
-    members = (found.where("kind = 1").groupBy(F.col("a").alias("lead"), F.col("b").alias("node"))
-               .agg(F.min("rank").alias("rank")))
-    members = materialize(members, "members")
-    # A group goes to the earliest first node that has its own first node as a member: groups
-    # of copies end under their earliest text.
-    first = members.groupBy("node").agg(F.expr("min_by(lead, struct(rank, lead))").alias("to"))
+    members = materialize(found.where("kind = 1").select(
+        F.col("a").alias("lead"), F.col("b").alias("node")).distinct(), "members")
+    # A group goes to the smallest first node that has its own first node as a member: groups
+    # of copies end under one of them.
+    first = members.groupBy("node").agg(F.min("lead").alias("to"))
     merged = (members.join(first.withColumnRenamed("node", "lead"), "lead")
               .select(F.col("to").alias("lead"), "node").distinct())
     return materialize(pairs, "pairs"), materialize(merged, "groups")

@@ -115,6 +115,32 @@ def line_shingles(line):
     return {b[i:i + 8] for i in range(len(b) - 7)} if len(b) >= 8 else {b}
 
 
+def test_lines_are_normalised_alike_at_once_and_one_by_one():
+    import numpy as np
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"aB \t\n\r\x0b\x0c\xc3\xa9Z9") for _ in range(rng.randrange(60))) for _ in range(200)]
+    texts += [b"", b"\n", b"  ", b"x", b"x\n", b"\nx", b" A  b \n\n c"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    row, number, joined, ends = linededup.normal_lines(data, offsets)
+    got = [(r, n, joined[a:b].tobytes()) for r, n, a, b in zip(row, number, ends[:-1], ends[1:], strict=True)]
+    assert got == [(k, n, linededup.normal(x)) for k, t in enumerate(texts)
+                   for n, x in enumerate(t.split(b"\n")) if linededup.normal(x)]
+    for some in (slice(0, 0), slice(200, 203)):
+        part = np.frombuffer(b"".join(texts[some]), np.uint8)
+        assert len(linededup.normal_lines(part, np.cumsum([0] + [len(t) for t in texts[some]]))[0]) == 0
+
+
+def test_packed_arrays_round_trip():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        arrays = [rng.integers(0, 2**64, n, "<u8"), rng.integers(-2**63, 2**63, n, "<i8"),
+                  rng.integers(0, 2**32, n).astype("<u4"), np.sort(rng.integers(0, 2**40, n, "<i8"))]
+        back = common.unpack_numbers(common.pack_numbers(*arrays), ["<u8", "<i8", "<u4", "<i8"])
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, back, strict=True))
+
+
 def test_fuzzy_lines_against_brute_force(spark):
     rng = random.Random(11)
     texts, pool = [], [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x", "zeta9"]) + str(rng.randrange(50))
@@ -151,18 +177,23 @@ def test_no_bucket_holds_a_hot_list(spark, monkeypatch):
     """A third of all lines share band keys: their postings go out in slices, and the results
     are those of the comparison by brute force."""
     monkeypatch.setattr(similar, "HOT", 4)
-    rows = [(k, k % 7 + 90, bytes(similar.U64([5, 100 + k]).tobytes())) for k in range(3000)]
-    df = spark.createDataFrame(rows, "node bigint, size bigint, bands binary").repartition(8)
+    def emit(batches):
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            key = similar.np.stack([node * 0 + 5, node + 100], 1).reshape(-1).view(similar.U64)
+            yield key, node.repeat(2), batch.column("size").to_numpy().repeat(2), key.view("i8") * 0
+    rows = [(k, k % 7 + 90) for k in range(3000)]
+    df = spark.createDataFrame(rows, "node bigint, size bigint").repartition(8)
     most, lists, sent = 0, {}, 0
-    for r in similar.postings(df, linededup._bands, 4, 5, 16).collect():
-        keys = common.unpack(r["blob"], similar.LIST)[0]
+    for r in similar.postings(df, emit, 4, 5, 16).collect():
+        keys = common.unpack_numbers(r["blob"], similar.LIST)[0]
         lists.setdefault(r["bucket"], []).extend(keys.tolist())
     for keys in lists.values():
         most = max(most, keys.count(5))
         sent += keys.count(5)
     assert sent >= 3000 and most < 1500
     assert sum(k.count(5) for b, k in lists.items() if b < 16) <= 8 * 2
-    pairs, members = similar.candidate_lists(df, linededup._bands, 4, 5, positions=False)
+    pairs, members = similar.candidate_lists(df, emit, 4, 5, positions=False)
     assert {tuple(sorted(r)) for r in pairs.collect()} == {(0, k) for k in range(1, 3000)}
     assert {(r["lead"], r["node"]) for r in members.collect()} == {(0, k) for k in range(3000)}
 
