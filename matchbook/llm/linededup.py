@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import (LOWER, SPACE, U64, bloom_filter, chunks, flat, in_bloom, mix64,
-                                  only_in, rows_of, substring_hashes, words_of)
+                                  rows_of, substring_hashes, words_of)
 from matchbook.llm.similar import bitmaps, candidate_lists, components, ends_of, list_keys
 from matchbook.session import materialize
 
@@ -239,11 +239,8 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs, members = candidate_lists(text, _postings, NUM, DEN, positions=False)
     listed = bloom_filter(ends_of(pairs).unionByName(members.select("node")))
     lines = materialize(_lines_of(text, listed), "lines")
-
-    def texts(wanted) -> DataFrame:
-        return only_in(lines.select("node", "z"), wanted)
-    labels = components(pairs, members, lines.select("node", "size", "bits"), texts, line_set,
-                        NUM, DEN)
+    labels = components(pairs, members, lines.select("node", "size", "bits"),
+                        lines.select("node", "z"), line_set, NUM, DEN)
 
     seen = materialize(rows.mapInArrow(
         _occurrences, "row bigint, id bigint, line int, node bigint"), "line-rows")

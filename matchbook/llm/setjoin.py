@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchbook.llm.common import (U64, chunks, flat, mix64, only_in, pack, release_shuffles,
+from matchbook.llm.common import (U64, chunks, flat, mix64, pack, release_shuffles,
                                   rows_of, shingle_sets, squeeze, unpack, unsqueeze)
 from matchbook.llm.similar import bitmap, candidate_lists, components, list_keys
 from matchbook.session import materialize
@@ -175,8 +175,7 @@ def set_components(sets: DataFrame) -> DataFrame:
     order = sets.sparkSession.sparkContext.broadcast(shingle_order(nodes))
     pairs, members = candidate_lists(nodes, _index(order), NUM, DEN, True, twins)
     bits = firsts.select("node", F.col("n_shingles").alias("size"), "bits")
-    labels = components(pairs, members, bits, lambda wanted: only_in(nodes, wanted), _set,
-                        NUM, DEN)
+    labels = components(pairs, members, bits, nodes, _set, NUM, DEN)
 
     named = materialize(
         sets.select("row", "id", "n_shingles", "node").join(twins, "node", "left")

@@ -464,15 +464,16 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Callable[[bytes], np.ndarra
             .select("a", "b", "z").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def components(pairs: DataFrame, members: DataFrame, bits: DataFrame, texts: Callable,
+def components(pairs: DataFrame, members: DataFrame, bits: DataFrame, texts: DataFrame,
                sets: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
-    """(node, label) of every node that has a link.  ``bits``: (node, size, bits) of every
-    node, at least once; ``texts(filter)``: (node, z) of at least the nodes in a Bloom filter."""
+    """(node, label) of every node that has a link.  ``bits``: (node, size, bits) and ``texts``:
+    (node, z) of every node of a pair or list, at least once, read in place: what a step needs
+    of them is picked by a Bloom filter."""
     low_high = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     likely = materialize(prune(pairs, bits, num, den), "likely-pairs")
-    nodes = ends_of(likely).unionByName(members.select("node"))
-    texts = materialize(texts(bloom_filter(nodes)), "texts")
+    release_shuffles(pairs.sparkSession)
     links = materialize(verify(likely, texts, sets, num, den).select(*low_high), "links")
+    release_shuffles(pairs.sparkSession)
     tried = likely.select(*low_high)
     labels = materialize(connected_components(links), "labels")
     release_shuffles(pairs.sparkSession)
@@ -493,7 +494,9 @@ def components(pairs: DataFrame, members: DataFrame, bits: DataFrame, texts: Cal
     edges = materialize(open_pairs(held(members), bits, num, den), "open-pairs")
     more = materialize(edges.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"),
                        "new-pairs")
+    release_shuffles(pairs.sparkSession)
     found = materialize(verify(more, texts, sets, num, den), "links")
+    release_shuffles(pairs.sparkSession)
     labels = joined(found)
     # Groups of which an edge proved wrong are compared in full.
     wrong = (edges.join(links.unionByName(found), ["a", "b"], "left_anti")
