@@ -11,11 +11,11 @@ words and the block quota of a source is exact.
 
 Splitting tree.  The vector of block quotas is split in halves, level by level, until
 each output shard has its quotas.  The left half's counts are a draw from the
-multivariate hypergeometric distribution (conditionals drawn source by source as urn
-draws with hashed uniforms), so shards are random and still sum to the quotas.
+multivariate hypergeometric distribution (conditionals drawn source by source by
+inversion of a hashed uniform), so shards are random and still sum to the quotas.
 
-Blocks.  Block numbers of a source are permuted; a shard takes the next run of
-permuted numbers, so shards are disjoint.  Inside a shard rows are ordered by a hash.
+Blocks.  Block numbers of a source are permuted by a keyed shuffle; a shard takes the next
+run of permuted numbers, so shards are disjoint.  Inside a shard rows are ordered by a hash.
 
 Positions in a stream are distributed prefix sums: documents are binned by hash (about
 ``rows_per_bin`` in each), bins are summed first, so no task sorts a whole source.
@@ -23,8 +23,8 @@ Positions in a stream are distributed prefix sums: documents are binned by hash
 Cases: null text and texts without words have size 0 and are never taken; a null
 source is a source of its own; identical rows are separate documents; an empty table
 gives empty results; extra columns are ignored.  All draws are hashes of ``seed``, so
-reruns agree.  The root draw takes one step per block: raise ``block_words`` with the
-input (65,536 for terabytes).
+reruns agree.  A draw takes steps in the order of the square root of a source's blocks.
+Texts of any length are counted whole, and cut at block ends.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from matchbook.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
-PRIME = 2147483647
+ROUNDS = 64              # of the permutation of a source's blocks
 
 
 @dataclass
@@ -82,18 +82,34 @@ def source_targets(base: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEA
                     .alias("target")))
 
 
+def _hypergeometric(uniform: str) -> str:
+    """SQL: the count of ``K`` good ones among ``s.take`` drawn from ``s.rest``, by inversion.
+
+    The weights of all counts within ten standard deviations and 20 of the mode follow from
+    each other by their ratio, so a draw takes steps in the order of the square root of
+    ``K``; what lies further out weighs less than 1E-20."""
+    share = "(cast(K AS double) / greatest(s.rest, 1L))"
+    reach = (f"10 * sqrt(s.take * {share} * (1 - {share}) * (s.rest - s.take)"
+             " / greatest(s.rest - 1, 1L)) + 20")
+    mode = "(s.take + 1.0D) * (K + 1.0D) / (s.rest + 2.0D)"
+    ratio = ("(cast(K - x AS double) * cast(s.take - x AS double)"
+             " / (cast(x + 1 AS double) * cast(s.rest - K - s.take + x + 1 AS double)))")
+    walk = f"""aggregate(v.xs, named_struct('w', 1.0D, 'sum', 0.0D, 'x', v.xs[0]),
+        (t, x) -> named_struct('w', t.w * {ratio}, 'sum', t.sum + t.w,
+                               'x', if(t.sum < %s, x, t.x)), t -> t.%s)"""
+    total = walk % ("0.0D", "sum")
+    counts = f"""sequence(greatest(0L, s.take - (s.rest - K), cast(floor({mode} - ({reach})) AS bigint)),
+                          least(s.take, K, cast(ceil({mode} + {reach}) AS bigint)))"""
+    chosen = walk % (f"{uniform} * v.total", "x")
+    return f"""transform(transform(array(named_struct('xs', {counts})),
+        v -> named_struct('xs', v.xs, 'total', {total})), v -> {chosen})[0]"""
+
+
 def _draw(seed: int) -> str:
     """SQL: quotas array ``q`` -> array of the left and the right child's quotas."""
     total = "aggregate(q, 0L, (a, x) -> a + x)"
-    uniform = f"shiftrightunsigned(xxhash64({seed}, node, s.i, j), 11) / 9007199254740992.0D"
-    urn = f"""aggregate(
-        if(least(K, s.take) > 0, sequence(1L, least(K, s.take)), cast(array() AS array<bigint>)),
-        named_struct('x', 0L, 'rest', s.rest, 'good', greatest(K, s.take)),
-        (t, j) -> if({uniform} * t.rest < t.good,
-                     named_struct('x', t.x + 1, 'rest', t.rest - 1, 'good', t.good - 1),
-                     named_struct('x', t.x, 'rest', t.rest - 1, 'good', t.good)),
-        t -> t.x)"""
-    step = f"""transform(array({urn}), x -> named_struct(
+    uniform = f"(shiftrightunsigned(xxhash64({seed}, node, s.i), 11) / 9007199254740992.0D)"
+    step = f"""transform(array({_hypergeometric(uniform)}), x -> named_struct(
         'i', s.i + 1, 'rest', s.rest - K, 'take', s.take - x,
         'l', concat(s.l, array(x)), 'r', concat(s.r, array(K - x))))[0]"""
     return f"""aggregate(q,
@@ -103,6 +119,17 @@ def _draw(seed: int) -> str:
         s -> array(s.l, s.r))"""
 
 
+def permuted(slot: str, n: str, seed: int) -> str:
+    """SQL: ``slot`` of 0 to ``n`` - 1 under a permutation keyed by ``seed`` and ``sid``.
+
+    A swap-or-not shuffle: each round pairs a number with its mirror image at a hashed
+    point, and a hash of the larger one says whether the two change places.  It is one to
+    one for any ``n`` and needs no sort of a source's blocks."""
+    mirror = f"pmod(pmod(xxhash64({seed}, sid, r), {n}) - x, {n})"
+    return f"""aggregate(sequence(1, {ROUNDS}), {slot}, (x, r) -> if(
+        (xxhash64({seed}, sid, r, greatest(x, {mirror})) & 1024) = 0, x, {mirror}))"""
+
+
 def splitting_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """shard, sids, q of the 2**levels leaves; ``quotas`` is one row with the source
     numbers ``sids`` and their block quotas ``q``."""
@@ -185,12 +212,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         leaves.withColumn("hi", F.sum("n").over(run))
         .select("shard", "sid", (F.col("hi") - F.col("n")).alias("lo"), "hi"), "mix-shards")
 
-    slots = shards.select("shard", "sid", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("slot"))
-    permuted = (cut.join(reach, "sid")
-                .withColumn("slot", F.expr(f"pmod(block * {PRIME} + {seed}, blocks)")))
+    slots = (shards.select("shard", "sid", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("slot"))
+             .join(reach, "sid")
+             .select("shard", "sid", F.expr(permuted("slot", "blocks", seed)).alias("block")))
     local = Window.partitionBy("shard").orderBy(
         F.xxhash64(F.lit(seed), "shard", "id", "epoch", "block"), "row_id", "epoch", "w_from")
-    pieces = (permuted.join(slots, ["sid", "slot"])
+    pieces = (cut.join(slots, ["sid", "block"])
               .withColumn("pos", F.row_number().over(local))
               .select("row_id", "id", "epoch", "w_from", "w_to", "shard", "pos"))
     return Mix(base, pieces, shards)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchbook.llm import exact, mixing
 
@@ -111,6 +112,36 @@ def test_splitting_tree_draws_spread_like_an_urn(spark):
     assert abs(np.mean(halves) - 200) < 4 * sd / 60 ** 0.5 and 0.6 * sd < np.std(halves) < 1.5 * sd
 
 
+def test_splitting_tree_of_many_blocks_is_exact_and_cheap(spark):
+    big = [0, 300_000_000, 7, 2_000_000_001, 1]
+    q = spark.sql(f"SELECT array(1, 2, 3, 4, 5) AS sids, array({', '.join(f'{x}L' for x in big)}) AS q")
+    leaves = [r["q"] for r in mixing.splitting_tree(q, 3, 5).collect()]
+    assert len(leaves) == 8 and [sum(x) for x in zip(*leaves)] == big
+    assert max(map(sum, leaves)) - min(map(sum, leaves)) <= 1 and min(min(x) for x in leaves) >= 0
+    assert len({x[3] for x in leaves}) > 4
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 31, 33, 64, 256, 1000])
+def test_block_permutation_is_one_to_one_and_keyed(spark, n):
+    slots = spark.range(n).selectExpr("id AS slot", "2L AS sid", f"{n}L AS n")
+    order = [[r[0] for r in slots.orderBy("slot").select(F.expr(mixing.permuted("slot", "n", seed))).collect()]
+             for seed in (0, 1)]
+    assert all(sorted(x) == list(range(n)) for x in order)
+    if n >= 31:                       # neither the identity, a rotation nor a stride
+        steps = [Counter((b - a) % n for a, b in zip(x, x[1:])) for x in order]
+        assert order[0] != order[1] and all(max(c.values()) <= n / 4 for c in steps)
+
+
+def test_blocks_of_a_shard_come_from_all_of_a_source(spark):
+    m = mixing.mix(docs(spark, [(i, "w " * 16, "s") for i in range(512)]), block_words=16, blocks_per_shard=64)
+    shards = defaultdict(list)
+    for r in m.pieces.join(m.base.select("row_id", "key"), "row_id").collect():
+        shards[r["shard"]].append(r["key"])
+    assert len(shards) == 8
+    cut = sorted(k for x in shards.values() for k in x)[256]
+    assert all(10 <= sum(k < cut for k in x) <= 54 for x in shards.values())
+
+
 def test_take_documents_keeps_columns_and_whole_rows(spark):
     rows = [(i, "w " * (1 + i % 9), f"s{i % 4}") for i in range(200)]
     df = docs(spark, rows).selectExpr("*", "doc_id AS mix_row", "1 AS times")
