@@ -46,6 +46,7 @@ from matchbook.llm.langid import CELLS, trigrams
 MIN_LENGTH = 16
 MIN_KEYED = 8
 MAX_TRAINING = 20_000
+MAX_PATHS = 64           # paths of the corpus, in order, under which reference texts stand
 COMMON = 0.95
 TREES, DEPTH = 20, 6
 FEATURES = ("length", "transition", "digits", "upper", "changes", "distinct", "entropy",
@@ -56,7 +57,11 @@ _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
 _ASSIGNED = re.compile(rb"[=:]>?[ \t]{0,3}(?:(?:bearer|basic)[ \t]+)?[\"']?"
                        rb"([A-Za-z0-9+/_\-.!@#$%%^&*~?]{%d,}={0,2})" % MIN_KEYED, re.I)
 _BEFORE = re.compile(rb"(\w*)\W{0,4}\Z", re.I)
-_KEY = re.compile(rb"tok|key|secret|pass|pwd|auth|bearer|credential|private", re.I)
+#: Parts of a name ("apiKey", "API_KEY"), and the parts that make it a key word.
+_PART = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_KEY = re.compile(rb"(?:access|account|admin|api|app|auth|client|db|master|my|private|root|secret"
+                  rb"|service|sign|signing|user)*(?:tok|token|key|secret|pass|passcode|passphrase"
+                  rb"|passwd|password|pwd|auth|bearer|cred|credential|private)s?", re.I)
 _EXAMPLE = re.compile(r"test|example|sample|mock|doc", re.I)
 #: Class of a byte: 0 other, 1 digit, 2 lower case, 3 upper case.
 _KIND = np.zeros(256, np.uint8)
@@ -102,7 +107,8 @@ def _context(before: bytes) -> tuple[bool, bytes, bool]:
     left = before.rstrip()
     bare = left.rstrip(b"\"'").rstrip()
     word = _BEFORE.search(bare)
-    return left[-1:] in (b'"', b"'"), bare, bool(word and _KEY.search(word[1]))
+    return (left[-1:] in (b'"', b"'"), bare,
+            bool(word and any(_KEY.fullmatch(part) for part in _PART.findall(word[1]))))
 
 
 def spans(text: bytes) -> list[tuple[int, int]]:
@@ -184,11 +190,19 @@ FORMS = {"aws": "^(AKIA|ASIA)[A-Z0-9]{16}$", "github": "^gh[pousr]_[A-Za-z0-9]{3
          "jwt": "^eyJ[A-Za-z0-9_-]{13,}$", "der": "^MII[A-Za-z0-9+/]{29,}={0,2}$"}
 
 
+#: Values that stand for a secret or for a release, under any name.
+PLACEHOLDER = (r"(?i)^[<{$%]|^(.)\1+$|^(your|my|the|some|an?)[-_.]|change[-_]?(me|this)|placeholder"
+               r"|example|redacted|dummy|insert[-_]|x{4,}|\*{3,}|1234567|abcdefg")
+VERSION = r"^v?[0-9]+([.][0-9]+){1,3}([-+._][A-Za-z0-9]+)*$"
+WORDS = 0.8              # dictionary coverage from which a value under a key word is words
+
+
 def label() -> F.Column:
     """1, 0 or null (not known) for a finding, by rules that stand in for a reviewer: a
     documented form is a secret, and so is a value of letters and digits assigned to a key
-    word.  Without a key word, words, numbers, UUIDs, hexadecimal digests and slugs of words
-    and numbers are none."""
+    word, unless it is a placeholder, a version, or dictionary words with a number or date
+    behind them.  These and plain words are none under a key word either; without a key word,
+    neither are words, numbers, UUIDs, hexadecimal digests and slugs of words and numbers."""
     finding = F.col("finding")
     form = finding.rlike("|".join(FORMS.values()))
     keyed = (F.col("assigned") == 1) & (F.col("key_word") == 1)
@@ -197,7 +211,10 @@ def label() -> F.Column:
               | finding.rlike("^[0-9a-fA-F-]+$")
               | finding.rlike("^[A-Za-z]{3,}([-_/]([A-Za-z]+|[0-9]{1,8}))+$")
               | finding.rlike("^[0-9]{1,8}([-_/]([A-Za-z]+|[0-9]{1,8}))+$"))
-    return (F.when(form, 1).when(keyed & mixed, 1)
+    plain = finding.rlike(PLACEHOLDER) | finding.rlike(VERSION) | (
+        finding.rlike("^[A-Z]?[a-z]+([-_/.][A-Z]?[a-z]+)*([-_/.][0-9]{1,8})*$")
+        & (F.col("dictionary") >= WORDS))
+    return (F.when(form, 1).when((F.col("key_word") == 1) & plain, 0).when(keyed & mixed, 1)
             .when((F.col("key_word") == 0) & common, 0))
 
 
@@ -273,7 +290,7 @@ def reference_findings(docs: DataFrame, statistics, path_col: str | None = None)
     paths = [None]
     if path_col:
         path = F.col(path_col).cast("string").alias("path")
-        paths = [r[0] for r in docs.select(path).distinct().orderBy("path").limit(64).collect()] or paths
+        paths = [r[0] for r in docs.select(path).distinct().orderBy("path").limit(MAX_PATHS).collect()] or paths
     rows = [(i, text, paths[i * 7 % len(paths)], y) for i, text, y in reference_texts()]
     texts = spark.createDataFrame(rows, "doc_id bigint, text string, path string, label int")
     found = candidates(texts, statistics, path_col="path")
