@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import (U64, bucket_count, chunks, flat, gather, regather,
+from matchbook.llm.common import (U64, bucket_count, chunks, flat, gather, mix64, regather,
                                   release_shuffles, rows_of, scatter, scatter_tagged, shuffle_parts,
                                   squeeze, substring_hashes, unsqueeze)
 from matchbook.session import materialize
@@ -98,8 +98,65 @@ def cut_points(grams: np.ndarray, offsets: np.ndarray, size: int):
     return start[keep], end[keep], row[keep]
 
 
+PRIME = U64(2**31 - 1)
+BASES = (1_450_232_569, 736_338_717)                  # of the two polynomials of a check
+LOW = 12                                              # bits of a position in the first table
+
+
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` modulo ``PRIME``: 0 to 2**LOW - 1, and multiples of 2**LOW up to
+    those of 2**LOW - 1 (positions up to 2**24; later ones are reduced to that)."""
+    out = []
+    for step in (base, pow(base, 1 << LOW, int(PRIME))):
+        x = np.ones(1, U64)
+        while len(x) < 1 << LOW:
+            x = np.concatenate([x, x * U64(pow(step, len(x), int(PRIME))) % PRIME])
+        out.append(x)
+    return out[0], out[1]
+
+
+_UP = [_powers(b) for b in BASES]
+_DOWN = [_powers(pow(b, -1, int(PRIME))) for b in BASES]
+_VALUE = [mix64(np.arange(1, 257, dtype=U64) * U64(k)) % PRIME for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+
+
+def _raise(tables, base: int, at: np.ndarray) -> np.ndarray:
+    """``base`` to the power ``at`` modulo ``PRIME``."""
+    low, high = tables
+    mask = U64((1 << LOW) - 1)
+    out = low[at & mask] * high[(at >> U64(LOW)) & mask] % PRIME
+    far = at >> U64(2 * LOW)
+    if len(far) and far.max():
+        n, where = np.unique(far, return_inverse=True)
+        step = pow(base, 1 << 2 * LOW, int(PRIME))
+        out = out * np.array([pow(step, int(k), int(PRIME)) for k in n], U64)[where] % PRIME
+    return out
+
+
+#: Powers at the positions of a group; longer rows have theirs reckoned each time.
+_NEAR = [_raise(t, b, np.arange(2 * GROUP, dtype=U64)) for t, b in zip(_UP, BASES)]
+
+
+def prime_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62-bit hash of data[start:end], of polynomials modulo a prime.  Those modulo 2**64
+    agree, for any base, on some pairs of periodic-looking strings (the Thue-Morse word of
+    2,048 letters and its complement); these do not."""
+    n = len(data)
+    out = np.zeros(len(start), U64)
+    for k, base in enumerate(BASES):
+        up = _NEAR[k][:n] if n <= 2 * GROUP else _raise(_UP[k], base, np.arange(n, dtype=U64))
+        terms = _VALUE[k][data] * up
+        prefix = np.zeros(n + 1, U64)
+        np.cumsum((terms & PRIME) + (terms >> U64(31)), out=prefix[1:])
+        down = _raise(_DOWN[k], pow(base, -1, int(PRIME)), start.astype(U64))
+        out |= ((prefix[end] - prefix[start]) % PRIME * down % PRIME) << U64(31 * k)
+    return out
+
+
 def double_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    return substring_hashes(data, start, end), substring_hashes(data ^ np.uint8(0x5A), start, end)
+    """Key and check of data[start:end], of different rings, so that strings which meet in
+    one need not meet in the other."""
+    return substring_hashes(data, start, end), prime_hashes(data, start, end)
 
 
 def _among(owner: np.ndarray, value: np.ndarray, found: list[np.ndarray]) -> np.ndarray:

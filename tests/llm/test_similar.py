@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,20 @@ def test_secret_candidates_cases(spark):
     assert secrets.candidates(df.limit(0), stats).count() == 0
 
 
+def test_key_and_check_of_strings_are_independent():
+    word = np.array([bin(i).count("1") & 1 for i in range(2048)], np.uint8) + 97
+    data = np.concatenate([word, 195 - word, word])
+    at = np.array([0, 2048, 4096])
+    key, check = suffix.double_hash(data, at, at + 2048)
+    assert key[0] == key[1] and check[0] != check[1] and key[0] == key[2] and check[0] == check[2]
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 1 << 25).astype(np.uint8)
+    data[-500:] = data[100:600]                    # far beyond the tables of powers
+    start = np.array([100, len(data) - 500, 101, 100])
+    check = suffix.prime_hashes(data, start, start + np.array([500, 500, 500, 499]))
+    assert check[0] == check[1] and len(set(check.tolist())) == 3
+
+
 def test_key_words_are_parts_of_names_and_have_negatives():
     keyed = lambda text: secrets._context(text)[2]
     for name in (b"password", b"API_KEY", b"apiKey", b"dbPassword", b"client_secret", b"x-api-key", b"userpass",
