@@ -9,6 +9,7 @@ from matchbook.operators import one_to_one
 from matchbook.operators.numbering import matching_id
 from matchbook.operators.populations import pass_populations
 from matchbook.plans.carry import run_cycle
+from matchbook.plans.catalog import CONTAINS_PASS
 from matchbook.plans.configs import m2m_pass, m2o_pass, o2m_pass, o2o_pass
 from matchbook.plans.run import reconcile, run_passes
 from matchbook.spec import RunSpec
@@ -68,3 +69,14 @@ def test_ids_of_more_than_six_digits(spark):
 def test_carried_rows_come_from_the_run_s_ledger(spark, tmp_path):
     cycle = run_cycle(ledger_df(spark, ROWS), SPEC, str(tmp_path / "state"), "2024-01-15")
     assert [(r.row_id, r.AMOUNT) for r in cycle.open_items.collect()] == [(6, Decimal("9.0000"))]
+
+
+def test_left_rows_of_a_contains_pass_are_not_binned_thrice(spark):
+    left, right = pass_populations(ledger_df(spark, [
+        row(1, "L", 5, "2024-01-15", ref="AB-INVOICE-77"), row(2, "L", 5, "2024-01-31", ref="AB-INVOICE-77"),
+        row(3, "R", 5, "2024-01-17", ref="INVOICE-77"), row(4, "R", 5, None, ref="INVOICE-77")]), CONTAINS_PASS)
+    pairs = one_to_one.candidates(left, right, CONTAINS_PASS)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    reach = [line for line in plan.splitlines() if "explode(sequence(" in line]
+    assert reach and all("r_a" in line and "l_a" not in line for line in reach)
+    assert [(r.l_id, r.r_id) for r in pairs.collect()] == [(1, 3)]
