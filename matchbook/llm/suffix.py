@@ -6,16 +6,17 @@ document go on to the next digit.  Ordering every position by single bytes would
 shuffle each of them several times; the digits here are content-defined instead, so
 that a pass moves a few numbers per hundred bytes:
 
-1. Chunks (about ``CHUNK`` bytes, cut where a 16-byte hash says so) with the 49 bytes
+1. Chunks (about ``CHUNK`` bytes, cut where a hash of 24 bytes says so) with the 49 bytes
    that follow.  Where a chunk stands in a document of smaller id, all windows that
    start in it are repeated and need no further pass, neither as copies nor as sources.
-2. The smallest 16-byte hash inside each remaining window: equal windows have equal
-   smallest hashes.  Windows whose hash occurs in one document only are unique.
-3. Runs of neighbouring windows with the same smallest hash, as one string (about 18
+2. The smallest 24-byte hash inside each remaining window: equal windows have equal
+   smallest hashes.  Windows whose hash occurs in one document only are unique.  (Strings of
+   16 bytes, three or four words, recur by chance the more the larger the corpus is.)
+3. Runs of neighbouring windows with the same smallest hash, as one string (about 14
    windows): where it stands in a document of smaller id, all its windows are repeated.
    Then pass 2 again over what is left.
 4. The runs that are left go to the task of their smallest hash with their bytes (at most
-   84 a piece).  There every window is told apart by a 128-bit hash of its whole bytes;
+   76 a piece).  There every window is told apart by a 128-bit hash of its whole bytes;
    equal groups are exactly the repeated windows.
 
 A pass is a blob exchange: tasks keep the smallest id of a key and send that one, larger
@@ -45,12 +46,12 @@ from matchbook.llm.common import (U64, bucket_count, chunks, flat, gather, mix64
 from matchbook.session import materialize
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24                     # a multiple of eight
 CHUNK = 512
 GROUP = 1 << 18               # bytes of text that the kernels handle at once
 KEYED = ["<u8", "<u8", "<i8", "<i8", "<u8"]          # key, check, rank, row, place
 BACK = ["<i8", "<u8"]                                 # row, key or place
-SPAN = WINDOW - GRAM + 1                              # windows that one 16-byte string can lead
+SPAN = WINDOW - GRAM + 1                              # windows that one gram can lead
 REACH = SPAN + WINDOW - 1                             # bytes of so many neighbouring windows
 PIECES = ["<u8", "<i8", "<i8", "<u8", f"V{REACH}"]    # key, rank, row, place, bytes
 COUNT_SHIFT = 40                                      # a place is a first window and a count
@@ -60,15 +61,16 @@ EARLIEST = -2**63
 # --------------------------------------------------------------------- kernels
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from every position that has them."""
+    """Hash of the ``GRAM`` bytes from every position that has them."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.empty(0, U64)
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
-    h = word[8:8 + n] * U64(0xD6E8FEB86659FD93)
-    h ^= h >> U64(32)
-    h += word[:n]
-    h *= U64(0x9E3779B97F4A7C15)
+    h = word[GRAM - 8:GRAM - 8 + n] * U64(0xD6E8FEB86659FD93)
+    for at in range(GRAM - 16, -1, -8):
+        h ^= h >> U64(32)
+        h += word[at:at + n]
+        h *= U64(0x9E3779B97F4A7C15)
     h ^= h >> U64(29)
     h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(32)

@@ -267,6 +267,18 @@ def test_repeated_bytes_against_brute_force(spark):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_strings_of_a_few_words_bring_no_windows_together():
+    rng = random.Random(5)
+    stems = [bytes(rng.choices(b"abcdefgh", k=20)) for _ in range(4)]
+    found = []
+    for _ in range(2):
+        text = b"".join(rng.choice(stems) + bytes(rng.choices(range(97, 123), k=35)) for _ in range(200))
+        group = suffix.Group(np.frombuffer(text, np.uint8), np.array([0, len(text)]), {})
+        begin, _, _ = group.runs(group.open_windows())
+        found.append(set(group.least[begin].tolist()))
+    assert len(found[0]) > 200 and not found[0] & found[1]
+
+
 def test_secret_scan_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op10_secret_scan(spark, sf)
