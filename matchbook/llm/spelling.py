@@ -238,12 +238,19 @@ def neighbourhoods(reduced: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
 # --------------------------------------------------------------------- near words
 
+def _shuffled(words: DataFrame) -> DataFrame:
+    """A table as long as the vocabulary or longer, as the side of a join: it is never broadcast.
+    Spark sizes it by its compressed files, and a table of neighbours by that of their words,
+    so it would send one of many times its threshold through the driver."""
+    return words.hint("merge")
+
+
 def near_words(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n): all ordered pairs of words that are one edit apart.
     ``vocab`` is a written table."""
     reduced = materialize(with_reduced(vocab, symbols), "reduced-words")
     other = reduced.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    return (neighbourhoods(reduced, symbols).join(other, "key")
+    return (_shuffled(neighbourhoods(reduced, symbols)).join(_shuffled(other), "key")
             .where((F.col("word") != F.col("near"))
                    & (F.abs(F.length("word") - F.length("near")) <= 1)
                    & (F.levenshtein("word", "near", 1) == 1))
@@ -257,9 +264,9 @@ def follow_forms(forms: DataFrame) -> DataFrame:
     while True:
         step = now.select(F.col("word").alias("w"), F.col("root").alias("further"))
         on = F.col("root") == F.col("w")
-        if now.join(step, on, "left_semi").isEmpty():
+        if now.join(_shuffled(step), on, "left_semi").isEmpty():
             return now
-        now = materialize(now.join(step, on, "left").select(
+        now = materialize(now.join(_shuffled(step), on, "left").select(
             "word", F.coalesce("further", "root").alias("root")), "roots")
 
 
@@ -272,10 +279,10 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     is_form = -F.col("best.m") >= RATIO * F.col("n")
     words = materialize(
-        vocab.join(found, "word", "left").select(
+        vocab.join(_shuffled(found), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(is_form, F.col("best.w")).alias("form"),
             F.when(is_form, -F.col("best.m")).alias("form_n")), "forms")
     roots = follow_forms(words.where("form IS NOT NULL"))
-    return words.join(roots, "word", "left").select(
+    return words.join(_shuffled(roots), "word", "left").select(
         "word", "n", "form", "form_n", "n_near", F.coalesce("root", "word").alias("root"))

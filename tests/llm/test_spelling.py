@@ -88,6 +88,15 @@ def test_chains_lead_to_the_last_form(spark):
     assert {r[0]: r[5] for r in got}["abcdef"] == "abcihg"
 
 
+def test_no_table_of_the_vocabulary_is_broadcast(spark):
+    rows = spark.createDataFrame(corpus(3), SCHEMA)
+    vocab = spelling.materialize(spelling.vocabulary(rows), "vocabulary")
+    forms = spark.createDataFrame([("abcdef", "abcde"), ("abcde", "abcd")], "word string, form string")
+    for frame in (spelling.near_words(vocab), spelling.spelling_variants(rows), spelling.follow_forms(forms)):
+        assert frame.count() > 0
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cases(spark, monkeypatch):
     monkeypatch.setattr(spelling, "PIECE", 64)                  # texts are cut between words
     monkeypatch.setattr(spelling, "HELD", 3)
