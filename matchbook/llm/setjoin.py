@@ -6,9 +6,11 @@ the set is empty and links with nothing.  Shingles and sets are 64-bit hashes.
 
 1. ``sets`` table: one row per document with set size and hash; equal sets are one node, the
    first of their rows, so that nodes of a task are near numbers and postings are narrow.
-2. Shingles get a global order, rare ones first, from a sketch of 2**20 counts over the
+2. Shingles get a global order, rare ones first, from a sketch of 2**24 counts over the
    whole table (fixed size, broadcast as one byte a cell).  Any order gives the same
-   result; this one keeps shingles of common passages out of the index.
+   result; this one keeps shingles of common passages out of the index.  A shingle is only
+   told from a rare one where it is more frequent than a cell's average, so with few cells
+   ever more shingles that recur by chance come into the index of a larger table.
 3. Two sets of Jaccard similarity >= 4/5 share a shingle among the first
    n - ceil(4n/5) + 1 of either, so only these prefixes are indexed: lists by shingle,
    with position and size.
@@ -31,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchbook.llm.common import (U64, chunks, flat, mix64, pack, release_shuffles,
-                                  rows_of, shingle_sets, squeeze, unpack, unsqueeze)
+                                  rows_of, shingle_sets, shuffle_parts, squeeze, unpack, unsqueeze)
 from matchbook.llm.similar import bitmap, candidate_lists, components, list_keys
 from matchbook.session import materialize
 
 NUM, DEN = 4, 5                   # similarity 0.8
 WIDTH = 5
-CELLS = 20                        # bits of the order sketch
-PART = 1 << 14                    # sketch counts in one row of its exchange
+CELLS = 24                        # bits of the order sketch
+PART = 1 << 18                    # sketch counts in one row of its exchange
+AT_ONCE = 1 << 20                 # shingles that a task adds to its counts at once
 
 BITS = 2                          # bits of a set's parity bitmap for each shingle
 
@@ -100,30 +103,42 @@ def _texts(batches: Iterator[pa.RecordBatch]):
 
 
 def shingle_order(nodes: DataFrame) -> np.ndarray:
-    """Logarithm of the count of every sketch cell: tasks count all their shingles and send
-    the counts in parts, which are summed; 2**20 bytes reach the driver."""
+    """Logarithm of the count of every sketch cell: tasks count all their shingles (up to 255 a
+    cell) and send the counts in parts, which are summed; 2**24 bytes reach the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELLS, np.int64)
+        total = np.zeros(1 << CELLS, np.uint8)
+        held, size = [], 0
+
+        def put_in():
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            total[cells] = np.minimum(total[cells] + n, 255)
+
         for _, _, sets in _texts(batches):
-            cells = (np.concatenate(sets) >> U64(64 - CELLS)).astype(np.int64)
-            total += np.bincount(cells, minlength=1 << CELLS)
+            held += [(s >> U64(64 - CELLS)).astype(np.uint32) for s in sets]
+            size += sum(map(len, sets))
+            if size >= AT_ONCE:
+                put_in()
+                held, size = [], 0
+        if size:
+            put_in()
         if total.any():
             yield rows_of(["bucket", "blob"], np.arange((1 << CELLS) // PART, dtype=np.int32),
-                          pa.array([pack(p) for p in total.astype("<u4").reshape(-1, PART)],
-                                   pa.binary()))
+                          pa.array([pack(p) for p in total.reshape(-1, PART)], pa.binary()))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column("bucket").to_pylist(),
                                   batch.column("blob").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + unpack(blob, ["<u4"])[0].astype(np.int64)
+                sums[part] = sums.get(part, 0) + unpack(blob, ["u1"])[0].astype(np.int64)
         for part, x in sums.items():
             level = np.ceil(np.log2(x + 1)).astype(np.uint8)
             yield rows_of(["bucket", "blob"], np.array([part], np.int32),
                           pa.array([level.tobytes()], pa.binary()))
 
-    parts = (nodes.select("z").mapInArrow(count, "bucket int, blob binary")
+    # The fewer tasks send counts, the less is sent.
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, shuffle_parts(nodes.sparkSession) // 8)
+    parts = (nodes.select("z").coalesce(tasks).mapInArrow(count, "bucket int, blob binary")
              .repartition((1 << CELLS) // PART, "bucket")
              .mapInArrow(add, "bucket int, blob binary").collect())
     order = np.zeros(1 << CELLS, np.uint8)
@@ -173,6 +188,7 @@ def set_components(sets: DataFrame) -> DataFrame:
     twins = materialize(hashes.join(least, "set_hash").where("node != one").select("node", "one"),
                         "set-twins")
     order = sets.sparkSession.sparkContext.broadcast(shingle_order(nodes))
+    release_shuffles(sets.sparkSession)
     pairs, members = candidate_lists(nodes, _index(order), NUM, DEN, True, twins)
     bits = firsts.select("node", F.col("n_shingles").alias("size"), "bits")
     labels = components(pairs, members, bits, nodes, _set, NUM, DEN)

@@ -27,6 +27,11 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
+def word_hashes(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return common.shingle_sets(data, np.array([0, len(data)]), setjoin.WIDTH)[0]
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
@@ -96,6 +101,21 @@ def test_near_duplicates_are_dropped_once(spark):
     assert setjoin.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_shingles_that_recur_by_chance_are_told_from_rare_ones(spark):
+    """A shingle of eight documents comes after those of one, among twelve million of these."""
+    letters = np.random.default_rng(3).choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8), (48, 250_000))
+    texts = np.full((48, 500_000), 32, np.uint8)
+    texts[:, ::2] = letters
+    often = " ".join(f"often{k}" for k in range(5))
+    rows = [(k, t.tobytes().decode(), "s") for k, t in enumerate(texts)]
+    rows += [(1000 + k, f"{often} word{k} {k}", "s") for k in range(8)]
+    sets = setjoin.set_table(setjoin.numbered(docs(spark, rows), "doc_id", "text"))
+    order = setjoin.shingle_order(sets.where("z IS NOT NULL").select("node", "z"))
+    shingle, rare = word_hashes(often), word_hashes(rows[0][1])
+    level = lambda x: order[(x >> np.uint64(64 - setjoin.CELLS)).astype(np.int64)]
+    assert len(shingle) == 1 and np.mean(level(rare) < level(shingle)) > 0.99
+
+
 def test_bitmaps_never_exclude_a_link():
     rng = random.Random(9)
     import numpy as np
