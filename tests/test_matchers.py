@@ -60,6 +60,37 @@ def test_overlapping_populations_pair_each_row_once(spark):
             _run(spark, rows, p)
 
 
+@pytest.mark.parametrize("left, right", [((), ()), ((Filter("AMOUNT", "<", 200),), ()),
+                                         ((Filter("AMOUNT", ">", 100),), (Filter("REFERENCE", "!=", "B"),))])
+def test_mirrored_pairs_are_told_apart_where_they_are_made(spark, left, right):
+    rng = random.Random(11)
+    rows = [row(-7 if i == 0 else 2**62 + 1 if i == 1 else i, rng.choice("LR"), rng.choice([100, 150, 200, None]),
+                d=f"2024-01-{rng.randint(1, 9):02d}", ref=rng.choice(["A", "B", None])) for i in range(120)]
+    p = o2o_pass(quality=0, left=left, right=right, attributes=(
+        Attribute("CURRENCY", "CURRENCY", "EQUALS", mandatory=True),
+        Attribute("AMOUNT", "AMOUNT", "WITHIN", mandatory=True, tolerance_amount=60.0),
+        Attribute("VALUE_DATE", "VALUE_DATE", "WITHIN", mandatory=True, tolerance_days=2),
+        Attribute("REFERENCE", "REFERENCE", "EQUALS")))
+    pairs = {(r.l_id, r.r_id): r.q for r in one_to_one.candidates(*pass_populations(ledger_df(spark, rows), p), p).collect()}
+    once = {x: q for x, q in pairs.items() if (-q, x[0]) <= (-pairs.get(x[::-1], -1), x[1])}
+    first: dict = {}
+    for (a, b), q in once.items():
+        first[a] = min(first.get(a, (0, 2**63)), (-q, b))
+    second: dict = {}
+    for a, (q, b) in first.items():
+        second[b] = min(second.get(b, (0, 2**63)), (q, a))
+    kept = {(a, b, -q) for b, (q, a) in second.items()}
+    best: dict = {}
+    for a, b, q in kept:
+        for x in (a, b):
+            best[x] = min(best.get(x, (0, 2**63, 2**63, a)), (-q, min(a, b), max(a, b), a))
+    want = {(a, b, q) for a, b, q in kept if best[a] == best[b] == (-q, min(a, b), max(a, b), a)}
+    got = one_to_one.best_pairs(*pass_populations(ledger_df(spark, rows), p), p)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 3 and "Aggregate [l_id" in plan     # none by pair
+
+
 def test_equal_rows_collapse_before_the_join(spark):
     rows = [row(i, "L" if i % 2 else "R", 25, ref="FEE") for i in range(1, 401)]
     p = o2o_pass()
